@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, exact_dedup, pii
+from quarry.llm import bpe, chat, exact_dedup, packing, pii
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_pii": pii.op5_pii,
+    "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat.op9_chat_format,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat.SQL,
 }
