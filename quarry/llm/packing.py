@@ -1,11 +1,11 @@
 """Packing documents into training windows by Karmarkar-Karp multiway differencing.
 
 Each partition is streamed without a shuffle. A document's ids, with an end id, are cut into full windows, which need
-no packing, and a rest, which is cut into near-equal pieces of at most ``max_piece`` ids. Pieces gather until they
-fill ``windows`` windows almost exactly; then multiway differencing deals them out: every piece is a partial partition
-of the windows, and the two partial partitions with the largest imbalances are merged again and again, the fullest
-window of one with the emptiest of the other. This leaves windows of near-equal load. If one still exceeds the
-capacity, the pieces are dealt out anew among one window more.
+no packing, and a rest. Rests gather until they fill ``windows`` windows exactly; then multiway differencing deals
+them out: every rest is a partial partition of the windows, and the two partial partitions with the largest imbalances
+are merged again and again, the fullest window of one with the emptiest of the other. There are as few windows as the
+total allows, one more whenever it exceeds their capacity. What a near-equal window still has beyond its capacity is
+cut off and goes to one below it, so that only the last windows of a partition have padding.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import table
 
 CAPACITY = 1024
-MAX_PIECE = 256
 WINDOWS = 32
 END_ID = 0
 
@@ -64,21 +63,43 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows_for(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Groups of at most capacity: as few as the total allows, one more whenever differencing exceeds it."""
-    k = max(1, -(-sum(sizes) // capacity))
-    while True:
-        groups = difference(sizes, k)
-        if max(sum(sizes[i] for i in g) for g in groups) <= capacity:
-            return [g for g in groups if g]
-        k += 1
+def deal(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Groups of near-equal sums: as few as the total allows, so one more whenever it exceeds their capacity."""
+    return difference(sizes, max(1, -(-sum(sizes) // capacity)))
+
+
+def level(groups: list[list[tuple]], capacity: int) -> list[list[tuple]]:
+    """Cut what exceeds the capacity off the largest pieces and put it into groups with room.
+
+    Pieces are (doc, start, ids, doc_tokens). All groups together have room for all pieces.
+    """
+    over = []
+    for g in groups:
+        excess = sum(len(p[2]) for p in g) - capacity
+        g.sort(key=lambda p: len(p[2]))
+        while excess > 0:
+            doc, start, ids, n = g.pop()
+            cut = max(0, len(ids) - excess)
+            over.append((doc, start + cut, ids[cut:], n))
+            excess -= len(ids) - cut
+            if cut:
+                g.append((doc, start, ids[:cut], n))
+    for g in groups:
+        room = capacity - sum(len(p[2]) for p in g)
+        while room and over:
+            doc, start, ids, n = over.pop()
+            g.append((doc, start, ids[:room], n))
+            if len(ids) > room:
+                over.append((doc, start + room, ids[room:], n))
+            room -= min(room, len(ids))
+    return groups
 
 
 class Packer:
-    """Deals out the pieces of one partition; holds at most a few windows' worth of them."""
+    """Deals out the pieces of one partition; holds at most the rests that fill a few windows."""
 
-    def __init__(self, first: int, capacity: int, max_piece: int, windows: int):
-        self.next, self.capacity, self.max_piece, self.windows = first, capacity, max_piece, windows
+    def __init__(self, first: int, capacity: int, windows: int):
+        self.next, self.capacity, self.windows = first, capacity, windows
         self.pieces: list[tuple] = []
         self.total = 0
         self.rows: list[tuple] = []
@@ -89,38 +110,23 @@ class Packer:
         for start in range(0, full, cap):
             self._place([(doc, start, ids[start : start + cap], n)])
         if n > full:
-            rest = n - full
-            parts = -(-rest // self.max_piece)
-            cuts = [full + rest * j // parts for j in range(parts + 1)]
-            for a, b in zip(cuts, cuts[1:]):
-                self.pieces.append((doc, a, ids[a:b], n))
-                self.total += b - a
-        # Some pieces more than needed, to fill the last gap well.
-        while self.total >= self.capacity * (self.windows + 4):
-            self._pack_block()
-
-    def _pack_block(self) -> None:
-        room = self.capacity * self.windows - self.windows
-        block, left = [], []
-        for p in self.pieces:
-            if len(p[2]) <= room and (room > 2 * self.max_piece):
-                block.append(p)
-                room -= len(p[2])
-            else:
-                left.append(p)
-        # The gap left: the largest piece that fits, twice.
-        for _ in range(2):
-            fit = max((p for p in left if len(p[2]) <= room), key=lambda p: len(p[2]), default=None)
-            if fit is not None:
-                block.append(fit)
-                room -= len(fit[2])
-                left = [p for p in left if p is not fit]
-        self.pieces, self.total = left, sum(len(p[2]) for p in left)
-        self._deal(block)
-
-    def _deal(self, block: list[tuple]) -> None:
-        for group in windows_for([len(p[2]) for p in block], self.capacity):
-            self._place([block[i] for i in group])
+            self.pieces.append((doc, full, ids[full:], n))
+            self.total += n - full
+            surplus = self.total - cap * self.windows
+            if surplus >= 0:
+                # The last rest is cut so that the windows can be filled to the end.
+                _, start, rest, _ = self.pieces.pop()
+                at = len(rest) - surplus
+                left = [(doc, start + at, rest[at:], n)] if surplus else []
+                self.pieces += [(doc, start, rest[:at], n)] if at else []
+                self._deal()
+                self.pieces, self.total = left, surplus
+
+    def _deal(self) -> None:
+        groups = deal([len(p[2]) for p in self.pieces], self.capacity)
+        for group in level([[self.pieces[i] for i in g] for g in groups], self.capacity):
+            if group:
+                self._place(group)
 
     def _place(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -131,7 +137,7 @@ class Packer:
 
     def finish(self) -> None:
         if self.pieces:
-            self._deal(self.pieces)
+            self._deal()
             self.pieces, self.total = [], 0
 
     def taken(self) -> list[tuple]:
@@ -164,7 +170,7 @@ def token_ids(path: str, text: str) -> np.ndarray:
     return _fast(path).encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
-def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, max_piece: int = MAX_PIECE, windows: int = WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, windows: int = WINDOWS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Null and empty texts are one end id. Rows with the same doc_id are packed as documents of their own. An empty
@@ -172,7 +178,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = Packer(TaskContext.get().partitionId() << 40, capacity, max_piece, windows)
+        packer = Packer(TaskContext.get().partitionId() << 40, capacity, windows)
         columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         size = 0
         for pdf in frames:
