@@ -46,3 +46,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
+
+
+#: At most so many groups count as hot, see attach().
+HOT_GROUPS = 2000
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n: int) -> DataFrame:
+    """Inner join of rows with one row per group, however uneven the groups are.
+
+    ``size`` is a column of groups with the rows of each group, ``n`` the number of rows. Groups of at least
+    n / HOT_GROUPS rows number at most HOT_GROUPS, so they are broadcast and their rows stay where they are; the rows
+    of all other groups are joined by a shuffle. Keys must not be null.
+    """
+    least = max(32, n // HOT_GROUPS)
+    extra = [c for c in groups.columns if c not in keys]
+    hot = groups.filter(F.col(size) >= least)
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    cold = marked.filter(F.col(size).isNull()).select(*rows.columns).join(groups.filter(F.col(size) < least), keys)
+    return marked.filter(F.col(size).isNotNull()).select(*rows.columns, *extra).unionByName(cold.select(*rows.columns, *extra))

@@ -6,8 +6,8 @@ others shuffle on their hash. A false hit only shuffles a row that had no need t
 of the filter. The filter is broadcast; ``MAX_BITS`` bounds it (2^27 bits are 2 M words, some 64 MB as a relation),
 and beyond that size more rows shuffle.
 
-Groups of at least ``n / HOT_GROUPS`` rows number at most HOT_GROUPS, so their keepers are broadcast and their rows
-stay where they are; only rows of smaller groups are joined by a shuffle.
+Rows of large groups of copies stay where they are, and their few keepers are broadcast (common.attach); only rows of
+smaller groups are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -15,13 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh, materialize, or_empty
+from quarry.llm.common import attach, fresh, materialize, or_empty, table
 
 #: What counts as white space: runs of these are one space.
 SPACES = r"[\x20\x09-\x0D]+"
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 27
-HOT_GROUPS = 2000
 
 
 def normalised(text: Column) -> Column:
@@ -78,12 +77,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     groups = suspects.groupBy("sha").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("keep"), F.count("*").alias("group_size")
     )
-    least = max(32, n // HOT_GROUPS)
-    hot = groups.filter(F.col("group_size") >= least).select("sha", F.col("keep").alias("hot_keep"), F.col("group_size").alias("hot_size"))
-    marked = suspects.join(F.broadcast(hot), "sha", "left")
-    of_hot = marked.filter("hot_size is not null").select("row", "doc_id", "sha", F.col("hot_keep").alias("keep"), F.col("hot_size").alias("group_size"))
-    of_cold = marked.filter("hot_size is null").select("row", "doc_id", "sha").join(groups.filter(F.col("group_size") < least), "sha").select("row", "doc_id", "sha", "keep", "group_size")
-    grouped = of_hot.unionByName(of_cold).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "sha")
+    grouped = attach(suspects, groups, ["sha"], "group_size", n).select(
+        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "sha"
+    )
     return singles.unionByName(grouped).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
@@ -109,8 +105,6 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def op2_exact_dedup(spark, sf_dir):
-    from quarry.llm.common import table
-
     return exact_groups(table(spark, sf_dir, "documents"))
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, exact_dedup, packing, pii
+from quarry.llm import bpe, chat, embeddings, exact_dedup, packing, pii, quality
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_pii": pii.op5_pii,
+    "op3_near_embeddings": embeddings.op3_near_embeddings,
+    "op6_quality": quality.op6_quality,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat.op9_chat_format,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op3_near_embeddings": embeddings.op3_near_embeddings,
+    "op6_quality": quality.op6_quality,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat.SQL,
 }
