@@ -84,18 +84,18 @@ def code(dim: int, n: int, similarity: float) -> Code:
     return Code(dim, n, similarity)
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype("float64")
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _decoded(pdf: pd.DataFrame, n: int, similarity: float):
+def _decoded(pdf: pd.DataFrame, n: int, similarity: float, kind: str):
     """For each dimension in pdf: its rows, and (row, filter) sorted by both."""
     for size in sorted(set(map(len, pdf["vec"]))):
         part = pdf[[len(v) == size for v in pdf["vec"]]]
         for s in range(0, len(part), 2000):
             some = part.iloc[s : s + 2000]
-            v, f = code(size // 8, n, similarity).decode(_unit(some["vec"].tolist()))
+            v, f = code(size // np.dtype(kind).itemsize, n, similarity).decode(_unit(some["vec"].tolist(), kind))
             order = np.lexsort((f, v))
             yield some, v[order], f[order]
 
@@ -118,9 +118,9 @@ def _clusters(linked: np.ndarray) -> np.ndarray:
     return first
 
 
-def cell_links(filter_: int, ids: np.ndarray, mult: np.ndarray, side: np.ndarray, raw: list[bytes], lists: list[bytes], similarity: float):
+def cell_links(filter_: int, ids: np.ndarray, mult: np.ndarray, side: np.ndarray, raw: list[bytes], lists: list[bytes], similarity: float, kind: str):
     """Links and stars of one cell: (id, other, links); a cell of two blocks compares one with the other."""
-    x = _unit(raw)
+    x = _unit(raw, kind)
     a, b = (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max()))
     linked = x[a] @ x[b].T >= similarity
     if side.min() == side.max():
@@ -153,7 +153,7 @@ def cell_links(filter_: int, ids: np.ndarray, mult: np.ndarray, side: np.ndarray
     return [(int(ids[k]), int(ids[first[k]]), int(links[k])) for k in np.flatnonzero(links)]
 
 
-def _cells(frames, similarity: float):
+def _cells(frames, similarity: float, kind: str):
     """Streams rows sorted by cell through cell_links()."""
     columns, rest = ["a", "b", "links"], None
     key = ["filter", "i", "j", "size"]
@@ -166,7 +166,7 @@ def _cells(frames, similarity: float):
         raw, lists, filters = pdf["vec"].tolist(), pdf["filters"].tolist(), pdf["filter"].to_numpy()
         for s, e in zip(bounds, bounds[1:]):
             if e - s > 1:
-                out += cell_links(int(filters[s]), ids[s:e], mult[s:e], side[s:e], raw[s:e], lists[s:e], similarity)
+                out += cell_links(int(filters[s]), ids[s:e], mult[s:e], side[s:e], raw[s:e], lists[s:e], similarity, kind)
         return pd.DataFrame(out, columns=columns)
 
     for pdf in frames:
@@ -189,7 +189,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     different lengths. Equal vectors link with each other. kept marks vec_id = component_id, so with repeated ids
     more than one row. An empty table gives no rows.
     """
-    v = F.col(embedding).cast("array<double>")
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    v = F.col(embedding) if single else F.col(embedding).cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     base = materialize(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).alias("vec_id"), F.when(sound, v).alias("vec")))
     usable = base.filter("vec is not null")
@@ -198,19 +200,19 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
     def as_bytes(frames):
         for pdf in frames:
-            yield pd.DataFrame({"id": pdf["id"], "mult": pdf["mult"], "vec": [np.asarray(x, "<f8").tobytes() for x in pdf["vec"]]})
+            yield pd.DataFrame({"id": pdf["id"], "mult": pdf["mult"], "vec": [np.asarray(x, kind).tobytes() for x in pdf["vec"]]})
 
     packed = classes.select("id", "mult", "vec").mapInPandas(as_bytes, "id long, mult long, vec binary")
 
     def filters_of(frames):
         for pdf in frames:
-            for some, _, f in _decoded(pdf, n, similarity):
+            for some, _, f in _decoded(pdf, n, similarity, kind):
                 values, counts = np.unique(f, return_counts=True)
                 yield pd.DataFrame({"filter": values, "size": len(some["vec"].iloc[0]), "n": counts})
 
     def placed(frames):
         for pdf in frames:
-            for some, v, f in _decoded(pdf, n, similarity):
+            for some, v, f in _decoded(pdf, n, similarity, kind):
                 ends = np.searchsorted(v, np.arange(len(some) + 1))
                 own = [f[s:e].astype("<i4").tobytes() for s, e in zip(ends, ends[1:])]
                 yield pd.DataFrame({"filter": f, "id": some["id"].to_numpy()[v], "mult": some["mult"].to_numpy()[v], "vec": some["vec"].to_numpy()[v], "filters": np.array([*own, None], object)[v]}).assign(size=len(some["vec"].iloc[0]))
@@ -222,7 +224,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     spread = spread.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
     cells = spread.select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "size", "id", "mult", "vec", "filters", "block")
     cells = cells.repartition("filter", "i", "j", "size").sortWithinPartitions("filter", "i", "j", "size")
-    found = materialize(cells.mapInPandas(lambda frames: _cells(frames, similarity), "a long, b long, links long"))
+    found = materialize(cells.mapInPandas(lambda frames: _cells(frames, similarity, kind), "a long, b long, links long"))
 
     links = found.groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("id"), "links")
     groups = components(found.filter("a <> b").select("a", "b")).select(F.col("node").alias("id"), "component")

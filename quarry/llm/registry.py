@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, embeddings, exact_dedup, packing, pii, quality
+from quarry.llm import bpe, chat, embeddings, exact_dedup, minhash, packing, pii, quality
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op3_near_embeddings": embeddings.op3_near_embeddings,
     "op6_quality": quality.op6_quality,
+    "op7_minhash": minhash.op7_minhash,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat.op9_chat_format,
 }
@@ -17,6 +18,7 @@ ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_near_embeddings": embeddings.op3_near_embeddings,
     "op6_quality": quality.op6_quality,
+    "op7_minhash": minhash.op7_minhash,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat.SQL,
 }
