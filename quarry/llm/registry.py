@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, embeddings, exact_dedup, minhash, packing, pii, quality
+from quarry.llm import bpe, chat, embeddings, exact_dedup, lm, minhash, packing, pii, quality
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_minhash": minhash.op7_minhash,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_lm_score": lm.op10_lm_score,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
