@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, embeddings, exact_dedup, lm, minhash, packing, pii, quality
+from quarry.llm import bpe, chat, embeddings, exact_dedup, lm, minhash, packing, pii, quality, substrings
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_repeated_substrings": substrings.op4_repeated_substrings,
     "op5_pii": pii.op5_pii,
     "op3_near_embeddings": embeddings.op3_near_embeddings,
     "op6_quality": quality.op6_quality,
