@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,21 @@ def components(edges: DataFrame) -> DataFrame:
         if new.count() == n and new.exceptAll(now).isEmpty():
             return new.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         now = new
+
+
+def clusters(linked: np.ndarray) -> np.ndarray:
+    """For each node of a symmetric boolean matrix the first node of its component."""
+    n = len(linked)
+    first = np.arange(n)
+    seen = ~linked.any(1)
+    for start in range(n):
+        if seen[start]:
+            continue
+        seen[start] = True
+        frontier = np.array([start])
+        while len(frontier):
+            reach = linked[frontier].any(0) & ~seen
+            seen |= reach
+            first[reach] = start
+            frontier = np.flatnonzero(reach)
+    return first

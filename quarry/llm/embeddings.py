@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import attach, materialize, table
-from quarry.llm.components import components
+from quarry.llm.components import clusters, components
 
 SIMILARITY = 0.9
 RECALL = 0.98
@@ -100,24 +100,6 @@ def _decoded(pdf: pd.DataFrame, n: int, similarity: float, kind: str):
             yield some, v[order], f[order]
 
 
-def _clusters(linked: np.ndarray) -> np.ndarray:
-    """For each node of a symmetric boolean matrix the first node of its component."""
-    n = len(linked)
-    first = np.arange(n)
-    seen = ~linked.any(1)
-    for start in range(n):
-        if seen[start]:
-            continue
-        seen[start] = True
-        frontier = np.array([start])
-        while len(frontier):
-            reach = linked[frontier].any(0) & ~seen
-            seen |= reach
-            first[reach] = start
-            frontier = np.flatnonzero(reach)
-    return first
-
-
 def cell_links(filter_: int, ids: np.ndarray, mult: np.ndarray, side: np.ndarray, raw: list[bytes], lists: list[bytes], similarity: float, kind: str):
     """Links and stars of one cell: (id, other, links); a cell of two blocks compares one with the other."""
     x = _unit(raw, kind)
@@ -149,7 +131,7 @@ def cell_links(filter_: int, ids: np.ndarray, mult: np.ndarray, side: np.ndarray
     whole = np.zeros((len(ids), len(ids)), bool)
     whole[np.ix_(a, b)] = linked
     whole |= whole.T
-    links, first = whole @ mult, _clusters(whole)
+    links, first = whole @ mult, clusters(whole)
     return [(int(ids[k]), int(ids[first[k]]), int(links[k])) for k in np.flatnonzero(links)]
 
 

@@ -40,7 +40,16 @@ def _slots(sha: str, bits: int) -> list[Column]:
 def repeated_bits(hashes: DataFrame, sha: str, bits: int) -> DataFrame:
     """Pass 1: words of the filter (word, hits) with the bits that more than one insertion set."""
     twice = hashes.select(F.explode(F.array(*_slots(sha, bits))).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
-    return twice.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("hits"))
+    return _words(twice)
+
+
+def member_bits(hashes: DataFrame, sha: str, bits: int) -> DataFrame:
+    """Words of a plain Bloom filter (word, hits) of the values in sha; maybe_repeated() tests against it likewise."""
+    return _words(hashes.select(F.explode(F.array(*_slots(sha, bits))).alias("slot")))
+
+
+def _words(slots: DataFrame) -> DataFrame:
+    return slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("hits"))
 
 
 def maybe_repeated(df: DataFrame, sha: str, words: DataFrame, bits: int, flag: str) -> DataFrame:

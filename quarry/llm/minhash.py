@@ -6,8 +6,9 @@ broadcast; a counter holds at least the frequency of each shingle in it.
 
 Each of BANDS * ROWS samples picks a shingle with its quantised weight so that two texts agree with the probability of
 their weighted Jaccard similarity. Texts that agree in all samples of a band meet in a bucket. Every text is verified
-against the bucket's smallest, then, where a bucket still holds texts of different components, these against each
-other. Verification computes the weighted Jaccard similarity of whole texts.
+against the bucket's smallest. Where a bucket still holds texts of different components, all of its pairs are verified,
+in blocks by matrix products, of which only the stars that connect texts are written out. Verification computes the
+weighted Jaccard similarity of whole texts.
 
 Texts with the same words are one class. Pairs and components are of classes; members follow their class.
 """
@@ -22,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import attach, materialize, or_empty, table
-from quarry.llm.components import components
+from quarry.llm.common import attach, fresh, materialize, or_empty, table
+from quarry.llm.components import clusters, components
+from quarry.llm.exact_dedup import filter_bits, maybe_repeated, member_bits
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -34,6 +36,8 @@ DF_BUCKETS = 1 << 18
 BITS = 12
 #: Texts compared with one other in a task at most, before a further task takes the rest.
 SHARE = 256
+#: Texts in a block of a bucket, about.
+BLOCK = 512
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,15 +187,80 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     return both.mapInPandas(compare, "a long, b long")
 
 
+def _block_links(texts: list[str], side: np.ndarray, idf: np.ndarray, threshold: float) -> np.ndarray:
+    """Boolean matrix of the pairs of texts, from two sides or within one, that are at least so similar.
+
+    A shingle that occurs k times is k features of its weight, so the sum of the smaller weights is a product of
+    binary vectors.
+    """
+    docs, feats, weights = [], [], []
+    for k, t in enumerate(texts):
+        values, counts = np.unique(shingles(word_hashes(t)), return_counts=True)
+        level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        v = np.repeat(values, counts)
+        docs.append(np.full(len(v), k))
+        weights.append(idf[bucket(v)].astype("float64"))
+        feats.append((v ^ level.astype("uint64") * np.uint64(0xD6E8FEB86659FD93)) * _MIX)
+    doc, feat, weight = np.concatenate(docs), np.concatenate(feats), np.concatenate(weights)
+    total = np.bincount(doc, weight, len(texts))
+    _, at, counts = np.unique(feat, return_inverse=True, return_counts=True)
+    shared = counts[at] > 1
+    place = (np.cumsum(counts > 1) - 1)[at[shared]]
+    doc, root = doc[shared], np.sqrt(weight[shared])
+    a, b = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    both = np.zeros((len(a), len(b)))
+    for s in range(0, int(place.max(initial=-1)) + 1, 4096):
+        some = (place >= s) & (place < s + 4096)
+        x = np.zeros((len(texts), 4096))
+        x[doc[some], place[some] - s] = root[some]
+        both += x[a] @ x[b].T
+    union = total[a][:, None] + total[b][None, :] - both
+    linked = both >= threshold * np.maximum(union, 1e-12) * (1 - 1e-12)
+    out = np.zeros((len(texts), len(texts)), bool)
+    out[np.ix_(a, b)] = linked
+    out |= out.T
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _open_links(open_: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Edges (a, b) that connect all similar pairs within each bucket of (bucket, id, size), in blocks of BLOCK."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = open_.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = dealt.select("id", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block").join(texts, "id")
+    cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+
+    def done(pdf: pd.DataFrame):
+        ids, linked = pdf["id"].to_numpy(), _block_links(pdf["text"].tolist(), pdf["block"].to_numpy(), idf.value, threshold)
+        first = clusters(linked)
+        some = np.flatnonzero(first != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[first[some]], "b": ids[some]})
+
+    def run(frames):
+        rest = None
+        for pdf in frames:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            key = pdf[["bucket", "i", "j"]].to_numpy()
+            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+            for s, e in zip(starts, starts[1:]):
+                yield done(pdf.iloc[s:e])
+            rest = pdf.iloc[starts[-1] :]  # this cell may go on
+        if rest is not None and len(rest):
+            yield done(rest)
+
+    return cells.mapInPandas(run, "a long, b long")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, component_id, kept.
+    """One row per document: doc_id, class_id, component_id, kept.
 
-    class_id is the smallest doc_id with the same words, n_links the number of other documents linked directly (of
-    found links, and the same words), component_id the smallest doc_id that links reach. kept marks one document of
-    each component. Null texts are empty; texts without words are one class. A null doc_id sorts last.
+    class_id is the smallest doc_id with the same words, component_id the smallest doc_id that links reach. kept marks
+    one document of each component. Null texts are empty; texts without words are one class. A null doc_id sorts last.
+    An empty table gives no rows.
     """
-    out = _groups(docs, doc_id, text, threshold)
-    return out.select("doc_id", "class_id", "n_links", "component_id", "kept")
+    return _groups(docs, doc_id, text, threshold).select("doc_id", "class_id", "component_id", "kept")
 
 
 def _groups(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
@@ -220,31 +289,26 @@ def _groups(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFr
     banded = materialize(signed.join(classes.select("row", "id"), "row").select("id", F.explode("bands").alias("bucket")))
     sizes = banded.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
     held = materialize(attach(banded, sizes, ["bucket"], "n", n * BANDS))
-    wanted = held.select("id").distinct()
-    plain = texts.withColumn("digest", _digest(F.col("text")))
-    # One text for each class that has to be compared.
-    bodies = plain.select(F.xxhash64("digest").alias("id"), "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    bodies = materialize(bodies)
+    wanted = materialize(held.select("id").distinct())
+    # One text for each class that has to be compared; a Bloom filter keeps all other texts where they are.
+    bits = filter_bits(wanted.count())
+    words = materialize(member_bits(wanted, "id", bits))
+    plain = texts.select(F.xxhash64(_digest(F.col("text"))).alias("id"), "text")
+    maybe = maybe_repeated(plain, "id", words, bits, "maybe").filter("maybe").drop("maybe")
+    bodies = materialize(maybe.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     pairs = held.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
-    tried = materialize(pairs)
-    links = materialize(_verified(tried, bodies, idf, threshold))
-    groups = components(links)
-    # Buckets with texts of several components: all pairs across these that were not tried.
-    state = held.select("bucket", "id", "n").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("n").alias("size")).filter("low <> high and size > 2").select("bucket", "size")
-    open_ = materialize(state.join(mixed, "bucket").select("bucket", "id", "component"))
-    one, two = open_, open_.select("bucket", F.col("id").alias("b"), F.col("component").alias("other"))
-    across = one.join(two, "bucket").filter("id < b and component <> other").select(F.col("id").alias("a"), "b").distinct()
-    more = materialize(_verified(across.join(tried, ["a", "b"], "left_anti"), bodies, idf, threshold))
-    links = links.unionByName(more)
+    links = materialize(_verified(materialize(pairs), bodies, idf, threshold))
     groups = components(links)
-
-    counted = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    counted = attach(counted, classes.select(F.col("id").alias("other"), "members"), ["other"], "members", n).groupBy("id").agg(F.sum("members").alias("linked"))
-    known = classes.join(counted, "id", "left").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
-    known = materialize(known.select("digest", "members", "class_id", "row", F.coalesce("component", "id").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("members") - 1).alias("n_links")))
+    # Buckets with texts of several components.
+    state = held.select("bucket", "id").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high and size > 2").select("bucket", "size")
+    open_ = attach(state.select("bucket", "id"), mixed, ["bucket"], "size", n * BANDS)
+    groups = components(links.unionByName(materialize(_open_links(open_, bodies, idf, threshold))))
+
+    known = classes.join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+    known = materialize(known.select("digest", "members", "class_id", "row", F.coalesce("component", "id").alias("component")))
     lowest = known.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "row")).alias("low"), F.count("*").alias("classes"))
-    known = attach(known, lowest, ["component"], "classes", n).select("digest", "members", "class_id", "n_links", F.col("low.class_id").alias("component_id"), F.col("low.row").alias("keep_row"))
+    known = attach(known, lowest, ["component"], "classes", n).select("digest", "members", "class_id", F.col("low.class_id").alias("component_id"), F.col("low.row").alias("keep_row"))
     out = attach(signed.select("row", "doc_id", "digest"), known, ["digest"], "members", n)
     return out.withColumn("kept", F.col("row") == F.col("keep_row"))
 
@@ -260,13 +324,21 @@ def _digest(text):
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each component; columns as given. Of rows that repeat id and text one stays."""
-    groups = _groups(docs, doc_id, text, threshold)
-    # Only documents that share their component with another one may go, and their rows alone are looked up.
-    gone = materialize(groups.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
-    kept = groups.filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    goes = gone.join(kept, (gone["__id"].eqNullSafe(kept["__id"])) & (gone["__digest"] == kept["__digest"]), "left_anti")
-    return docs.join(goes, F.col(doc_id).eqNullSafe(F.col("__id")) & (_digest(or_empty(F.col(text))) == F.col("__digest")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one document of each component; columns as given.
+
+    Rows whose text cannot be one to drop pass straight through; rows that repeat both id and text stay together.
+    """
+    out = _groups(docs, doc_id, text, threshold)
+    kept = out.filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    gone = out.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__digest"] == b["__digest"])
+    gone = materialize(gone.join(kept, same(gone, kept), "left_anti"))
+    bits = filter_bits(gone.count())
+    words = materialize(member_bits(gone, "__digest", bits))
+    name, flag = fresh(docs, "__own_digest", "__maybe")
+    flagged = maybe_repeated(docs.withColumn(name, _digest(or_empty(F.col(text)))), name, words, bits, flag)
+    stay = flagged.filter(F.col(flag)).join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col(name) == F.col("__digest")), "left_anti")
+    return flagged.filter(~F.col(flag)).unionByName(stay).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_minhash(spark, sf_dir):
