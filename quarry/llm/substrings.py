@@ -11,8 +11,8 @@ in full. Only anchors with different contexts are compared, with one copy of eac
    named, the string of names is sorted by recursion, and the remaining suffixes are merged in by (byte, next rank).
 3. Adjacent suffixes are compared: windows whose common prefix is at least ``length`` bytes repeat.
 
-An anchor with more than CROWD contexts is not sorted in one task: hashes of its windows are counted instead, and no
-group of these is uneven, for equal hashes are summed before the shuffle.
+An anchor with more than CROWD contexts is not sorted in one task: hashes of parts of its contexts, and of single
+windows where these do not decide, are counted instead; equal hashes are summed before the shuffle.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from quarry.llm.common import attach, materialize, or_empty, table
 LENGTH = 400
 GRAM = 32
 CROWD = 1000
+#: Places of an anchor in a window that one range of a crowded anchor holds.
+CELL = 47
 #: Bytes hashed or sorted at once.
 TEXT = 1 << 20
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -116,16 +118,16 @@ def suffix_ranks(s: np.ndarray) -> np.ndarray:
     order = np.argsort(near, kind="stable")
     zero, near = zero[order], near[order]
     far = (t[zero] << (bits + wide)) | (t[zero + 1] << wide) | rank[zero + 2]
-    real = cover < n
-    c = cover[real]
+    c = np.empty(len(cover), "int64")
+    c[ranks12 - 1] = cover  # the cover in order, without the place past the end
+    c = c[c < n]
     first = c % 3 == 1
     before = np.empty(len(c), "int64")
     before[first] = np.searchsorted(near, (t[c[first]] << wide) | rank[c[first] + 1])
     before[~first] = np.searchsorted(far, (t[c[~first]] << (bits + wide)) | (t[c[~first] + 1] << wide) | rank[c[~first] + 2])
-    in_cover = np.argsort(np.argsort(ranks12[real], kind="stable"), kind="stable")
     out = np.empty(n, "int64")
-    out[c] = in_cover + before + 1
-    out[zero] = np.arange(1, len(zero) + 1) + np.searchsorted(np.sort(before), np.arange(len(zero)), side="right")
+    out[c] = np.arange(1, len(c) + 1) + before
+    out[zero] = np.arange(1, len(zero) + 1) + np.cumsum(np.bincount(before, minlength=len(zero) + 1))[: len(zero)]
     return out
 
 
@@ -138,8 +140,8 @@ def repeated_windows(contexts: list[bytes], groups: np.ndarray, length: int) ->
     s = np.concatenate(symbols)
     sizes = np.array([len(c) for c in contexts])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    # Dense symbols keep the packed keys short.
-    order = np.argsort(suffix_ranks(s))
+    order = np.empty(len(s), "int64")
+    order[suffix_ranks(s) - 1] = np.arange(len(s))
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)
     left = np.repeat(starts + sizes, sizes + 1) - np.arange(len(s))
     # Only windows of whole length are compared, each with the next of these in order.
@@ -176,25 +178,30 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 t, a, first, last, h = anchors(raw, length)
                 # Equal contexts have equal bytes and their anchor at an equal place.
                 hashes = [xxhash.xxh3_64_intdigest(raw[i][f : e + length], int(k - f)) - (1 << 63) for i, k, f, e in zip(t.tolist(), a.tolist(), first.tolist(), last.tolist())]
-                yield pd.DataFrame({"row": part["row"].to_numpy()[t], "first": first, "last": last, "gram": h, "context": np.array(hashes, "int64")})
+                yield pd.DataFrame({"row": part["row"].to_numpy()[t], "first": first, "last": last, "at": a - first, "gram": h, "context": np.array(hashes, "int64")})
 
-    found = materialize(texts.mapInPandas(find, "row long, first long, last long, gram long, context long"))
+    found = materialize(texts.mapInPandas(find, "row long, first long, last long, at long, gram long, context long"))
     n = found.count()
-    classes = found.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "last")).alias("at"))
+    classes = found.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "last", "at")).alias("one"))
     kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("uses")).filter("uses > 1")
     classes = materialize(attach(classes, kinds, ["gram"], "kinds", n))
 
     # One copy of each context that occurs once, beside others of its anchor; what repeats in full is needed for these.
-    mixed = classes.filter("kinds > 1").select("gram", "context", "copies", "kinds", "at.row", "at.first", "at.last")
-    wanted = mixed.groupBy("row").agg(F.collect_list(F.struct("gram", "context", "copies", "kinds", "first", "last")).alias("wanted"))
+    mixed = classes.filter("kinds > 1").select("gram", "context", "copies", "kinds", "one.row", "one.first", "one.last", "one.at")
+    wanted = mixed.groupBy("row").agg(F.collect_list(F.struct("gram", "context", "copies", "kinds", "first", "last", "at")).alias("wanted"))
 
     def cut(frames):
         for pdf in frames:
+            out = []
             for t, items in zip(pdf["text"], pdf["wanted"]):
                 raw = t.encode()
-                yield pd.DataFrame([(w["gram"], w["context"], w["copies"], w["kinds"], raw[w["first"] : w["last"] + length]) for w in items], columns=["gram", "context", "copies", "kinds", "bytes"])
+                out += [(w["gram"], w["context"], w["copies"], w["kinds"], w["at"], raw[w["first"] : w["last"] + length]) for w in items]
+                if len(out) > 5000:
+                    yield pd.DataFrame(out, columns=["gram", "context", "copies", "kinds", "at", "bytes"])
+                    out = []
+            yield pd.DataFrame(out, columns=["gram", "context", "copies", "kinds", "at", "bytes"])
 
-    cuts = materialize(texts.join(wanted, "row").select("text", "wanted").mapInPandas(cut, "gram long, context long, copies long, kinds long, bytes binary"))
+    cuts = materialize(texts.join(wanted, "row").select("text", "wanted").mapInPandas(cut, "gram long, context long, copies long, kinds long, at long, bytes binary"))
 
     def sort(frames):
         rest = None
@@ -212,15 +219,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     few = cuts.filter(F.col("kinds") <= CROWD).select("gram", "context", "copies", "bytes")
     by_sort = few.repartition("gram").sortWithinPartitions("gram").mapInPandas(sort, "gram long, context long, start long, end long")
 
-    def windows(frames):
-        for pdf in frames:
-            for g, c, k, raw in zip(pdf["gram"], pdf["context"], pdf["copies"], pdf["bytes"]):
-                h = string_hashes(np.frombuffer(raw, "uint8"), length).view("int64")
-                yield pd.DataFrame({"gram": g, "context": c, "copies": k, "hash": h, "start": np.arange(len(h))})
-
-    many = materialize(cuts.filter(F.col("kinds") > CROWD).mapInPandas(windows, "gram long, context long, copies long, hash long, start long"))
-    often = many.groupBy("gram", "hash").agg(F.count("*").alias("n")).filter("n > 1")
-    by_hash = attach(many, often, ["gram", "hash"], "n", many.count()).select("gram", "context", "start", (F.col("start") + 1).alias("end"))
+    by_hash = _crowded(cuts.filter(F.col("kinds") > CROWD).select("gram", "context", "at", "bytes"), length)
 
     whole = classes.filter("copies > 1").select("gram", "context", "copies", F.lit(0).cast("long").alias("start"), F.lit(1 << 40).cast("long").alias("end"))
     ranges = by_sort.unionByName(by_hash).join(classes.filter("copies = 1").select("gram", "context", "copies"), ["gram", "context"]).select("gram", "context", "copies", "start", "end").unionByName(whole)
@@ -229,6 +228,45 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return placed.select("row", (F.col("first") + F.col("r.start")).alias("start"), (F.least(F.col("first") + F.col("r.end") - 1, "last") + length).alias("end"))
 
 
+def _crowded(cuts: DataFrame, length: int) -> DataFrame:
+    """(gram, context, start, end) of repeated windows of the contexts of crowded anchors, without sorting them.
+
+    The places of an anchor in its window are cut into ranges of CELL. Windows of one range share a core, the bytes
+    they all hold, so a context whose core is its own has no repeat in that range; contexts with all bytes of a
+    range's windows in common repeat there in full. Only what is left has its windows hashed one by one.
+    """
+
+    def split(frames):
+        for pdf in frames:
+            out = []
+            for g, c, at, raw in zip(pdf["gram"], pdf["context"], pdf["at"], pdf["bytes"]):
+                least = at - (len(raw) - length)
+                for r in range(max(0, least) // CELL, at // CELL + 1):
+                    low, high = max(least, r * CELL), min(at, r * CELL + CELL - 1)
+                    core = raw[at - r * CELL : at - (r * CELL + CELL - 1) + length]
+                    hull = raw[at - high : at - low + length]
+                    out.append((g, c, r, xxhash.xxh3_64_intdigest(core) - (1 << 63), xxhash.xxh3_64_intdigest(hull, high * 1024 + low) - (1 << 63), at - high, at - low + 1, hull))
+            yield pd.DataFrame(out, columns=["gram", "context", "cell", "core", "hull", "start", "end", "bytes"])
+
+    cells = materialize(cuts.mapInPandas(split, "gram long, context long, cell int, core long, hull long, start long, end long, bytes binary"))
+    n = cells.count()
+    hulls = cells.groupBy("gram", "cell", "core", "hull").agg(F.count("*").alias("m"))
+    cores = hulls.groupBy("gram", "cell", "core").agg(F.count("*").alias("hulls"), F.sum("m").alias("n")).filter("hulls > 1")
+    full = attach(cells.drop("bytes"), hulls.filter("m > 1"), ["gram", "cell", "core", "hull"], "m", n).select("gram", "context", "start", "end")
+    left = attach(cells, cores, ["gram", "cell", "core"], "n", n)
+
+    def windows(frames):
+        for pdf in frames:
+            for g, c, s, raw in zip(pdf["gram"], pdf["context"], pdf["start"], pdf["bytes"]):
+                h = string_hashes(np.frombuffer(raw, "uint8"), length).view("int64")
+                yield pd.DataFrame({"gram": g, "context": c, "hash": h, "start": np.arange(s, s + len(h))})
+
+    many = materialize(left.select("gram", "context", "start", "bytes").mapInPandas(windows, "gram long, context long, hash long, start long"))
+    often = many.groupBy("gram", "hash").agg(F.count("*").alias("n")).filter("n > 1")
+    singly = attach(many, often, ["gram", "hash"], "n", many.count()).select("gram", "context", "start", (F.col("start") + 1).alias("end"))
+    return full.unionByName(singly)
+
+
 def _sorted(pdf: pd.DataFrame, length: int):
     """Ranges of repeated windows in whole groups of contexts, some TEXT bytes at a time."""
     if not len(pdf):
