@@ -2,5 +2,391 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quarry.functions import text as t
+from quarry.operators import graph, index, snapshot
+from quarry.plans import adapters as A
+from quarry.sources import files as S
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(query):
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return query
+
+    return add
+
+
+#: The borders of BORDERS marked one kind after the other, for engines without look-around.
+_MARK = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(\p{Ll})(\p{Lu})', '\1_\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1_\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1_\2', 'g'), '(\p{L})(\p{Nd})', '\1_\2', 'g'), '(\p{Nd})(\p{L})', '\1_\2', 'g')"
+_PARTS = "list_filter(regexp_split_to_array(lower(" + _MARK + "), '_+'), lambda y: y <> '')"
+_SPLIT = "list_distinct(list_concat([lower({x})], list_filter(" + _PARTS + ", lambda y: length(y) >= 2)))"
+_TEXT = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{L}\p{Nd}_]+'), lambda y: length(y) >= 2)"
+
+
+def _sql(template: str, x: str) -> str:
+    return template.replace("{x}", x)
+
+
+#: Postings of the documents as symbols.
+_TOKENS = (
+    A.DOC_SYMBOLS
+    + ", segments AS (SELECT id, qualname, unnest(string_split(qualname, '.')) AS x FROM symbols), tokens AS ("
+    + f"SELECT id AS symbol_id, unnest({_sql(_SPLIT, 'name')}) AS token, 'name' AS field, 4.0::DOUBLE AS weight FROM symbols "
+    + f"UNION ALL SELECT * FROM (SELECT DISTINCT id, unnest({_sql(_SPLIT, 'x')}) AS token, 'qualname', 3.0::DOUBLE FROM segments) "
+    + f"UNION ALL SELECT id, unnest({_sql(_TEXT, 'snippet')}), 'snippet', 0.5::DOUBLE FROM symbols)"
+)
+_STATS = "lens AS (SELECT symbol_id, count(*) AS doc_len FROM tokens GROUP BY 1), stats AS (SELECT (SELECT count(*) FROM symbols) AS n, (SELECT avg(doc_len) FROM lens) AS avg_len)"
+
+
+def _search_sql(terms: list[str], where: str = "true", top: int = 10, expanded: bool = True) -> str:
+    listed = ", ".join(f"('{x}')" for x in terms)
+    more = "UNION SELECT token FROM (SELECT term, token, row_number() OVER (PARTITION BY term ORDER BY token) AS r FROM (SELECT DISTINCT token FROM tokens) JOIN given ON length(term) >= 3 AND starts_with(token, term)) WHERE r <= 64" if expanded else ""
+    return (
+        f"WITH {_TOKENS}, {_STATS}, given(term) AS (VALUES {listed}), wanted AS (SELECT term AS token FROM given {more}), "
+        "tf AS (SELECT symbol_id, token, greatest(floor(sum(weight) + 0.5::DOUBLE), 1) AS tf FROM tokens SEMI JOIN wanted USING (token) GROUP BY 1, 2), "
+        "df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), "
+        "scored AS (SELECT symbol_id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))), 6) AS score "
+        "FROM tf JOIN df USING (token) JOIN lens USING (symbol_id) CROSS JOIN stats GROUP BY 1) "
+        f"SELECT id, qualname, kind, scope, file, score FROM scored JOIN symbols ON id = symbol_id WHERE {where} ORDER BY score DESC, id LIMIT {top}"
+    )
+
+
+HIT = ["id", "qualname", "kind", "scope", "file", "score"]
+
+
+@register("search_bm25", _search_sql(["the", "erinan", "tion"]))
+def search_bm25(spark, sf):
+    return index.search(A.documents_as_symbols(spark, sf), "the erinan tion").select(*HIT)
+
+
+@register("search_filtered", _search_sql(["and", "ouhe"], "kind IN ('function', 'class') AND scope = 'global' AND file ILIKE 'src1%' ESCAPE '\\'", 20))
+def search_filtered(spark, sf):
+    where = F.col("kind").isin("function", "class") & (F.col("scope") == "global") & F.col("file").ilike(t.glob_to_like("src1*"))
+    return index.search(A.documents_as_symbols(spark, sf), "and ouhe", 20, where).select(*HIT)
+
+
+@register("bm25_candidates", _search_sql(["that", "this"], top=50, expanded=False))
+def bm25_candidates(spark, sf):
+    return index.search(A.documents_as_symbols(spark, sf), "that this", index.CANDIDATES, expanded=False).select(*HIT)
+
+
+@register("prefix_expand", f"WITH {_TOKENS}, given(term) AS (VALUES ('the'), ('an'), ('tion')) SELECT token FROM (SELECT term AS token FROM given UNION SELECT token FROM (SELECT term, token, row_number() OVER (PARTITION BY term ORDER BY token) AS r FROM (SELECT DISTINCT token FROM tokens) JOIN given ON length(term) >= 3 AND starts_with(token, term)) WHERE r <= 64)")
+def prefix_expand(spark, sf):
+    return index.expand(index.postings(A.documents_as_symbols(spark, sf)), ["the", "an", "tion"])
+
+
+@register("tokenize_symbols", f"WITH {_TOKENS} SELECT symbol_id, token, field, weight, count(*) AS times FROM tokens GROUP BY ALL")
+def tokenize_symbols(spark, sf):
+    return index.postings(A.documents_as_symbols(spark, sf)).groupBy("symbol_id", "token", "field", "weight").agg(F.count("*").alias("times"))
+
+
+@register("term_freq", f"WITH {_TOKENS} SELECT symbol_id, token, greatest(floor(sum(weight) + 0.5::DOUBLE), 1)::BIGINT AS tf FROM tokens GROUP BY 1, 2")
+def term_freq(spark, sf):
+    return index.term_freq(index.postings(A.documents_as_symbols(spark, sf)))
+
+
+@register("doc_freq", f"WITH {_TOKENS} SELECT token, count(DISTINCT symbol_id) AS df FROM tokens GROUP BY 1")
+def doc_freq(spark, sf):
+    return index.doc_freq(index.postings(A.documents_as_symbols(spark, sf)))
+
+
+@register("doc_len", f"WITH {_TOKENS} SELECT symbol_id, count(*) AS doc_len FROM tokens GROUP BY 1")
+def doc_len(spark, sf):
+    return index.doc_len(A.documents_as_symbols(spark, sf))
+
+
+@register("corpus_stats", f"WITH {_TOKENS}, {_STATS} SELECT n, round(avg_len, 6) AS avg_len FROM stats")
+def corpus_stats(spark, sf):
+    return index.corpus_stats(A.documents_as_symbols(spark, sf)).select("n", F.round("avg_len", 6).alias("avg_len"))
+
+
+@register("bm25_score", "SELECT p_partkey, round(ln((1000 - p_size + 0.5::DOUBLE) / (p_size + 0.5::DOUBLE) + 1) * (p_partkey % 7 + 1) * 2.5::DOUBLE / ((p_partkey % 7 + 1) + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p_retailprice / 900)), 6) AS score FROM part")
+def bm25_score(spark, sf):
+    return A.table(spark, sf, "part").select("p_partkey", F.round(index.score(F.col("p_partkey") % 7 + 1, F.col("p_size"), F.col("p_retailprice"), F.lit(1000), F.lit(900)), 6).alias("score"))
+
+
+def _ids(name: str, spark_expr, sql_expr: str):
+    register(name, f"WITH {A.IDENTIFIERS} SELECT x, {sql_expr} AS y FROM ids")(lambda spark, sf: A.identifiers(spark, sf).select("x", spark_expr().alias("y")))
+
+
+_ids("split_identifier", lambda: F.array_join(F.array_sort(t.split_identifier(F.col("x"))), " "), f"array_to_string(list_sort({_sql(_SPLIT, 'x')}), ' ')")
+_ids("split_camel", lambda: F.array_join(t.split_camel(F.col("x")), " "), f"array_to_string({_sql(_PARTS, 'x')}, ' ')")
+_ids("escape_like", lambda: t.escape_like(F.col("x")), r"regexp_replace(x, '([%_\\])', '\\\1', 'g')")
+_ids("is_identifier", lambda: t.is_identifier(F.col("x")), r"regexp_full_match(x, '[\p{L}_][\p{L}\p{Nd}_]*')")
+_ids("is_all_caps", lambda: t.is_all_caps(F.col("x")), r"regexp_full_match(x, '_?[\p{Lu}\p{Nd}_]+') AND regexp_matches(x, '\p{Lu}')")
+_ids("prefix_match", lambda: F.lower("x").startswith("s"), "starts_with(lower(x), 's')")
+_ids("last_path_segment", lambda: t.last_path_segment(F.regexp_replace("x", "[ #_]", "::")), "string_split(regexp_replace(x, '[ #_]', '::', 'g'), '::')[-1]")
+_ids("parse_target", lambda: F.concat_ws("|", F.regexp_extract(F.regexp_replace("x", "[#_]", ":"), "^(.+):([0-9]+)$", 1), F.regexp_extract(F.regexp_replace("x", "[#_]", ":"), "^(.+):([0-9]+)$", 2)), "regexp_extract(regexp_replace(x, '[#_]', ':', 'g'), '^(.+):([0-9]+)$', 1) || '|' || regexp_extract(regexp_replace(x, '[#_]', ':', 'g'), '^(.+):([0-9]+)$', 2)")
+_ids("glob_match", lambda: F.col("x").ilike(t.glob_to_like("*#0000*1")), "x ILIKE '%#0000%1' ESCAPE '\\'")
+
+
+def _docs(name: str, spark_expr, sql_expr: str):
+    register(name, f"SELECT doc_id, {sql_expr} AS y FROM documents")(lambda spark, sf: A.table(spark, sf, "documents").select("doc_id", spark_expr().alias("y")))
+
+
+_docs("split_text", lambda: F.array_join(t.split_text(F.col("text")), " "), f"array_to_string({_sql(_TEXT, 'text')}, ' ')")
+_docs("split_text_raw", lambda: F.size(t.split_text_raw(F.col("text"))).cast("long"), r"len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{Nd}_]+'), lambda y: y <> ''))")
+_docs("tokenize_query", lambda: F.array_join(F.array_sort(t.tokenize_query(t.first_lines(F.col("text"), 1))), " "), "coalesce(array_to_string(list_sort(list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(string_split(text, chr(10))[1], '[^\\p{L}\\p{Nd}_]+'), lambda y: y <> ''), lambda w: " + _sql(_SPLIT, "w") + ")))), ' '), '')")
+_docs("snippet10", lambda: t.snippet(F.col("text")), "CASE WHEN len(string_split(text, chr(10))) > 10 THEN array_to_string(string_split(text, chr(10))[1:10], chr(10)) || chr(10) || '…' ELSE text END")
+_docs("first_n_lines", lambda: t.first_lines(F.col("text"), 3), "array_to_string(string_split(text, chr(10))[1:3], chr(10))")
+_docs("line_count", lambda: t.line_count(F.col("text")).cast("long"), "greatest(length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END, 1)")
+_docs("read_body", lambda: F.array_join(F.slice(F.split("text", "\n"), 2, 4), "\n"), "array_to_string(string_split(text, chr(10))[2:5], chr(10))")
+_docs("content_sha1", lambda: F.sha1("text"), "sha1(text)")
+_docs("secret_content_filter", lambda: S.secret_text(F.col("text")), r"regexp_matches(text, 'AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*-----')")
+_docs("size_filter", lambda: F.octet_length("text") <= 20_000, "strlen(text) <= 20000")
+_docs("clean_docstring", lambda: t.clean_docstring(F.col("text")), r"""trim(regexp_replace(trim(text), '[ \t\r\n]+', ' ', 'g'))""")
+
+
+@register("clean_comment", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '(?m)^[\t\n\f\r ]*(//[/!]?|#+|/\*+|\*+/|\*)', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS y FROM pages")
+def clean_comment(spark, sf):
+    return A.urls(spark, sf).select("page_id", t.clean_comment(F.col("html")).alias("y"))
+
+
+def _paths(name: str, spark_expr, sql_expr: str):
+    """Over the paths of all pages, with an extension by page."""
+    sql_path = "regexp_replace(url, '^[a-z]+://', '') || '/' || ['.py', '.TS', '.tsx', '.java', '.cc', '.rs', '.go', '.txt', '/__init__.py', '/.env', '/id_rsa'][page_id % 11 + 1]"
+
+    def query(spark, sf):
+        ends = F.array(*[F.lit(x) for x in (".py", ".TS", ".tsx", ".java", ".cc", ".rs", ".go", ".txt", "/__init__.py", "/.env", "/id_rsa")])
+        path = F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), F.element_at(ends, (F.col("page_id") % 11 + 1).cast("int")))
+        return A.urls(spark, sf).select("page_id", path.alias("path")).select("page_id", spark_expr().alias("y"))
+
+    register(name, f"WITH p AS (SELECT page_id, {sql_path} AS path FROM pages) SELECT page_id, {sql_expr} AS y FROM p")(query)
+
+
+def _case(pairs: dict[str, str], key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + " ELSE '' END"
+
+
+_paths("detect_language", lambda: t.detect_language(F.col("path")), _case(t.LANGUAGES, r"regexp_extract(path, '\.[^./]+$')"))
+_paths("detect_lang_walker", lambda: t.walk_language(F.col("path")), _case(t.WALK_LANGUAGES, r"regexp_extract(lower(path), '\.[^./]+$')"))
+_paths("module_qualname", lambda: t.module_name(F.col("path")), r"regexp_replace(replace(regexp_replace(path, '\.[^./]+$', ''), '/', '.'), '\.__init__$', '')")
+_paths("secret_name_filter", lambda: S.secret_name(F.col("path")), r"regexp_matches(string_split(path, '/')[-1], '^(\.env(\..*)?|.*\.pem|.*\.key|id_rsa.*|id_ed25519.*)$')")
+_paths("exclude_dirs", lambda: S.in_excluded(F.col("path")), "list_has_any(list_transform(string_split(path, '/')[:-2], lambda x: lower(x)), [" + ", ".join(f"'{x}'" for x in S.EXCLUDED) + "])")
+_paths("ignore_rules", lambda: S.ignored(F.col("path"), ["# rules", "*.txt", "/site1*/", "!*.py"]), r"CASE WHEN regexp_matches(path, '^(?:.*/)?[^/]*\.py(?:/.*)?$') THEN false WHEN regexp_matches(path, '^site1[^/]*/.*$') THEN true WHEN regexp_matches(path, '^(?:.*/)?[^/]*\.txt(?:/.*)?$') THEN true ELSE false END")
+_paths("rel_path", lambda: F.regexp_replace("path", "^[^/]*/", ""), "regexp_replace(path, '^[^/]*/', '')")
+
+
+@register("file_filter_chain", f"WITH {A.FILES} SELECT path, sha1, language, size_bytes FROM files WHERE size_bytes <= 30000 AND NOT regexp_matches(text, 'AKIA[0-9A-Z]{{16}}|-----BEGIN [A-Z ]*-----') AND NOT starts_with(path, 'src3/')")
+def file_filter_chain(spark, sf):
+    f = A.documents_as_files(spark, sf)
+    return f.filter(~S.in_excluded(F.col("path")) & ~S.secret_name(F.col("path")) & (F.col("size_bytes") <= 30_000) & ~S.ignored(F.col("path"), ["/src3/"]) & ~S.secret_text(F.col("text"))).select("path", "sha1", "language", "size_bytes")
+
+
+@register("list_files", f"WITH {A.FILES} SELECT path, sha1, language, size_bytes FROM files")
+def list_files(spark, sf):
+    return A.documents_as_files(spark, sf).select("path", "sha1", "language", "size_bytes")
+
+
+SYMBOL = ["id", "name", "qualname", "kind", "scope", "file", "line_start", "line_end", "parent_qualname"]
+_SYMBOL = ", ".join(SYMBOL)
+
+
+def _symbols(name: str, build, sql: str):
+    register(name, f"WITH {A.PLACES} {sql}")(lambda spark, sf: build(A.places_as_symbols(spark, sf)))
+
+
+_symbols("all_symbols", lambda s: s, f"SELECT {_SYMBOL} FROM symbols")
+_symbols("filter_kind", lambda s: s.filter(F.col("kind").isin("class", "method")), f"SELECT {_SYMBOL} FROM symbols WHERE kind IN ('class', 'method')")
+_symbols("filter_scope", lambda s: s.filter(F.col("scope") == "global"), f"SELECT {_SYMBOL} FROM symbols WHERE scope = 'global'")
+_symbols("filter_file_glob", lambda s: s.filter(F.col("file").ilike(t.glob_to_like("a*/nation_1*"))), f"SELECT {_SYMBOL} FROM symbols WHERE file ILIKE 'a%/nation\\_1%' ESCAPE '\\'")
+_symbols("symbols_by_qualname", lambda s: s.filter(F.col("qualname").startswith("Brand#1")).groupBy("qualname").agg(F.count("*").alias("n"), F.min("id").alias("low")), "SELECT qualname, count(*) AS n, min(id) AS low FROM symbols WHERE starts_with(qualname, 'Brand#1') GROUP BY 1")
+_symbols("symbols_by_file", lambda s: s.groupBy("file").agg(F.count("*").alias("n"), F.min("line_start").alias("low"), F.max("line_end").alias("high")), "SELECT file, count(*) AS n, min(line_start) AS low, max(line_end) AS high FROM symbols GROUP BY 1")
+_symbols("first_symbol", lambda s: graph.first_symbol(s).select(*SYMBOL), f"SELECT {_SYMBOL} FROM (SELECT *, row_number() OVER (PARTITION BY qualname ORDER BY file, line_start, id) AS rn FROM symbols) WHERE rn = 1")
+_symbols("show_file_line", lambda s: graph.narrowest(s, "ASIA", 40), f"SELECT {_SYMBOL} FROM symbols WHERE file = 'ASIA' AND 40 BETWEEN line_start AND line_end ORDER BY line_end - line_start, line_start, id LIMIT 1")
+_symbols("invalid_enums", lambda s: s.groupBy("kind", "scope").agg(F.count("*").alias("n")).withColumn("valid", F.col("kind").isin("function", "method", "class", "variable", "import", "constant") & F.col("scope").isin("global", "class", "local", "param")), "SELECT kind, scope, count(*) AS n, kind IN ('function', 'method', 'class', 'variable', 'import', 'constant') AND scope IN ('global', 'class', 'local', 'param') AS valid FROM symbols GROUP BY 1, 2")
+
+
+@register("show_qualname", f"WITH {A.PLACES} SELECT {_SYMBOL} FROM symbols WHERE qualname = (SELECT min(qualname) FROM symbols WHERE kind = 'variable') ORDER BY file, line_start, id LIMIT 1")
+def show_qualname(spark, sf):
+    s = A.places_as_symbols(spark, sf)
+    wanted = s.filter("kind = 'variable'").agg(F.min("qualname").alias("qualname"))
+    return s.join(wanted, "qualname", "left_semi").orderBy("file", "line_start", "id").limit(1).select(*SYMBOL)
+
+
+@register("hydrate_ordered", f"WITH {A.PLACES}, ids AS (SELECT o_orderkey AS pos, o_custkey + 2000000000 AS id FROM orders) SELECT pos, {_SYMBOL} FROM ids JOIN symbols USING (id)")
+def hydrate_ordered(spark, sf):
+    ids = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") + 2_000_000_000).alias("id"))
+    return graph.hydrate(A.places_as_symbols(spark, sf), ids).select("pos", *SYMBOL)
+
+
+def _edges(name: str, build, sql: str):
+    def query(spark, sf):
+        symbols = A.places_as_symbols(spark, sf)
+        return build(symbols, graph.resolve(A.trade_as_edges(spark, sf), symbols))
+
+    register(name, f"WITH {A.PLACES}, {A.TRADE}, {A.RESOLVED} {sql}")(query)
+
+
+_edges("resolve_edges", lambda s, e: e.groupBy("from_qualname", "to_qualname", "kind", "resolved").agg(F.count("*").alias("n")), "SELECT from_qualname, to_qualname, kind, resolved, count(*) AS n FROM resolved GROUP BY ALL")
+_edges("all_edges", lambda s, e: e.groupBy("kind", "resolved").agg(F.count("*").alias("n")), "SELECT kind, resolved, count(*) AS n FROM resolved GROUP BY ALL")
+_edges("graph_nodes", graph.graph_nodes, "SELECT f.qualname AS id, f.name AS label, f.kind AS node_group, p.title, p.locations, coalesce(o.n, 0) AS outgoing FROM first f JOIN (SELECT qualname, string_agg(file || ':' || line_start || '-' || line_end, chr(10) ORDER BY file, line_start, line_end) AS title, count(*) AS locations FROM symbols GROUP BY 1) p USING (qualname) LEFT JOIN (SELECT from_qualname, count(*) AS n FROM resolved GROUP BY 1) o ON o.from_qualname = f.qualname")
+_edges("graph_edges", lambda s, e: graph.graph_edges(s, e), "SELECT from_qualname, to_qualname, kind AS label, NOT resolved AS dashes FROM resolved WHERE from_qualname IN (SELECT qualname FROM known)")
+_edges("graph_externals", graph.graph_externals, "SELECT DISTINCT to_qualname AS id, string_split(to_qualname, '.')[-1] AS label FROM resolved WHERE from_qualname IN (SELECT qualname FROM known) AND to_qualname NOT IN (SELECT qualname FROM known)")
+_edges("graph_counts", lambda s, e: s.select("qualname").union(graph.graph_externals(s, e).select("id")).agg(F.countDistinct("qualname").alias("nodes")).crossJoin(graph.graph_edges(s, e).agg(F.count("*").alias("edges"))), "SELECT (SELECT count(*) FROM known) + (SELECT count(DISTINCT to_qualname) FROM resolved WHERE to_qualname NOT IN (SELECT qualname FROM known)) AS nodes, (SELECT count(*) FROM resolved) AS edges")
+_edges("graph_filtered", lambda s, e: graph.graph_edges(s.filter("kind = 'class'"), e), "SELECT from_qualname, to_qualname, kind AS label, NOT resolved AS dashes FROM resolved WHERE from_qualname IN (SELECT qualname FROM symbols WHERE kind = 'class')")
+_edges("neighbors", lambda s, e: graph.neighbours(e), "SELECT id, count(*) AS neighbours FROM (SELECT from_qualname AS id, to_qualname AS other FROM resolved UNION SELECT to_qualname, from_qualname FROM resolved UNION SELECT from_qualname, from_qualname FROM resolved UNION SELECT to_qualname, to_qualname FROM resolved) GROUP BY 1")
+_VIEW = "r.from_qualname, r.to_qualname, r.kind, resolved, a.file AS from_file, a.line_start AS from_line, b.file AS to_file, b.line_start AS to_line FROM resolved r LEFT JOIN first a ON a.qualname = r.from_qualname LEFT JOIN first b ON b.qualname = r.to_qualname"
+_edges("refs", lambda s, e: graph.neighbours_of(e, s, "ASIA.NATION_8", True), f"SELECT {_VIEW} WHERE r.to_qualname = 'ASIA.NATION_8'")
+_edges("calls", lambda s, e: graph.neighbours_of(e, s, "ASIA.NATION_8", False), f"SELECT {_VIEW} WHERE r.from_qualname = 'ASIA.NATION_8'")
+_edges("edge_view_json", lambda s, e: e.filter("kind <> 'reference'").select(F.to_json(F.struct(F.col("from_qualname").alias("from"), F.col("to_qualname").alias("to"), "kind", "resolved")).alias("view")), "SELECT CAST(to_json({'from': from_qualname, 'to': to_qualname, 'kind': kind, 'resolved': resolved}) AS VARCHAR) AS view FROM resolved WHERE kind <> 'reference'")
+_edges("viz_search", lambda s, e: graph.ranked_text_search(graph.graph_nodes(s, e), "nation_1"), "SELECT id, label, CASE WHEN starts_with(lower(label), 'nation_1') THEN 1 WHEN contains(lower(label), 'nation_1') THEN 2 ELSE 3 END AS rank FROM (SELECT qualname AS id, name AS label FROM first) WHERE contains(lower(label), 'nation_1') OR contains(lower(id), 'nation_1') ORDER BY rank, length(label), id LIMIT 50")
+
+
+@register("resolve_exact", f"WITH {A.PLACES}, {A.TRADE} SELECT kind, to_qualname IN (SELECT qualname FROM symbols) AS resolved, count(*) AS n FROM edges GROUP BY ALL")
+def resolve_exact(spark, sf):
+    return graph.resolve_exact(A.trade_as_edges(spark, sf), A.places_as_symbols(spark, sf)).groupBy("kind", "resolved").agg(F.count("*").alias("n"))
+
+
+@register("resolve_short_range", f"WITH {A.PLACES}, {A.TRADE}, {A.RESOLVED} SELECT t.from_qualname, t.to_qualname, candidate FROM tried t JOIN known ON qualname = candidate")
+def resolve_short_range(spark, sf):
+    s = A.places_as_symbols(spark, sf)
+    tried = graph.resolve_exact(A.trade_as_edges(spark, sf), s).filter("not resolved").withColumn("candidate", graph.short_target(F.col("from_qualname"), F.col("to_qualname")))
+    return tried.join(s.select(F.col("qualname").alias("candidate")).distinct(), "candidate", "left_semi").select("from_qualname", "to_qualname", "candidate")
+
+
+#: Two snapshots of the files: documents not divisible by 7, and those not divisible by 5, of which every third is edited.
+_SNAPS = f"{A.FILES}, prev AS (SELECT id, path, sha1 FROM files WHERE id % 7 <> 0), cur AS (SELECT id, path, CASE WHEN id % 3 = 0 THEN sha1(sha1) ELSE sha1 END AS sha1 FROM files WHERE id % 5 <> 0), states AS (SELECT coalesce(prev.path, cur.path) AS path, prev.sha1 AS old, cur.sha1 AS new FROM prev FULL JOIN cur USING (path))"
+
+
+def _snaps(spark, sf):
+    f = A.documents_as_files(spark, sf).select("id", "path", "sha1")
+    return f.filter("id % 7 <> 0"), f.filter("id % 5 <> 0").withColumn("sha1", F.when(F.col("id") % 3 == 0, F.sha1("sha1")).otherwise(F.col("sha1")))
+
+
+def _diffs(name: str, build, sql: str):
+    register(name, f"WITH {_SNAPS} {sql}")(lambda spark, sf: build(*_snaps(spark, sf)))
+
+
+_diffs("diff_snapshots", snapshot.diff, "SELECT path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS status FROM states WHERE old IS DISTINCT FROM new")
+_diffs("changed_files", lambda p, c: c.select("path", "sha1").exceptAll(p.select("path", "sha1")), "SELECT path, new AS sha1 FROM states WHERE new IS NOT NULL AND old IS DISTINCT FROM new")
+_diffs("removed_files", lambda p, c: p.join(c, "path", "left_anti").select("path"), "SELECT path FROM states WHERE new IS NULL")
+_diffs("upsert_files", lambda p, c: snapshot.upsert(p, c, "path").select("path", "sha1"), "SELECT path, coalesce(new, old) AS sha1 FROM states")
+_diffs("index_summary", snapshot.summary, "SELECT count(*) FILTER (new IS NOT NULL AND old IS DISTINCT FROM new) AS parsed, count(*) FILTER (old = new) AS skipped, count(*) FILTER (new IS NULL) AS removed FROM states")
+_diffs("index_status", lambda p, c: c.agg(F.count("*").alias("file_count"), F.countDistinct("sha1").alias("contents")), "SELECT count(*) AS file_count, count(DISTINCT sha1) AS contents FROM cur")
+
+
+def _as_parsed(files):
+    return files.select(F.col("path").alias("file"), F.concat("path", F.lit("#"), "sha1").alias("qualname"))
+
+
+@register("incremental_index", f"WITH {_SNAPS} SELECT path AS file, path || '#' || new AS qualname FROM states WHERE new IS NOT NULL")
+def incremental_index(spark, sf):
+    p, c = _snaps(spark, sf)
+    return snapshot.incremental(_as_parsed(p), p, c, _as_parsed)
+
+
+@register("parse_error_isolation", f"WITH {_SNAPS} SELECT path AS file, path || '#' || CASE WHEN starts_with(path, 'src1/') THEN old ELSE new END AS qualname FROM states WHERE CASE WHEN starts_with(path, 'src1/') THEN old ELSE new END IS NOT NULL")
+def parse_error_isolation(spark, sf):
+    p, c = _snaps(spark, sf)
+    failed = p.select("path").union(c.select("path")).filter(F.col("path").startswith("src1/")).distinct()
+    return snapshot.incremental(_as_parsed(p), p, c, _as_parsed, failed)
+
+
+@register("reindex", f"WITH {_SNAPS} SELECT path AS file, path || '#' || sha1 AS qualname FROM cur")
+def reindex(spark, sf):
+    return _as_parsed(_snaps(spark, sf)[1])
+
+
+@register("delete_cascade", f"WITH {A.PLACES} SELECT {_SYMBOL} FROM symbols WHERE file NOT IN (SELECT r_name FROM region)")
+def delete_cascade(spark, sf):
+    return snapshot.delete_files(A.places_as_symbols(spark, sf), A.table(spark, sf, "region").select(F.col("r_name").alias("path")))
+
+
+@register("fallback_symbols", f"WITH {A.FILES} SELECT path, string_split(path, '/')[-1] AS name, greatest(length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END, 1) AS line_end, array_to_string(string_split(text, chr(10))[1:10], chr(10)) AS snippet FROM files")
+def fallback_symbols(spark, sf):
+    return A.documents_as_files(spark, sf).select("path", S.base_name(F.col("path")).alias("name"), t.line_count(F.col("text")).cast("long").alias("line_end"), t.first_lines(F.col("text")).alias("snippet"))
+
+
+@register("cosine", "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q")
+def cosine(spark, sf):
+    e = A.table(spark, sf, "embeddings")
+    one = e.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(index.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+
+
+@register("rerank_cosine", "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, label, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q WHERE label = 3) SELECT id, label, score FROM s ORDER BY score DESC, id LIMIT 10")
+def rerank_cosine(spark, sf):
+    e = A.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    query = e.filter("id = 0").select("embedding").first()[0]
+    return index.rerank(e.filter("label = 3"), "embedding", query, 10).select("id", "label", "score")
+
+
+@register("hits_json", _search_sql(["with", "from"], top=10).replace("SELECT id, qualname, kind, scope, file, score FROM scored", "SELECT CAST(to_json({'file': file, 'qualname': qualname, 'kind': kind, 'scope': scope}) AS VARCHAR) AS hit FROM scored"))
+def hits_json(spark, sf):
+    hits = index.search(A.documents_as_symbols(spark, sf), "with from", 10)
+    return hits.select(F.to_json(F.struct("file", "qualname", "kind", "scope")).alias("hit"))
+
+
+@register("meta_unpivot", "SELECT source, key, value FROM (SELECT source, count(*)::VARCHAR AS file_count, max(doc_id)::VARCHAR AS last_id FROM documents GROUP BY 1) UNPIVOT (value FOR key IN (file_count, last_id))")
+def meta_unpivot(spark, sf):
+    wide = A.table(spark, sf, "documents").groupBy("source").agg(F.count("*").cast("string").alias("file_count"), F.max("doc_id").cast("string").alias("last_id"))
+    return wide.unpivot("source", ["file_count", "last_id"], "key", "value")
+
+
+@register("meta_pivot", "SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY 1")
+def meta_pivot(spark, sf):
+    return A.table(spark, sf, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@register("fmt_ts", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def fmt_ts(spark, sf):
+    return A.table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
+
+
+@register("staleness", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'index predates versions' WHEN 2 THEN '' ELSE 'index version ' || (event_id % 4) || ', expected 2' END AS note FROM events")
+def staleness(spark, sf):
+    v = F.col("event_id") % 4
+    note = F.when(v == 0, "index predates versions").when(v == 2, "").otherwise(F.concat(F.lit("index version "), v.cast("string"), F.lit(", expected 2")))
+    return A.table(spark, sf, "events").select("event_id", note.alias("note"))
+
+
+@register("read_hint", f"WITH {A.PLACES} SELECT id, 'read ' || file || ' offset ' || line_start || ' limit ' || greatest(line_end - line_start + 1, 1) AS hint FROM symbols")
+def read_hint(spark, sf):
+    return A.places_as_symbols(spark, sf).select("id", F.format_string("read %s offset %d limit %d", "file", "line_start", F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1))).alias("hint"))
+
+
+#: A registry of repositories: each source with its languages as folders.
+_REGISTRY = "registry AS (SELECT source AS name, '/repos/' || source AS path, count(*) AS file_count FROM documents GROUP BY 1)"
+
+
+def _registry(spark, sf):
+    return A.table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("file_count")).select("name", F.concat(F.lit("/repos/"), "name").alias("path"), "file_count")
+
+
+@register("registry_list", f"WITH {_REGISTRY} SELECT name, path, file_count FROM registry ORDER BY name")
+def registry_list(spark, sf):
+    return _registry(spark, sf).orderBy("name")
+
+
+@register("registry_upsert", f"WITH {_REGISTRY}, new AS (SELECT r_name AS name, '/repos/' || r_name AS path, 0::BIGINT AS file_count FROM region UNION ALL SELECT name, path || '/moved', file_count FROM registry WHERE name < 'src15') SELECT * FROM new UNION ALL SELECT * FROM registry WHERE name NOT IN (SELECT name FROM new)")
+def registry_upsert(spark, sf):
+    old = _registry(spark, sf)
+    new = A.table(spark, sf, "region").select(F.col("r_name").alias("name"), F.concat(F.lit("/repos/"), "r_name").alias("path"), F.lit(0).cast("long").alias("file_count"))
+    return snapshot.upsert(old, new.unionByName(old.filter("name < 'src15'").withColumn("path", F.concat("path", F.lit("/moved")))), "name")
+
+
+@register("registry_remove", f"WITH {_REGISTRY} SELECT * FROM registry WHERE name <> 'src0'")
+def registry_remove(spark, sf):
+    return _registry(spark, sf).filter("name <> 'src0'")
+
+
+@register("resolve_cwd", f"WITH {_REGISTRY}, {A.FILES} SELECT '/repos/' || f.path AS cwd, r.name FROM files f JOIN registry r ON starts_with('/repos/' || f.path, r.path || '/')")
+def resolve_cwd(spark, sf):
+    """The repository of each file; the registry is small, one row per source."""
+    cwd = A.documents_as_files(spark, sf).select(F.concat(F.lit("/repos/"), "path").alias("cwd"))
+    known = _registry(spark, sf).select("name", F.col("path").alias("root"))
+    ancestors = cwd.withColumn("part", F.split("cwd", "/")).select("cwd", F.explode(F.transform(F.sequence(F.lit(2), F.size("part")), lambda k: F.array_join(F.slice("part", 1, k), "/"))).alias("root"))
+    return ancestors.join(known, "root").select("cwd", "name")
+
+
+@register("resolve_walk_up", f"WITH {_REGISTRY}, {A.FILES} SELECT '/repos/' || f.path AS cwd, max(length(r.path)) AS depth FROM files f JOIN registry r ON starts_with('/repos/' || f.path, r.path || '/') GROUP BY 1")
+def resolve_walk_up(spark, sf):
+    return resolve_cwd(spark, sf).select("cwd", F.length(F.concat(F.lit("/repos/"), "name")).cast("long").alias("depth")).groupBy("cwd").agg(F.max("depth").alias("depth"))
