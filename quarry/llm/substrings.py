@@ -29,8 +29,8 @@ from quarry.llm.common import attach, materialize, or_empty, table
 LENGTH = 400
 GRAM = 32
 CROWD = 1000
-#: Places of an anchor in a window that one range of a crowded anchor holds.
-CELL = 47
+#: Places of an anchor in a window that one range of a crowded anchor holds, down to single windows.
+RANGES = (47, 8, 1)
 #: Bytes hashed or sorted at once.
 TEXT = 1 << 20
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -231,40 +231,37 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 def _crowded(cuts: DataFrame, length: int) -> DataFrame:
     """(gram, context, start, end) of repeated windows of the contexts of crowded anchors, without sorting them.
 
-    The places of an anchor in its window are cut into ranges of CELL. Windows of one range share a core, the bytes
-    they all hold, so a context whose core is its own has no repeat in that range; contexts with all bytes of a
-    range's windows in common repeat there in full. Only what is left has its windows hashed one by one.
+    The places of an anchor in its window are cut into ranges. Windows of one range share a core, the bytes they all
+    hold, so a context whose core is its own has no repeat in that range; contexts with all bytes of a range's windows
+    in common repeat there in full. What neither decides is cut into smaller ranges, down to single windows. Of
+    contexts that agree in a range one goes on for all.
     """
-
-    def split(frames):
-        for pdf in frames:
-            out = []
-            for g, c, at, raw in zip(pdf["gram"], pdf["context"], pdf["at"], pdf["bytes"]):
-                least = at - (len(raw) - length)
-                for r in range(max(0, least) // CELL, at // CELL + 1):
-                    low, high = max(least, r * CELL), min(at, r * CELL + CELL - 1)
-                    core = raw[at - r * CELL : at - (r * CELL + CELL - 1) + length]
-                    hull = raw[at - high : at - low + length]
-                    out.append((g, c, r, xxhash.xxh3_64_intdigest(core) - (1 << 63), xxhash.xxh3_64_intdigest(hull, high * 1024 + low) - (1 << 63), at - high, at - low + 1, hull))
-            yield pd.DataFrame(out, columns=["gram", "context", "cell", "core", "hull", "start", "end", "bytes"])
-
-    cells = materialize(cuts.mapInPandas(split, "gram long, context long, cell int, core long, hull long, start long, end long, bytes binary"))
-    n = cells.count()
-    hulls = cells.groupBy("gram", "cell", "core", "hull").agg(F.count("*").alias("m"))
-    cores = hulls.groupBy("gram", "cell", "core").agg(F.count("*").alias("hulls"), F.sum("m").alias("n")).filter("hulls > 1")
-    full = attach(cells.drop("bytes"), hulls.filter("m > 1"), ["gram", "cell", "core", "hull"], "m", n).select("gram", "context", "start", "end")
-    left = attach(cells, cores, ["gram", "cell", "core"], "n", n)
-
-    def windows(frames):
-        for pdf in frames:
-            for g, c, s, raw in zip(pdf["gram"], pdf["context"], pdf["start"], pdf["bytes"]):
-                h = string_hashes(np.frombuffer(raw, "uint8"), length).view("int64")
-                yield pd.DataFrame({"gram": g, "context": c, "hash": h, "start": np.arange(s, s + len(h))})
-
-    many = materialize(left.select("gram", "context", "start", "bytes").mapInPandas(windows, "gram long, context long, hash long, start long"))
-    often = many.groupBy("gram", "hash").agg(F.count("*").alias("n")).filter("n > 1")
-    singly = attach(many, often, ["gram", "hash"], "n", many.count()).select("gram", "context", "start", (F.col("start") + 1).alias("end"))
-    return full.unionByName(singly)
+    found, left = None, cuts.select("gram", "context", "at", F.lit(0).alias("low"), F.lit(length).alias("high"), "bytes")
+    for size in RANGES:
+
+        def split(frames, size=size):
+            for pdf in frames:
+                out = []
+                for g, c, at, least, most, raw in zip(pdf["gram"], pdf["context"], pdf["at"], pdf["low"], pdf["high"], pdf["bytes"]):
+                    least, most = max(least, at - (len(raw) - length)), min(most, at)
+                    for r in range(least // size, most // size + 1):
+                        low, high = max(least, r * size), min(most, r * size + size - 1)
+                        core = raw[at - r * size : at - (r * size + size - 1) + length]
+                        hull = raw[at - high : at - low + length]
+                        out.append((g, c, at, low, high, r, xxhash.xxh3_64_intdigest(core) - (1 << 63), xxhash.xxh3_64_intdigest(hull, high * 1024 + low) - (1 << 63), raw))
+                yield pd.DataFrame(out, columns=["gram", "context", "at", "low", "high", "cell", "core", "hull", "bytes"])
+
+        key = ["gram", "cell", "core", "hull"]
+        cells = materialize(left.mapInPandas(split, "gram long, context long, at long, low int, high int, cell int, core long, hull long, bytes binary"))
+        n = cells.count()
+        hulls = cells.groupBy(*key).agg(F.count("*").alias("m"), F.min("context").alias("one"))
+        full = attach(cells.drop("bytes"), hulls.filter("m > 1"), key, "m", n)
+        full = full.select("gram", "context", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + 1).alias("end"))
+        found = full if found is None else found.unionByName(full)
+        cores = hulls.groupBy("gram", "cell", "core").agg(F.count("*").alias("hulls")).filter("hulls > 1")
+        ones = hulls.select(*key, F.col("one").alias("context")).join(cores.select("gram", "cell", "core"), ["gram", "cell", "core"])
+        left = cells.join(ones, [*key, "context"], "left_semi").select("gram", "context", "at", "low", "high", "bytes")
+    return found
 
 
 def _sorted(pdf: pd.DataFrame, length: int):
