@@ -69,6 +69,16 @@ def glob_to_like(glob: str) -> str:
     return out
 
 
+def like_pattern(glob: Column) -> Column:
+    """The same for a column of globs."""
+    return F.translate(F.regexp_replace(escape_like(glob), r"\*+", "%"), "?", "_")
+
+
+def comma_list(text: Column) -> Column:
+    """Trimmed parts of a comma-separated list, without blanks."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def escape_like(text: Column) -> Column:
     return F.regexp_replace(text, r"([%_\\])", r"\\$1")
 

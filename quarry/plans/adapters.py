@@ -12,7 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, path, sha1, language, size_bytes, text)"""
-    d = table(spark, sf_dir, "documents")
+    return files_of(table(spark, sf_dir, "documents"))
+
+
+def files_of(d: DataFrame) -> DataFrame:
     path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return d.select(F.col("doc_id").alias("id"), path.alias("path"), F.sha1("text").alias("sha1"), F.col("lang").alias("language"), F.octet_length("text").cast("long").alias("size_bytes"), "text")
 
@@ -118,3 +121,38 @@ IDENTIFIERS = """ids AS (SELECT n_name AS x FROM nation UNION SELECT c_name FROM
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+
+
+#: Lines of a Python file about a customer; {k} is its key.
+SOURCE = """import os
+from shop.base import Account as Base, fee
+
+LIMIT = 10
+class Customer{k}(Base):
+    \'\'\'Holds {k}.\'\'\'
+    rate = 1
+    def pay(self, amount: int, *rest, when=None):
+        total, left = fee(amount), 0
+        return os.sum(total)
+def open{k}(x):
+    return check(x)
+"""
+
+
+def customers_as_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): a Python file for each customer, every tenth with a syntax error."""
+    k = F.col("c_custkey").cast("string")
+    text = F.replace(F.lit(SOURCE), F.lit("{k}"), k)
+    path = F.concat(F.lit("shop/n"), F.col("c_nationkey").cast("string"), F.lit("/c"), k, F.lit(".py"))
+    return table(spark, sf_dir, "customer").select(path.alias("path"), F.concat(text, F.when(F.col("c_custkey") % 10 == 0, "def (").otherwise("")).alias("text"))
+
+
+SOURCES = "src AS (SELECT c_custkey AS k, 'shop/n' || c_nationkey || '/c' || c_custkey || '.py' AS file, 'shop.n' || c_nationkey || '.c' || c_custkey AS m FROM customer)"
+#: (name, within the module or below, kind, scope, first and last line, parent) of each symbol, as SQL.
+SOURCE_SYMBOLS = """(VALUES ('os', '', 'import', 'global', 1, 1), ('Base', '', 'import', 'global', 2, 2), ('fee', '', 'import', 'global', 2, 2), ('LIMIT', '', 'constant', 'global', 4, 4),
+  ('Customer#', '', 'class', 'global', 5, 10), ('rate', '.Customer#', 'variable', 'class', 7, 7), ('pay', '.Customer#', 'method', 'class', 8, 10),
+  ('self', '.Customer#.pay', 'variable', 'param', 8, 8), ('amount', '.Customer#.pay', 'variable', 'param', 8, 8), ('rest', '.Customer#.pay', 'variable', 'param', 8, 8), ('when', '.Customer#.pay', 'variable', 'param', 8, 8),
+  ('total', '.Customer#.pay', 'variable', 'local', 9, 9), ('left', '.Customer#.pay', 'variable', 'local', 9, 9),
+  ('open#', '', 'function', 'global', 11, 12), ('x', '.open#', 'variable', 'param', 11, 11)) v(name, parent, kind, scope, line_start, line_end)"""
+SOURCE_EDGES = """(VALUES ('', 'os', 'import'), ('', 'shop.base.Account', 'import'), ('', 'shop.base.fee', 'import'), ('.Customer#', 'Base', 'inherit'),
+  ('.Customer#.pay', 'fee', 'call'), ('.Customer#.pay', 'fee', 'reference'), ('.Customer#.pay', 'os.sum', 'call'), ('.Customer#.pay', 'os', 'reference'), ('.open#', 'check', 'call')) v(source, target, kind)"""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions import text as t
-from quarry.operators import graph, index, snapshot
+from quarry.operators import graph, index, report, snapshot
 from quarry.plans import adapters as A
 from quarry.sources import files as S
+from quarry.sources import parsers as P
+from quarry.streaming import reindex as R
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -390,3 +394,61 @@ def resolve_cwd(spark, sf):
 @register("resolve_walk_up", f"WITH {_REGISTRY}, {A.FILES} SELECT '/repos/' || f.path AS cwd, max(length(r.path)) AS depth FROM files f JOIN registry r ON starts_with('/repos/' || f.path, r.path || '/') GROUP BY 1")
 def resolve_walk_up(spark, sf):
     return resolve_cwd(spark, sf).select("cwd", F.length(F.concat(F.lit("/repos/"), "name")).cast("long").alias("depth")).groupBy("cwd").agg(F.max("depth").alias("depth"))
+
+
+@register("parse_python", f"WITH {A.SOURCES} SELECT file, name, m || replace(parent, '#', k::VARCHAR) || '.' || replace(name, '#', k::VARCHAR) AS qualname, kind, scope, line_start, line_end FROM src CROSS JOIN {A.SOURCE_SYMBOLS} WHERE k % 10 <> 0".replace("file, name,", "file, replace(name, '#', k::VARCHAR) AS name,"))
+def parse_python(spark, sf):
+    parsed = P.parse(A.customers_as_sources(spark, sf))
+    return P.symbols_of(parsed).select("file", "name", "qualname", "kind", "scope", "line_start", "line_end")
+
+
+@register("parse_python_edges", f"WITH {A.SOURCES} SELECT file, m || replace(source, '#', k::VARCHAR) AS from_qualname, target AS to_qualname, kind FROM src CROSS JOIN {A.SOURCE_EDGES} WHERE k % 10 <> 0")
+def parse_python_edges(spark, sf):
+    return P.edges_of(P.parse(A.customers_as_sources(spark, sf)))
+
+
+@register("parse_errors", f"WITH {A.SOURCES} SELECT file FROM src WHERE k % 10 = 0")
+def parse_errors(spark, sf):
+    return P.parse(A.customers_as_sources(spark, sf)).filter("error is not null").select("file")
+
+
+_edges("report_nodes", lambda s, e: report.top_nodes(s, e, 200), "SELECT * FROM (SELECT f.qualname AS id, f.name AS label, f.kind AS node_group, p.title, coalesce(o.n, 0) AS outgoing FROM first f JOIN (SELECT qualname, string_agg(file || ':' || line_start || '-' || line_end, chr(10) ORDER BY file, line_start, line_end) AS title FROM symbols GROUP BY 1) p USING (qualname) LEFT JOIN (SELECT from_qualname, count(*) AS n FROM resolved GROUP BY 1) o ON o.from_qualname = f.qualname UNION ALL SELECT DISTINCT to_qualname, string_split(to_qualname, '.')[-1], 'external', '', 0 FROM resolved WHERE to_qualname NOT IN (SELECT qualname FROM known)) ORDER BY outgoing DESC, id LIMIT 200")
+
+
+@register("stream_reindex", f"WITH {A.FILES} SELECT path, sha1, language, size_bytes FROM files")
+def stream_reindex(spark, sf):
+    """All documents through the stream, then the current files."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
+    source = f"{sf}/documents.parquet"
+    # A stream reads folders or patterns only, and the table may be one file.
+    R.run(A.files_of(spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")), f"{folder}/files", f"{folder}/state")
+    return R.current(spark, f"{folder}/files").select("path", "sha1", "language", "size_bytes")
+
+
+@register("search_topn", _search_sql(["for", "not"], top=25))
+def search_topn(spark, sf):
+    return index.search(A.documents_as_symbols(spark, sf), "for not", 25).select(*HIT)
+
+
+#: Comma-separated lists made of part columns, with blanks.
+@register("parse_kinds", "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_type || ' , ,' || p_brand, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS kinds FROM part")
+def parse_kinds(spark, sf):
+    raw = F.concat("p_type", F.lit(" , ,"), "p_brand")
+    return A.table(spark, sf, "part").select("p_partkey", F.array_join(t.comma_list(raw), "|").alias("kinds"))
+
+
+@register("glob_to_like", r"WITH g AS (SELECT p_partkey, replace(p_type, ' ', '_') || '/**/' || p_brand || '?*' AS x FROM part) SELECT p_partkey, replace(regexp_replace(regexp_replace(x, '([%_\\])', '\\\1', 'g'), '\*+', '%', 'g'), '?', '_') AS pattern FROM g")
+def glob_to_like(spark, sf):
+    glob = F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("/**/"), "p_brand", F.lit("?*"))
+    return A.table(spark, sf, "part").select("p_partkey", t.like_pattern(glob).alias("pattern"))
+
+
+@register("resolve_repo", f"WITH {_REGISTRY} SELECT doc_id, coalesce(a.name, b.name, 'src0') AS name FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS flag, CASE WHEN doc_id % 3 = 1 THEN '/repos/' || source || '/' || lang ELSE '/tmp' END AS cwd FROM documents) d LEFT JOIN registry a ON a.name = d.flag LEFT JOIN registry b ON starts_with(d.cwd, b.path || '/') OR d.cwd = b.path")
+def resolve_repo(spark, sf):
+    """The repository of each request: by its flag, else around its folder, else the default."""
+    d = A.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("flag"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/repos/"), "source", F.lit("/"), "lang")).otherwise("/tmp").alias("cwd"))
+    known = _registry(spark, sf)
+    by_name = known.select(F.col("name").alias("flag"), F.col("name").alias("flagged"))
+    by_root = known.select(F.col("path").alias("root"), F.col("name").alias("around"))
+    found = d.join(by_name, "flag", "left").withColumn("root", F.regexp_extract("cwd", "^(/repos/[^/]+)", 1)).join(by_root, "root", "left")
+    return found.select("doc_id", F.coalesce("flagged", "around", F.lit("src0")).alias("name"))

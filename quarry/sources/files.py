@@ -51,12 +51,13 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
-def walk(spark: SparkSession, root: str, rules: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, sha1, size_bytes, language, text) of the files under root that a walk keeps.
+def walk(spark: SparkSession, root: str, rules: list[str] | None = None, max_bytes: int = MAX_BYTES, stream: bool = False) -> DataFrame:
+    """(path, sha1, size_bytes, language, text) of the files under root that a walk keeps; ``stream`` for those to come.
 
     Names and sizes are tested before contents are read.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    reader = spark.readStream if stream else spark.read
+    raw = reader.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{re.escape(root.rstrip('/'))}/", "")
     named = raw.withColumn("path", path).filter(~in_excluded(F.col("path")) & ~secret_name(F.col("path")) & (F.col("length") <= max_bytes) & ~ignored(F.col("path"), rules or []))
     text = F.decode("content", "UTF-8")
