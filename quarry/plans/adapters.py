@@ -156,3 +156,28 @@ SOURCE_SYMBOLS = """(VALUES ('os', '', 'import', 'global', 1, 1), ('Base', '', '
   ('open#', '', 'function', 'global', 11, 12), ('x', '.open#', 'variable', 'param', 11, 11)) v(name, parent, kind, scope, line_start, line_end)"""
 SOURCE_EDGES = """(VALUES ('', 'os', 'import'), ('', 'shop.base.Account', 'import'), ('', 'shop.base.fee', 'import'), ('.Customer#', 'Base', 'inherit'),
   ('.Customer#.pay', 'fee', 'call'), ('.Customer#.pay', 'fee', 'reference'), ('.Customer#.pay', 'os.sum', 'call'), ('.Customer#.pay', 'os', 'reference'), ('.open#', 'check', 'call')) v(source, target, kind)"""
+
+
+#: By language: extension, module as SQL, text of a file about a part, and its symbols below the module as
+#: (suffix, kind, first and last line); # is the part's key.
+LANGUAGE_FILES = {
+    "java": (".java", "'shop.parts'", "package shop.parts;\nimport java.util.List;\nclass Part# extends Base {\n  int price(List<String> notes) {\n    return ask(notes);\n  }\n}\n", [("List", "import", 2, 2), ("Part#", "class", 3, 7), ("Part#.price", "method", 4, 6), ("Part#.price.notes", "variable", 4, 4)]),
+    "csharp": (".cs", "'Shop.Parts'", "using System.Text;\nnamespace Shop.Parts {\n  class Part# : Base {\n    int Price(string note) {\n      return Ask(note);\n    }\n  }\n}\n", [("Text", "import", 1, 1), ("Part#", "class", 3, 7), ("Part#.Price", "method", 4, 6), ("Part#.Price.note", "variable", 4, 4)]),
+    "ts": (".ts", "'parts.p' || k", "import { ask } from './shop';\nclass Part# extends Base {\n  price(note: string): number {\n    return ask(note);\n  }\n}\n", [("ask", "import", 1, 1), ("Part#", "class", 2, 6), ("Part#.price", "method", 3, 5), ("Part#.price.note", "variable", 3, 3)]),
+    "go": (".go", "'parts'", "package parts\nimport \"fmt\"\ntype Part# struct {\n  n int\n}\nfunc (p *Part#) Price(note string) int {\n  return fmt.Ask(note)\n}\n", [("fmt", "import", 2, 2), ("Part#", "class", 3, 5), ("Part#.Price", "method", 6, 8), ("Part#.Price.note", "variable", 6, 6)]),
+    "rust": (".rs", "'parts.p' || k", "use std::fmt;\nstruct Part# {\n  n: u8\n}\nimpl Part# {\n  fn price(&self) -> u8 {\n    ask(self.n)\n  }\n}\n", [("fmt", "import", 1, 1), ("Part#", "class", 2, 4), ("Part#.price", "method", 6, 8), ("Part#.price.self", "variable", 6, 6)]),
+    "cpp": (".cpp", "'parts.p' || k", "#include <shop/base.h>\nnamespace shop {\nclass Part# : public Base {\n  int price(int note) const {\n    return ask(note);\n  }\n};\n}\n", [("base", "import", 1, 1), ("shop.Part#", "class", 3, 7), ("shop.Part#.price", "method", 4, 6), ("shop.Part#.price.note", "variable", 4, 4)]),
+}
+
+
+def parts_as_sources(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """(path, text): a file for each part in a language."""
+    extension, _, text, _ = LANGUAGE_FILES[language]
+    k = F.col("p_partkey").cast("string")
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("parts/p"), k, F.lit(extension)).alias("path"), F.replace(F.lit(text), F.lit("#" if language != "cpp" else "Part#"), k if language != "cpp" else F.concat(F.lit("Part"), k)).alias("text"))
+
+
+def parts_sql(language: str) -> str:
+    extension, module, _, symbols = LANGUAGE_FILES[language]
+    rows = ", ".join(f"('{q}', '{kind}', {a}, {b})" for q, kind, a, b in symbols)
+    return f"SELECT 'parts/p' || k || '{extension}' AS file, {module} || '.' || replace(suffix, '#', k::VARCHAR) AS qualname, kind, line_start, line_end FROM (SELECT p_partkey AS k FROM part) CROSS JOIN (VALUES {rows}) v(suffix, kind, line_start, line_end)"

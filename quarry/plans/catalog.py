@@ -452,3 +452,14 @@ def resolve_repo(spark, sf):
     by_root = known.select(F.col("path").alias("root"), F.col("name").alias("around"))
     found = d.join(by_name, "flag", "left").withColumn("root", F.regexp_extract("cwd", "^(/repos/[^/]+)", 1)).join(by_root, "root", "left")
     return found.select("doc_id", F.coalesce("flagged", "around", F.lit("src0")).alias("name"))
+
+
+def _languages(language: str):
+    def query(spark, sf):
+        return P.symbols_of(P.parse(A.parts_as_sources(spark, sf, language))).select("file", "qualname", "kind", "line_start", "line_end")
+
+    register(f"parse_{language}", A.parts_sql(language))(query)
+
+
+for _language in A.LANGUAGE_FILES:
+    _languages(_language)

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as t
+from quarry.sources.braces import PATTERNS, module_of, parse_braces
+
+#: Languages that share the patterns of another.
+SAME = {"javascript": "typescript", "tsx": "typescript"}
 
 SYMBOL = "name string, qualname string, kind string, scope string, line_start int, line_end int, parent_qualname string, docstring string, snippet string"
 EDGE = "from_qualname string, to_qualname string, kind string"
@@ -120,8 +124,24 @@ def parse_python(module: str, source: str) -> tuple[list[dict], list[dict]]:
     return symbols, edges
 
 
+def whole_file(path: str, source: str) -> tuple[list[dict], list[dict]]:
+    """The one symbol of a file in no known language."""
+    name, lines = path.split("/")[-1], source.split("\n")
+    last = max(1, len(lines) - source.endswith("\n"))
+    return [dict(name=name, qualname=name, kind="variable", scope="global", line_start=1, line_end=last, parent_qualname="", docstring="", snippet="\n".join(lines[:10]))], []
+
+
+def parse_file(path: str, language: str, module: str, source: str) -> tuple[list[dict], list[dict]]:
+    language = SAME.get(language, language)
+    if language == "python":
+        return parse_python(module, source)
+    if language in PATTERNS:
+        return parse_braces(language, module_of(language, path, source), source)
+    return whole_file(path, source)
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """(file, error, symbols, edges) for each of files (path, text) in Python.
+    """(file, error, symbols, edges) for each of files (path, text); the extension tells the language.
 
     A null text is empty. A file that cannot be parsed has its error and no rows; its old rows stay in an incremental run.
     """
@@ -129,16 +149,17 @@ def parse(files: DataFrame) -> DataFrame:
     def work(frames):
         for pdf in frames:
             rows = []
-            for path, module, source in zip(pdf["path"], pdf["module"], pdf["text"]):
+            for path, language, module, source in zip(pdf["path"], pdf["language"], pdf["module"], pdf["text"]):
                 error, found = None, ([], [])
                 try:
-                    found = parse_python(module, source)
+                    found = parse_file(path, language, module, source)
                 except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
                     error = f"{type(e).__name__}: {e}"
                 rows.append((path, error, *found))
             yield pd.DataFrame(rows, columns=["file", "error", "symbols", "edges"])
 
-    return files.select("path", t.module_name(F.col("path")).alias("module"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(work, PARSED)
+    path = F.coalesce("path", F.lit(""))
+    return files.select(path.alias("path"), t.detect_language(path).alias("language"), t.module_name(path).alias("module"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(work, PARSED)
 
 
 def symbols_of(parsed: DataFrame) -> DataFrame:

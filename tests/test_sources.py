@@ -43,10 +43,11 @@ def test_parse_python():
 
 
 def test_parse_isolates_errors(spark):
-    rows = [("m.py", "def ("), ("e.py", ""), ("n.py", None), ("ok/__init__.py", "X = 1"), ("zero.py", "a\x00b"), ("deep.py", "(" * 5000)]
+    rows = [("m.py", "def ("), ("e.py", ""), ("n.py", None), ("ok/__init__.py", "X = 1"), ("zero.py", "a\x00b"), ("deep.py", "(" * 5000), ("d/notes.txt", "a\nb\n"), ("A.java", "package q; class A { }")]
     parsed = P.parse(spark.createDataFrame(rows, "path string, text string")).collect()
     assert {r["file"] for r in parsed if r["error"]} == {"m.py", "zero.py", "deep.py"}
     assert [[s["qualname"] for s in r["symbols"]] for r in parsed if r["file"] == "ok/__init__.py"] == [["ok.X"]]
+    assert {(s["qualname"], s["line_end"]) for r in parsed if r["file"] in ("d/notes.txt", "A.java") for s in r["symbols"]} == {("notes.txt", 2), ("q.A", 1)}
     empty = P.parse(spark.createDataFrame([], "path string, text string"))
     assert P.symbols_of(empty).count() == 0 and P.edges_of(empty).count() == 0
 
