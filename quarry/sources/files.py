@@ -57,7 +57,7 @@ def walk(spark: SparkSession, root: str, rules: list[str] | None = None, max_byt
     Names and sizes are tested before contents are read.
     """
     reader = spark.readStream if stream else spark.read
-    raw = reader.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    raw = reader.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{re.escape(root.rstrip('/'))}/", "")
     named = raw.withColumn("path", path).filter(~in_excluded(F.col("path")) & ~secret_name(F.col("path")) & (F.col("length") <= max_bytes) & ~ignored(F.col("path"), rules or []))
     text = F.decode("content", "UTF-8")

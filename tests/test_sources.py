@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from quarry.operators import report
+from quarry.sources import files as S
 from quarry.sources import parsers as P
 from quarry.streaming import reindex as R
 
@@ -73,3 +74,15 @@ def test_html(spark):
     page = report.html(symbols, edges)
     assert page.count("</script>") == 1 and "m.py:1-2" in page and '"external"' in page
     assert '"m.g"' not in report.html(symbols, edges, 1)
+
+
+def test_walk_as_stream(spark, tmp_path):
+    root, store, state = tmp_path / "src", str(tmp_path / "store"), str(tmp_path / "state")
+    (root / ".git").mkdir(parents=True)
+    (root / ".git" / "config").write_text("x")
+    (root / "a.py").write_text("x = 1")
+    R.run(S.walk(spark, str(root), stream=True), store, state)
+    (root / "a.py").unlink()
+    (root / "b.go").write_text("package b")
+    R.run(S.walk(spark, str(root), stream=True), store, state)
+    assert {(r["path"], r["language"], r["text"]) for r in R.current(spark, store).collect()} == {("a.py", "python", "x = 1"), ("b.go", "go", "package b")}
