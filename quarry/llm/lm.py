@@ -11,10 +11,11 @@ before it, so windows of two blocks overlap by one and each id is scored once, w
 document; a mask hides later ids and other documents. An id is predicted digit by digit, in base DIGITS and by rank of
 frequency, so that a score costs six small softmaxes instead of one over the vocabulary; the product is a
 distribution over all ids. A word's chance is that of its ids, mixed with the word's share of the training
-tokens; the share is smoothed by one, as in the base score, and any word that is not common has the smallest.
+tokens, smoothed by one as in the base score.
 
-The base score needs the count of each word. Words that make up at least one in COMMON tokens are at most COMMON, so
-their counts are broadcast; counts of all other words are joined, and none of these has many rows.
+Both scores need the count of each word. Words that make up at least one in COMMON tokens are at most COMMON, so their
+counts are broadcast; all other words go out with the chances of their ids to be joined with their counts, and none of
+these has many rows.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ WIDTH = 16
 CONTEXT = 8
 #: Digits of an id, and their base: BASE ** DIGITS is at least the size of the vocabulary.
 DIGITS, BASE = 6, 7
-#: Weight of a common word's share against the chance of its ids.
+#: Weight of a word's share against the chance of its ids.
 SHARE = 0.7
 #: Ids of a training window, and ids of a document for each window.
 WINDOW, STEP = 32, 1024
@@ -245,10 +246,14 @@ def score_stream(p: dict, prior: Prior, ids: np.ndarray, lengths: np.ndarray, en
     return logs[:n] / math.log(10)
 
 
-def mixed_words(logs: np.ndarray, last: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Log10 chance of each word: of its ids, up to each True in last, mixed with its share (log10)."""
-    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    own = np.add.reduceat(logs, starts) + math.log10(1 - SHARE)
+def own_words(logs: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Log10 chance of the ids of each word, up to each True in last."""
+    return np.add.reduceat(logs, np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]))
+
+
+def mixed_words(own: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Log10 chance of each word: of its ids mixed with its share (both log10)."""
+    own = own + math.log10(1 - SHARE)
     other = share + math.log10(SHARE)
     gap = np.abs(own - other)
     return np.maximum(own, other) + np.log1p(np.exp(gap * -math.log(10))) / math.log(10)
@@ -299,8 +304,8 @@ def fit(texts: DataFrame, path: str) -> tuple[Scorer, DataFrame]:
     counts = materialize(word_counts(texts))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(1, n // COMMON)
-    # At most COMMON words have at least n / COMMON tokens, and at most n words at all.
-    common = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= least).toLocalIterator()}
+    # At most COMMON words have at least n / COMMON tokens, and at most n words at all. The end counts as one of them.
+    common = {bytes(r["word"]): r["n"] for r in counts.filter((F.col("n") >= least) | (F.length("word") == 0)).toLocalIterator()}
 
     def id_counts(frames):
         enc, seen = word_ids(path), [0] * (2 * _subwords(path).n_vocab)
@@ -381,35 +386,49 @@ def score_texts(docs: DataFrame, training: Column, path: str, doc_id: str = "doc
         for pdf in frames:
             size = pdf["text"].str.len().cumsum().to_numpy()
             for group in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(size // 1_000_000)) + 1):
-                part, rows, streams, shares = pdf.iloc[group], [], [], []
+                part, rows, streams, shares, others = pdf.iloc[group], [], [], [], []
                 for t in part["text"]:
                     words = words_of(t)
                     got = enc.entries(words)
                     got.append(stop)
                     words.append(b"")
                     streams.append(np.frombuffer(b"".join([x[0] for x in got]), "<i4"))
-                    rare = Counter([w for w, x in zip(words, got) if x[1] is None])
+                    rare = [k for k, x in enumerate(got) if x[1] is None]
                     known = np.array([x[1] or 0.0 for x in got])
                     shares.append(known - s.whole)
-                    rows.append((len(words), len(words) - rare.total(), known.sum(), list(rare), list(rare.values())))
+                    others.append((rare, [words[k] for k in rare]))
+                    rows.append((len(words), len(words) - len(rare), known.sum()))
                 lengths = np.array([len(x) for x in streams])
-                out = pd.DataFrame(rows, columns=["n_tokens", "n_common", "common", "rare", "counts"])
+                out = pd.DataFrame(rows, columns=["n_tokens", "n_common", "common"])
                 out.insert(0, "held_out", part["held_out"].to_numpy())
                 out.insert(0, "doc_id", part["doc_id"].astype(object).where(part["doc_id"].notna(), None).to_numpy())
                 ids = np.concatenate(streams).astype("int64")
-                words = mixed_words(score_stream(s.weights, s.prior, ids, lengths, end), ids >= end // 2, np.concatenate(shares))
-                out["score"] = np.add.reduceat(words, np.concatenate([[0], np.cumsum(out["n_tokens"].to_numpy())[:-1]]))
+                own = own_words(score_stream(s.weights, s.prior, ids, lengths, end), ids >= end // 2)
+                firsts = np.concatenate([[0], np.cumsum(out["n_tokens"].to_numpy())[:-1]])
+                # Rare words count as unseen here; the join below makes up for it.
+                out["score"] = np.add.reduceat(mixed_words(own, np.concatenate(shares)), firsts)
+                rare, owns = [], []
+                for at, (places, names) in zip(firsts.tolist(), others):
+                    by = {}
+                    for w, x in zip(names, own[at + np.array(places, "int64")].tolist()):
+                        by.setdefault(w, []).append(x)
+                    rare.append(list(by))
+                    owns.append(list(by.values()))
+                out["rare"], out["owns"] = rare, owns
                 yield out
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_common long, common double, rare array<binary>, counts array<long>, score double"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_common long, common double, score double, rare array<binary>, owns array<array<double>>"
     done = materialize(texts.mapInPandas(work, schema).withColumn("row", F.monotonically_increasing_id()))
     least = max(1, scorer.n // COMMON)
-    rare = done.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("counts").alias("times"))).alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.times").alias("times"))
+    rare = done.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("owns").alias("owns"))).alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.owns").alias("owns"))
     # Common words are found in the task; the others have few rows each.
-    found = rare.join(counts.filter(F.col("n") < least), "word")
-    sums = found.groupBy("row").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
+    found = rare.join(counts.filter(F.col("n") < least), "word").withColumn("times", F.size("owns"))
     whole = math.log10(scorer.n + scorer.v + 1)
+    # What the exact share adds to the log chances of a word over that of an unseen one.
+    total = scorer.n + scorer.v + 1
+    gains = F.expr(f"aggregate(owns, 0D, (a, own) -> a + log10(({1 - SHARE}D * {total}D * pow(10D, own) + {SHARE}D * (n + 1)) / ({1 - SHARE}D * {total}D * pow(10D, own) + {SHARE}D)))")
+    sums = found.groupBy("row").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"), F.sum(gains).alias("gains"))
     return done.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
@@ -417,7 +436,7 @@ def score_texts(docs: DataFrame, training: Column, path: str, doc_id: str = "doc
         (F.col("n_common") + F.coalesce("times", F.lit(0))).alias("n_known"),
         F.lit(scorer.n).cast("long").alias("train_tokens"),
         (F.col("common") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gains", F.lit(0.0))).alias("score"),
     )
 
 

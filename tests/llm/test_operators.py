@@ -222,3 +222,12 @@ def test_lm(docs, none):
     one = next(r for r in out if r["doc_id"] == 101)
     assert one["n_tokens"] == 1 and abs(one["base_score"] - np.log10((c[b"\n"] + 1) / (c.total() + len(c) + 1))) < 1e-9
     assert lm.score_texts(none, lm.is_training(none["doc_id"]), PATH).count() == 0
+
+
+def test_lm_counts_of_rare_words(docs, monkeypatch):
+    """The score takes the counts of words from the join as it takes those of common ones."""
+    figures = lambda r: (r["doc_id"] or -1, r["n_tokens"], r["base_score"], r["score"])
+    want = sorted(map(figures, lm.score_texts(docs, lm.is_training(docs["doc_id"]), PATH).collect()))
+    monkeypatch.setattr(lm, "COMMON", 50)
+    got = sorted(map(figures, lm.score_texts(docs, lm.is_training(docs["doc_id"]), PATH).collect()))
+    assert np.allclose(np.array(got, float), np.array(want, float), atol=1e-3)
