@@ -3,12 +3,13 @@
 Texts are lower-cased (A-Z) and split at ASCII white space; the subword ids of a text are those of its words, each with
 a space before it, then one end id. The last id of a word is told apart from the same id within one, so the words that
 ids spell have a distribution of their own. Counts of words are taken over all training documents; the counts of
-subword ids follow from them and give the model's prior. The attention layer is trained on a short window of every STEP ids of
-every training document, in two rounds: partitions train side by side from the same weights, which are then averaged.
+subword ids follow from them and give the model's prior. The attention layer is trained on every id of every training
+document once, one half of the documents in each of two rounds: partitions train side by side from the same weights,
+which are then averaged.
 
-Scoring puts the ids of many documents in one row of blocks of CONTEXT ids. Each block attends to itself and the block
-before it, so windows of two blocks overlap by one and each id is scored once, with the ids before it in its own
-document; a mask hides later ids and other documents. An id is predicted digit by digit, in base DIGITS and by rank of
+Training and scoring put the ids of many documents in one row of blocks of CONTEXT ids. Each block attends to itself and
+the block before it, so windows of two blocks overlap by one and each id is predicted once, with the ids before it in
+its own document; a mask hides later ids and other documents. An id is predicted digit by digit, in base DIGITS and by rank of
 frequency, so that a score costs six small softmaxes instead of one over the vocabulary; the product is a
 distribution over all ids. A word's chance is that of its ids, mixed with the word's share of the training
 tokens, smoothed by one as in the base score.
@@ -34,16 +35,16 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialize, or_empty, table
 
 WIDTH = 16
-CONTEXT = 8
+CONTEXT = 16
 #: Digits of an id, and their base: BASE ** DIGITS is at least the size of the vocabulary.
 DIGITS, BASE = 6, 7
 #: Weight of a word's share against the chance of its ids.
 SHARE = 0.7
-#: Ids of a training window, and ids of a document for each window.
-WINDOW, STEP = 32, 1024
 COMMON = 1_000_000
-#: Ids scored at once.
-BATCH = 1 << 12
+#: Ids scored at once, and ids of a step of training.
+BATCH, TRAINED = 1 << 12, 1 << 11
+#: Characters of texts whose ids are laid out at once.
+CHARS = 1_000_000
 #: Words a task counts before it passes them on.
 COUNTED = 400_000
 
@@ -203,22 +204,34 @@ def gradient(p: dict, kept, weights: np.ndarray) -> dict[str, np.ndarray]:
     return {"embed": dx, "query": x.T @ dq, "key": x.T @ dk, "value": x.T @ dv, "near": ds.sum(0), "out": h.T @ dz}
 
 
-def train(p: dict, prior: Prior, windows: list[np.ndarray], end: int, rate: float = 0.3, batch: int = 64) -> None:
-    """One pass of Adagrad over windows of ids, in place; windows are padded to whole blocks."""
-    seen = {k: np.full(len(v) if k == "embed" else v.shape, 1e-2, "float32") for k, v in p.items()}
-    for s in range(0, len(windows), batch):
-        inputs, targets, seg, weights = [], [], [], []
-        for k, w in enumerate(windows[s : s + batch]):
-            n = -len(w) % CONTEXT
-            pad = np.full(n, end)
-            inputs += [np.append(end, w[:-1]), pad]
-            targets += [w, pad]
-            seg.append(np.full(len(w) + n, k))
-            weights += [np.ones(len(w)), np.zeros(n)]
-        inputs, targets, seg, weights = (np.concatenate(x).astype(kind) for x, kind in ((inputs, "int64"), (targets, "int64"), (seg, "int32"), (weights, "float32")))
-        _, kept = forward(p, prior, inputs, targets, seg)
+def laid_out(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and documents of ids, which holds those of all documents in a row; padded to whole blocks."""
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    seg = np.repeat(np.arange(len(lengths), dtype="int32"), lengths)
+    inputs = np.empty(len(ids), "int64")
+    inputs[1:] = ids[:-1]
+    inputs[starts] = end
+    pad = -len(ids) % CONTEXT
+    return np.append(inputs, np.full(pad, end)), np.append(ids, np.full(pad, end)).astype("int64"), np.append(seg, np.full(pad, -2, "int32"))
+
+
+def squares(p: dict) -> dict[str, np.ndarray]:
+    """Where Adagrad sums up squares, before the first step."""
+    return {k: np.full(len(v) if k == "embed" else v.shape, 1e-2, "float32") for k, v in p.items()}
+
+
+def train(p: dict, seen: dict, prior: Prior, ids: np.ndarray, lengths: np.ndarray, end: int, rate: float = 0.3) -> None:
+    """One pass of Adagrad over all ids, laid out as for scores, in place."""
+    inputs, targets, seg = laid_out(ids, lengths, end)
+    for s in range(0, len(inputs), TRAINED):
+        lead = CONTEXT if s else 0  # the block before, for its keys and values
+        part = slice(s - lead, s + TRAINED)
+        x = inputs[part]
+        weights = (seg[part] >= 0).astype("float32")
+        weights[:lead] = 0
+        _, kept = forward(p, prior, x, targets[part], seg[part])
         g = gradient(p, kept, weights / max(1.0, weights.sum()) * 16)
-        rows, at = np.unique(inputs, return_inverse=True)
+        rows, at = np.unique(x, return_inverse=True)
         ge = np.zeros((len(rows), WIDTH), "float32")
         np.add.at(ge, at, g.pop("embed"))
         seen["embed"][rows] += (ge**2).mean(1)
@@ -231,15 +244,9 @@ def train(p: dict, prior: Prior, windows: list[np.ndarray], end: int, rate: floa
 def score_stream(p: dict, prior: Prior, ids: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
     """Log10 chance of each id; ids holds those of all documents in a row, each with its end id."""
     n = len(ids)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    seg = np.repeat(np.arange(len(lengths), dtype="int32"), lengths)
-    inputs = np.empty(n, "int64")
-    inputs[1:] = ids[:-1]
-    inputs[starts] = end
-    pad = -n % CONTEXT
-    inputs, targets, seg = np.append(inputs, np.full(pad, end)), np.append(ids, np.full(pad, end)).astype("int64"), np.append(seg, np.full(pad, -2, "int32"))
-    logs = np.empty(n + pad)
-    for s in range(0, n + pad, BATCH):
+    inputs, targets, seg = laid_out(ids, lengths, end)
+    logs = np.empty(len(inputs))
+    for s in range(0, len(inputs), BATCH):
         lead = CONTEXT if s else 0  # the block before, for its keys and values
         part = slice(s - lead, s + BATCH)
         logs[s : s + BATCH] = forward(p, prior, inputs[part], targets[part], seg[part])[0][lead:]
@@ -330,18 +337,15 @@ def fit(texts: DataFrame, path: str) -> tuple[Scorer, DataFrame]:
 
         def work(frames, held=held):
             p, own = ({k: x.copy() for k, x in held.value[0].items()}, held.value[1])
-            enc, trained = word_ids(path), 0
+            enc, sums, trained = word_ids(path), squares(p), 0
             for pdf in frames:
-                windows = []
-                for doc, t in zip(pdf["h"], pdf["text"]):
-                    words = words_of(t)
-                    # A window starts in each STEP ids (some STEP / 2.5 words), at a place the hash gives.
-                    for s in range(0, max(1, len(words)), STEP * 2 // 5):
-                        at = s + doc % max(1, min(len(words) - s, STEP * 2 // 5) - WINDOW // 3)
-                        w = np.append(enc.of(words[at : at + WINDOW]), end) if at + WINDOW >= len(words) else enc.of(words[at : at + WINDOW])
-                        windows.append(w[:WINDOW].astype("int64"))
-                train(p, own, windows, end)
-                trained += len(windows)
+                size = pdf["text"].str.len().cumsum().to_numpy()
+                for group in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(size // CHARS)) + 1):
+                    docs = [np.append(enc.of(words_of(t)), end) for t in pdf["text"].iloc[group]]
+                    lengths = np.array([len(x) for x in docs], "int64")
+                    if len(docs):
+                        train(p, sums, own, np.concatenate(docs), lengths, end)
+                        trained += int(lengths.sum())
             yield pd.DataFrame({"weights": [pickle.dumps(_changes(p, held.value[0]))] if trained else [], "n": [trained] if trained else []})
 
         def gather(frames, held=held):
@@ -353,7 +357,7 @@ def fit(texts: DataFrame, path: str) -> tuple[Scorer, DataFrame]:
                     n += k
             yield pd.DataFrame({"weights": [pickle.dumps(_changes(total, {k: np.zeros_like(x) for k, x in start.items()}))] if n else [], "n": [n] if n else []})
 
-        half = texts.select(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)).alias("h"), "text").filter(F.col("h") % 2 == k)
+        half = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k).select("text")
         kind = "weights binary, n long"
         # Four sums reach the driver, however many partitions train.
         got = half.mapInPandas(work, kind).repartition(4).mapInPandas(gather, kind).toPandas()
@@ -385,7 +389,7 @@ def score_texts(docs: DataFrame, training: Column, path: str, doc_id: str = "doc
         stop = (array("i", [end]).tobytes(), s.logs.get(b""))
         for pdf in frames:
             size = pdf["text"].str.len().cumsum().to_numpy()
-            for group in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(size // 1_000_000)) + 1):
+            for group in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(size // CHARS)) + 1):
                 part, rows, streams, shares, others = pdf.iloc[group], [], [], [], []
                 for t in part["text"]:
                     words = words_of(t)

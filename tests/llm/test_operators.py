@@ -231,3 +231,14 @@ def test_lm_counts_of_rare_words(docs, monkeypatch):
     monkeypatch.setattr(lm, "COMMON", 50)
     got = sorted(map(figures, lm.score_texts(docs, lm.is_training(docs["doc_id"]), PATH).collect()))
     assert np.allclose(np.array(got, float), np.array(want, float), atol=1e-3)
+
+
+def test_lm_trains_on_whole_texts(spark):
+    """Each id of a long document is trained on, wherever it is; the first steps move the output weights alone."""
+    encoder = lm.word_ids(PATH)
+    plain = [w for w in Tokenizer.from_file(PATH).get_vocab() if w.startswith("Ġ") and w[1:].isascii() and w[1:].isalpha() and w[1:].islower()]
+    words = sorted(w[1:] for w in plain)[:9000]
+    scorer, _ = lm.fit(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), PATH)
+    ids = np.unique(encoder.of([w.encode() for w in words[5000:]]))
+    moved = (scorer.weights["embed"] != lm.initial(scorer.prior.size)["embed"]).any(1)
+    assert lm.CONTEXT >= 16 and len(ids) >= 3000 and moved[ids].all()
