@@ -33,6 +33,8 @@ CROWD = 1000
 RANGES = (47, 8, 1)
 #: Bytes hashed or sorted at once.
 TEXT = 1 << 20
+#: Windows of a text in a slice, so that the places of few slices fit PLACE bits.
+SLICE, PLACE = 1 << 22, 25
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 #: An odd factor for each power of two.
@@ -64,7 +66,22 @@ def string_hashes(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int):
-    """For each run of windows with one anchor: text, anchor, first and last window (places in the text), hash."""
+    """For each run of windows with one anchor: text, anchor, first and last window (places in the text), hash.
+
+    Texts are taken in slices that overlap by length - 1 bytes, so that each window is in one of them; runs end there.
+    """
+    slices = [(k, s, t[s : s + SLICE + length - 1]) for k, t in enumerate(texts) for s in range(0, max(1, len(t) - length + 1), SLICE)]
+    sizes = np.cumsum([len(t) for *_, t in slices])
+    parts = []
+    for group in np.split(np.arange(len(slices)), np.flatnonzero(np.diff(sizes // SLICE)) + 1):
+        some = [slices[i] for i in group]
+        t, a, first, last, h = _anchors([x for *_, x in some], length)
+        text, start = np.array([k for k, *_ in some], "int64")[t], np.array([s for _, s, _ in some], "int64")[t]
+        parts.append((text, a + start, first + start, last + start, h))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _anchors(texts: list[bytes], length: int):
     x = np.frombuffer(b"".join(texts), "uint8")
     sizes = np.array([len(t) for t in texts])
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -73,7 +90,7 @@ def anchors(texts: list[bytes], length: int):
     if len(x) < length:
         return none, none, none, none, none
     h = gram_hashes(x)
-    mask = np.uint64((1 << 25) - 1)
+    mask = np.uint64((1 << PLACE) - 1)
     v = (h & ~mask) | np.arange(len(h), dtype="uint64")
     n = len(v) - w + 1
     pad = -len(v) % w

@@ -242,3 +242,14 @@ def test_lm_trains_on_whole_texts(spark):
     ids = np.unique(encoder.of([w.encode() for w in words[5000:]]))
     moved = (scorer.weights["embed"] != lm.initial(scorer.prior.size)["embed"]).any(1)
     assert lm.CONTEXT >= 16 and len(ids) >= 3000 and moved[ids].all()
+
+
+def test_anchors_of_a_very_long_text():
+    raw = np.random.default_rng(4).integers(0, 256, (1 << 25) + 9000, dtype="uint8")
+    raw[-3000:] = raw[1000:4000]
+    text, at, first, last, hashes = substrings.anchors([b"short", raw.tobytes()], 400)
+    assert (text == 1).all() and (last - first + 1).sum() == len(raw) - 399
+    assert (at >= last).all() and (at <= first + 400 - substrings.GRAM).all()
+    order = np.argsort(first)
+    of = lambda window: hashes[order][np.searchsorted(first[order], window, "right") - 1]
+    assert all(of(1000 + k) == of(len(raw) - 3000 + k) for k in range(0, 2601, 100))
