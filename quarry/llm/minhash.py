@@ -1,8 +1,8 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five words in a row, hashed; a shingle weighs its count in the text times log((N + 1) / (df + 1)) + 1.
-Document frequencies are counted over all documents into DF_BUCKETS hashed counters, a table of fixed size that may be
-broadcast; a counter holds at least the frequency of each shingle in it.
+Document frequencies are exact: counts of each shingle hash over all documents, summed before the shuffle. Those above one
+are joined to the shingles of one text of each class and travel with it; all other shingles occur in one document.
 
 Each of BANDS * ROWS samples picks a shingle with its quantised weight so that two texts agree with the probability of
 their weighted Jaccard similarity. Texts that agree in all samples of a band meet in a bucket. Every text is verified
@@ -31,7 +31,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair at the similarity asked for meets in some bucket with probability 1 - (1 - 0.8^4)^10 = 0.995.
 BANDS, ROWS = 10, 4
-DF_BUCKETS = 1 << 18
+#: Shingles a task counts before it passes them on.
+COUNTED = 1 << 21
 #: Random draws are taken from so many quantiles (2^BITS).
 BITS = 12
 #: Texts compared with one other in a task at most, before a further task takes the rest.
@@ -73,14 +74,22 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket(shingle: np.ndarray) -> np.ndarray:
-    return (shingle >> np.uint64(20)).astype("int64") & (DF_BUCKETS - 1)
+def counted(text: str, marks, dfs, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles in order, their counts, and their inverse document frequency among n documents.
 
+    marks and dfs are the shingles in more than one document and their frequencies, in any order; null for none.
+    """
+    values, counts = np.unique(shingles(word_hashes(text)), return_counts=True)
+    df = np.ones(len(values))
+    if marks is not None and len(marks):
+        df[np.searchsorted(values, np.asarray(marks, "int64").view("uint64"))] = dfs
+    return values, counts, np.log((n + 1) / (df + 1)) + 1
 
-def weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def weighted(*row) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles in order, and their weights."""
-    values, counts = np.unique(shingles(word_hashes(text)), return_counts=True)
-    return values, (counts * idf[bucket(values)]).astype("float64")
+    values, counts, idf = counted(*row)
+    return values, counts * idf
 
 
 def similarity(a, b) -> float:
@@ -137,27 +146,52 @@ def band_hashes(samples: np.ndarray) -> np.ndarray:
     return out.view("int64")
 
 
-def idf_table(texts: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each hashed counter, over all rows of the column ``text``."""
+def frequencies(texts: DataFrame) -> DataFrame:
+    """(shingle, df) of the shingles that are in more than one row of the column ``text``."""
 
     def count(frames):
-        seen, rows = np.zeros(DF_BUCKETS, "int64"), 0
+        seen, size = [], 0
+
+        def summed():
+            values, counts = np.unique(np.concatenate(seen), return_counts=True)
+            return pd.DataFrame({"shingle": values.view("int64"), "n": counts})
+
         for pdf in frames:
             for t in pdf["text"]:
-                seen[np.unique(bucket(shingles(word_hashes(t))))] += 1
-                rows += 1
-        some = np.flatnonzero(seen)
-        yield pd.DataFrame({"bucket": np.append(some, -1), "n": np.append(seen[some], rows)})
+                seen.append(np.unique(shingles(word_hashes(t))))
+                size += len(seen[-1])
+                if size > COUNTED:
+                    yield summed()
+                    seen, size = [], 0
+        if seen:
+            yield summed()
 
-    # DF_BUCKETS + 1 rows at most, whatever the input.
-    got = texts.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df, n = np.zeros(DF_BUCKETS), int(got.loc[got["bucket"] == -1, "n"].sum())
-    got = got[got["bucket"] >= 0]
-    df[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return (np.log((n + 1) / (df + 1)) + 1).astype("float32")
+    return texts.select("text").mapInPandas(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df")).filter("df > 1")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+def with_frequencies(bodies: DataFrame, common: DataFrame) -> DataFrame:
+    """bodies (id, text) with the shingles of each text that common (shingle, df) holds, in arrays marks and dfs."""
+
+    def each(frames):
+        for pdf in frames:
+            ids, found, size = [], [], 0
+            for i, t in zip(pdf["id"], pdf["text"]):
+                found.append(np.unique(shingles(word_hashes(t))))
+                ids.append(np.full(len(found[-1]), i, "int64"))
+                size += len(found[-1])
+                if size > COUNTED:
+                    yield pd.DataFrame({"id": np.concatenate(ids), "shingle": np.concatenate(found).view("int64")})
+                    ids, found, size = [], [], 0
+            if found:
+                yield pd.DataFrame({"id": np.concatenate(ids), "shingle": np.concatenate(found).view("int64")})
+
+    total = common.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    found = attach(bodies.mapInPandas(each, "id long, shingle long"), common, ["shingle"], "df", total)
+    marks = found.groupBy("id").agg(F.collect_list(F.struct("shingle", "df")).alias("all"))
+    return bodies.join(marks.select("id", F.col("all.shingle").alias("marks"), F.col("all.df").alias("dfs")), "id", "left")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are at least so similar.
 
     Texts of b travel to their pairs; pairs of one a are dealt out in shares of about SHARE, each with a copy of a.
@@ -167,17 +201,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     # An a with few pairs is in one share; only for others must its pairs know the number of shares.
     many = shares.filter("shares > 1")
     dealt = pairs.join(many, "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).cast("int")).select("a", "b", "share")
-    right = dealt.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "share", F.lit(True).alias("other"), "b", "text")
-    left = shares.join(texts.select(F.col("id").alias("a"), "text"), "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    left = left.select("a", "share", F.lit(False).alias("other"), F.col("a").alias("b"), "text")
+    right = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "share", F.lit(True).alias("other"), "b", "text", "marks", "dfs")
+    left = shares.join(texts.withColumnRenamed("id", "a"), "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    left = left.select("a", "share", F.lit(False).alias("other"), F.col("a").alias("b"), "text", "marks", "dfs")
     both = left.unionByName(right).repartition("a", "share").sortWithinPartitions("a", "share", "other", "b")
 
     def compare(frames):
-        weights, now, own = idf.value, None, None
+        now, own = None, None
         for pdf in frames:
             out = []
-            for a, share, b, t in zip(pdf["a"], pdf["share"], pdf["b"], pdf["text"]):
-                w = weighted(t, weights)
+            for a, share, b, *row in zip(pdf["a"], pdf["share"], pdf["b"], pdf["text"], pdf["marks"], pdf["dfs"]):
+                w = weighted(*row, n)
                 if (a, share) != now:
                     now, own = (a, share), w
                 elif similarity(own, w) >= threshold:
@@ -187,19 +221,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     return both.mapInPandas(compare, "a long, b long")
 
 
-def _block_links(texts: list[str], side: np.ndarray, idf: np.ndarray, threshold: float) -> np.ndarray:
+def _block_links(texts: list[tuple], side: np.ndarray, n: int, threshold: float) -> np.ndarray:
     """Boolean matrix of the pairs of texts, from two sides or within one, that are at least so similar.
 
     A shingle that occurs k times is k features of its weight, so the sum of the smaller weights is a product of
     binary vectors.
     """
     docs, feats, weights = [], [], []
-    for k, t in enumerate(texts):
-        values, counts = np.unique(shingles(word_hashes(t)), return_counts=True)
+    for k, row in enumerate(texts):
+        values, counts, idf = counted(*row, n)
         level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         v = np.repeat(values, counts)
         docs.append(np.full(len(v), k))
-        weights.append(idf[bucket(v)].astype("float64"))
+        weights.append(np.repeat(idf, counts))
         feats.append((v ^ level.astype("uint64") * np.uint64(0xD6E8FEB86659FD93)) * _MIX)
     doc, feat, weight = np.concatenate(docs), np.concatenate(feats), np.concatenate(weights)
     total = np.bincount(doc, weight, len(texts))
@@ -223,7 +257,7 @@ def _block_links(texts: list[str], side: np.ndarray, idf: np.ndarray, threshold:
     return out
 
 
-def _open_links(open_: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+def _open_links(open_: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """Edges (a, b) that connect all similar pairs within each bucket of (bucket, id, size), in blocks of BLOCK."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = open_.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -231,7 +265,7 @@ def _open_links(open_: DataFrame, texts: DataFrame, idf, threshold: float) -> Da
     cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
 
     def done(pdf: pd.DataFrame):
-        ids, linked = pdf["id"].to_numpy(), _block_links(pdf["text"].tolist(), pdf["block"].to_numpy(), idf.value, threshold)
+        ids, linked = pdf["id"].to_numpy(), _block_links(list(zip(pdf["text"], pdf["marks"], pdf["dfs"])), pdf["block"].to_numpy(), n, threshold)
         first = clusters(linked)
         some = np.flatnonzero(first != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[first[some]], "b": ids[some]})
@@ -264,46 +298,37 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
 
 
 def _groups(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).alias("doc_id"), or_empty(F.col(text)).alias("text"))
-    idf = spark.sparkContext.broadcast(idf_table(texts))
-
-    def sign(frames):
-        for pdf in frames:
-            digests, bands = [], []
-            for t in pdf["text"]:
-                words = word_hashes(t)
-                digests.append(xxhash.xxh3_128_digest(words.tobytes()))
-                values, counts = np.unique(shingles(words), return_counts=True)
-                bands.append(band_hashes(sample(values, counts * idf.value[bucket(values)])) if len(values) else np.empty(0, "int64"))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), "digest": digests, "bands": bands})
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    signed = materialize(texts.mapInPandas(sign, f"doc_id {kind}, digest binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()))
+    signed = materialize(texts.select("doc_id", _digest(F.col("text")).alias("digest")).withColumn("row", F.monotonically_increasing_id()))
     n = signed.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = materialize(
         signed.groupBy("digest").agg(first.alias("first"), F.count("*").alias("members"))
         .select("digest", "members", F.col("first.doc_id").alias("class_id"), F.xxhash64("digest").alias("id"), F.col("first.row").alias("row"))
     )
-    banded = materialize(signed.join(classes.select("row", "id"), "row").select("id", F.explode("bands").alias("bucket")))
+    # One text for each class.
+    plain = materialize(texts.select(F.xxhash64(_digest(F.col("text"))).alias("id"), "text").groupBy("id").agg(F.min("text").alias("text")))
+    bodies = materialize(with_frequencies(plain, materialize(frequencies(texts))))
+
+    def sign(frames):
+        for pdf in frames:
+            bands = []
+            for row in zip(pdf["text"], pdf["marks"], pdf["dfs"]):
+                values, weights = weighted(*row, n)
+                bands.append(band_hashes(sample(values, weights)) if len(values) else np.empty(0, "int64"))
+            yield pd.DataFrame({"id": pdf["id"], "bands": bands})
+
+    banded = materialize(bodies.mapInPandas(sign, "id long, bands array<long>").select("id", F.explode("bands").alias("bucket")))
     sizes = banded.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
     held = materialize(attach(banded, sizes, ["bucket"], "n", n * BANDS))
-    wanted = materialize(held.select("id").distinct())
-    # One text for each class that has to be compared; a Bloom filter keeps all other texts where they are.
-    bits = filter_bits(wanted.count())
-    words = materialize(member_bits(wanted, "id", bits))
-    plain = texts.select(F.xxhash64(_digest(F.col("text"))).alias("id"), "text")
-    maybe = maybe_repeated(plain, "id", words, bits, "maybe").filter("maybe").drop("maybe")
-    bodies = materialize(maybe.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     pairs = held.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
-    links = materialize(_verified(materialize(pairs), bodies, idf, threshold))
+    links = materialize(_verified(materialize(pairs), bodies, n, threshold))
     groups = components(links)
     # Buckets with texts of several components.
     state = held.select("bucket", "id").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high and size > 2").select("bucket", "size")
     open_ = attach(state.select("bucket", "id"), mixed, ["bucket"], "size", n * BANDS)
-    groups = components(links.unionByName(materialize(_open_links(open_, bodies, idf, threshold))))
+    groups = components(links.unionByName(materialize(_open_links(open_, bodies, n, threshold))))
 
     known = classes.join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
     known = materialize(known.select("digest", "members", "class_id", "row", F.coalesce("component", "id").alias("component")))

@@ -253,3 +253,18 @@ def test_anchors_of_a_very_long_text():
     order = np.argsort(first)
     of = lambda window: hashes[order][np.searchsorted(first[order], window, "right") - 1]
     assert all(of(1000 + k) == of(len(raw) - 3000 + k) for k in range(0, 2601, 100))
+
+
+def test_minhash_counts_shingles_exactly(spark):
+    """Texts of 94 % boilerplate are not alike, however many other shingles there are."""
+    boilerplate = " ".join(f"b{k}" for k in range(944))
+    rows = [(k, f"{boilerplate} " + " ".join(f"r{k}_{i}" for i in range(60))) for k in range(4)]
+    rows += [(4, rows[0][1] + " more words")]
+    rows += [(10 + k, f"{boilerplate} " + " ".join(f"f{k}_{i}" for i in range(400_000))) for k in range(9)]
+    found = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    df = Counter(x for f in found for x in f)
+    idf = {x: np.log((len(rows) + 1) / (df[x] + 1)) + 1 for f in found[:5] for x in f}
+    alike = lambda a, b: sum(map(idf.get, a & b)) / sum(map(idf.get, a | b)) >= 0.8
+    want = {a: min(b for b in range(5) if alike(found[a], found[b])) for a in range(5)}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert {k: got[k] for k in range(5)} == want == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
