@@ -18,9 +18,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
-    "op3_near_embeddings": embeddings.op3_near_embeddings,
-    "op6_quality": quality.op6_quality,
-    "op7_minhash": minhash.op7_minhash,
-    "op8_bpe": bpe.op8_bpe,
     "op9_chat_format": chat.SQL,
 }

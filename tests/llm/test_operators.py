@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, chat, components, embeddings, exact_dedup, lm, minhash, packing, pii, quality, substrings
+from quarry.llm import bpe, chat, components, embeddings, exact_dedup, lm, minhash, packing, pii, quality, registry, substrings
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, __sha string"
@@ -268,3 +268,7 @@ def test_minhash_counts_shingles_exactly(spark):
     want = {a: min(b for b in range(5) if alike(found[a], found[b])) for a in range(5)}
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
     assert {k: got[k] for k in range(5)} == want == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+
+
+def test_oracles_are_sql():
+    assert registry.ORACLE_SQL and all(isinstance(x, str) for x in registry.ORACLE_SQL.values())
