@@ -46,7 +46,7 @@ _MOD97 = (
 )
 
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,1000}+", "contains(t, '@')", "true", 0.9),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(t, '@')", "true", 0.9),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"t rlike r'[0-9]\.[0-9]'", f"m rlike r'^{OCTET}\\.{OCTET}\\.{OCTET}\\.{OCTET}$'", 0.6),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])", r"t rlike r'[0-9][ -]?[0-9]'", _LUHN, 0.8),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"t rlike r'\+[0-9]'", f"length({_DIGITS}) BETWEEN 8 AND 15", 0.6),

@@ -272,3 +272,10 @@ def test_minhash_counts_shingles_exactly(spark):
 
 def test_oracles_are_sql():
     assert registry.ORACLE_SQL and all(isinstance(x, str) for x in registry.ORACLE_SQL.values())
+
+
+def test_pii_long_domains(spark):
+    """Domains have no bound; a possessive group takes them in a loop, without the stack."""
+    rows = [(n, f"to a@b{'.c' * n}..d, x@y.z") for n in (1, 5_000, 300_000)]
+    for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert [("email", s["start"], s["end"]) for s in r["pii_email"]] == [x for x in base_spans(r["text"]) if x[0] == "email"]
