@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,25 +15,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only on a single machine where none is set, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = getattr(spark, "_quarry_dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark._quarry_dir = named
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again.
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """Write df as Parquet in the shared folder, parted by the columns ``by``, and read it again.
 
     This cuts lineage, and what follows survives the loss of any executor. Row order and partition ids of the
     result are fixed, so values made before it, such as monotonically_increasing_id(), no longer change.
     """
     path = f"{shared_dir(df.sparkSession)}/quarry/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ids_out(df: DataFrame, *names: str) -> DataFrame:
+    """df with ids as strings, for Python: beside a null, pandas would turn integers into doubles and lose digits."""
+    return df.withColumns({c: F.col(f"`{c}`").cast("string") for c in names})
+
+
+def ids_back(df: DataFrame, name: str, kind: T.DataType) -> DataFrame:
+    """df with ids of their own type again."""
+    return df.withColumn(name, F.col(f"`{name}`").cast(kind))
+
+
 def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

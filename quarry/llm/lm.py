@@ -1,30 +1,33 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in numpy.
 
-Texts are lower-cased (A-Z) and split at ASCII white space; the subword ids of a text are those of its words, each with
-a space before it, then one end id. The last id of a word is told apart from the same id within one, so the words that
-ids spell have a distribution of their own. Counts of words are taken over all training documents; the counts of
-subword ids follow from them and give the model's prior. The attention layer is trained on every id of every training
-document once, one half of the documents in each of two rounds: partitions train side by side from the same weights,
-which are then averaged.
-
-Training and scoring put the ids of many documents in one row of blocks of CONTEXT ids. Each block attends to itself and
-the block before it, so windows of two blocks overlap by one and each id is predicted once, with the ids before it in
-its own document; a mask hides later ids and other documents. An id is predicted digit by digit, in base DIGITS and by rank of
-frequency, so that a score costs six small softmaxes instead of one over the vocabulary; the product is a
-distribution over all ids. A word's chance is that of its ids, mixed with the word's share of the training
-tokens, smoothed by one as in the base score.
-
-Both scores need the count of each word. Words that make up at least one in COMMON tokens are at most COMMON, so their
-counts are broadcast; all other words go out with the chances of their ids to be joined with their counts, and none of
-these has many rows.
+Texts are lower-cased (A-Z) and split at ASCII white space; a text's tokens are its words and one end. A token enters the
+model as the mean of the vectors of its subword ids. Every vector, class, weight and threshold is learnt from all
+training documents:
+
+1. Words are counted.
+2. Each subword id gets a vector from the documents it occurs in, by random indexing: ids have random signs, a document
+   is the rounded direction of the sum of its ids' signs, and an id sums up the documents it occurs in. The sums are
+   integers, so no order of rows changes them. Their principal axes are the vectors.
+3. k-means on these vectors gives CLASSES; a word's class is that of the mean of its ids. The last class is the end.
+4. The attention model predicts the class of each token from the tokens before it: token t attends to those of its block
+   of CONTEXT tokens and of the block before, a window that overlaps the next one by a block; a mask hides later tokens.
+   Blocks start anew with each document, so a score does not depend on the rows beside it. The document's start stands
+   before its first token.
+
+Training takes each training document once. It has ROUNDS rounds, in each of which all tasks sum up the gradient of
+their documents of that round at the same weights; the sums are added by a shuffle and Adam takes one step. So weights
+do not depend on how rows are dealt out either, but for the rounding of sums.
+
+A token's chance is that of its class in its context times the token's share of its class, smoothed by one: (c + 1) /
+(N_k + V_k + 1). Against the base score, (c + 1) / (N + V + 1), only the class part differs, so all counts are exact in
+both. Words that make up at least one in COMMON tokens are at most COMMON, so their counts are broadcast; all other
+words are joined with their counts, and none of these has many rows.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-import pickle
-from array import array
 from collections import Counter
 
 import numpy as np
@@ -32,21 +35,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, or_empty, table
+from quarry.llm.common import ids_back, ids_out, materialize, or_empty, table
 
-WIDTH = 16
-CONTEXT = 16
-#: Digits of an id, and their base: BASE ** DIGITS is at least the size of the vocabulary.
-DIGITS, BASE = 6, 7
-#: Weight of a word's share against the chance of its ids.
-SHARE = 0.7
+#: Components of a vector, tokens of a block, units between attention and classes, classes.
+WIDTH, CONTEXT, HIDDEN, CLASSES = 16, 16, 32, 32
+#: Steps of training, and the first one's length; it falls evenly.
+ROUNDS, RATE = 16, 0.06
 COMMON = 1_000_000
-#: Ids scored at once, and ids of a step of training.
-BATCH, TRAINED = 1 << 12, 1 << 11
-#: Characters of texts whose ids are laid out at once.
+#: Tokens in a step of the numpy code.
+BATCH = 1 << 12
+#: Characters of texts taken at once.
 CHARS = 1_000_000
-#: Words a task counts before it passes them on.
-COUNTED = 400_000
+#: Words a task counts before it passes them on, and words whose ids it keeps.
+COUNTED, KEPT = 400_000, 300_000
+#: Longer words are encoded piece by piece.
+PIECE = 1000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -60,311 +63,386 @@ def _subwords(path: str):
     return _fast(path)
 
 
-class WordIds:
-    """Subword ids of words; the last id of a word is raised by the size of the vocabulary.
+def word_ids(path: str, word: bytes) -> list[int]:
+    """Subword ids of a word, with a space before it; the empty word is the end, an id of its own."""
+    enc = _subwords(path)
+    if not word:
+        return [enc.n_vocab]
+    text = " " + word.decode()
+    if len(text) <= PIECE:
+        return enc.encode_ordinary(text)
+    return [i for s in range(0, len(text), PIECE) for i in enc.encode_ordinary(text[s : s + PIECE])]
 
-    Each cached word holds its ids as bytes and the log10 of its count plus 1, None where it is not common.
-    """
 
-    def __init__(self, path: str, logs: dict[bytes, float] | None = None):
-        self.encode = _subwords(path)
-        self.size = self.encode.n_vocab
-        self.logs = logs or {}
-        self.cache: dict[bytes, tuple[bytes, float | None]] = {}
+class Words:
+    """Numbers of words, and their ids in one row; number 0 is the end. It starts anew when full()."""
 
-    def ids(self, word: bytes) -> list[int]:
-        out = self.encode.encode_ordinary(" " + word.decode())
-        out[-1] += self.size
-        return out
+    def __init__(self, path: str):
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        self.names: list[bytes] = []
+        self.index: dict[bytes, int] = {}
+        self.flat: list[int] = []
+        self.sizes: list[int] = []
+        self.number([b""])
 
-    def entries(self, words: list[bytes]) -> list[tuple[bytes, float | None]]:
-        if len(self.cache) > 300_000:
-            self.cache.clear()  # it starts anew
-        got = list(map(self.cache.get, words))
+    def full(self) -> bool:
+        return len(self.names) > KEPT
+
+    def number(self, words: list[bytes]) -> list[int]:
+        got = list(map(self.index.get, words))
         if None in got:
             for k, x in enumerate(got):
                 if x is None:
                     w = words[k]
-                    got[k] = self.cache.get(w) or self.cache.setdefault(w, (array("i", self.ids(w)).tobytes(), self.logs.get(w)))
+                    if w not in self.index:
+                        self.index[w] = len(self.names)
+                        self.names.append(w)
+                        ids = word_ids(self.path, w)
+                        self.flat += ids
+                        self.sizes.append(len(ids))
+                    got[k] = self.index[w]
         return got
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join([x[0] for x in self.entries(words)]), "<i4")
+    def texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the tokens of texts in a row, and the number of tokens of each text."""
+        out, lengths = [], []
+        for t in texts:
+            got = self.number(words_of(t))
+            got.append(0)
+            out += got
+            lengths.append(len(got))
+        return np.array(out, "int64"), np.array(lengths, "int64")
+
+
+def _groups(pdf: pd.DataFrame):
+    """Parts of pdf with texts of some CHARS."""
+    size = pdf["text"].str.len().cumsum().to_numpy()
+    for group in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(size // CHARS)) + 1):
+        if len(group):
+            yield pdf.iloc[group]
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) over the column ``text``; the empty word stands for the ends of texts."""
+
+    def count(frames):
+        c = Counter()
+        for pdf in frames:
+            for t in pdf["text"]:
+                c.update(words_of(t))
+                c[b""] += 1
+                if len(c) > COUNTED:
+                    yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+                    c = Counter()
+        yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+
+    return texts.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @functools.cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
-class Prior:
-    """Ids by rank of their counts as digits, and the log chances of each digit after those before it."""
-
-    def __init__(self, counts: np.ndarray):
-        self.size = len(counts)
-        if self.size > BASE**DIGITS:
-            raise ValueError("the vocabulary needs more digits")
-        rank = np.empty(self.size, "int64")
-        rank[np.argsort(-counts, kind="stable")] = np.arange(self.size)
-        rows = [rank // BASE ** (DIGITS - k) for k in range(DIGITS)]
-        #: Of each id: where its digits are in a row of chances.
-        self.places = np.stack([k * BASE + rank // BASE ** (DIGITS - 1 - k) % BASE for k in range(DIGITS)], 1)
-        mass = np.zeros(BASE**DIGITS)
-        mass[rank] = counts + 1.0
-        #: Of each id: the log chances of every digit at each place after the digits before it, place by place.
-        self.chances = np.empty((self.size, DIGITS * BASE), "float32")
-        for k in range(DIGITS):
-            each = mass.reshape(BASE**k, BASE, -1).sum(2)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                table = np.maximum(np.nan_to_num(np.log(each / each.sum(1, keepdims=True)), nan=-40), -40).astype("float32")
-            self.chances[:, k * BASE : (k + 1) * BASE] = table[rows[k]]
-
-
-def initial(size: int) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(5)
-    d = WIDTH
-    return {
-        "embed": (rng.standard_normal((size, d)) * 0.3).astype("float32"),
-        "query": (rng.standard_normal((d, d)) / math.sqrt(d)).astype("float32"),
-        "key": (rng.standard_normal((d, d)) / math.sqrt(d)).astype("float32"),
-        "value": (rng.standard_normal((d, d)) / math.sqrt(d)).astype("float32"),
-        "near": np.zeros((CONTEXT, 2 * CONTEXT), "float32"),
-        "out": np.zeros((d, DIGITS * BASE), "float32"),
-    }
-
-
-#: Added to the scores of later ids, whose weight is then zero.
+def signs(size: int) -> np.ndarray:
+    return (np.random.default_rng(3).integers(0, 2, (size, WIDTH)) * 2 - 1).astype("int32")
+
+
+def id_sums(texts: DataFrame, path: str) -> DataFrame:
+    """(id, n, s0, s1 ...): how often each subword id occurs, and the sum of the documents it occurs in."""
+    names = [f"s{j}" for j in range(WIDTH)]
+
+    def work(frames):
+        words, size = Words(path), _subwords(path).n_vocab + 1
+        own = signs(size)
+        pooled, sums = np.zeros((0, WIDTH), "int32"), np.zeros((0, WIDTH + 1))
+
+        def passed():
+            total = np.zeros((size, WIDTH + 1))
+            flat, at = np.array(words.flat, "int64"), np.repeat(np.arange(len(sums)), words.sizes[: len(sums)])
+            for j in range(WIDTH + 1):
+                total[:, j] = np.bincount(flat[: len(at)], sums[at, j], size)
+            some = np.flatnonzero(total[:, WIDTH])
+            out = pd.DataFrame(total[some].astype("int64"), columns=[*names, "n"])
+            out.insert(0, "id", some)
+            return out
+
+        for pdf in frames:
+            for part in _groups(pdf):
+                numbers, lengths = words.texts(part["text"])
+                new = len(words.names) - len(pooled)
+                if new:
+                    sizes = np.array(words.sizes[len(pooled) :])
+                    flat = np.array(words.flat[len(words.flat) - int(sizes.sum()) :], "int64")
+                    pooled = np.concatenate([pooled, np.add.reduceat(own[flat], np.cumsum(sizes) - sizes)])
+                    sums = np.concatenate([sums, np.zeros((new, WIDTH + 1))])
+                docs = np.add.reduceat(pooled[numbers].astype("int64"), np.cumsum(lengths) - lengths).astype("float64")
+                docs = np.round(100 * docs / np.maximum(1, np.sqrt((docs**2).sum(1, keepdims=True))))
+                for j in range(WIDTH):
+                    sums[:, j] += np.bincount(numbers, np.repeat(docs[:, j], lengths), len(sums))
+                sums[:, WIDTH] += np.bincount(numbers, minlength=len(sums))
+                if words.full():
+                    yield passed()
+                    words.clear()
+                    pooled, sums = pooled[:0], sums[:0]
+        if len(sums):
+            yield passed()
+
+    kind = ", ".join(["id int", *(f"{c} long" for c in names), "n long"])
+    return texts.select("text").mapInPandas(work, kind).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+
+
+def id_vectors(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A vector for each id: its mean document less that of all ids, on principal axes; rare ids are drawn to zero."""
+    total = counts.sum()
+    if not total:
+        return np.zeros_like(sums, "float32")
+    x = (sums - sums.sum(0) / total * counts[:, None]) / (counts[:, None] + 5)
+    _, axes = np.linalg.eigh((x * counts[:, None]).T @ x / total)
+    x = x @ axes[:, ::-1]
+    size = math.sqrt((x**2 * counts[:, None]).sum() / total / WIDTH)
+    return (x / (2 * size + 1e-9)).astype("float32")
+
+
+def k_means(x: np.ndarray, weight: np.ndarray, k: int, steps: int = 15) -> np.ndarray:
+    """Centres of weighted k-means, from the heaviest point and then those with the most weighted distance."""
+    centres = np.zeros((k, x.shape[1]))
+    if not weight.any():
+        return centres
+    x = x.astype("float64")
+    centres[0] = x[int(np.argmax(weight))]
+    far = ((x - centres[0]) ** 2).sum(1) * weight
+    for j in range(1, k):
+        centres[j] = x[int(np.argmax(far))]
+        far = np.minimum(far, ((x - centres[j]) ** 2).sum(1) * weight)
+    for _ in range(steps):
+        near = nearest(x, centres)
+        mass = np.bincount(near, weight, k)
+        for c in range(x.shape[1]):
+            centres[:, c] = np.where(mass > 0, np.bincount(near, weight * x[:, c], k) / np.maximum(mass, 1), centres[:, c])
+    return centres
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
+
+
+class Vocabulary:
+    """Vectors of ids and centres of classes; both of bounded size."""
+
+    def __init__(self, sums: np.ndarray, counts: np.ndarray):
+        self.vectors = id_vectors(sums, counts)
+        self.centres = k_means(self.vectors, counts.astype("float64"), CLASSES - 1)
+
+    def of(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors and classes of words, from their ids in a row."""
+        sizes = np.asarray(sizes, "int64")
+        x = np.add.reduceat(self.vectors[flat], np.cumsum(sizes) - sizes) / sizes[:, None].astype("float32")
+        kind = nearest(x.astype("float64"), self.centres)
+        kind[flat[np.cumsum(sizes) - 1] == len(self.vectors) - 1] = CLASSES - 1
+        return x, kind
+
+
+class Tokens(Words):
+    """Words with their vectors and classes."""
+
+    def __init__(self, path: str, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        super().__init__(path)
+
+    def clear(self) -> None:
+        self.x, self.kind = np.zeros((0, WIDTH), "float32"), np.zeros(0, "int64")
+        super().clear()
+
+    def texts(self, texts):
+        out = super().texts(texts)
+        new = len(self.names) - len(self.kind)
+        if new:
+            sizes = np.array(self.sizes[len(self.kind) :])
+            x, kind = self.vocabulary.of(np.array(self.flat[len(self.flat) - int(sizes.sum()) :], "int64"), sizes)
+            self.x, self.kind = np.concatenate([self.x, x]), np.concatenate([self.kind, kind])
+        return out
+
+
+SHAPES = {
+    "match": (WIDTH, WIDTH),  # queries' times keys' weights
+    "near": (CONTEXT, 2 * CONTEXT),
+    "value": (WIDTH, WIDTH),
+    "inner": (2 * WIDTH, HIDDEN),
+    "shift": (HIDDEN,),
+    "out": (HIDDEN, CLASSES),
+    "prior": (CLASSES,),
+}
+_ENDS = np.cumsum([math.prod(s) for s in SHAPES.values()])
+
+
+def unpacked(row: np.ndarray, kind: str = "float32") -> dict[str, np.ndarray]:
+    """Weights by name, from all of them in a row."""
+    return {k: part.reshape(s).astype(kind) for (k, s), part in zip(SHAPES.items(), np.split(np.asarray(row, "float64"), _ENDS[:-1]))}
+
+
+def packed(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.asarray(p[k], "float64").ravel() for k in SHAPES])
+
+
+def initial(share: np.ndarray) -> np.ndarray:
+    """Weights before training: the classes' shares, whatever the context."""
+    p = {k: np.zeros(s) for k, s in SHAPES.items()}
+    p["value"] = np.eye(WIDTH)
+    p["inner"] = np.random.default_rng(5).standard_normal(SHAPES["inner"]) / math.sqrt(2 * WIDTH)
+    p["shift"] += 0.1
+    p["prior"] = np.log(share)
+    return packed(p)
+
+
+#: Added to the scores of later tokens, whose weight is then zero.
 _LATER = np.where(np.arange(2 * CONTEXT)[None, :] <= np.arange(CONTEXT)[:, None] + CONTEXT, 0, -1e9).astype("float32")
 _ONES = np.ones((2 * CONTEXT, 1), "float32")
-#: Sums up each digit's part of a row.
-_PLACES = np.kron(np.eye(DIGITS), np.ones((BASE, 1))).astype("float32")
 
 
-def _with_previous(x: np.ndarray) -> np.ndarray:
-    """Blocks (n, CONTEXT, ...) each with the block before it in front."""
-    before = np.concatenate([np.zeros_like(x[:1]), x[:-1]])
-    return np.concatenate([before, x], 1)
+def laid_out(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens of documents laid out in whole blocks, and for each block whether a document starts there."""
+    blocks = -(-lengths // CONTEXT)
+    starts = (np.cumsum(blocks) - blocks) * CONTEXT
+    first = np.zeros(int(blocks.sum()), bool)
+    first[starts // CONTEXT] = True
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths), first
+
 
+def forward(p: dict, x: np.ndarray, first: np.ndarray, targets: np.ndarray):
+    """Log chances (natural) of targets, and what the gradient needs.
 
-def forward(p: dict, prior: Prior, inputs: np.ndarray, targets: np.ndarray, seg: np.ndarray):
-    """Log chances (natural) of targets, and what the gradient needs. Lengths are multiples of CONTEXT."""
+    x has the vectors of the tokens before, laid out in blocks; the block before the first one is not seen.
+    """
     d, c = WIDTH, CONTEXT
-    x = p["embed"][inputs]
+    blocks = x.reshape(-1, c, d)
+    window = np.concatenate([np.concatenate([np.zeros_like(blocks[:1]), blocks[:-1]]), blocks], 1)
+    a = np.matmul((x @ p["match"]).reshape(-1, c, d), window.transpose(0, 2, 1))
+    a += p["near"] + _LATER
     # Bounded values keep the exponentials finite.
-    q, k = (np.clip(x @ p[w], -4, 4).reshape(-1, c, d) for w in ("query", "key"))
-    v = (x @ p["value"]).reshape(-1, c, d)
-    kc, vc = _with_previous(k), _with_previous(v)
-    s = seg.reshape(-1, c)
-    sc = np.concatenate([np.concatenate([np.full_like(s[:1], -1), s[:-1]]), s], 1)
-    score = np.matmul(q, kc.transpose(0, 2, 1))
-    score *= 1 / math.sqrt(d)
-    score += p["near"] + _LATER
-    a = np.exp(score, out=score)
-    mixed = np.flatnonzero((sc != s[:, :1]).any(1))
-    a[mixed] *= sc[mixed, None, :] == s[mixed, :, None]
+    np.exp(np.clip(a, -60, 30, out=a), out=a)
+    a *= _LATER == 0
+    a[np.flatnonzero(first), :, :c] = 0
     a /= np.matmul(a, _ONES)
-    h = np.clip(x + np.matmul(a, vc).reshape(-1, d), -8, 8)
-    z = h @ p["out"]
-    z += prior.chances.take(targets, 0)
-    t = prior.places.take(targets, 0)
-    picked = z.ravel().take(t + (np.arange(len(t)) * DIGITS * BASE)[:, None]) @ np.ones(DIGITS, z.dtype)
-    e = np.exp(z, out=z)
-    total = e @ _PLACES
-    whole = total[:, 0].astype("float64")
-    for k in range(1, DIGITS):
-        whole *= total[:, k]
-    logs = picked - np.log(whole)
-    return logs, (x, q, kc, vc, a, h, e, total, t)
+    mean = np.matmul(a, window).reshape(-1, d)
+    h = np.concatenate([x, mean @ p["value"]], 1)
+    f = np.maximum(h @ p["inner"] + p["shift"], 0)
+    z = f @ p["out"] + p["prior"]
+    z -= z.max(1, keepdims=True)
+    e = np.exp(z)
+    total = e.sum(1)
+    logs = z.ravel().take(targets + np.arange(len(targets)) * CLASSES) - np.log(total)
+    return logs, (x, window, a, mean, h, f, e / total[:, None], targets)
 
 
 def gradient(p: dict, kept, weights: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the weighted sum of log chances, negated; embed has a row for each input."""
-    x, q, kc, vc, a, h, e, total, t = kept
+    """Gradient of the weighted sum of log chances, negated."""
+    x, window, a, mean, h, f, dz, targets = kept
     d, c = WIDTH, CONTEXT
-    rows = np.arange(len(t))
-    dz = e.reshape(-1, DIGITS, BASE) / total[:, :, None]
-    for k in range(DIGITS):
-        dz[rows, k, t[:, k] - k * BASE] -= 1
-    dz = dz.reshape(len(t), -1) * weights[:, None]
-    dh = dz @ p["out"].T
-    db = dh.reshape(-1, c, d)
-    da = np.matmul(db, vc.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    scale = 1 / math.sqrt(d)
-
-    def own(g):
-        out = g[:, c:].copy()
-        out[:-1] += g[1:, :c]
-        return out.reshape(-1, d)
-
-    dq = (np.matmul(ds, kc) * scale).reshape(-1, d)
-    dk = own(np.matmul(ds.transpose(0, 2, 1), q) * scale)
-    dv = own(np.matmul(a.transpose(0, 2, 1), db))
-    dx = dh + dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T
-    return {"embed": dx, "query": x.T @ dq, "key": x.T @ dk, "value": x.T @ dv, "near": ds.sum(0), "out": h.T @ dz}
-
-
-def laid_out(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and documents of ids, which holds those of all documents in a row; padded to whole blocks."""
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    seg = np.repeat(np.arange(len(lengths), dtype="int32"), lengths)
-    inputs = np.empty(len(ids), "int64")
-    inputs[1:] = ids[:-1]
-    inputs[starts] = end
-    pad = -len(ids) % CONTEXT
-    return np.append(inputs, np.full(pad, end)), np.append(ids, np.full(pad, end)).astype("int64"), np.append(seg, np.full(pad, -2, "int32"))
-
-
-def squares(p: dict) -> dict[str, np.ndarray]:
-    """Where Adagrad sums up squares, before the first step."""
-    return {k: np.full(len(v) if k == "embed" else v.shape, 1e-2, "float32") for k, v in p.items()}
-
-
-def train(p: dict, seen: dict, prior: Prior, ids: np.ndarray, lengths: np.ndarray, end: int, rate: float = 0.3) -> None:
-    """One pass of Adagrad over all ids, laid out as for scores, in place."""
-    inputs, targets, seg = laid_out(ids, lengths, end)
-    for s in range(0, len(inputs), TRAINED):
-        lead = CONTEXT if s else 0  # the block before, for its keys and values
-        part = slice(s - lead, s + TRAINED)
-        x = inputs[part]
-        weights = (seg[part] >= 0).astype("float32")
-        weights[:lead] = 0
-        _, kept = forward(p, prior, x, targets[part], seg[part])
-        g = gradient(p, kept, weights / max(1.0, weights.sum()) * 16)
-        rows, at = np.unique(x, return_inverse=True)
-        ge = np.zeros((len(rows), WIDTH), "float32")
-        np.add.at(ge, at, g.pop("embed"))
-        seen["embed"][rows] += (ge**2).mean(1)
-        p["embed"][rows] -= rate * ge / np.sqrt(seen["embed"][rows])[:, None]
-        for name, x in g.items():
-            seen[name] += x**2
-            p[name] -= rate * x / np.sqrt(seen[name])
-
-
-def score_stream(p: dict, prior: Prior, ids: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
-    """Log10 chance of each id; ids holds those of all documents in a row, each with its end id."""
-    n = len(ids)
-    inputs, targets, seg = laid_out(ids, lengths, end)
-    logs = np.empty(len(inputs))
-    for s in range(0, len(inputs), BATCH):
-        lead = CONTEXT if s else 0  # the block before, for its keys and values
-        part = slice(s - lead, s + BATCH)
-        logs[s : s + BATCH] = forward(p, prior, inputs[part], targets[part], seg[part])[0][lead:]
-    return logs[:n] / math.log(10)
-
-
-def own_words(logs: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Log10 chance of the ids of each word, up to each True in last."""
-    return np.add.reduceat(logs, np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]))
-
-
-def mixed_words(own: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Log10 chance of each word: of its ids mixed with its share (both log10)."""
-    own = own + math.log10(1 - SHARE)
-    other = share + math.log10(SHARE)
-    gap = np.abs(own - other)
-    return np.maximum(own, other) + np.log1p(np.exp(gap * -math.log(10))) / math.log(10)
-
-
-def _changes(new: dict, old: dict) -> dict:
-    """What training changed: the touched rows of embed, and the other weights whole."""
-    rows = np.flatnonzero((new["embed"] != old["embed"]).any(1))
-    return {"rows": rows.astype("int32"), "embed": new["embed"][rows] - old["embed"][rows]} | {k: new[k] - old[k] for k in new if k != "embed"}
-
-
-def _add(total: dict, changes: dict, times: float) -> None:
-    np.add.at(total["embed"], changes["rows"], changes["embed"] * np.float32(times))
-    for k in total:
-        if k != "embed":
-            total[k] += changes[k] * np.float32(times)
+    dz = dz * weights[:, None]
+    dz.ravel()[targets + np.arange(len(targets)) * CLASSES] -= weights
+    df = (dz @ p["out"].T) * (f > 0)
+    dv = (df @ p["inner"].T)[:, d:]
+    da = np.matmul((dv @ p["value"].T).reshape(-1, c, d), window.transpose(0, 2, 1))
+    da -= np.matmul(da * a, _ONES)
+    da *= a
+    dq = np.matmul(da, window).reshape(-1, d)
+    return {"match": x.T @ dq, "near": da.sum(0), "value": mean.T @ dv, "inner": h.T @ df, "shift": df.sum(0), "out": f.T @ dz, "prior": dz.sum(0)}
 
 
-class Scorer:
-    """What scoring needs, all of bounded size: weights, prior, counts of common words, and N and V."""
+def _steps(tokens: Tokens, numbers: np.ndarray, lengths: np.ndarray):
+    """Vectors of the tokens before, first blocks, targets and which of these are tokens, some BATCH at a time.
 
-    def __init__(self, weights: dict, prior: Prior, common: dict[bytes, int], n: int, v: int):
-        self.weights, self.prior, self.common, self.n, self.v = weights, prior, common, n, v
-        self.whole = math.log10(n + v + 1)
-        self.logs = {w: math.log10(c + 1) for w, c in common.items()}
+    Each step but the first begins with the block before it, whose tokens are no targets of its own.
+    """
+    places, first = laid_out(lengths)
+    size = len(first) * CONTEXT
+    before = np.zeros(size, "int64")
+    before[places] = np.where(np.arange(len(numbers)) == np.repeat(np.cumsum(lengths) - lengths, lengths), 0, np.concatenate([[0], numbers[:-1]]))
+    targets, real = np.zeros(size, "int64"), np.zeros(size, bool)
+    targets[places], real[places] = tokens.kind[numbers], True
+    for s in range(0, size, BATCH):
+        part = slice(max(0, s - CONTEXT), s + BATCH)
+        own = real[part].copy()
+        own[: s - part.start] = False
+        yield tokens.x[before[part]], first[part.start // CONTEXT : (s + BATCH) // CONTEXT], targets[part], own
+
+
+def gradients(texts: DataFrame, path: str, weights: np.ndarray, vocabulary) -> tuple[np.ndarray, int]:
+    """The sum of the gradients of all tokens of the column ``text`` at the given weights, and the number of tokens."""
 
+    def work(frames):
+        p, tokens = unpacked(weights), Tokens(path, vocabulary.value)
+        total, n = np.zeros(len(weights)), 0
+        for pdf in frames:
+            for part in _groups(pdf):
+                if tokens.full():
+                    tokens.clear()
+                for x, first, targets, own in _steps(tokens, *tokens.texts(part["text"])):
+                    _, kept = forward(p, x, first, targets)
+                    total += packed(gradient(p, kept, own.astype("float32")))
+                    n += int(own.sum())
+        yield pd.DataFrame({"sums": [np.append(total, n)] if n else []})
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over the column ``text``; the empty word stands for the ends of texts."""
+    rows = texts.select("text").mapInPandas(work, "sums array<double>").select(F.posexplode("sums").alias("place", "value"))
+    # One row for each weight.
+    got = rows.groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").toPandas()["value"].to_numpy()
+    return (got[:-1], int(got[-1])) if len(got) else (np.zeros(len(weights)), 0)
 
-    def count(frames):
-        c = Counter()
-        for pdf in frames:
-            for t in pdf["text"]:
-                c.update(words_of(t))
-                c[b""] += 1
-                if len(c) > COUNTED:
-                    yield pd.DataFrame({"word": list(c), "n": list(c.values())})
-                    c = Counter()
-        yield pd.DataFrame({"word": list(c), "n": list(c.values())})
 
-    return texts.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+class Scorer:
+    """What scoring needs, all of bounded size: weights, vocabulary, class sizes, counts of common words, and N and V."""
+
+    def __init__(self, weights: np.ndarray, vocabulary: Vocabulary, sizes: np.ndarray, common: dict[bytes, int], n: int, v: int):
+        self.weights, self.vocabulary, self.sizes, self.n, self.v = weights, vocabulary, sizes, n, v
+        self.logs = {w: math.log10(c + 1) for w, c in common.items()}
+
+    def own(self, tokens: Tokens, numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each token the log10 chance of its class less the log10 size of it."""
+        p, out = unpacked(self.weights), []
+        for x, first, targets, own in _steps(tokens, numbers, lengths):
+            logs = forward(p, x, first, targets)[0].astype("float64") / math.log(10) - np.log10(self.sizes)[targets]
+            out.append(logs[own])
+        return np.concatenate(out)
 
 
 def fit(texts: DataFrame, path: str) -> tuple[Scorer, DataFrame]:
     """A scorer from the training texts (doc_id, text), and their word counts (word, n)."""
     spark = texts.sparkSession
-    counts = materialize(word_counts(texts))
+    sliced = materialize(texts.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int")), "slice")
+    counts = materialize(word_counts(sliced))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(1, n // COMMON)
     # At most COMMON words have at least n / COMMON tokens, and at most n words at all. The end counts as one of them.
     common = {bytes(r["word"]): r["n"] for r in counts.filter((F.col("n") >= least) | (F.length("word") == 0)).toLocalIterator()}
 
-    def id_counts(frames):
-        enc, seen = word_ids(path), [0] * (2 * _subwords(path).n_vocab)
+    size = _subwords(path).n_vocab + 1
+    seen = id_sums(sliced, path).toPandas()  # one row for each subword id at most
+    sums, id_counts = np.zeros((size, WIDTH)), np.zeros(size)
+    sums[seen["id"]], id_counts[seen["id"]] = seen[[f"s{j}" for j in range(WIDTH)]].to_numpy(), seen["n"]
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(sums, id_counts))
+
+    def classed(frames):
         for pdf in frames:
-            for w, k in zip(pdf["word"], pdf["n"]):
-                if w:
-                    for i in enc.ids(w):
-                        seen[i] += k
-        some = np.flatnonzero(seen)
-        yield pd.DataFrame({"id": some, "n": np.array(seen)[some]})
-
-    end = 2 * _subwords(path).n_vocab
-    seen = np.zeros(end + 1, "int64")
-    # One row for each subword id at most.
-    for r in counts.mapInPandas(id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
-        seen[r["id"]] = r["n"]
-    seen[end] = common.get(b"", 0)
-    prior = Prior(seen)
-    weights = initial(len(seen))
-    for k in range(2):
-        held = spark.sparkContext.broadcast((weights, prior))
-
-        def work(frames, held=held):
-            p, own = ({k: x.copy() for k, x in held.value[0].items()}, held.value[1])
-            enc, sums, trained = word_ids(path), squares(p), 0
-            for pdf in frames:
-                size = pdf["text"].str.len().cumsum().to_numpy()
-                for group in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(size // CHARS)) + 1):
-                    docs = [np.append(enc.of(words_of(t)), end) for t in pdf["text"].iloc[group]]
-                    lengths = np.array([len(x) for x in docs], "int64")
-                    if len(docs):
-                        train(p, sums, own, np.concatenate(docs), lengths, end)
-                        trained += int(lengths.sum())
-            yield pd.DataFrame({"weights": [pickle.dumps(_changes(p, held.value[0]))] if trained else [], "n": [trained] if trained else []})
-
-        def gather(frames, held=held):
-            start = held.value[0]
-            total, n = {k: np.zeros_like(x) for k, x in start.items()}, 0
-            for pdf in frames:
-                for raw, k in zip(pdf["weights"], pdf["n"]):
-                    _add(total, pickle.loads(raw), k)
-                    n += k
-            yield pd.DataFrame({"weights": [pickle.dumps(_changes(total, {k: np.zeros_like(x) for k, x in start.items()}))] if n else [], "n": [n] if n else []})
-
-        half = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k).select("text")
-        kind = "weights binary, n long"
-        # Four sums reach the driver, however many partitions train.
-        got = half.mapInPandas(work, kind).repartition(4).mapInPandas(gather, kind).toPandas()
-        weights = {k: x.copy() for k, x in weights.items()}
-        for raw in got["weights"]:
-            _add(weights, pickle.loads(raw), 1 / got["n"].sum())
-    return Scorer(weights, prior, common, n, v), counts
+            for s in range(0, len(pdf), 20_000):
+                some = pdf.iloc[s : s + 20_000]
+                ids = [word_ids(path, w) for w in some["word"]]
+                kind = vocabulary.value.of(np.array([i for x in ids for i in x], "int64"), [len(x) for x in ids])[1]
+                yield pd.DataFrame({"kind": kind, "n": some["n"].to_numpy()})
+
+    sizes = np.ones(CLASSES)
+    for r in counts.mapInPandas(classed, "kind int, n long").groupBy("kind").agg((F.sum("n") + F.count("*")).alias("size")).collect():
+        sizes[r["kind"]] += r["size"]
+    weights = initial(sizes / sizes.sum())
+    mean, square = np.zeros_like(weights), np.zeros_like(weights)
+    step = 0
+    for k in range(ROUNDS):
+        total, tokens = gradients(sliced.filter(F.col("slice") == k), path, weights, vocabulary)
+        if tokens:
+            g = total / tokens
+            step += 1
+            mean, square = 0.8 * mean + 0.2 * g, 0.9 * square + 0.1 * g**2
+            weights = weights - RATE * (1 - k / ROUNDS) * mean / (1 - 0.8**step) / (np.sqrt(square / (1 - 0.9**step)) + 1e-6)
+    return Scorer(weights, vocabulary.value, sizes, common, n, v), counts
 
 
 def is_training(doc_id: Column) -> Column:
@@ -375,73 +453,58 @@ def score_texts(docs: DataFrame, training: Column, path: str, doc_id: str = "doc
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     training says which rows are learnt from; a null there counts as held out. Null and empty texts are one end.
-    Without training rows all counts are zero and the model is its uniform start.
+    Repeated rows count and are scored as often as they occur. Without training rows all counts are zero and all
+    classes are as likely. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).alias("doc_id"), or_empty(F.col(text)).alias("text"), (~F.coalesce(training, F.lit(False))).alias("held_out"))
     scorer, counts = fit(texts.filter("not held_out").select("doc_id", "text"), path)
     held = spark.sparkContext.broadcast(scorer)
-    end = scorer.prior.size - 1
 
     def work(frames):
         s = held.value
-        enc = WordIds(path, s.logs)
-        stop = (array("i", [end]).tobytes(), s.logs.get(b""))
+        tokens, logs = Tokens(path, s.vocabulary), np.zeros(0)
         for pdf in frames:
-            size = pdf["text"].str.len().cumsum().to_numpy()
-            for group in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(size // CHARS)) + 1):
-                part, rows, streams, shares, others = pdf.iloc[group], [], [], [], []
-                for t in part["text"]:
-                    words = words_of(t)
-                    got = enc.entries(words)
-                    got.append(stop)
-                    words.append(b"")
-                    streams.append(np.frombuffer(b"".join([x[0] for x in got]), "<i4"))
-                    rare = [k for k, x in enumerate(got) if x[1] is None]
-                    known = np.array([x[1] or 0.0 for x in got])
-                    shares.append(known - s.whole)
-                    others.append((rare, [words[k] for k in rare]))
-                    rows.append((len(words), len(words) - len(rare), known.sum()))
-                lengths = np.array([len(x) for x in streams])
-                out = pd.DataFrame(rows, columns=["n_tokens", "n_common", "common"])
+            for part in _groups(pdf):
+                if tokens.full():
+                    tokens.clear()
+                    logs = logs[:0]
+                numbers, lengths = tokens.texts(part["text"])
+                logs = np.append(logs, [s.logs.get(w, np.nan) for w in tokens.names[len(logs) :]])
+                starts = np.cumsum(lengths) - lengths
+                known = logs[numbers]
+                rare = np.isnan(known)
+                out = pd.DataFrame({"n_tokens": lengths})
+                out["n_common"] = np.add.reduceat((~rare).astype("int64"), starts)
+                out["common"] = np.add.reduceat(np.where(rare, 0, known), starts)
+                out["own"] = np.add.reduceat(s.own(tokens, numbers, lengths), starts)
                 out.insert(0, "held_out", part["held_out"].to_numpy())
-                out.insert(0, "doc_id", part["doc_id"].astype(object).where(part["doc_id"].notna(), None).to_numpy())
-                ids = np.concatenate(streams).astype("int64")
-                own = own_words(score_stream(s.weights, s.prior, ids, lengths, end), ids >= end // 2)
-                firsts = np.concatenate([[0], np.cumsum(out["n_tokens"].to_numpy())[:-1]])
-                # Rare words count as unseen here; the join below makes up for it.
-                out["score"] = np.add.reduceat(mixed_words(own, np.concatenate(shares)), firsts)
-                rare, owns = [], []
-                for at, (places, names) in zip(firsts.tolist(), others):
-                    by = {}
-                    for w, x in zip(names, own[at + np.array(places, "int64")].tolist()):
-                        by.setdefault(w, []).append(x)
-                    rare.append(list(by))
-                    owns.append(list(by.values()))
-                out["rare"], out["owns"] = rare, owns
+                out.insert(0, "doc_id", part["doc_id"].to_numpy())
+                # Each rare word of a document, and its times there.
+                keys, times = np.unique(np.repeat(np.arange(len(part)), lengths)[rare] * len(logs) + numbers[rare], return_counts=True)
+                ends = np.searchsorted(keys, np.arange(1, len(part)) * len(logs))
+                out["rare"] = pd.Series([[tokens.names[k] for k in x.tolist()] for x in np.split(keys % len(logs), ends)], dtype=object)
+                out["times"] = pd.Series(np.split(times, ends), dtype=object)
                 yield out
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_common long, common double, score double, rare array<binary>, owns array<array<double>>"
-    done = materialize(texts.mapInPandas(work, schema).withColumn("row", F.monotonically_increasing_id()))
+    schema = "doc_id string, held_out boolean, n_tokens long, n_common long, common double, own double, rare array<binary>, times array<long>"
+    done = materialize(ids_out(texts, "doc_id").mapInPandas(work, schema).withColumn("row", F.monotonically_increasing_id()))
     least = max(1, scorer.n // COMMON)
-    rare = done.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("owns").alias("owns"))).alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.owns").alias("owns"))
+    rare = done.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))).alias("r")).select("row", "r.word", "r.times")
     # Common words are found in the task; the others have few rows each.
-    found = rare.join(counts.filter(F.col("n") < least), "word").withColumn("times", F.size("owns"))
-    whole = math.log10(scorer.n + scorer.v + 1)
-    # What the exact share adds to the log chances of a word over that of an unseen one.
-    total = scorer.n + scorer.v + 1
-    gains = F.expr(f"aggregate(owns, 0D, (a, own) -> a + log10(({1 - SHARE}D * {total}D * pow(10D, own) + {SHARE}D * (n + 1)) / ({1 - SHARE}D * {total}D * pow(10D, own) + {SHARE}D)))")
-    sums = found.groupBy("row").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"), F.sum(gains).alias("gains"))
-    return done.join(sums, "row", "left").select(
+    found = rare.join(counts.filter(F.col("n") < least), "word")
+    sums = found.groupBy("row").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
+    logs = F.col("common") + F.coalesce("logs", F.lit(0.0))
+    out = done.drop("times").join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_common") + F.coalesce("times", F.lit(0))).alias("n_known"),
         F.lit(scorer.n).cast("long").alias("train_tokens"),
-        (F.col("common") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        (F.col("score") + F.coalesce("gains", F.lit(0.0))).alias("score"),
+        (logs - F.col("n_tokens") * F.lit(math.log10(scorer.n + scorer.v + 1))).alias("base_score"),
+        (logs + F.col("own")).alias("score"),
     )
+    return ids_back(out, "doc_id", docs.schema[doc_id].dataType)
 
 
 def op10_lm_score(spark, sf_dir):

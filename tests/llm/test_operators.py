@@ -192,58 +192,6 @@ def test_quality(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
-def test_gradient():
-    rng = np.random.default_rng(0)
-    prior = lm.Prior(rng.integers(0, 50, 40))
-    p = {k: v.astype("float64") for k, v in lm.initial(40).items()}
-    p["out"] = rng.standard_normal(p["out"].shape) * 0.1
-    n = 4 * lm.CONTEXT
-    x, y, seg = rng.integers(0, 40, n), rng.integers(0, 40, n), np.repeat([0, 1], n // 2)
-    logs, kept = lm.forward(p, prior, x, y, seg)
-    g = lm.gradient(p, kept, np.ones(n))
-    for name in ("query", "value", "out", "near"):
-        at = tuple(k // 2 for k in p[name].shape)
-        q = {k: v.copy() for k, v in p.items()}
-        q[name][at] += 1e-5
-        slope = -(lm.forward(q, prior, x, y, seg)[0].sum() - logs.sum()) / 1e-5
-        assert abs(slope - g[name][at]) < 1e-2 * max(1, abs(slope)), name
-    # The chances of all ids sum to one.
-    total = np.exp([lm.forward(p, prior, x[: lm.CONTEXT], np.full(lm.CONTEXT, t), np.zeros(lm.CONTEXT))[0][-1] for t in range(40)]).sum()
-    assert 0.5 < total <= 1.001
-
-
-def test_lm(docs, none):
-    out = lm.score_texts(docs, lm.is_training(docs["doc_id"]), PATH).collect()
-    train = [(i, t or "") for i, t in texts() if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(w for _, t in train for w in [*t.encode().lower().split(), b"\n"])
-    assert len(out) == len(texts()) and out[0]["train_tokens"] == c.total()
-    for r in out:
-        assert np.isfinite(r["score"]) and r["score"] <= 0
-    one = next(r for r in out if r["doc_id"] == 101)
-    assert one["n_tokens"] == 1 and abs(one["base_score"] - np.log10((c[b"\n"] + 1) / (c.total() + len(c) + 1))) < 1e-9
-    assert lm.score_texts(none, lm.is_training(none["doc_id"]), PATH).count() == 0
-
-
-def test_lm_counts_of_rare_words(docs, monkeypatch):
-    """The score takes the counts of words from the join as it takes those of common ones."""
-    figures = lambda r: (r["doc_id"] or -1, r["n_tokens"], r["base_score"], r["score"])
-    want = sorted(map(figures, lm.score_texts(docs, lm.is_training(docs["doc_id"]), PATH).collect()))
-    monkeypatch.setattr(lm, "COMMON", 50)
-    got = sorted(map(figures, lm.score_texts(docs, lm.is_training(docs["doc_id"]), PATH).collect()))
-    assert np.allclose(np.array(got, float), np.array(want, float), atol=1e-3)
-
-
-def test_lm_trains_on_whole_texts(spark):
-    """Each id of a long document is trained on, wherever it is; the first steps move the output weights alone."""
-    encoder = lm.word_ids(PATH)
-    plain = [w for w in Tokenizer.from_file(PATH).get_vocab() if w.startswith("Ġ") and w[1:].isascii() and w[1:].isalpha() and w[1:].islower()]
-    words = sorted(w[1:] for w in plain)[:9000]
-    scorer, _ = lm.fit(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), PATH)
-    ids = np.unique(encoder.of([w.encode() for w in words[5000:]]))
-    moved = (scorer.weights["embed"] != lm.initial(scorer.prior.size)["embed"]).any(1)
-    assert lm.CONTEXT >= 16 and len(ids) >= 3000 and moved[ids].all()
-
-
 def test_anchors_of_a_very_long_text():
     raw = np.random.default_rng(4).integers(0, 256, (1 << 25) + 9000, dtype="uint8")
     raw[-3000:] = raw[1000:4000]
