@@ -28,7 +28,9 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -46,8 +48,8 @@ COMMON = 1_000_000
 BATCH = 1 << 12
 #: Characters of texts taken at once.
 CHARS = 1_000_000
-#: Words a task counts before it passes them on, and words whose ids it keeps.
-COUNTED, KEPT = 400_000, 300_000
+#: Words a task counts before it passes them on.
+COUNTED = 400_000
 #: Longer words are encoded piece by piece.
 PIECE = 1000
 
@@ -63,58 +65,83 @@ def _subwords(path: str):
     return _fast(path)
 
 
-def word_ids(path: str, word: bytes) -> list[int]:
-    """Subword ids of a word, with a space before it; the empty word is the end, an id of its own."""
+@functools.cache
+def _starts_with_space(path: str) -> np.ndarray:
     enc = _subwords(path)
-    if not word:
-        return [enc.n_vocab]
-    text = " " + word.decode()
-    if len(text) <= PIECE:
-        return enc.encode_ordinary(text)
-    return [i for s in range(0, len(text), PIECE) for i in enc.encode_ordinary(text[s : s + PIECE])]
-
-
-class Words:
-    """Numbers of words, and their ids in one row; number 0 is the end. It starts anew when full()."""
-
-    def __init__(self, path: str):
-        self.path = path
-        self.clear()
-
-    def clear(self) -> None:
-        self.names: list[bytes] = []
-        self.index: dict[bytes, int] = {}
-        self.flat: list[int] = []
-        self.sizes: list[int] = []
-        self.number([b""])
-
-    def full(self) -> bool:
-        return len(self.names) > KEPT
-
-    def number(self, words: list[bytes]) -> list[int]:
-        got = list(map(self.index.get, words))
-        if None in got:
-            for k, x in enumerate(got):
-                if x is None:
-                    w = words[k]
-                    if w not in self.index:
-                        self.index[w] = len(self.names)
-                        self.names.append(w)
-                        ids = word_ids(self.path, w)
-                        self.flat += ids
-                        self.sizes.append(len(ids))
-                    got[k] = self.index[w]
-        return got
-
-    def texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the tokens of texts in a row, and the number of tokens of each text."""
-        out, lengths = [], []
-        for t in texts:
-            got = self.number(words_of(t))
-            got.append(0)
-            out += got
-            lengths.append(len(got))
-        return np.array(out, "int64"), np.array(lengths, "int64")
+    return np.array([enc.decode_single_token_bytes(i).startswith(b" ") for i in range(enc.n_vocab)])
+
+
+#: White space beyond ASCII, which words may hold and the vocabulary's pattern parts.
+_SPACES = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+
+
+def word_ids(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of words in a row, each with a space before it, and how many ids each word has.
+
+    The empty word is the end, an id of its own, and stands last if at all. Words are encoded together, as no id spans
+    two of them, but one by one where a word holds white space, and very long words in pieces of PIECE.
+    """
+    enc, end = _subwords(path), bool(words) and not words[-1]
+    words = words[:-1] if end else words
+    text = b"".join(b" " + w for w in words).decode()
+    ids = sizes = None
+    if max(map(len, words), default=0) < PIECE and not _SPACES.search(text):
+        ids = enc.encode_to_numpy(text, disallowed_special=()).astype("int64")
+        starts = np.flatnonzero(_starts_with_space(path)[ids])
+        sizes = np.diff(np.append(starts, len(ids)))
+    if sizes is None or len(sizes) != len(words):
+        each = [[i for s in range(0, len(t), PIECE) for i in enc.encode_ordinary(t[s : s + PIECE])] for t in (" " + w.decode() for w in words)]
+        ids, sizes = np.array([i for x in each for i in x], "int64"), np.array([len(x) for x in each], "int64")
+    return (np.append(ids, enc.n_vocab), np.append(sizes, 1)) if end else (ids, sizes)
+
+
+class Encoded(NamedTuple):
+    """Documents in a row: ids, how many of them each token has, and how many tokens each document has."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    lengths: np.ndarray
+
+    @classmethod
+    def of(cls, path: str, docs: list[list[bytes]]) -> Encoded:
+        parts = [word_ids(path, d) for d in docs]
+        return cls(np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts]), np.array([len(n) for _, n in parts], "int64"))
+
+    @classmethod
+    def read(cls, path: str, ids: list[bytes], ends: list[bytes]) -> Encoded:
+        """From columns that packed() has written."""
+        ids = [np.frombuffer(x, _kind(path)) for x in ids]
+        last = [np.flatnonzero(np.unpackbits(np.frombuffer(e, "uint8"), count=len(x))) for x, e in zip(ids, ends)]
+        return cls(np.concatenate(ids).astype("int64"), np.concatenate([np.diff(x, prepend=-1) for x in last]), np.array([len(x) for x in last], "int64"))
+
+
+def _kind(path: str) -> str:
+    return "<u2" if _subwords(path).n_vocab < 1 << 16 else "<u4"
+
+
+def packed_texts(texts: DataFrame, path: str) -> DataFrame:
+    """(slice, ids, ends) of texts (slice, text): ids, and a bit for each that says whether a token ends there."""
+
+    def work(frames):
+        for pdf in frames:
+            for part in _groups(pdf):
+                parts = [word_ids(path, [*words_of(t), b""]) for t in part["text"]]
+                out = pd.DataFrame({"slice": part["slice"].to_numpy(), "ids": [x.astype(_kind(path)).tobytes() for x, _ in parts]})
+                ends = [np.zeros(len(x), bool) for x, _ in parts]
+                for e, (_, n) in zip(ends, parts):
+                    e[np.cumsum(n) - 1] = True
+                out["ends"] = [np.packbits(e).tobytes() for e in ends]
+                yield out
+
+    return texts.select("slice", "text").mapInPandas(work, "slice int, ids binary, ends binary")
+
+
+def _parts(pdf: pd.DataFrame):
+    """Parts of pdf with documents of some CHARS ids."""
+    size = pdf["ids"].str.len().cumsum().to_numpy()
+    for group in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(size // CHARS)) + 1):
+        if len(group):
+            yield pdf.iloc[group]
 
 
 def _groups(pdf: pd.DataFrame):
@@ -144,51 +171,31 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @functools.cache
 def signs(size: int) -> np.ndarray:
-    return (np.random.default_rng(3).integers(0, 2, (size, WIDTH)) * 2 - 1).astype("int32")
+    return np.random.default_rng(3).integers(0, 2, (size, WIDTH)) * 2 - 1
 
 
-def id_sums(texts: DataFrame, path: str) -> DataFrame:
+def id_sums(encoded: DataFrame, path: str) -> DataFrame:
     """(id, n, s0, s1 ...): how often each subword id occurs, and the sum of the documents it occurs in."""
     names = [f"s{j}" for j in range(WIDTH)]
 
     def work(frames):
-        words, size = Words(path), _subwords(path).n_vocab + 1
-        own = signs(size)
-        pooled, sums = np.zeros((0, WIDTH), "int32"), np.zeros((0, WIDTH + 1))
-
-        def passed():
-            total = np.zeros((size, WIDTH + 1))
-            flat, at = np.array(words.flat, "int64"), np.repeat(np.arange(len(sums)), words.sizes[: len(sums)])
-            for j in range(WIDTH + 1):
-                total[:, j] = np.bincount(flat[: len(at)], sums[at, j], size)
-            some = np.flatnonzero(total[:, WIDTH])
-            out = pd.DataFrame(total[some].astype("int64"), columns=[*names, "n"])
-            out.insert(0, "id", some)
-            return out
-
+        size = _subwords(path).n_vocab + 1
+        own, sums, counts = signs(size), np.zeros((size, WIDTH), "int64"), np.zeros(size, "int64")
         for pdf in frames:
-            for part in _groups(pdf):
-                numbers, lengths = words.texts(part["text"])
-                new = len(words.names) - len(pooled)
-                if new:
-                    sizes = np.array(words.sizes[len(pooled) :])
-                    flat = np.array(words.flat[len(words.flat) - int(sizes.sum()) :], "int64")
-                    pooled = np.concatenate([pooled, np.add.reduceat(own[flat], np.cumsum(sizes) - sizes)])
-                    sums = np.concatenate([sums, np.zeros((new, WIDTH + 1))])
-                docs = np.add.reduceat(pooled[numbers].astype("int64"), np.cumsum(lengths) - lengths).astype("float64")
-                docs = np.round(100 * docs / np.maximum(1, np.sqrt((docs**2).sum(1, keepdims=True))))
-                for j in range(WIDTH):
-                    sums[:, j] += np.bincount(numbers, np.repeat(docs[:, j], lengths), len(sums))
-                sums[:, WIDTH] += np.bincount(numbers, minlength=len(sums))
-                if words.full():
-                    yield passed()
-                    words.clear()
-                    pooled, sums = pooled[:0], sums[:0]
-        if len(sums):
-            yield passed()
-
-    kind = ", ".join(["id int", *(f"{c} long" for c in names), "n long"])
-    return texts.select("text").mapInPandas(work, kind).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+            for raw in pdf["ids"]:
+                ids, times = np.unique(np.frombuffer(raw, _kind(path)), return_counts=True)
+                doc = times @ own[ids]
+                doc = np.round(100 * doc / max(1.0, math.sqrt(doc @ doc))).astype("int64")
+                sums[ids] += times[:, None] * doc
+                counts[ids] += times
+        some = np.flatnonzero(counts)
+        out = pd.DataFrame(sums[some], columns=names)
+        out.insert(0, "n", counts[some])
+        out.insert(0, "id", some)
+        yield out
+
+    kind = ", ".join(["id int", "n long", *(f"{c} long" for c in names)])
+    return encoded.select("ids").mapInPandas(work, kind).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
 
 
 def id_vectors(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -223,6 +230,7 @@ def k_means(x: np.ndarray, weight: np.ndarray, k: int, steps: int = 15) -> np.nd
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    x, centres = x.astype("float64"), centres.astype("float64")
     return ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
 
 
@@ -233,36 +241,18 @@ class Vocabulary:
         self.vectors = id_vectors(sums, counts)
         self.centres = k_means(self.vectors, counts.astype("float64"), CLASSES - 1)
 
-    def of(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors and classes of words, from their ids in a row."""
-        sizes = np.asarray(sizes, "int64")
-        x = np.add.reduceat(self.vectors[flat], np.cumsum(sizes) - sizes) / sizes[:, None].astype("float32")
-        kind = nearest(x.astype("float64"), self.centres)
-        kind[flat[np.cumsum(sizes) - 1] == len(self.vectors) - 1] = CLASSES - 1
+    def of(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors and classes of tokens, from their ids in a row."""
+        if not len(sizes):
+            return np.zeros((0, WIDTH), "float32"), np.zeros(0, "int64")
+        ends = np.cumsum(sizes)
+        x = np.add.reduceat(self.vectors[ids], ends - sizes)
+        x /= sizes[:, None].astype("float32")
+        kind = nearest(x, self.centres)
+        kind[ids[ends - 1] == len(self.vectors) - 1] = CLASSES - 1
         return x, kind
 
 
-class Tokens(Words):
-    """Words with their vectors and classes."""
-
-    def __init__(self, path: str, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        super().__init__(path)
-
-    def clear(self) -> None:
-        self.x, self.kind = np.zeros((0, WIDTH), "float32"), np.zeros(0, "int64")
-        super().clear()
-
-    def texts(self, texts):
-        out = super().texts(texts)
-        new = len(self.names) - len(self.kind)
-        if new:
-            sizes = np.array(self.sizes[len(self.kind) :])
-            x, kind = self.vocabulary.of(np.array(self.flat[len(self.flat) - int(sizes.sum()) :], "int64"), sizes)
-            self.x, self.kind = np.concatenate([self.x, x]), np.concatenate([self.kind, kind])
-        return out
-
-
 SHAPES = {
     "match": (WIDTH, WIDTH),  # queries' times keys' weights
     "near": (CONTEXT, 2 * CONTEXT),
@@ -349,43 +339,47 @@ def gradient(p: dict, kept, weights: np.ndarray) -> dict[str, np.ndarray]:
     return {"match": x.T @ dq, "near": da.sum(0), "value": mean.T @ dv, "inner": h.T @ df, "shift": df.sum(0), "out": f.T @ dz, "prior": dz.sum(0)}
 
 
-def _steps(tokens: Tokens, numbers: np.ndarray, lengths: np.ndarray):
+def _steps(x: np.ndarray, kind: np.ndarray, lengths: np.ndarray, end: np.ndarray):
     """Vectors of the tokens before, first blocks, targets and which of these are tokens, some BATCH at a time.
 
+    x and kind are the tokens' vectors and classes, end the vector of the end, which also stands before each document.
     Each step but the first begins with the block before it, whose tokens are no targets of its own.
     """
     places, first = laid_out(lengths)
     size = len(first) * CONTEXT
-    before = np.zeros(size, "int64")
-    before[places] = np.where(np.arange(len(numbers)) == np.repeat(np.cumsum(lengths) - lengths, lengths), 0, np.concatenate([[0], numbers[:-1]]))
-    targets, real = np.zeros(size, "int64"), np.zeros(size, bool)
-    targets[places], real[places] = tokens.kind[numbers], True
+    before, targets, real = np.tile(end, (size, 1)), np.zeros(size, "int64"), np.zeros(size, bool)
+    inner = np.ones(len(x), bool)
+    inner[np.cumsum(lengths) - lengths] = False
+    before[places[inner]] = x[:-1][inner[1:]]
+    targets[places], real[places] = kind, True
     for s in range(0, size, BATCH):
         part = slice(max(0, s - CONTEXT), s + BATCH)
         own = real[part].copy()
         own[: s - part.start] = False
-        yield tokens.x[before[part]], first[part.start // CONTEXT : (s + BATCH) // CONTEXT], targets[part], own
+        yield before[part], first[part.start // CONTEXT : (s + BATCH) // CONTEXT], targets[part], own
+
 
+def steps(vocabulary: Vocabulary, docs: Encoded):
+    yield from _steps(*vocabulary.of(docs.ids, docs.sizes), docs.lengths, vocabulary.vectors[-1])
 
-def gradients(texts: DataFrame, path: str, weights: np.ndarray, vocabulary) -> tuple[np.ndarray, int]:
-    """The sum of the gradients of all tokens of the column ``text`` at the given weights, and the number of tokens."""
+
+def gradients(encoded: DataFrame, path: str, weights: np.ndarray, vocabulary) -> tuple[np.ndarray, int]:
+    """The sum of the gradients of all tokens of documents (ids, ends) at the given weights, and the number of tokens."""
 
     def work(frames):
-        p, tokens = unpacked(weights), Tokens(path, vocabulary.value)
+        p = unpacked(weights)
         total, n = np.zeros(len(weights)), 0
         for pdf in frames:
-            for part in _groups(pdf):
-                if tokens.full():
-                    tokens.clear()
-                for x, first, targets, own in _steps(tokens, *tokens.texts(part["text"])):
+            for part in _parts(pdf):
+                for x, first, targets, own in steps(vocabulary.value, Encoded.read(path, part["ids"], part["ends"])):
                     _, kept = forward(p, x, first, targets)
                     total += packed(gradient(p, kept, own.astype("float32")))
                     n += int(own.sum())
         yield pd.DataFrame({"sums": [np.append(total, n)] if n else []})
 
-    rows = texts.select("text").mapInPandas(work, "sums array<double>").select(F.posexplode("sums").alias("place", "value"))
+    rows = encoded.select("ids", "ends").mapInPandas(work, "sums array<double>").select(F.posexplode("sums").alias("place", "value"))
     # One row for each weight.
-    got = rows.groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").toPandas()["value"].to_numpy()
+    got = rows.groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")["value"].to_numpy()
     return (got[:-1], int(got[-1])) if len(got) else (np.zeros(len(weights)), 0)
 
 
@@ -396,11 +390,11 @@ class Scorer:
         self.weights, self.vocabulary, self.sizes, self.n, self.v = weights, vocabulary, sizes, n, v
         self.logs = {w: math.log10(c + 1) for w, c in common.items()}
 
-    def own(self, tokens: Tokens, numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def own(self, docs: Encoded) -> np.ndarray:
         """For each token the log10 chance of its class less the log10 size of it."""
-        p, out = unpacked(self.weights), []
-        for x, first, targets, own in _steps(tokens, numbers, lengths):
-            logs = forward(p, x, first, targets)[0].astype("float64") / math.log(10) - np.log10(self.sizes)[targets]
+        p, sizes, out = unpacked(self.weights), np.log10(self.sizes), []
+        for x, first, targets, own in steps(self.vocabulary, docs):
+            logs = forward(p, x, first, targets)[0].astype("float64") / math.log(10) - sizes[targets]
             out.append(logs[own])
         return np.concatenate(out)
 
@@ -408,15 +402,16 @@ class Scorer:
 def fit(texts: DataFrame, path: str) -> tuple[Scorer, DataFrame]:
     """A scorer from the training texts (doc_id, text), and their word counts (word, n)."""
     spark = texts.sparkSession
-    sliced = materialize(texts.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int")), "slice")
-    counts = materialize(word_counts(sliced))
+    counts = materialize(word_counts(texts))
+    sliced = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int").alias("slice"), "text")
+    encoded = materialize(packed_texts(sliced, path), "slice")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(1, n // COMMON)
     # At most COMMON words have at least n / COMMON tokens, and at most n words at all. The end counts as one of them.
     common = {bytes(r["word"]): r["n"] for r in counts.filter((F.col("n") >= least) | (F.length("word") == 0)).toLocalIterator()}
 
     size = _subwords(path).n_vocab + 1
-    seen = id_sums(sliced, path).toPandas()  # one row for each subword id at most
+    seen = id_sums(encoded, path).toPandas()  # one row for each subword id at most
     sums, id_counts = np.zeros((size, WIDTH)), np.zeros(size)
     sums[seen["id"]], id_counts[seen["id"]] = seen[[f"s{j}" for j in range(WIDTH)]].to_numpy(), seen["n"]
     vocabulary = spark.sparkContext.broadcast(Vocabulary(sums, id_counts))
@@ -425,8 +420,9 @@ def fit(texts: DataFrame, path: str) -> tuple[Scorer, DataFrame]:
         for pdf in frames:
             for s in range(0, len(pdf), 20_000):
                 some = pdf.iloc[s : s + 20_000]
-                ids = [word_ids(path, w) for w in some["word"]]
-                kind = vocabulary.value.of(np.array([i for x in ids for i in x], "int64"), [len(x) for x in ids])[1]
+                words, end = some["word"].tolist(), (some["word"].str.len() == 0).to_numpy()
+                kind = np.full(len(some), CLASSES - 1)
+                kind[~end] = vocabulary.value.of(*word_ids(path, [w for w in words if w]))[1]
                 yield pd.DataFrame({"kind": kind, "n": some["n"].to_numpy()})
 
     sizes = np.ones(CLASSES)
@@ -436,7 +432,7 @@ def fit(texts: DataFrame, path: str) -> tuple[Scorer, DataFrame]:
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     step = 0
     for k in range(ROUNDS):
-        total, tokens = gradients(sliced.filter(F.col("slice") == k), path, weights, vocabulary)
+        total, tokens = gradients(encoded.filter(F.col("slice") == k), path, weights, vocabulary)
         if tokens:
             g = total / tokens
             step += 1
@@ -463,28 +459,21 @@ def score_texts(docs: DataFrame, training: Column, path: str, doc_id: str = "doc
 
     def work(frames):
         s = held.value
-        tokens, logs = Tokens(path, s.vocabulary), np.zeros(0)
         for pdf in frames:
             for part in _groups(pdf):
-                if tokens.full():
-                    tokens.clear()
-                    logs = logs[:0]
-                numbers, lengths = tokens.texts(part["text"])
-                logs = np.append(logs, [s.logs.get(w, np.nan) for w in tokens.names[len(logs) :]])
+                docs = [[*words_of(t), b""] for t in part["text"]]
+                lengths = np.array([len(d) for d in docs])
                 starts = np.cumsum(lengths) - lengths
-                known = logs[numbers]
-                rare = np.isnan(known)
+                known = np.array([s.logs.get(w, np.nan) for d in docs for w in d])
+                unknown = np.isnan(known)
                 out = pd.DataFrame({"n_tokens": lengths})
-                out["n_common"] = np.add.reduceat((~rare).astype("int64"), starts)
-                out["common"] = np.add.reduceat(np.where(rare, 0, known), starts)
-                out["own"] = np.add.reduceat(s.own(tokens, numbers, lengths), starts)
+                out["n_common"] = np.add.reduceat((~unknown).astype("int64"), starts)
+                out["common"] = np.add.reduceat(np.where(unknown, 0, known), starts)
+                out["own"] = np.add.reduceat(s.own(Encoded.of(path, docs)), starts)
                 out.insert(0, "held_out", part["held_out"].to_numpy())
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                # Each rare word of a document, and its times there.
-                keys, times = np.unique(np.repeat(np.arange(len(part)), lengths)[rare] * len(logs) + numbers[rare], return_counts=True)
-                ends = np.searchsorted(keys, np.arange(1, len(part)) * len(logs))
-                out["rare"] = pd.Series([[tokens.names[k] for k in x.tolist()] for x in np.split(keys % len(logs), ends)], dtype=object)
-                out["times"] = pd.Series(np.split(times, ends), dtype=object)
+                rare = [Counter(map(d.__getitem__, np.flatnonzero(x).tolist())) for d, x in zip(docs, np.split(unknown, starts[1:]))]
+                out["rare"], out["times"] = [list(c) for c in rare], [list(c.values()) for c in rare]
                 yield out
 
     schema = "doc_id string, held_out boolean, n_tokens long, n_common long, common double, own double, rare array<binary>, times array<long>"

@@ -102,10 +102,10 @@ def test_attention_against_a_plain_loop():
     """Each token is scored once, from the tokens of its block and the one before in its own document."""
     rng = np.random.default_rng(1)
     p, vectors = model(rng)
-    tokens = type("Tokens", (), {"x": vectors, "kind": rng.integers(0, lm.CLASSES, 40)})()
+    kinds = rng.integers(0, lm.CLASSES, 40)
     lengths = np.array([1, 5, 40, 16, 17, 33])
     numbers = np.concatenate([np.append(rng.integers(1, 40, n - 1), 0) for n in lengths])
-    got = np.concatenate([lm.forward(p, x, f, t)[0][own] for x, f, t, own in lm._steps(tokens, numbers, lengths)])
+    got = np.concatenate([lm.forward(p, x, f, t)[0][own] for x, f, t, own in lm._steps(vectors[numbers], kinds[numbers], lengths, vectors[0])])
     want, at = [], 0
     for n in lengths:
         own = numbers[at : at + n]
@@ -118,7 +118,7 @@ def test_attention_against_a_plain_loop():
             a = np.exp(keys @ (p["match"].T @ vectors[before[t]]) + p["near"][t % lm.CONTEXT][place])
             h = np.concatenate([vectors[before[t]], (a / a.sum()) @ keys @ p["value"]])
             z = np.maximum(h @ p["inner"] + p["shift"], 0) @ p["out"] + p["prior"]
-            want.append(z[tokens.kind[own[t]]] - np.log(np.exp(z - z.max()).sum()) - z.max())
+            want.append(z[kinds[own[t]]] - np.log(np.exp(z - z.max()).sum()) - z.max())
     assert np.allclose(got, want, atol=1e-9)
 
 
@@ -129,3 +129,20 @@ def test_chances_of_all_words_sum_to_one():
     sizes = 1 + np.bincount(kind, counts, lm.CLASSES) + np.bincount(kind, minlength=lm.CLASSES)
     share = rng.dirichlet(np.ones(lm.CLASSES))
     assert abs((share[kind] * (counts + 1) / sizes[kind]).sum() + (share / sizes).sum() - 1) < 1e-9
+
+
+def test_words_are_encoded_alike_together_and_alone():
+    random.seed(4)
+    words = ["".join(random.choice(["a", "'s", "é", "\u00a0", "1", "-", "漢", "ing", "\u0085", "😀"][: random.choice([3, 10])]) for _ in range(random.randint(1, 9))).encode() for _ in range(2000)] + [b"y" * 5000, b""]
+    for some in (words, [w for w in words[:2000] if not lm._SPACES.search(w.decode())]):
+        ids, sizes = lm.word_ids(PATH, some)
+        assert len(sizes) == len(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [lm.word_ids(PATH, [w])[0].tolist() for w in some]
+    docs = lm.Encoded.of(PATH, [words, [b""]])
+    table = [(x.astype("<u2").tobytes(), n) for x, n in ((lm.word_ids(PATH, d)) for d in (words, [b""]))]
+    ends = []
+    for raw, n in table:
+        e = np.zeros(len(raw) // 2, bool)
+        e[np.cumsum(n) - 1] = True
+        ends.append(np.packbits(e).tobytes())
+    assert all((a == b).all() for a, b in zip(docs, lm.Encoded.read(PATH, [x for x, _ in table], ends)))
