@@ -45,9 +45,9 @@ WIDTH, CONTEXT, HIDDEN, CLASSES = 16, 16, 32, 32
 ROUNDS, RATE = 16, 0.06
 COMMON = 1_000_000
 #: Tokens in a step of the numpy code.
-BATCH = 1 << 12
+BATCH = 1 << 11
 #: Characters of texts taken at once.
-CHARS = 1_000_000
+CHARS = 250_000
 #: Words a task counts before it passes them on.
 COUNTED = 400_000
 #: Longer words are encoded piece by piece.
@@ -83,7 +83,7 @@ def word_ids(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """
     enc, end = _subwords(path), bool(words) and not words[-1]
     words = words[:-1] if end else words
-    text = b"".join(b" " + w for w in words).decode()
+    text = b" ".join([b"", *words]).decode()
     ids = sizes = None
     if max(map(len, words), default=0) < PIECE and not _SPACES.search(text):
         ids = enc.encode_to_numpy(text, disallowed_special=()).astype("int64")
@@ -102,14 +102,9 @@ class Encoded(NamedTuple):
     sizes: np.ndarray
     lengths: np.ndarray
 
-    @classmethod
-    def of(cls, path: str, docs: list[list[bytes]]) -> Encoded:
-        parts = [word_ids(path, d) for d in docs]
-        return cls(np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts]), np.array([len(n) for _, n in parts], "int64"))
-
     @classmethod
     def read(cls, path: str, ids: list[bytes], ends: list[bytes]) -> Encoded:
-        """From columns that packed() has written."""
+        """From columns that encoded() has written."""
         ids = [np.frombuffer(x, _kind(path)) for x in ids]
         last = [np.flatnonzero(np.unpackbits(np.frombuffer(e, "uint8"), count=len(x))) for x, e in zip(ids, ends)]
         return cls(np.concatenate(ids).astype("int64"), np.concatenate([np.diff(x, prepend=-1) for x in last]), np.array([len(x) for x in last], "int64"))
@@ -119,21 +114,35 @@ def _kind(path: str) -> str:
     return "<u2" if _subwords(path).n_vocab < 1 << 16 else "<u4"
 
 
-def packed_texts(texts: DataFrame, path: str) -> DataFrame:
-    """(slice, ids, ends) of texts (slice, text): ids, and a bit for each that says whether a token ends there."""
+def encoded(texts: DataFrame, path: str, logs) -> DataFrame:
+    """Rows of texts (doc_id, text, held_out) as ids, with what is known of their words.
+
+    ``ids`` has the subword ids and ``ends`` a bit for each that says whether a token ends there. Of words in logs, a
+    broadcast of log10(count + 1), ``n_common`` is the number and ``common`` the sum; all other words of the text are in
+    ``rare``, with their ``times``. ``slice`` is the round that trains on the row, -1 for none.
+    """
 
     def work(frames):
+        get = logs.value.get
         for pdf in frames:
             for part in _groups(pdf):
-                parts = [word_ids(path, [*words_of(t), b""]) for t in part["text"]]
-                out = pd.DataFrame({"slice": part["slice"].to_numpy(), "ids": [x.astype(_kind(path)).tobytes() for x, _ in parts]})
-                ends = [np.zeros(len(x), bool) for x, _ in parts]
-                for e, (_, n) in zip(ends, parts):
-                    e[np.cumsum(n) - 1] = True
-                out["ends"] = [np.packbits(e).tobytes() for e in ends]
+                rows = []
+                for t in part["text"]:
+                    words = [*words_of(t), b""]
+                    ids, sizes = word_ids(path, words)
+                    ends = np.zeros(len(ids), bool)
+                    ends[np.cumsum(sizes) - 1] = True
+                    found = list(map(get, words))
+                    rare = Counter([w for w, x in zip(words, found) if x is None])
+                    known = np.array([x for x in found if x is not None])
+                    rows.append((len(words), len(known), known.sum(), list(rare), list(rare.values()), ids.astype(_kind(path)).tobytes(), np.packbits(ends).tobytes()))
+                out = pd.DataFrame(rows, columns=["n_tokens", "n_common", "common", "rare", "times", "ids", "ends"])
+                for c in ("doc_id", "held_out", "slice"):
+                    out[c] = part[c].to_numpy()
                 yield out
 
-    return texts.select("slice", "text").mapInPandas(work, "slice int, ids binary, ends binary")
+    rows = texts.withColumn("slice", F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))).cast("int"))
+    return rows.mapInPandas(work, "n_tokens long, n_common long, common double, rare array<binary>, times array<long>, ids binary, ends binary, doc_id string, held_out boolean, slice int")
 
 
 def _parts(pdf: pd.DataFrame):
@@ -246,7 +255,10 @@ class Vocabulary:
         if not len(sizes):
             return np.zeros((0, WIDTH), "float32"), np.zeros(0, "int64")
         ends = np.cumsum(sizes)
-        x = np.add.reduceat(self.vectors[ids], ends - sizes)
+        at, rows, x = ends - sizes, np.arange(len(sizes)), self.vectors.take(ids[ends - sizes], 0)
+        for k in range(1, int(sizes.max())):  # the next id of the words that have one
+            rows = rows[sizes[rows] > k]
+            x[rows] += self.vectors.take(ids[at[rows] + k], 0)
         x /= sizes[:, None].astype("float32")
         kind = nearest(x, self.centres)
         kind[ids[ends - 1] == len(self.vectors) - 1] = CLASSES - 1
@@ -308,9 +320,8 @@ def forward(p: dict, x: np.ndarray, first: np.ndarray, targets: np.ndarray):
     window = np.concatenate([np.concatenate([np.zeros_like(blocks[:1]), blocks[:-1]]), blocks], 1)
     a = np.matmul((x @ p["match"]).reshape(-1, c, d), window.transpose(0, 2, 1))
     a += p["near"] + _LATER
-    # Bounded values keep the exponentials finite.
-    np.exp(np.clip(a, -60, 30, out=a), out=a)
-    a *= _LATER == 0
+    # Bounded values keep the exponentials finite; those of later tokens are zero.
+    np.exp(np.minimum(a, 30, out=a), out=a)
     a[np.flatnonzero(first), :, :c] = 0
     a /= np.matmul(a, _ONES)
     mean = np.matmul(a, window).reshape(-1, d)
@@ -347,16 +358,16 @@ def _steps(x: np.ndarray, kind: np.ndarray, lengths: np.ndarray, end: np.ndarray
     """
     places, first = laid_out(lengths)
     size = len(first) * CONTEXT
-    before, targets, real = np.tile(end, (size, 1)), np.zeros(size, "int64"), np.zeros(size, bool)
-    inner = np.ones(len(x), bool)
-    inner[np.cumsum(lengths) - lengths] = False
-    before[places[inner]] = x[:-1][inner[1:]]
+    x = np.concatenate([x, end[None, :]])
+    before, targets, real = np.full(size, len(x) - 1), np.zeros(size, "int64"), np.zeros(size, bool)
+    before[places] = np.arange(len(places)) - 1
+    before[places[np.cumsum(lengths) - lengths]] = len(x) - 1
     targets[places], real[places] = kind, True
     for s in range(0, size, BATCH):
         part = slice(max(0, s - CONTEXT), s + BATCH)
         own = real[part].copy()
         own[: s - part.start] = False
-        yield before[part], first[part.start // CONTEXT : (s + BATCH) // CONTEXT], targets[part], own
+        yield x.take(before[part], 0), first[part.start // CONTEXT : (s + BATCH) // CONTEXT], targets[part], own
 
 
 def steps(vocabulary: Vocabulary, docs: Encoded):
@@ -383,35 +394,11 @@ def gradients(encoded: DataFrame, path: str, weights: np.ndarray, vocabulary) ->
     return (got[:-1], int(got[-1])) if len(got) else (np.zeros(len(weights)), 0)
 
 
-class Scorer:
-    """What scoring needs, all of bounded size: weights, vocabulary, class sizes, counts of common words, and N and V."""
-
-    def __init__(self, weights: np.ndarray, vocabulary: Vocabulary, sizes: np.ndarray, common: dict[bytes, int], n: int, v: int):
-        self.weights, self.vocabulary, self.sizes, self.n, self.v = weights, vocabulary, sizes, n, v
-        self.logs = {w: math.log10(c + 1) for w, c in common.items()}
-
-    def own(self, docs: Encoded) -> np.ndarray:
-        """For each token the log10 chance of its class less the log10 size of it."""
-        p, sizes, out = unpacked(self.weights), np.log10(self.sizes), []
-        for x, first, targets, own in steps(self.vocabulary, docs):
-            logs = forward(p, x, first, targets)[0].astype("float64") / math.log(10) - sizes[targets]
-            out.append(logs[own])
-        return np.concatenate(out)
-
-
-def fit(texts: DataFrame, path: str) -> tuple[Scorer, DataFrame]:
-    """A scorer from the training texts (doc_id, text), and their word counts (word, n)."""
-    spark = texts.sparkSession
-    counts = materialize(word_counts(texts))
-    sliced = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int").alias("slice"), "text")
-    encoded = materialize(packed_texts(sliced, path), "slice")
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1, n // COMMON)
-    # At most COMMON words have at least n / COMMON tokens, and at most n words at all. The end counts as one of them.
-    common = {bytes(r["word"]): r["n"] for r in counts.filter((F.col("n") >= least) | (F.length("word") == 0)).toLocalIterator()}
-
+def fit(rows: DataFrame, counts: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, object]:
+    """Weights, sizes of classes, and a broadcast Vocabulary, from encoded training rows and word counts (word, n)."""
+    spark = rows.sparkSession
     size = _subwords(path).n_vocab + 1
-    seen = id_sums(encoded, path).toPandas()  # one row for each subword id at most
+    seen = id_sums(rows, path).toPandas()  # one row for each subword id at most
     sums, id_counts = np.zeros((size, WIDTH)), np.zeros(size)
     sums[seen["id"]], id_counts[seen["id"]] = seen[[f"s{j}" for j in range(WIDTH)]].to_numpy(), seen["n"]
     vocabulary = spark.sparkContext.broadcast(Vocabulary(sums, id_counts))
@@ -419,11 +406,10 @@ def fit(texts: DataFrame, path: str) -> tuple[Scorer, DataFrame]:
     def classed(frames):
         for pdf in frames:
             for s in range(0, len(pdf), 20_000):
-                some = pdf.iloc[s : s + 20_000]
-                words, end = some["word"].tolist(), (some["word"].str.len() == 0).to_numpy()
-                kind = np.full(len(some), CLASSES - 1)
-                kind[~end] = vocabulary.value.of(*word_ids(path, [w for w in words if w]))[1]
-                yield pd.DataFrame({"kind": kind, "n": some["n"].to_numpy()})
+                words = pdf["word"].iloc[s : s + 20_000].tolist()
+                kind = np.full(len(words), CLASSES - 1)
+                kind[[len(w) > 0 for w in words]] = vocabulary.value.of(*word_ids(path, [w for w in words if w]))[1]
+                yield pd.DataFrame({"kind": kind, "n": pdf["n"].iloc[s : s + 20_000].to_numpy()})
 
     sizes = np.ones(CLASSES)
     for r in counts.mapInPandas(classed, "kind int, n long").groupBy("kind").agg((F.sum("n") + F.count("*")).alias("size")).collect():
@@ -432,13 +418,13 @@ def fit(texts: DataFrame, path: str) -> tuple[Scorer, DataFrame]:
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     step = 0
     for k in range(ROUNDS):
-        total, tokens = gradients(encoded.filter(F.col("slice") == k), path, weights, vocabulary)
+        total, tokens = gradients(rows.filter(F.col("slice") == k), path, weights, vocabulary)
         if tokens:
             g = total / tokens
             step += 1
             mean, square = 0.8 * mean + 0.2 * g, 0.9 * square + 0.1 * g**2
             weights = weights - RATE * (1 - k / ROUNDS) * mean / (1 - 0.8**step) / (np.sqrt(square / (1 - 0.9**step)) + 1e-6)
-    return Scorer(weights, vocabulary.value, sizes, common, n, v), counts
+    return weights, sizes, vocabulary
 
 
 def is_training(doc_id: Column) -> Column:
@@ -454,31 +440,27 @@ def score_texts(docs: DataFrame, training: Column, path: str, doc_id: str = "doc
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).alias("doc_id"), or_empty(F.col(text)).alias("text"), (~F.coalesce(training, F.lit(False))).alias("held_out"))
-    scorer, counts = fit(texts.filter("not held_out").select("doc_id", "text"), path)
-    held = spark.sparkContext.broadcast(scorer)
+    counts = materialize(word_counts(texts.filter("not held_out")))
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least = max(1, n // COMMON)
+    # At most COMMON words have at least n / COMMON tokens, and at most n words at all. The end counts as one of them.
+    logs = {bytes(r["word"]): math.log10(r["n"] + 1) for r in counts.filter((F.col("n") >= least) | (F.length("word") == 0)).toLocalIterator()}
+    rows = materialize(encoded(ids_out(texts, "doc_id"), path, spark.sparkContext.broadcast(logs)), "slice")
+    weights, sizes, vocabulary = fit(rows.filter("slice >= 0"), counts, path)
 
     def work(frames):
-        s = held.value
+        p, log_sizes = unpacked(weights), np.log10(sizes)
         for pdf in frames:
-            for part in _groups(pdf):
-                docs = [[*words_of(t), b""] for t in part["text"]]
-                lengths = np.array([len(d) for d in docs])
-                starts = np.cumsum(lengths) - lengths
-                known = np.array([s.logs.get(w, np.nan) for d in docs for w in d])
-                unknown = np.isnan(known)
-                out = pd.DataFrame({"n_tokens": lengths})
-                out["n_common"] = np.add.reduceat((~unknown).astype("int64"), starts)
-                out["common"] = np.add.reduceat(np.where(unknown, 0, known), starts)
-                out["own"] = np.add.reduceat(s.own(Encoded.of(path, docs)), starts)
-                out.insert(0, "held_out", part["held_out"].to_numpy())
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                rare = [Counter(map(d.__getitem__, np.flatnonzero(x).tolist())) for d, x in zip(docs, np.split(unknown, starts[1:]))]
-                out["rare"], out["times"] = [list(c) for c in rare], [list(c.values()) for c in rare]
+            for part in _parts(pdf):
+                docs = Encoded.read(path, part["ids"], part["ends"])
+                own = [(forward(p, x, first, targets)[0] / math.log(10) - log_sizes[targets])[real] for x, first, targets, real in steps(vocabulary.value, docs)]
+                out = part.drop(columns=["ids", "ends"])
+                out["own"] = np.add.reduceat(np.concatenate(own), np.cumsum(docs.lengths) - docs.lengths)
                 yield out
 
-    schema = "doc_id string, held_out boolean, n_tokens long, n_common long, common double, own double, rare array<binary>, times array<long>"
-    done = materialize(ids_out(texts, "doc_id").mapInPandas(work, schema).withColumn("row", F.monotonically_increasing_id()))
-    least = max(1, scorer.n // COMMON)
+    kept = ["doc_id", "held_out", "n_tokens", "n_common", "common", "rare", "times"]
+    schema = "doc_id string, held_out boolean, n_tokens long, n_common long, common double, rare array<binary>, times array<long>"
+    done = materialize(rows.select(*kept, "ids", "ends").mapInPandas(work, f"{schema}, own double").withColumn("row", F.monotonically_increasing_id()))
     rare = done.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))).alias("r")).select("row", "r.word", "r.times")
     # Common words are found in the task; the others have few rows each.
     found = rare.join(counts.filter(F.col("n") < least), "word")
@@ -489,8 +471,8 @@ def score_texts(docs: DataFrame, training: Column, path: str, doc_id: str = "doc
         "held_out",
         "n_tokens",
         (F.col("n_common") + F.coalesce("times", F.lit(0))).alias("n_known"),
-        F.lit(scorer.n).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(math.log10(scorer.n + scorer.v + 1))).alias("base_score"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        (logs - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
         (logs + F.col("own")).alias("score"),
     )
     return ids_back(out, "doc_id", docs.schema[doc_id].dataType)

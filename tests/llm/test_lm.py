@@ -138,11 +138,11 @@ def test_words_are_encoded_alike_together_and_alone():
         ids, sizes = lm.word_ids(PATH, some)
         assert len(sizes) == len(some)
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [lm.word_ids(PATH, [w])[0].tolist() for w in some]
-    docs = lm.Encoded.of(PATH, [words, [b""]])
-    table = [(x.astype("<u2").tobytes(), n) for x, n in ((lm.word_ids(PATH, d)) for d in (words, [b""]))]
+    parts = [lm.word_ids(PATH, d) for d in (words, [b""])]
     ends = []
-    for raw, n in table:
-        e = np.zeros(len(raw) // 2, bool)
-        e[np.cumsum(n) - 1] = True
-        ends.append(np.packbits(e).tobytes())
-    assert all((a == b).all() for a, b in zip(docs, lm.Encoded.read(PATH, [x for x, _ in table], ends)))
+    for ids, sizes in parts:
+        ends.append(np.zeros(len(ids), bool))
+        ends[-1][np.cumsum(sizes) - 1] = True
+    got = lm.Encoded.read(PATH, [x.astype("<u2").tobytes() for x, _ in parts], [np.packbits(e).tobytes() for e in ends])
+    assert (got.ids == np.concatenate([x for x, _ in parts])).all() and (got.sizes == np.concatenate([n for _, n in parts])).all()
+    assert got.lengths.tolist() == [len(words), 1]
