@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import ids_out, or_empty, table
 
 #: Distinct pieces kept with their ids in each of the two generations of a Python worker's cache. When the young one is
 #: full it becomes the old one, from which pieces that are met again move on.
@@ -268,17 +268,20 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
     def run(frames):
         enc = encoder(path)
         for pdf in frames:
-            texts = pdf[text].where(pdf[text].notna(), "").tolist()
+            texts = pdf["text"].tolist()
             for start, part in chunks(texts):
                 ids = enc.encode_batch(part)
-                out = pdf[list(keep)].iloc[start : start + len(part)].copy()
+                out = pdf[names].iloc[start : start + len(part)].copy()
                 out["n_tokens"] = np.array([len(x) // 4 for x in ids], "int64")
                 out["ids"] = ids
                 out["decoded"] = [enc.decode(x) for x in ids]
                 yield out
 
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text).mapInPandas(run, f"{types}, n_tokens long, ids binary, decoded string")
+    # Kept columns go through Python as strings, under names of their own.
+    names = [f"k{j}" for j in range(len(keep))]
+    rows = ids_out(docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(names, keep)], or_empty(F.col(f"`{text}`")).alias("text")), *names)
+    out = rows.mapInPandas(run, ", ".join([*(f"{k} string" for k in names), "n_tokens long", "ids binary", "decoded string"]))
+    return out.select(*[F.col(k).cast(docs.schema[c].dataType).alias(c) for k, c in zip(names, keep)], "n_tokens", "ids", "decoded")
 
 
 def op8_bpe(spark, sf_dir):

@@ -1,8 +1,8 @@
 """Chat formatting with built-in functions only.
 
-Layouts are told apart by a fingerprint, the hash of the sorted nested field paths of a record. Each fingerprint
-selects a declarative mapping, SQL expressions that give canonical turns, an array of (role, text). Records of
-unknown layout get null turns and keep their fingerprint, so that they can be found.
+Layouts are told apart by a fingerprint, the hash of a record's nested field paths, at any depth and over all elements
+of its arrays. Each fingerprint selects a declarative mapping, SQL expressions that give canonical turns, an array of
+(role, text). Records of unknown layout get null turns and keep their fingerprint, so that they can be found.
 
 The template writes each turn as ``<|im_start|>ROLE\nTEXT<|im_end|>\n``. Control strings inside roles and texts are
 escaped with backslashes: each backslash is doubled, and one is put after the first character of each control string.
@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import or_empty, table
+from quarry.llm.common import fresh, in_chunks, or_empty, read, running, table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of common templates, by their first character and the rest; each is broken up inside texts.
@@ -28,22 +28,26 @@ def _turn(role: str, text: str) -> str:
     return f"named_struct('role', {role}, 'text', coalesce({text}, ''))"
 
 
-def _messages(path: str, role: str, text: str) -> str:
-    item = f"array<struct<{role}:string,{text}:string>>"
-    return f"transform(from_json(get_json_object(record, '$.{path}'), '{item}'), x -> {_turn(f'x.{role}', f'x.{text}')})"
+def _messages(path: str, role: str, text: str, kind: str = "string", turn: str = "x.{text}") -> str:
+    item = f"array<struct<`{role}`:string,`{text}`:{kind}>>"
+    return f"transform(from_json(get_json_object({{record}}, '$.{path}'), '{item}'), x -> {_turn(f'x.`{role}`', turn.format(text=f'`{text}`'))})"
 
 
 def _field(name: str) -> str:
-    return f"get_json_object(record, '$.{name}')"
+    return f"get_json_object({{record}}, '$.{name}')"
 
 
-#: Layouts by their nested field paths (``[]``: in each element of an array); the value gives the turns.
+_PARTS = "array_join(transform(x.{text}, y -> coalesce(y.text, '')), '')"
+#: Layouts by their nested field paths (``[]``: in the elements of an array); the value gives the turns of {record}.
 LAYOUTS: dict[tuple[str, ...], str] = {
-    ("messages", "messages[].content", "messages[].role"): _messages("messages", "role", "content"),
-    ("messages", "messages[].role", "messages[].text"): _messages("messages", "role", "text"),
-    ("conversations", "conversations[].from", "conversations[].value"): "transform("
+    ("messages[].content", "messages[].role"): _messages("messages", "role", "content"),
+    ("messages[].role", "messages[].text"): _messages("messages", "role", "text"),
+    ("messages[].content[].text", "messages[].content[].type", "messages[].role"): _messages("messages", "role", "content", "array<struct<text:string>>", _PARTS),
+    ("conversations[].from", "conversations[].value"): "transform("
     + _messages("conversations", "from", "value")
     + ", t -> named_struct('role', CASE t.role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE t.role END, 'text', t.text))",
+    ("data.turns[].speaker", "data.turns[].utterance"): _messages("data.turns", "speaker", "utterance"),
+    ("messages[]",): f"cast(array() as {TURNS})",
     ("prompt", "response"): f"array({_turn(repr('user'), _field('prompt'))}, {_turn(repr('assistant'), _field('response'))})",
     ("prompt", "completion"): f"array({_turn(repr('user'), _field('prompt'))}, {_turn(repr('assistant'), _field('completion'))})",
     ("instruction", "output"): f"array({_turn(repr('user'), _field('instruction'))}, {_turn(repr('assistant'), _field('output'))})",
@@ -51,38 +55,79 @@ LAYOUTS: dict[tuple[str, ...], str] = {
 }
 
 
-def paths_of(record: str = "record") -> Column:
-    """Sorted nested field paths of a JSON object: its keys, and the keys inside the first element of its arrays."""
-    return F.expr(
-        f"array_sort(flatten(transform(json_object_keys({record}), k -> concat(array(k), coalesce("
-        f"transform(json_object_keys(get_json_object({record}, concat('$.', k, '[0]'))), j -> concat(k, '[].', j)), array())))))"
-    )
+def shape(paths: tuple[str, ...]) -> str:
+    """How shape_of() writes a record with the given field paths."""
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        for part in path.replace("[]", ".[]").split("."):
+            at = at.setdefault(part, {})
+
+    def written(node: dict) -> str:
+        if not node:
+            return "*"
+        if "[]" in node:
+            return f"ARRAY<{written(node['[]']) if node['[]'] else ''}>"
+        return "OBJECT<" + ", ".join(f"{k}: {written(node[k])}" for k in sorted(node)) + ">"
+
+    return written(tree)
 
 
-def fingerprint(paths: Column) -> Column:
-    return F.sha2(F.array_join(paths, "\n"), 256)
+def shape_of(record: Column) -> Column:
+    """The nested field paths of a JSON object, of all elements of its arrays; null for anything else."""
+    schema = F.schema_of_variant(F.try_parse_json(record))
+    schema = F.regexp_replace(schema, r"ARRAY<VOID>", "ARRAY<>")
+    return F.regexp_replace(schema, r"(?<=: )(?:[A-Z_]+(?:\([0-9, ]*\))?)(?=[,>])", "*")
+
+
+def fingerprint(shape: Column) -> Column:
+    return F.sha2(shape, 256)
 
 
 def canonical_turns(records: DataFrame, record: str = "record", layouts: Mapping[tuple[str, ...], str] = LAYOUTS) -> DataFrame:
     """records with ``fingerprint`` and ``turns``; record holds a JSON object in any of the layouts.
 
-    Null, malformed or unknown records get null turns; missing texts are empty; an empty array gives no turns.
+    Null, malformed or unknown records get null turns, and so do records beyond the size of Spark's variants (128 MiB);
+    missing texts are empty; an empty array gives no turns. All other columns stay; where records has a column named
+    fingerprint or turns, the new one has underscores in front. An empty table gives no rows.
     """
-    hashed = records.withColumn("record", F.col(record)).withColumn("fingerprint", fingerprint(paths_of()))
+    mark, name = fresh(records, "fingerprint", "turns")
     turns = F.lit(None).cast(TURNS)
     for paths, mapping in layouts.items():
-        turns = F.when(F.col("fingerprint") == fingerprint(F.array(*[F.lit(p) for p in sorted(paths)])), F.expr(mapping).cast(TURNS)).otherwise(turns)
-    return hashed.withColumn("turns", turns)
+        turns = F.when(F.col(f"`{mark}`") == fingerprint(F.lit(shape(paths))), F.expr(mapping.replace("{record}", f"`{record}`")).cast(TURNS)).otherwise(turns)
+    return records.withColumn(mark, fingerprint(shape_of(F.col(f"`{record}`")))).withColumn(name, turns)
 
 
 def gathered(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows of one turn each as JSON records in the layout ``messages`` (conv_id, record), turns in order.
+    """Rows of one turn each as conversations (conv_id, turns), turns in order.
 
-    Turns with equal numbers follow by role, then text; repeated rows stay; null role and text are empty.
+    Turns with equal numbers follow by role, then text; repeated rows stay; null role and text are empty. A null id is
+    a conversation of its own. A conversation is one row, so one task holds it.
     """
     turns = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("n"), or_empty(F.col(role)).alias("role"), or_empty(F.col(text)).alias("text"))))
-    by = rows.groupBy(F.col(conv_id).alias("conv_id")).agg(turns.alias("all"))
-    return by.select("conv_id", F.to_json(F.struct(F.expr("transform(all, t -> named_struct('role', t.role, 'text', t.text))").alias("messages"))).alias("record"))
+    by = rows.groupBy(F.col(conv_id).alias("conv_id")).agg(turns.alias("turns"))
+    return by.select("conv_id", F.expr("transform(turns, t -> named_struct('role', t.role, 'text', t.text))").alias("turns"))
+
+
+def as_records(conversations: DataFrame) -> DataFrame:
+    """Conversations (conv_id, turns) as JSON records (conv_id, record) in several layouts, dealt out by id.
+
+    An exchange of one question and answer may be a prompt and response; roles that a layout renames keep out of it.
+    """
+    each = lambda fields: F.expr(f"transform(turns, t -> named_struct({fields}))")
+    json = lambda name, column: F.to_json(F.struct(column.alias(name)))
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(6))
+    pair = F.expr("size(turns) = 2 AND turns[0].role = 'user' AND turns[1].role = 'assistant'")
+    renamed = F.expr("exists(turns, t -> t.role IN ('human', 'gpt'))")
+    record = (
+        F.when(kind == 1, json("messages", each("'role', t.role, 'text', t.text")))
+        .when(kind == 2, json("messages", each("'role', t.role, 'content', array(named_struct('type', 'text', 'text', t.text))")))
+        .when((kind == 3) & ~renamed, json("conversations", each("'from', CASE t.role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE t.role END, 'value', t.text")))
+        .when(kind == 4, json("data", F.struct(each("'speaker', t.role, 'utterance', t.text").alias("turns"))))
+        .when((kind == 5) & pair, F.to_json(F.struct(F.expr("turns[0].text").alias("prompt"), F.expr("turns[1].text").alias("response"))))
+        .otherwise(json("messages", each("'role', t.role, 'content', t.text")))
+    )
+    return conversations.select("conv_id", record.alias("record"))
 
 
 def escaped(text: Column) -> Column:
@@ -97,10 +142,12 @@ def unescaped(text: Column) -> Column:
 def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
     """df with ``formatted`` and ``loss_spans``, the code points [start, end) of each assistant text in formatted.
 
-    Null turns give null; no turns an empty text.
+    Null turns give null; no turns an empty text. All other columns stay; where df has a column of such a name, the new
+    one has underscores in front. An empty table gives no rows.
     """
-    pieces = F.transform(
-        F.col(turns),
+    formatted, spans, pieces, ends = fresh(df, "formatted", "loss_spans", "__pieces", "__ends")
+    parts = F.transform(
+        F.col(f"`{turns}`"),
         lambda t: F.struct(
             F.concat(F.lit(START), F.regexp_replace(escaped(or_empty(t["role"])), "\n", "\\\\\n"), F.lit("\n")).alias("head"),
             escaped(or_empty(t["text"])).alias("body"),
@@ -108,14 +155,12 @@ def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
         ),
     )
     # The end of each turn; then its text ends len(END) before, and starts its own length before that.
-    sizes = F.expr(f"transform(__pieces, p -> length(p.head) + length(p.body) + {len(END)})")
-    ends = F.expr("slice(aggregate(__sizes, array(0L), (a, n) -> concat(a, array(element_at(a, -1) + n))), 2, size(__sizes))")
-    spans = F.expr(
-        f"transform(filter(arrays_zip(__pieces, __ends), z -> z.__pieces.loss), z -> named_struct('start', z.__ends - {len(END)} - length(z.__pieces.body), 'end', z.__ends - {len(END)}))"
-    )
-    out = df.withColumn("__pieces", pieces).withColumn("__sizes", sizes).withColumn("__ends", ends)
-    out = out.withColumn("formatted", F.expr("array_join(transform(__pieces, p -> concat(p.head, p.body, " + "'<|im_end|>\\n'" + ")), '')"))
-    return out.withColumn("loss_spans", spans).drop("__pieces", "__sizes", "__ends")
+    sizes = f"transform(`{pieces}`, p -> cast(length(p.head) + length(p.body) + {len(END)} AS bigint))"
+    placed = f"zip_with(`{pieces}`, `{ends}`, (p, e) -> named_struct('loss', p.loss, 'start', e - {len(END)} - length(p.body), 'end', e - {len(END)}))"
+    out = df.withColumn(pieces, parts).withColumn(ends, F.expr(running(sizes, "a + x", "0L")))
+    out = out.withColumn(formatted, F.expr(f"array_join(transform(`{pieces}`, p -> concat(p.head, p.body, '<|im_end|>\\n')), '')"))
+    out = out.withColumn(spans, F.expr(f"transform(filter({placed}, x -> x.loss), x -> named_struct('start', x.start, 'end', x.end))"))
+    return out.drop(pieces, ends)
 
 
 def parsed(formatted: str = "formatted") -> Column:
@@ -138,9 +183,9 @@ def op9_chat_format(spark, sf_dir):
         F.lit(-1).cast("long").alias("conv_id"),
         F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for k, role in enumerate(("user", "assistant"))])).alias("r"),
     ).select("conv_id", "r.turn", "r.role", "r.text")
-    out = format_turns(canonical_turns(gathered(rows.unionByName(own))))
-    back = out.select("conv_id", "formatted", "loss_spans", parsed().alias("back"))
-    loss = unescaped(F.expr("array_join(transform(loss_spans, s -> substr(formatted, cast(s.start as int) + 1, cast(s.end - s.start as int))), '')"))
+    out = format_turns(canonical_turns(as_records(gathered(rows.unionByName(own)))))
+    back = out.select("conv_id", "loss_spans", "formatted", parsed().alias("back"), F.expr(in_chunks("formatted")).alias("chunks"))
+    loss = unescaped(F.expr(f"array_join(transform(loss_spans, s -> {read('chunks', 's.start', 's.end')}), '')"))
     return back.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),

@@ -61,6 +61,46 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Values of an array that running() takes at once, and characters of a text that read() does.
+RUN, CHUNK = 64, 512
+
+
+def running(values: str, merge: str, start: str, levels: int = 3) -> str:
+    """SQL for the running total of the array ``values``: element i merges the elements up to i.
+
+    merge is SQL over a and x, such as ``a + x``, and must be associative. Blocks of RUN values are summed up first,
+    then their totals likewise, so the work is linear where an array that grows by one value at a time is quadratic.
+    """
+    n = levels
+    total = f"aggregate(v, {start}, (a, x) -> {merge})"
+    if not n:
+        return f"transform({values}, (y, i) -> aggregate(slice({values}, 1, i + 1), {start}, (a, x) -> {merge}))"
+    blocks = f"transform(sequence(0, (size(v{n}) - 1) div {RUN}), k -> slice(v{n}, k * {RUN} + 1, {RUN}))"
+    totals = f"transform(b{n}, v -> {total})"
+    within = f"transform(v, (y, i) -> aggregate(slice(v, 1, i + 1), CASE WHEN k = 0 THEN {start} ELSE s{n}[k - 1] END, (a, x) -> {merge}))"
+    out = f"flatten(transform(b{n}, (v, k) -> {within}))"
+    out = bound(f"s{n}", running(f"t{n}", merge, start, n - 1), out)
+    out = bound(f"b{n}", blocks, bound(f"t{n}", totals, out))
+    return bound(f"v{n}", values, f"CASE WHEN size(v{n}) = 0 THEN v{n} ELSE {out} END")
+
+
+def bound(name: str, value: str, body: str) -> str:
+    """SQL for body, in which name stands for value; value is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def in_chunks(text: str) -> str:
+    """SQL for text in pieces of CHUNK code points, for read()."""
+    return f"regexp_extract_all({text}, r'(?s).{{1,{CHUNK}}}', 0)"
+
+
+def read(chunks: str, start: str, end: str) -> str:
+    """SQL for the code points [start, end) of a text in_chunks(), without counting through all that stand before."""
+    first = f"({start}) div {CHUNK}"
+    part = f"slice({chunks}, int({first}) + 1, int(greatest(({end} - 1) div {CHUNK} - {first} + 1, 0)))"
+    return f"substr(array_join({part}, ''), int(({start}) % {CHUNK}) + 1, int({end} - ({start})))"
+
+
 #: At most so many groups count as hot, see attach().
 HOT_GROUPS = 2000
 

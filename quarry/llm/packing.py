@@ -3,9 +3,9 @@
 Each partition is streamed without a shuffle. A document's ids, with an end id, are cut into full windows, which need
 no packing, and a rest. Rests gather until they fill ``windows`` windows exactly; then multiway differencing deals
 them out: every rest is a partial partition of the windows, and the two partial partitions with the largest imbalances
-are merged again and again, the fullest window of one with the emptiest of the other. There are as few windows as the
-total allows, one more whenever it exceeds their capacity. What a near-equal window still has beyond its capacity is
-cut off and goes to one below it, so that only the last windows of a partition have padding.
+are merged again and again, the fullest window of one with the emptiest of the other. As long as a window exceeds its
+capacity, there is one window more. Of the near-equal windows, each with some room, those that the total does not need
+are then taken apart, and their pieces cut to fill the others, so that only the last windows of a partition have padding.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import ids_back, ids_out, table
 
 CAPACITY = 1024
 WINDOWS = 32
@@ -64,33 +64,31 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def deal(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Groups of near-equal sums: as few as the total allows, so one more whenever it exceeds their capacity."""
-    return difference(sizes, max(1, -(-sum(sizes) // capacity)))
+    """Groups of near-equal sums, none above the capacity: one more as long as any exceeds it. No size exceeds it."""
+    k = max(1, -(-sum(sizes) // capacity))
+    while True:
+        groups = difference(sizes, k)
+        if max((sum(sizes[i] for i in g) for g in groups), default=0) <= capacity:
+            return groups
+        k += 1
 
 
 def level(groups: list[list[tuple]], capacity: int) -> list[list[tuple]]:
-    """Cut what exceeds the capacity off the largest pieces and put it into groups with room.
+    """As few of the groups as the total allows, filled up with the pieces of the others, which are cut for that.
 
-    Pieces are (doc, start, ids, doc_tokens). All groups together have room for all pieces.
+    Pieces are (doc, start, ids, doc_tokens), and no group exceeds the capacity. The emptiest groups are taken apart.
     """
-    over = []
+    size = lambda g: sum(len(p[2]) for p in g)
+    groups = sorted(groups, key=size, reverse=True)
+    needed = -(-sum(map(size, groups)) // capacity)
+    groups, rest = groups[:needed], [p for g in groups[needed:] for p in g]
     for g in groups:
-        excess = sum(len(p[2]) for p in g) - capacity
-        g.sort(key=lambda p: len(p[2]))
-        while excess > 0:
-            doc, start, ids, n = g.pop()
-            cut = max(0, len(ids) - excess)
-            over.append((doc, start + cut, ids[cut:], n))
-            excess -= len(ids) - cut
-            if cut:
-                g.append((doc, start, ids[:cut], n))
-    for g in groups:
-        room = capacity - sum(len(p[2]) for p in g)
-        while room and over:
-            doc, start, ids, n = over.pop()
+        room = capacity - size(g)
+        while room and rest:
+            doc, start, ids, n = rest.pop()
             g.append((doc, start, ids[:room], n))
             if len(ids) > room:
-                over.append((doc, start + room, ids[room:], n))
+                rest.append((doc, start + room, ids[room:], n))
             room -= min(room, len(ids))
     return groups
 
@@ -182,9 +180,9 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         size = 0
         for pdf in frames:
-            for doc, t in zip(pdf["__doc_id"].tolist(), pdf["__text"].tolist()):
+            for doc, t in zip(pdf["id"].tolist(), pdf["text"].tolist()):
                 t = t if isinstance(t, str) else ""
-                packer.add(None if doc != doc else doc, np.append(token_ids(path, t), END_ID).astype("<u4"))
+                packer.add(doc, np.append(token_ids(path, t), END_ID).astype("<u4"))
                 size += len(t)
                 if size >= 4_000_000:
                     size = 0
@@ -192,10 +190,9 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         packer.finish()
         yield pd.DataFrame(packer.taken(), columns=columns, dtype=object)
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("__doc_id"), F.col(text).alias("__text")).mapInPandas(
-        run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    )
+    rows = ids_out(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id")
+    out = rows.mapInPandas(run, "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return ids_back(out, "doc_id", docs.schema[doc_id].dataType)
 
 
 def op1_packing(spark, sf_dir):

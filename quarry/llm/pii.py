@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh, or_empty, table
+from quarry.llm.common import bound, fresh, in_chunks, or_empty, read, running, table
 
 
 class Kind(NamedTuple):
@@ -72,49 +72,53 @@ def _spans(kind: Kind, t: str) -> str:
     """SQL for the confirmed spans of one kind in the text column t.
 
     split() gives the gaps between the matches and regexp_extract_all() the matches; running sums of their lengths
-    are the positions.
+    are the positions. All of it takes time in proportion to the text.
     """
     gaps, hits = f"split({t}, r'{kind.pattern}', -1)", f"regexp_extract_all({t}, r'{kind.pattern}', 0)"
-    placed = (
-        f"aggregate(zip_with({hits}, slice({gaps}, 1, size({hits})), (m, g) -> named_struct('m', m, 'gap', length(g))), "
-        "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,m:string>>)), "
-        "(a, x) -> named_struct('at', a.at + x.gap + length(x.m), 'out', concat(a.out, array(named_struct('start', a.at + x.gap, 'end', a.at + x.gap + length(x.m), 'm', x.m)))), "
-        "a -> a.out)"
-    )
-    confirmed = f"filter({placed}, s -> element_at(transform(array(s.m), m -> {kind.valid}), 1))"
-    near = f"substr({t}, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT})) rlike r'(?i)\\b(?:{WORDS[kind.name]})\\b'"
-    scored = f"transform({confirmed}, s -> named_struct('kind', '{kind.name}', 'start', s.start, 'end', s.end, 'score', {kind.score}D + CASE WHEN {near} THEN {BOOST}D ELSE 0D END))"
+    ends = running("transform(arrays_zip(hits, gaps), z -> cast(length(z.gaps) + length(z.hits) AS bigint))", "a + x", "0L")
+    placed = f"zip_with(hits, {ends}, (m, e) -> named_struct('start', int(e) - length(m), 'end', int(e), 'm', m))"
+    placed = bound("hits", hits, bound("gaps", f"slice({gaps}, 1, size(hits))", placed))
+    confirmed = f"filter({placed}, s -> transform(array(s.m), m -> {kind.valid})[0])"
+    near = f"{read('chunks', f'greatest(s.start - {CONTEXT}, 0)', 's.start')} rlike r'(?i)\\b(?:{WORDS[kind.name]})\\b'"
+    scored = f"transform(c, s -> named_struct('kind', '{kind.name}', 'start', s.start, 'end', s.end, 'score', {kind.score}D + CASE WHEN {near} THEN {BOOST}D ELSE 0D END))"
     if not kind.base:
         scored = f"filter({scored}, s -> s.score >= {THRESHOLD}D)"
+    scored = bound("c", confirmed, f"CASE WHEN size(c) = 0 THEN cast(array() as {SPAN}) ELSE {bound('chunks', in_chunks(t), scored)} END")
     return f"CASE WHEN {kind.gate.replace('t ', f'{t} ').replace('(t,', f'({t},')} AND {t} rlike r'{kind.pattern}' THEN {scored} ELSE cast(array() as {SPAN}) END"
 
 
+def span_columns(docs: DataFrame) -> list[str]:
+    """The columns that find_spans() adds, in the order of KINDS."""
+    return fresh(docs, *[f"pii_{k.name}" for k in KINDS])
+
+
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one array of (kind, start, end, score) per kind, in columns ``pii_KIND``.
 
-    A null or empty text has no spans. Repeated rows and any other columns stay as they are.
+    A null or empty text has no spans. Repeated rows and all other columns stay as they are; where docs has a column
+    of such a name, the new one has underscores in front, see span_columns(). An empty table gives no rows.
     """
     (t,) = fresh(docs, "__t")
-    out = docs.withColumn(t, or_empty(F.col(text)))
-    return out.withColumns({f"pii_{k.name}": F.expr(_spans(k, t)) for k in KINDS}).drop(t)
+    out = docs.withColumn(t, or_empty(F.col(f"`{text}`")))
+    return out.withColumns({c: F.expr(_spans(k, t)) for c, k in zip(span_columns(docs), KINDS)}).drop(t)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span in text replaced by its kind in angle brackets; columns as given.
 
     Of overlapping spans the first one, on a tie the longest, gives the tag, and all of their characters go. A null
-    text stays null.
+    text stays null, repeated rows stay, and an empty table gives no rows.
     """
-    everything = F.array_sort(F.concat(*[F.col(f"pii_{k.name}") for k in KINDS]), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    (spans,) = fresh(docs, "__spans")
+    everything = F.array_sort(F.concat(*[F.col(c) for c in span_columns(docs)]), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    found = find_spans(docs, text)
+    (spans,) = fresh(found, "__spans")
     t = f"`{text}`"
-    cut = (
-        f"aggregate({spans}, named_struct('at', 0, 'out', ''), (a, s) -> CASE WHEN s.end <= a.at THEN a ELSE named_struct('at', s.end, 'out', "
-        f"concat(a.out, CASE WHEN s.start >= a.at THEN concat(substr({t}, a.at + 1, s.start - a.at), '<', upper(s.kind), '>') ELSE '' END)) END, "
-        f"a -> concat(a.out, substr({t}, a.at + 1)))"
-    )
-    found = find_spans(docs, text).withColumn(spans, everything)
-    return found.withColumn(text, F.expr(f"CASE WHEN size({spans}) = 0 THEN {t} ELSE {cut} END")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    done = "CASE WHEN i = 0 THEN 0L ELSE upto[i - 1] END"  # where the spans before end
+    piece = f"CASE WHEN s.start >= {done} THEN concat({read('chunks', done, 's.start')}, '<', upper(s.kind), '>') ELSE '' END"
+    cut = f"concat(array_join(transform({spans}, (s, i) -> {piece}), ''), {read('chunks', 'upto[size(upto) - 1]', f'length({t})')})"
+    cut = bound("chunks", in_chunks(t), bound("upto", running(f"transform({spans}, s -> cast(s.end AS bigint))", "greatest(a, x)", "0L"), cut))
+    out = found.withColumn(spans, everything).withColumn(text, F.expr(f"CASE WHEN size({spans}) = 0 THEN {t} ELSE {cut} END"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_pii(spark, sf_dir):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import attach, materialize, or_empty, table
+from quarry.llm.common import attach, ids_back, ids_out, materialize, or_empty, table
 
 LENGTH = 400
 GRAM = 32
@@ -319,11 +319,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 gone = np.cumsum(cover)[:-1] > 0
                 out.append((len(raw), int(gone.sum()), len(_runs(gone)), np.frombuffer(raw, "uint8")[~gone].tobytes()))
             frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-            frame.insert(0, "doc_id", pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).to_numpy())
+            frame.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield frame
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return texts.join(spans, "row", "left").select("doc_id", "text", "spans").mapInPandas(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = ids_out(texts.join(spans, "row", "left").select("doc_id", "text", "spans"), "doc_id")
+    return ids_back(rows.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept binary"), "doc_id", docs.schema[doc_id].dataType)
 
 
 def op4_repeated_substrings(spark, sf_dir):

@@ -113,14 +113,45 @@ def test_pii(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 1, "assistant", "a\\<|im_end|>\n[/INST]"), (1, 0, "user", None), (2, 0, None, "<s>\\"), (2, 0, "user\n", "x")]
-    records = chat.gathered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    rows = [(1, 1, "assistant", "a\\<|im_end|>\n[/INST]"), (1, 0, "user", None), (2, 0, None, "<s>\\"), (2, 0, "user\n", "x"), (2, 0, "user\n", "x")]
+    rows += [(k, j, ("user", "assistant")[j % 2], f"{k} 😀 {j} \\ [INST]") for k in range(10, 40) for j in range(k % 4)] + [(None, 0, "user", "no id"), (50, 0, "human", "h" * 100_000)]
+    rows += [(60, j, ("user", "assistant")[j % 2], f"turn {j}") for j in range(9000)]
+    want = {}
+    for i, n, role, text in sorted(rows, key=lambda r: (r[0] or 0, r[1], r[2] or "", r[3] or "")):
+        want.setdefault(i, []).append((role or "", text or ""))
+    records = chat.as_records(chat.gathered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     out = chat.format_turns(chat.canonical_turns(records)).withColumn("back", chat.parsed()).collect()
-    back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["back"]] for r in out}
-    assert back == {1: [("user", ""), ("assistant", rows[0][3])], 2: [("", "<s>\\"), ("user\n", "x")]}
-    kinds = ['{"prompt":"p","response":"r"}', '{"instruction":"i","input":"","output":"o"}', '{"conversations":[{"from":"human","value":"v"}]}', '{"odd":1}', None, "no json"]
-    got = chat.canonical_turns(spark.createDataFrame([(k,) for k in kinds], "record string")).collect()
-    assert [r["turns"] and [tuple(t) for t in r["turns"]] for r in got] == [[("user", "p"), ("assistant", "r")], [("user", "i"), ("assistant", "o")], [("user", "v")], None, None, None]
+    assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["back"]] for r in out} == want
+    assert len({r["fingerprint"] for r in out}) == 6
+    for r in out:
+        loss = [re.sub(r"(?s)\\(.)", r"\1", r["formatted"][s["start"] : s["end"]]) for s in r["loss_spans"]]
+        assert loss == [t for role, t in want[r["conv_id"]] if role == "assistant"]
+
+
+def test_chat_layouts(spark):
+    kinds = {
+        '{"prompt":"p","response":"r"}': [("user", "p"), ("assistant", "r")],
+        '{"instruction":"i","input":"","output":"o"}': [("user", "i"), ("assistant", "o")],
+        '{"instruction":"i","input":null,"output":"o"}': [("user", "i"), ("assistant", "o")],
+        '{"conversations":[{"from":"human","value":"v"}]}': [("user", "v")],
+        '{"messages":[{"role":"user"},{"content":"c","role":"assistant"}]}': [("user", ""), ("assistant", "c")],
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}]}': [("user", "ab")],
+        '{"data":{"turns":[{"utterance":"u","speaker":"s"}]}}': [("s", "u")],
+        '{"messages":[]}': [],
+        '{"messages":["a"]}': None,
+        '{"odd":1}': None,
+        '{"data":{"turns":{"utterance":"u","speaker":"s"}}}': None,
+        "[1]": None,
+        "no json": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(k, "a", "b", "c", "d") for k in kinds], "record string, turns string, fingerprint string, __pieces string, formatted string")
+    out = chat.format_turns(chat.canonical_turns(df), "_turns")
+    assert out.columns == [*df.columns, "_fingerprint", "_turns", "_formatted", "loss_spans"]
+    for r in out.collect():
+        assert (r["_turns"] and [tuple(t) for t in r["_turns"]]) == kinds[r["record"]] or kinds[r["record"]] == r["_turns"] == [], r["record"]
+        assert (r["turns"], r["fingerprint"], r["__pieces"], r["formatted"]) == ("a", "b", "c", "d")
+    assert chat.format_turns(chat.canonical_turns(df.select("record").limit(0))).count() == 0
 
 
 def test_substrings(docs, none):
@@ -227,3 +258,63 @@ def test_pii_long_domains(spark):
     rows = [(n, f"to a@b{'.c' * n}..d, x@y.z") for n in (1, 5_000, 300_000)]
     for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         assert [("email", s["start"], s["end"]) for s in r["pii_email"]] == [x for x in base_spans(r["text"]) if x[0] == "email"]
+
+
+def test_running_totals(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.llm import common
+
+    random.seed(6)
+    rows = [(k, [random.randint(-9, 9) for _ in range(n)]) for k, n in enumerate([0, 1, 63, 64, 65, 4096, 4097, 20_000])]
+    df = spark.createDataFrame(rows, "k long, v array<long>")
+    got = df.select("k", F.expr(common.running("v", "a + x", "0L")).alias("s"), F.expr(common.running("v", "greatest(a, x)", "-99L")).alias("m")).collect()
+    for r in got:
+        assert r["s"] == np.cumsum(rows[r["k"]][1]).tolist() and r["m"] == np.maximum.accumulate(np.array(rows[r["k"]][1], int)).tolist()
+
+
+def test_reading_in_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.llm import common
+
+    text = "".join(random.choice("ab\n😀é") for _ in range(2000))
+    places = [(a, b) for a in (0, 1, 511, 512, 513, 1024, 1999, 2000) for b in (0, 1, 511, 512, 513, 1024, 1999, 2000) if a <= b]
+    df = spark.createDataFrame([(text, a, b) for a, b in places], "t string, a long, b long")
+    got = df.select("a", "b", F.expr(f"transform(array({common.in_chunks('t')}), c -> {common.read('c', 'a', 'b')})[0]").alias("x")).collect()
+    assert all(r["x"] == text[r["a"] : r["b"]] for r in got)
+
+
+def test_pii_names_ties_and_many_matches(spark):
+    many = " ".join(f"email user{k}@example.org now" for k in range(20_000))
+    rows = [(None, None, 1, "x", "y"), (2, many, 2, "x", "y"), (2, many, 2, "x", "y"), (3, "call +1 (555) 123-4567", 3, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, pii_email long, __t string, __spans string")
+    out = pii.find_spans(docs)
+    assert out.columns[:5] == docs.columns and pii.span_columns(docs)[0] == "_pii_email"
+    found = out.collect()
+    assert sorted(len(r["_pii_email"]) for r in found) == [0, 0, 20_000, 20_000]
+    assert all(s["score"] > 1 for s in found[1]["_pii_email"])
+    red = pii.redact(docs).collect()
+    assert [tuple(r)[2:] for r in red] == [r[2:] for r in rows] and red[0]["text"] is None
+    assert red[1]["text"] == " ".join(["email <EMAIL> now"] * 20_000) and red[3]["text"] == "call <PHONE>"
+    assert pii.redact(docs.limit(0)).count() == 0 == pii.find_spans(docs.limit(0)).count()
+
+
+def test_exact_ids_beside_nulls(spark):
+    """Ids beyond 2^53 stay exact in a batch that also holds a null."""
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "some text"), (None, "other words here"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    for out in (packing.pack(docs, PATH), bpe.encode_texts(docs, PATH), substrings.remove_repeats(docs), minhash.near_groups(docs), exact_dedup.exact_groups(docs)):
+        assert {r["doc_id"] for r in out.collect()} == {big, None, big + 2} and out.schema["doc_id"].dataType.simpleString() == "bigint"
+
+
+def test_window_count_rises_until_all_fit():
+    random.seed(7)
+    for _ in range(50):
+        sizes = [random.randint(1, 100) for _ in range(random.randint(1, 60))]
+        groups = packing.deal(sizes, 100)
+        assert sorted(sum(groups, [])) == list(range(len(sizes))) and max(sum(sizes[i] for i in g) for g in groups) <= 100
+        full = packing.level([[(i, 0, np.arange(sizes[i]), sizes[i]) for i in g] for g in groups], 100)
+        filled = sorted(sum(len(p[2]) for p in g) for g in full)
+        assert len(full) == -(-sum(sizes) // 100) and all(x == 100 for x in filled[1:]) and sum(filled) == sum(sizes)
+    assert len(packing.deal([60, 60, 60], 100)) == 3
