@@ -55,11 +55,12 @@ def _words(slots: DataFrame) -> DataFrame:
 def maybe_repeated(df: DataFrame, sha: str, words: DataFrame, bits: int, flag: str) -> DataFrame:
     """Pass 2: add the boolean column flag, false where no other row can have the same hash."""
     out, kept = df, list(df.columns)
+    names = fresh(df, "__word0", "__hits0", "__word1", "__hits1")
     slots = _slots(sha, bits)
     for k, slot in enumerate(slots):
-        side = words.select(F.col("word").alias(f"__word{k}"), F.col("hits").alias(f"__hits{k}"))
-        out = out.join(F.broadcast(side), F.shiftright(slot, 6) == F.col(f"__word{k}"), "left")
-    hit = [F.coalesce(F.expr(f"shiftrightunsigned(__hits{k}, cast(xxhash64(`{sha}`, {k + 1}) & 63 as int)) & 1"), F.lit(0)) == 1 for k in range(2)]
+        side = words.select(F.col("word").alias(names[2 * k]), F.col("hits").alias(names[2 * k + 1]))
+        out = out.join(F.broadcast(side), F.shiftright(slot, 6) == F.col(names[2 * k]), "left")
+    hit = [F.coalesce(F.expr(f"shiftrightunsigned({names[2 * k + 1]}, cast(xxhash64(`{sha}`, {k + 1}) & 63 as int)) & 1"), F.lit(0)) == 1 for k in range(2)]
     return out.select(*[F.col(f"`{c}`") for c in kept], (hit[0] & hit[1]).alias(flag))
 
 
@@ -73,8 +74,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     digests = materialize(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
-            F.col(doc_id).alias("doc_id"),
-            F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("sha"),
+            F.col(f"`{doc_id}`").alias("doc_id"),
+            F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)).alias("sha"),
         )
     )
     n = digests.count()
@@ -96,20 +97,22 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """docs without the rows whose text equals that of a smaller doc_id; columns as given.
 
     Rows that cannot have an equal pass through in place; only the others shuffle, on (hash, id), which no group of
-    copies makes uneven.
+    copies makes uneven. A null text is empty; a null id stays only where no equal text has an id. Of rows that repeat
+    both id and text one stays. An empty table gives no rows.
     """
-    sha, flag = fresh(docs, "__sha", "__maybe")
-    hashed = docs.withColumn(sha, F.unhex(F.sha2(normalised(F.col(text)), 256)))
-    digests = materialize(hashed.select(F.col(sha).alias("sha"), F.col(doc_id).alias("id")))
+    sha, flag, keep_sha, keep_id = fresh(docs, "__sha", "__maybe", "__keep_sha", "__keep_id")
+    own_id = F.col(f"`{doc_id}`")
+    hashed = docs.withColumn(sha, F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)))
+    digests = materialize(hashed.select(F.col(sha).alias("sha"), own_id.alias("id")))
     bits = filter_bits(digests.count())
     words = materialize(repeated_bits(digests, "sha", bits))
     keepers = (
         maybe_repeated(digests, "sha", words, bits, "maybe").filter("maybe").groupBy("sha")
         .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("keep"))
-        .select(F.col("sha").alias("__keep_sha"), F.col("keep.id").alias("__keep_id"))
+        .select(F.col("sha").alias(keep_sha), F.col("keep.id").alias(keep_id))
     )
     flagged = maybe_repeated(hashed, sha, words, bits, flag)
-    suspects = flagged.filter(F.col(flag)).join(keepers, (F.col(sha) == F.col("__keep_sha")) & F.col(doc_id).eqNullSafe(F.col("__keep_id")), "left_semi").dropDuplicates([sha, doc_id])
+    suspects = flagged.filter(F.col(flag)).join(keepers, (F.col(sha) == F.col(keep_sha)) & own_id.eqNullSafe(F.col(keep_id)), "left_semi").dropDuplicates([sha, doc_id])
     return flagged.filter(~F.col(flag)).unionByName(suspects).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,8 +1,11 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are five words in a row, hashed; a shingle weighs its count in the text times log((N + 1) / (df + 1)) + 1.
-Document frequencies are exact: counts of each shingle hash over all documents, summed before the shuffle. Those above one
-are joined to the shingles of one text of each class and travel with it; all other shingles occur in one document.
+Shingles are five words in a row, hashed. A shingle weighs its count in the text times its inverse document frequency
+log((N + 1) / (df + 1)) + 1, which saturates: shingles in fewer than one of SATURATION documents weigh alike, as if they
+were in that many. So a similarity depends on shares of documents and not on their number, and what has to be known are
+the frequencies of common shingles, of which there are at most SATURATION times the mean number of shingles in a text.
+Those are exact, in two passes over all texts: the first sums up two rows of hashed counters, each of which is at least
+the frequency of any shingle in it; the second counts the shingles whose counters are both high enough.
 
 Each of BANDS * ROWS samples picks a shingle with its quantised weight so that two texts agree with the probability of
 their weighted Jaccard similarity. Texts that agree in all samples of a band meet in a bucket. Every text is verified
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import attach, fresh, materialize, or_empty, table
+from quarry.llm.common import attach, fresh, ids_back, ids_out, materialize, or_empty, table
 from quarry.llm.components import clusters, components
 from quarry.llm.exact_dedup import filter_bits, maybe_repeated, member_bits
 
@@ -31,8 +34,10 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair at the similarity asked for meets in some bucket with probability 1 - (1 - 0.8^4)^10 = 0.995.
 BANDS, ROWS = 10, 4
-#: Shingles a task counts before it passes them on.
-COUNTED = 1 << 21
+#: Shingles in fewer than one of so many documents weigh alike.
+SATURATION = 512
+#: Counters of a row, those that travel together, and shingles a task counts before it passes them on.
+COUNTERS, TOGETHER, COUNTED = 1 << 18, 1 << 12, 1 << 21
 #: Random draws are taken from so many quantiles (2^BITS).
 BITS = 12
 #: Texts compared with one other in a task at most, before a further task takes the rest.
@@ -74,22 +79,25 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def counted(text: str, marks, dfs, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles in order, their counts, and their inverse document frequency among n documents.
+class Weights:
+    """Inverse document frequencies among n documents, from the shingles (in order) in more than n / SATURATION of them."""
 
-    marks and dfs are the shingles in more than one document and their frequencies, in any order; null for none.
-    """
-    values, counts = np.unique(shingles(word_hashes(text)), return_counts=True)
-    df = np.ones(len(values))
-    if marks is not None and len(marks):
-        df[np.searchsorted(values, np.asarray(marks, "int64").view("uint64"))] = dfs
-    return values, counts, np.log((n + 1) / (df + 1)) + 1
+    def __init__(self, n: int, common: np.ndarray, df: np.ndarray):
+        self.common = common
+        self.idf = np.append(np.log((n + 1) / (df + 1)) + 1, np.log((n + 1) / (n / SATURATION + 1)) + 1)
 
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingles in order, their counts, and their inverse document frequencies."""
+        values, counts = np.unique(shingles(word_hashes(text)), return_counts=True)
+        at = np.searchsorted(self.common, values)
+        at[at == len(self.common)] = 0
+        found = self.common[at] == values if len(self.common) else np.zeros(len(values), bool)
+        return values, counts, self.idf[np.where(found, at, len(self.common))]
 
-def weighted(*row) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles in order, and their weights."""
-    values, counts, idf = counted(*row)
-    return values, counts * idf
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles in order, and their weights."""
+        values, counts, idf = self.counted(text)
+        return values, counts * idf
 
 
 def similarity(a, b) -> float:
@@ -146,52 +154,77 @@ def band_hashes(samples: np.ndarray) -> np.ndarray:
     return out.view("int64")
 
 
-def frequencies(texts: DataFrame) -> DataFrame:
-    """(shingle, df) of the shingles that are in more than one row of the column ``text``."""
+def counters_of(values: np.ndarray) -> np.ndarray:
+    """The counter of each shingle in each of the two rows."""
+    shift = np.uint64(65 - COUNTERS.bit_length())
+    return np.stack([values >> shift, COUNTERS + ((values * _MIX) >> shift)]).astype("int64")
 
-    def count(frames):
-        seen, size = [], 0
 
-        def summed():
-            values, counts = np.unique(np.concatenate(seen), return_counts=True)
-            return pd.DataFrame({"shingle": values.view("int64"), "n": counts})
+def fit(texts: DataFrame) -> Weights:
+    """Weights from all rows of the column ``text``."""
 
+    def count(frames):
+        seen, rows, found, size = np.zeros(2 * COUNTERS, "int32"), 0, [], 0
         for pdf in frames:
             for t in pdf["text"]:
-                seen.append(np.unique(shingles(word_hashes(t))))
-                size += len(seen[-1])
+                found.append(counters_of(np.unique(shingles(word_hashes(t)))).ravel())
+                size += len(found[-1])
+                rows += 1
                 if size > COUNTED:
-                    yield summed()
-                    seen, size = [], 0
-        if seen:
-            yield summed()
-
-    return texts.select("text").mapInPandas(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df")).filter("df > 1")
-
+                    seen += np.bincount(np.concatenate(found), minlength=len(seen)).astype("int32")
+                    found, size = [], 0
+        if found:
+            seen += np.bincount(np.concatenate(found), minlength=len(seen)).astype("int32")
+        blocks = seen.reshape(-1, TOGETHER)
+        some = np.flatnonzero(blocks.any(1))
+        yield pd.DataFrame({"block": np.append(some, -1), "counts": [*(b.astype("<i4").tobytes() for b in blocks[some]), np.array([rows], "<i4").tobytes()]})
+
+    def summed(frames):
+        total = {}
+        for pdf in frames:
+            for block, raw in zip(pdf["block"].tolist(), pdf["counts"]):
+                total[block] = total.get(block, 0) + np.frombuffer(raw, "<i4").astype("int64")
+        yield pd.DataFrame({"block": list(total), "counts": [x.tobytes() for x in total.values()]})
+
+    blocks = texts.select("text").mapInPandas(count, "block int, counts binary")
+    # 2 * COUNTERS counters and the number of texts, whatever the input.
+    got = blocks.repartition("block").mapInPandas(summed, "block int, counts binary").toPandas()
+    seen, n = np.zeros((2 * COUNTERS // TOGETHER, TOGETHER), "int64"), 0
+    for block, raw in zip(got["block"].tolist(), got["counts"]):
+        if block < 0:
+            n = int(np.frombuffer(raw, "int64")[0])
+        else:
+            seen[block] = np.frombuffer(raw, "int64")
+    high = texts.sparkSession.sparkContext.broadcast(seen.ravel() > n / SATURATION)
+
+    def exact(frames):
+        found, size = [], 0
 
-def with_frequencies(bodies: DataFrame, common: DataFrame) -> DataFrame:
-    """bodies (id, text) with the shingles of each text that common (shingle, df) holds, in arrays marks and dfs."""
+        def summed():
+            values, counts = np.unique(np.concatenate(found), return_counts=True)
+            return pd.DataFrame({"shingle": values.view("int64"), "n": counts})
 
-    def each(frames):
         for pdf in frames:
-            ids, found, size = [], [], 0
-            for i, t in zip(pdf["id"], pdf["text"]):
-                found.append(np.unique(shingles(word_hashes(t))))
-                ids.append(np.full(len(found[-1]), i, "int64"))
+            for t in pdf["text"]:
+                values = np.unique(shingles(word_hashes(t)))
+                first, second = counters_of(values)
+                found.append(values[high.value[first] & high.value[second]])
                 size += len(found[-1])
                 if size > COUNTED:
-                    yield pd.DataFrame({"id": np.concatenate(ids), "shingle": np.concatenate(found).view("int64")})
-                    ids, found, size = [], [], 0
-            if found:
-                yield pd.DataFrame({"id": np.concatenate(ids), "shingle": np.concatenate(found).view("int64")})
+                    yield summed()
+                    found, size = [], 0
+        if found:
+            yield summed()
 
-    total = common.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    found = attach(bodies.mapInPandas(each, "id long, shingle long"), common, ["shingle"], "df", total)
-    marks = found.groupBy("id").agg(F.collect_list(F.struct("shingle", "df")).alias("all"))
-    return bodies.join(marks.select("id", F.col("all.shingle").alias("marks"), F.col("all.df").alias("dfs")), "id", "left")
+    counts = texts.select("text").mapInPandas(exact, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df"))
+    # At most SATURATION times the mean number of shingles in a text.
+    common = counts.filter(F.col("df") > n / SATURATION).toPandas()
+    values, df = common["shingle"].to_numpy("int64").view("uint64"), common["df"].to_numpy("int64")
+    order = np.argsort(values)
+    return Weights(n, values[order], df[order])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are at least so similar.
 
     Texts of b travel to their pairs; pairs of one a are dealt out in shares of about SHARE, each with a copy of a.
@@ -201,17 +234,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> D
     # An a with few pairs is in one share; only for others must its pairs know the number of shares.
     many = shares.filter("shares > 1")
     dealt = pairs.join(many, "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).cast("int")).select("a", "b", "share")
-    right = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "share", F.lit(True).alias("other"), "b", "text", "marks", "dfs")
+    right = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "share", F.lit(True).alias("other"), "b", "text")
     left = shares.join(texts.withColumnRenamed("id", "a"), "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    left = left.select("a", "share", F.lit(False).alias("other"), F.col("a").alias("b"), "text", "marks", "dfs")
+    left = left.select("a", "share", F.lit(False).alias("other"), F.col("a").alias("b"), "text")
     both = left.unionByName(right).repartition("a", "share").sortWithinPartitions("a", "share", "other", "b")
 
     def compare(frames):
         now, own = None, None
         for pdf in frames:
             out = []
-            for a, share, b, *row in zip(pdf["a"], pdf["share"], pdf["b"], pdf["text"], pdf["marks"], pdf["dfs"]):
-                w = weighted(*row, n)
+            for a, share, b, t in zip(pdf["a"], pdf["share"], pdf["b"], pdf["text"]):
+                w = weights.value.of(t)
                 if (a, share) != now:
                     now, own = (a, share), w
                 elif similarity(own, w) >= threshold:
@@ -221,15 +254,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> D
     return both.mapInPandas(compare, "a long, b long")
 
 
-def _block_links(texts: list[tuple], side: np.ndarray, n: int, threshold: float) -> np.ndarray:
+def _block_links(texts: list[str], side: np.ndarray, of: Weights, threshold: float) -> np.ndarray:
     """Boolean matrix of the pairs of texts, from two sides or within one, that are at least so similar.
 
     A shingle that occurs k times is k features of its weight, so the sum of the smaller weights is a product of
     binary vectors.
     """
     docs, feats, weights = [], [], []
-    for k, row in enumerate(texts):
-        values, counts, idf = counted(*row, n)
+    for k, t in enumerate(texts):
+        values, counts, idf = of.counted(t)
         level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         v = np.repeat(values, counts)
         docs.append(np.full(len(v), k))
@@ -257,7 +290,7 @@ def _block_links(texts: list[tuple], side: np.ndarray, n: int, threshold: float)
     return out
 
 
-def _open_links(open_: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+def _open_links(open_: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """Edges (a, b) that connect all similar pairs within each bucket of (bucket, id, size), in blocks of BLOCK."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = open_.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -265,7 +298,7 @@ def _open_links(open_: DataFrame, texts: DataFrame, n: int, threshold: float) ->
     cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
 
     def done(pdf: pd.DataFrame):
-        ids, linked = pdf["id"].to_numpy(), _block_links(list(zip(pdf["text"], pdf["marks"], pdf["dfs"])), pdf["block"].to_numpy(), n, threshold)
+        ids, linked = pdf["id"].to_numpy(), _block_links(pdf["text"].tolist(), pdf["block"].to_numpy(), weights.value, threshold)
         first = clusters(linked)
         some = np.flatnonzero(first != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[first[some]], "b": ids[some]})
@@ -298,42 +331,53 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
 
 
 def _groups(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    texts = docs.select(F.col(doc_id).alias("doc_id"), or_empty(F.col(text)).alias("text"))
-    signed = materialize(texts.select("doc_id", _digest(F.col("text")).alias("digest")).withColumn("row", F.monotonically_increasing_id()))
-    n = signed.count()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    classes = materialize(
-        signed.groupBy("digest").agg(first.alias("first"), F.count("*").alias("members"))
-        .select("digest", "members", F.col("first.doc_id").alias("class_id"), F.xxhash64("digest").alias("id"), F.col("first.row").alias("row"))
-    )
-    # One text for each class.
-    plain = materialize(texts.select(F.xxhash64(_digest(F.col("text"))).alias("id"), "text").groupBy("id").agg(F.min("text").alias("text")))
-    bodies = materialize(with_frequencies(plain, materialize(frequencies(texts))))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), or_empty(F.col(f"`{text}`")).alias("text"))
+    weights = docs.sparkSession.sparkContext.broadcast(fit(texts))
 
     def sign(frames):
         for pdf in frames:
-            bands = []
-            for row in zip(pdf["text"], pdf["marks"], pdf["dfs"]):
-                values, weights = weighted(*row, n)
-                bands.append(band_hashes(sample(values, weights)) if len(values) else np.empty(0, "int64"))
-            yield pd.DataFrame({"id": pdf["id"], "bands": bands})
+            digests, bands = [], []
+            for t in pdf["text"]:
+                digests.append(xxhash.xxh3_128_digest(word_hashes(t).tobytes()))
+                values, own = weights.value.of(t)
+                bands.append(band_hashes(sample(values, own)) if len(values) else np.empty(0, "int64"))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": digests, "bands": bands})
 
-    banded = materialize(bodies.mapInPandas(sign, "id long, bands array<long>").select("id", F.explode("bands").alias("bucket")))
+    signed = ids_out(texts, "doc_id").mapInPandas(sign, "doc_id string, digest binary, bands array<long>")
+    signed = materialize(ids_back(signed, "doc_id", docs.schema[doc_id].dataType).withColumn("row", F.monotonically_increasing_id()))
+    n = signed.count()
+    # A class is known by the row of its first member.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "bands"))
+    classes = materialize(
+        signed.groupBy("digest").agg(first.alias("first"), F.count("*").alias("members"))
+        .select("digest", "members", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("id"), F.col("first.bands").alias("bands"))
+    )
+    banded = materialize(classes.select("id", F.explode("bands").alias("bucket")))
     sizes = banded.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
     held = materialize(attach(banded, sizes, ["bucket"], "n", n * BANDS))
+    # One text for each class that has to be compared; a Bloom filter keeps all other texts where they are.
+    wanted = materialize(classes.join(held.select("id").distinct(), "id").select("id", "digest"))
+    bits = filter_bits(wanted.count())
+    words = materialize(member_bits(wanted, "digest", bits))
+    digested = texts.select(_digest(F.col("text")).alias("digest"), "text")
+    maybe = maybe_repeated(digested, "digest", words, bits, "maybe").filter("maybe").drop("maybe")
+    bodies = maybe.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text"))
+    bodies = materialize(bodies.join(wanted, "digest").select("id", "text"))
+
     pairs = held.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
-    links = materialize(_verified(materialize(pairs), bodies, n, threshold))
+    links = materialize(_verified(materialize(pairs), bodies, weights, threshold))
     groups = components(links)
     # Buckets with texts of several components.
     state = held.select("bucket", "id").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high and size > 2").select("bucket", "size")
     open_ = attach(state.select("bucket", "id"), mixed, ["bucket"], "size", n * BANDS)
-    groups = components(links.unionByName(materialize(_open_links(open_, bodies, n, threshold))))
+    known = groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = components(known.unionByName(materialize(_open_links(open_, bodies, weights, threshold))))
 
     known = classes.join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
-    known = materialize(known.select("digest", "members", "class_id", "row", F.coalesce("component", "id").alias("component")))
-    lowest = known.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "row")).alias("low"), F.count("*").alias("classes"))
-    known = attach(known, lowest, ["component"], "classes", n).select("digest", "members", "class_id", F.col("low.class_id").alias("component_id"), F.col("low.row").alias("keep_row"))
+    known = materialize(known.select("digest", "members", "class_id", "id", F.coalesce("component", "id").alias("component")))
+    lowest = known.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "id")).alias("low"), F.count("*").alias("classes"))
+    known = attach(known, lowest, ["component"], "classes", n).select("digest", "members", "class_id", F.col("low.class_id").alias("component_id"), F.col("low.id").alias("keep_row"))
     out = attach(signed.select("row", "doc_id", "digest"), known, ["digest"], "members", n)
     return out.withColumn("kept", F.col("row") == F.col("keep_row"))
 
@@ -353,16 +397,15 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Rows whose text cannot be one to drop pass straight through; rows that repeat both id and text stay together.
     """
-    out = _groups(docs, doc_id, text, threshold)
-    kept = out.filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    gone = out.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__digest"] == b["__digest"])
-    gone = materialize(gone.join(kept, same(gone, kept), "left_anti"))
+    out = materialize(_groups(docs, doc_id, text, threshold))
+    own, flag, own_id, own_digest = fresh(docs, "__own_digest", "__maybe", "__id", "__digest")
+    of = lambda rows: rows.select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest))
+    kept, gone = of(out.filter("kept")), of(out.filter("not kept")).distinct()
+    gone = materialize(gone.join(kept, gone[own_id].eqNullSafe(kept[own_id]) & (gone[own_digest] == kept[own_digest]), "left_anti"))
     bits = filter_bits(gone.count())
-    words = materialize(member_bits(gone, "__digest", bits))
-    name, flag = fresh(docs, "__own_digest", "__maybe")
-    flagged = maybe_repeated(docs.withColumn(name, _digest(or_empty(F.col(text)))), name, words, bits, flag)
-    stay = flagged.filter(F.col(flag)).join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col(name) == F.col("__digest")), "left_anti")
+    words = materialize(member_bits(gone, own_digest, bits))
+    flagged = maybe_repeated(docs.withColumn(own, _digest(or_empty(F.col(f"`{text}`")))), own, words, bits, flag)
+    stay = flagged.filter(F.col(flag)).join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (F.col(own) == F.col(own_digest)), "left_anti")
     return flagged.filter(~F.col(flag)).unionByName(stay).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

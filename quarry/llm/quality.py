@@ -111,15 +111,21 @@ def in_training(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """The model of the labelled documents in training, at most SAMPLE of them. Rows without a label are no examples."""
+    """The model of the labelled documents in training, at most SAMPLE of them, whatever other columns docs has.
+
+    Rows without a label or without an id are no examples; repeated rows count as often as they occur. Without rows of
+    both labels all scores are 0.5.
+    """
+    own_id, own_y = fresh(docs, "__id", "__y")
     # As many labels as the sample has, so the broadcast is bounded.
-    sample = labels.filter(F.col("quality").isNotNull() & in_training(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y"))
-    sample = sample.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
-    got = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("__id")).select(F.col("__id"), F.col("__y"), F.xxhash64(text).alias("__h"), _features(F.col(text)).alias("__x"))
-    rows = got.orderBy("__id", "__h", "__y").limit(SAMPLE).toPandas()
+    sample = labels.filter(F.col("quality").isNotNull() & in_training(F.col("doc_id"))).select(F.col("doc_id").alias(own_id), F.col("quality").alias(own_y))
+    sample = sample.orderBy(F.xxhash64(own_id), own_id, own_y).limit(SAMPLE)
+    t = F.col(f"`{text}`")
+    got = docs.join(F.broadcast(sample), F.col(f"`{doc_id}`") == F.col(own_id)).select(F.col(own_id).alias("id"), F.col(own_y).alias("y"), F.xxhash64(t).alias("h"), _features(t).alias("x"))
+    rows = got.orderBy("id", "h", "y").limit(SAMPLE).toPandas()
     if rows.empty:
         return Model(np.zeros((0, N_FEATURES)), np.zeros(0))
-    return Model(np.array(rows["__x"].tolist()), rows["__y"].to_numpy())
+    return Model(np.array(rows["x"].tolist()), rows["y"].to_numpy())
 
 
 def scorer(model: Model) -> Callable[[Column], Column]:
@@ -135,11 +141,15 @@ def scorer(model: Model) -> Callable[[Column], Column]:
 def op6_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     score = scorer(fit(docs, table(spark, sf_dir, "labels")))
-    return docs.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), score(F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), score(F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a score of at least 0.5; columns as given."""
+    """docs with a score of at least 0.5; columns as given.
+
+    Null and empty texts have the score of no features; repeated rows share their score, and an empty table gives no
+    rows. Without labels of both kinds all scores are 0.5, and everything stays.
+    """
     (name,) = fresh(docs, "__score")
     score = scorer(fit(docs, labels))
-    return docs.withColumn(name, score(F.col(text))).filter(F.col(name) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn(name, score(F.col(f"`{text}`"))).filter(F.col(name) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -234,19 +234,72 @@ def test_anchors_of_a_very_long_text():
     assert all(of(1000 + k) == of(len(raw) - 3000 + k) for k in range(0, 2601, 100))
 
 
-def test_minhash_counts_shingles_exactly(spark):
-    """Texts of 94 % boilerplate are not alike, however many other shingles there are."""
+def brute_near(rows):
+    """component_id and kept of each row, by all pairs of whole texts; and the least similarity that links."""
+    found = [(i, (t or "").split()) for i, t in rows]
+    shingles = [Counter(zip(*(w[k:] for k in range(min(5, len(w)))))) for _, w in found]
+    n, df = len(rows), Counter(x for c in shingles for x in c)
+    idf = lambda x: np.log((n + 1) / (max(df[x], n / minhash.SATURATION) + 1)) + 1
+
+    def similarity(a, b):
+        both = sum(min(a[x], b[x]) * idf(x) for x in a.keys() & b.keys())
+        return both / (sum(c * idf(x) for x, c in a.items()) + sum(c * idf(x) for x, c in b.items()) - both) if a or b else 1
+
+    group = list(range(n))
+    pairs = [(i, j) for i in range(n) for j in range(i) if similarity(shingles[i], shingles[j]) >= 0.8 or shingles[i] == shingles[j]]
+    while any(group[i] != group[j] for i, j in pairs):
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    least = {g: min((rows[i][0] for i in range(n) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    return [least[g] for g in group], len(pairs)
+
+
+@pytest.mark.parametrize("saturation", [2, 512])
+def test_minhash_against_all_pairs(spark, monkeypatch, saturation):
+    monkeypatch.setattr(minhash, "SATURATION", saturation)
+    random.seed(8)
+    words = [f"w{k}" for k in range(3000)]
+    boilerplate = " ".join(random.choice(words) for _ in range(60))
+    rows = []
+    for k in range(40):
+        own = [random.choice(words) for _ in range(random.choice([3, 20, 150]))]
+        for edits in random.choice([(0,), (0, 1, 2), (0, 0, 3, 8, 20)]):
+            other = list(own)
+            for _ in range(edits):
+                other[random.randrange(len(other))] = random.choice(words)
+            rows.append((len(rows), " ".join(other) + (" " + boilerplate if k % 2 else "")))
+    rows += [(900, None), (901, ""), (902, " \n "), (903, rows[5][1]), (903, rows[5][1]), (None, rows[5][1]), (904, rows[7][1].replace(" ", "\n"))]
+    want, pairs = brute_near(rows)
+    docs = spark.createDataFrame([(*r, k, "d") for k, r in enumerate(rows)], "doc_id long, text string, n long, __id string").repartition(5)
+    got = Counter((r["doc_id"], r["component_id"]) for r in minhash.near_groups(docs).collect())
+    assert pairs > 40 and got == Counter((r[0], c) for r, c in zip(rows, want))
+
+
+def test_minhash_weights_are_exact(spark):
+    """Frequencies above the saturation are exact however full the counters are."""
     boilerplate = " ".join(f"b{k}" for k in range(944))
     rows = [(k, f"{boilerplate} " + " ".join(f"r{k}_{i}" for i in range(60))) for k in range(4)]
     rows += [(4, rows[0][1] + " more words")]
     rows += [(10 + k, f"{boilerplate} " + " ".join(f"f{k}_{i}" for i in range(400_000))) for k in range(9)]
-    found = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
-    df = Counter(x for f in found for x in f)
-    idf = {x: np.log((len(rows) + 1) / (df[x] + 1)) + 1 for f in found[:5] for x in f}
-    alike = lambda a, b: sum(map(idf.get, a & b)) / sum(map(idf.get, a | b)) >= 0.8
-    want = {a: min(b for b in range(5) if alike(found[a], found[b])) for a in range(5)}
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
-    assert {k: got[k] for k in range(5)} == want == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    of = minhash.fit(docs)
+    df = Counter(x for _, t in rows for x in np.unique(minhash.shingles(minhash.word_hashes(t))).tolist())
+    assert dict(zip(of.common.tolist(), of.idf)) == {x: np.log(15 / (k + 1)) + 1 for x, k in df.items() if k > len(rows) / minhash.SATURATION}
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_groups(docs).collect() if r["doc_id"] < 5} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+
+
+CLASHES = ["__hits0", "__word1", "__id", "__y", "__sha", "__maybe", "__keep_sha", "__keep_id", "__digest", "__own_digest", "__score", "row", "digest", "sha"]
+
+
+def test_filters_keep_clashing_columns(spark):
+    texts = [(1, "plain words of a text"), (1, "plain words of a text"), (2, "plain  words of a text"), (3, None), (None, ""), (4, "OTHER!! text")]
+    docs = spark.createDataFrame([(*r, *CLASHES) for r in texts], ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in CLASHES)]))
+    labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")
+    for step in (exact_dedup.drop_exact_copies, minhash.drop_near_copies, pii.redact, lambda d: quality.keep_good(d, labels)):
+        out = step(docs)
+        assert out.columns == docs.columns and all(tuple(r)[2:] == tuple(CLASHES) for r in out.collect())
+        assert step(docs.limit(0)).count() == 0
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_exact_copies(docs).collect()) == [(1, texts[0][1]), (3, None), (4, "OTHER!! text")]
 
 
 def test_oracles_are_sql():
