@@ -361,8 +361,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFr
     words = materialize(member_bits(wanted, "digest", bits))
     digested = texts.select(_digest(F.col("text")).alias("digest"), "text")
     maybe = maybe_repeated(digested, "digest", words, bits, "maybe").filter("maybe").drop("maybe")
-    bodies = maybe.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text"))
-    bodies = materialize(bodies.join(wanted, "digest").select("id", "text"))
+    bodies = materialize(maybe.groupBy("digest").agg(F.min("text").alias("text")).join(wanted, "digest").select("id", "text"))
 
     pairs = held.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     links = materialize(_verified(materialize(pairs), bodies, weights, threshold))
