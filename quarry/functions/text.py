@@ -12,8 +12,8 @@ WEIGHTS = {"name": 4.0, "qualname": 3.0, "docstring": 1.0, "snippet": 0.5}
 
 #: File extension -> language (fixed values).
 LANGUAGES = {
-    ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "tsx",
-    ".java": "java", ".cs": "csharp", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".h": "cpp", ".go": "go", ".rs": "rust",
+    ".py": "python", ".js": "js", ".jsx": "js", ".mjs": "js", ".cjs": "js", ".ts": "ts", ".tsx": "tsx", ".java": "java", ".cs": "csharp",
+    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".c++": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".go": "go", ".rs": "rust",
 }
 #: The narrower map of the tree walk (fixed values).
 WALK_LANGUAGES = {".py": "python", ".ts": "ts", ".tsx": "ts", ".js": "ts", ".jsx": "ts", ".mjs": "ts", ".cjs": "ts", ".go": "go", ".rs": "rust"}
@@ -115,9 +115,30 @@ def snippet(text: Column, n: int = 10) -> Column:
     return F.when(F.size(F.split(text, "\n")) > n, F.concat(first_lines(text, n), F.lit("\n…"))).otherwise(text)
 
 
-def module_name(path: Column) -> Column:
-    """Dotted module of a path: no extension, no trailing package marker."""
-    return F.regexp_replace(F.replace(F.regexp_replace(path, r"\.[^./]+$", ""), F.lit("/"), F.lit(".")), r"\.__init__$", "")
+def module_name(path: Column, language: Column | None = None, clause: Column | None = None) -> Column:
+    """Dotted module of a path in a language; ``clause`` is the package or namespace that its file declares.
+
+    Paths become dots without their extension. Python drops a trailing package marker, Rust its crate and module files
+    (an empty rest is ``crate``), Java and C# take the clause where there is one, C++ puts it behind, Go takes the folder,
+    else the clause, else ``main``, and other files are known by their base name. No language stands for Python.
+    """
+    clause = F.coalesce(clause, F.lit("")) if clause is not None else F.lit("")
+    plain = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", "")
+    dots = F.replace(F.regexp_replace(plain, r"\.[^./]*$", ""), F.lit("/"), F.lit("."))
+    python = F.regexp_replace(dots, r"\.__init__$", "")
+    if language is None:
+        return python
+    rust = F.regexp_replace(F.regexp_replace(F.regexp_replace(dots, r"\.mod$", ""), r"\.main$", ""), r"\.lib$", "")
+    folder = F.replace(F.regexp_extract(plain, r"^(.*)/[^/]*$", 1), F.lit("/"), F.lit("."))
+    return (
+        F.when(language == "python", python)
+        .when(language.isin("js", "ts", "tsx"), dots)
+        .when(language.isin("java", "csharp"), F.when(clause != "", clause).otherwise(dots))
+        .when(language == "cpp", F.when(clause != "", F.concat(dots, F.lit("."), clause)).otherwise(dots))
+        .when(language == "go", F.when(~folder.isin("", "."), folder).when(clause != "", clause).otherwise("main"))
+        .when(language == "rust", F.when(rust == "", "crate").otherwise(rust))
+        .otherwise(F.substring_index(plain, "/", -1))
+    )
 
 
 def is_identifier(text: Column) -> Column:
@@ -139,5 +160,72 @@ def clean_comment(text: Column) -> Column:
 
 
 def last_path_segment(path: Column) -> Column:
-    last = F.substring_index(path, "::", -1)
+    last = F.trim(F.substring_index(path, "::", -1))
     return F.when(last.rlike(r"[{},]"), "").otherwise(last)
+
+
+def parse_target(target: Column) -> Column:
+    """(file, line) of a target FILE:LINE with a line above zero, else nulls, which is a qualname."""
+    file, line = F.regexp_extract(target, r"(?s)^(.+):([0-9]{1,9})$", 1), F.regexp_extract(target, r"(?s)^(.+):([0-9]{1,9})$", 2)
+    number = F.when(line != "", line).cast("int")
+    return F.struct(F.when(number > 0, file).alias("file"), F.when(number > 0, number).alias("line"))
+
+
+def body(text: Column, start: Column, end: Column, limit: int = 0) -> Column:
+    """Lines start to end (from 1 on, inclusive) of a text, with an ellipsis line after ``limit`` of them; null for no range.
+
+    An end beyond the text is its last line; a start below 1, beyond the text or behind the end gives null.
+    """
+    lines = F.split(text, "\n")
+    length = F.least(end, F.size(lines)) - start + 1
+    taken = F.least(length, F.lit(limit)) if limit else length
+    found = F.array_join(F.slice(lines, start, taken), "\n")
+    found = F.concat(found, F.when(length > limit, F.lit("\n…")).otherwise("")) if limit else found
+    return F.when((start >= 1) & (length >= 1), found)
+
+
+def relative_path(root: Column, path: Column) -> Column:
+    """path from root on, with forward slashes; ``.`` for root itself, null for a path that is not under it.
+
+    Backslashes are slashes, and parts ``.`` and ``..`` are resolved first.
+    """
+    root, path = clean_path(root), clean_path(path)
+    base = F.when(root == "/", root).otherwise(F.concat(root, F.lit("/")))
+    return F.when(path == root, ".").when(F.startswith(path, base), F.substr(path, F.length(base) + 1))
+
+
+def clean_path(path: Column) -> Column:
+    """An absolute path without repeated slashes, ``.`` and ``..``."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: ~x.isin("", "."))
+    up = lambda out: F.when(F.size(out) > 0, F.slice(out, 1, F.size(out) - 1)).otherwise(out)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, x: F.when(x == "..", up(out)).otherwise(F.concat(out, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def read_hint(file: Column, start: Column, end: Column) -> Column:
+    """How to read all of a symbol's body; a range that ends before it starts has one line."""
+    count = F.greatest(end - start + 1, F.lit(1))
+    return F.format_string("hint:     full body via Read %s offset=%d limit=%d (%d lines)", file, start, count, count)
+
+
+def timestamp_text(at: Column) -> Column:
+    """A UTC time to the second, ``(never)`` for none."""
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("(never)"))
+
+
+def parse_timestamp(text: Column) -> Column:
+    """The time of such a text, null for any other."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
+
+
+def staleness(version: Column, expected: int) -> Column:
+    """Why an index of a version has to be built anew; empty where it need not. 0 and null stand for no version."""
+    return (
+        F.when(F.coalesce(version, F.lit(0)) == 0, F.lit(f"index predates versions, reindex to get version {expected}"))
+        .when(version == expected, "")
+        .otherwise(F.format_string(f"index version %d, expected {expected}, reindex to refresh", version))
+    )
+
+
+def null_if_empty(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))

@@ -41,27 +41,49 @@ def resolve(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def neighbours_of(edges: DataFrame, symbols: DataFrame, qualname: str, incoming: bool) -> DataFrame:
-    """Edges into (or out of) a qualname with the first symbol of both ends, where there is one."""
-    side = "to_qualname" if incoming else "from_qualname"
-    some = edges.filter(F.col(side) == qualname)
-    ends = first_symbol(symbols)
+def with_ends(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """edges with ``from`` and ``to``, each the qualname, file and lines of the first symbol of that end.
+
+    An end without a symbol has an empty file and lines 0.
+    """
+    ends, out = first_symbol(symbols).select("qualname", "file", "line_start", "line_end"), edges
     for end in ("from", "to"):
-        own = ends.select(F.col("qualname").alias(f"{end}_qualname"), F.col("file").alias(f"{end}_file"), F.col("line_start").alias(f"{end}_line"))
-        some = some.join(own, f"{end}_qualname", "left")
-    return some.select("from_qualname", "to_qualname", "kind", "resolved", "from_file", "from_line", "to_file", "to_line")
+        name = f"{end}_qualname"
+        own = ends.select(F.col("qualname").alias(name), F.struct("file", "line_start", "line_end").alias("e"))
+        lines = [F.coalesce(F.col(f"e.{c}"), F.lit(0)).alias(c) for c in ("line_start", "line_end")]
+        view = F.struct(F.col(name).alias("qualname"), F.coalesce("e.file", F.lit("")).alias("file"), *lines)
+        out = out.join(own, name, "left").withColumn(end, view).drop("e")
+    return out
+
+
+def edge_json(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One JSON view for each edge: both ends, kind and whether it is resolved."""
+    return with_ends(edges, symbols).select(F.to_json(F.struct("from", "to", "kind", "resolved")).alias("view"))
+
+
+def neighbours_of(edges: DataFrame, symbols: DataFrame, targets: DataFrame, incoming: bool) -> DataFrame:
+    """Edges into (or out of) the targets (qualname) with the places of both ends."""
+    side = "to_qualname" if incoming else "from_qualname"
+    some = edges.join(targets.select(F.col("qualname").alias(side)).distinct(), side, "left_semi")
+    out = with_ends(some, symbols)
+    places = [F.col(f"{end}.{c}").alias(f"{end}_{c}") for end in ("from", "to") for c in ("file", "line_start")]
+    return out.select("from_qualname", "to_qualname", "kind", "resolved", *places)
 
 
 def graph_nodes(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """One node per qualname: first symbol's label, kind and file, all locations, and the number of outgoing edges."""
+    """One node per qualname: first symbol's label and kind, all locations, and its outgoing edges, resolved or not.
+
+    The locations are lines FILE:START-END in title, the edges lines KIND TARGET in targets.
+    """
     where = F.array_sort(F.collect_list(F.struct("file", "line_start", "line_end")))
     places = symbols.groupBy("qualname").agg(where.alias("places"))
     title = F.array_join(F.transform("places", lambda p: F.concat(p["file"], F.lit(":"), p["line_start"].cast("string"), F.lit("-"), p["line_end"].cast("string"))), "\n")
-    out = edges.groupBy(F.col("from_qualname").alias("qualname")).agg(F.count("*").alias("outgoing"))
+    line = F.concat("kind", F.lit(" "), "to_qualname", F.when(F.col("resolved"), "").otherwise(" ?"))
+    out = edges.groupBy(F.col("from_qualname").alias("qualname")).agg(F.count("*").alias("outgoing"), F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("targets"))
     return (
         first_symbol(symbols).select("qualname", F.col("name").alias("label"), F.col("kind").alias("node_group"))
         .join(places, "qualname").join(out, "qualname", "left")
-        .select(F.col("qualname").alias("id"), "label", "node_group", title.alias("title"), F.size("places").cast("long").alias("locations"), F.coalesce("outgoing", F.lit(0)).alias("outgoing"))
+        .select(F.col("qualname").alias("id"), "label", "node_group", title.alias("title"), F.size("places").cast("long").alias("locations"), F.coalesce("outgoing", F.lit(0)).alias("outgoing"), F.coalesce("targets", F.lit("")).alias("targets"))
     )
 
 
@@ -84,10 +106,27 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return both.union(both.select("id", F.col("id"))).distinct().groupBy("id").agg(F.count("*").alias("neighbours"))
 
 
-def narrowest(symbols: DataFrame, file: str, line: int) -> DataFrame:
-    """The symbol of a file with the narrowest range around a line, the first on ties."""
-    around = symbols.filter((F.col("file") == file) & F.lit(line).between(F.col("line_start"), F.col("line_end")))
-    return around.orderBy(F.col("line_end") - F.col("line_start"), "line_start", "id").limit(1)
+def neighbourhood(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, other, kind, incoming): the targets (qualname), and each edge between one of them and another node."""
+    known = targets.select(F.col("qualname").alias("id")).distinct()
+    out = edges.select(F.col("from_qualname").alias("id"), F.col("to_qualname").alias("other"), "kind", F.lit(False).alias("incoming"))
+    into = edges.select(F.col("to_qualname").alias("id"), F.col("from_qualname").alias("other"), "kind", F.lit(True).alias("incoming"))
+    return out.unionByName(into).join(known, "id", "left_semi")
+
+
+def by_qualname(symbols: DataFrame, qualname: str) -> DataFrame:
+    return symbols.filter(F.col("qualname") == qualname).orderBy("file", "line_start", "id")
+
+
+def by_file(symbols: DataFrame, file: str) -> DataFrame:
+    return symbols.filter(F.col("file") == file).orderBy("line_start", "id")
+
+
+def narrowest(symbols: DataFrame, targets: DataFrame) -> DataFrame:
+    """For each target (file, line) the symbol with the narrowest range around the line, the first on ties."""
+    around = symbols.join(targets, "file").filter(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    best = F.min_by(F.struct(*symbols.columns), F.struct(F.col("line_end") - F.col("line_start"), "line_start", "id"))
+    return around.groupBy("file", "line").agg(best.alias("s")).select("line", *[F.col(f"s.{c}") for c in symbols.columns])
 
 
 def hydrate(symbols: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,38 +56,88 @@ def score(tf: Column, df: Column, length: Column, n: Column, average: Column) ->
 
 
 def expand(tokens: DataFrame, terms: list[str], limit: int = EXPANSIONS) -> DataFrame:
-    """Distinct tokens (token): the terms, and for those of three characters or more the stored tokens they begin."""
-    spark = tokens.sparkSession
-    given = spark.createDataFrame([(x,) for x in dict.fromkeys(terms)], "term string")
-    stored = tokens.select("token").distinct()
-    found = stored.join(F.broadcast(given.filter(F.length("term") >= 3)), F.col("token").startswith(F.col("term")))
-    rank = F.row_number().over(Window.partitionBy("term").orderBy("token"))
-    return given.select(F.col("term").alias("token")).union(found.withColumn("rank", rank).filter(F.col("rank") <= limit).select("token")).distinct()
+    """Distinct tokens (token): the terms, and for those of three characters or more the stored tokens they begin.
+
+    tokens has a column token; where it is stored in order, a prefix reads a range of it. Of each term the first
+    ``limit`` tokens are cut in every partition before they meet.
+    """
+    out = tokens.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(terms)], "token string")
+    for term in dict.fromkeys(terms):
+        if len(term) >= 3:
+            out = out.union(tokens.filter(F.col("token").startswith(term)).select("token").distinct().orderBy("token").limit(limit))
+    return out.distinct()
+
+
+class Index(NamedTuple):
+    """A stored index: symbols with their lengths, postings and tokens in the order of tokens, and the corpus figures."""
+
+    symbols: DataFrame
+    postings: DataFrame
+    tokens: DataFrame
+    n: int
+    average: float
+
+
+def build(symbols: DataFrame, folder: str) -> Index:
+    """Write the index of symbols into folder, and load it.
+
+    Postings (token, symbol_id, tf, length) are dealt out by ranges of (token, symbol_id), so a frequent token spreads
+    over several files, and lie in order, so a search reads only the files and row groups of its tokens.
+    """
+    tokens = t.symbol_tokens(F.col("name"), F.col("qualname"), F.col("docstring"), F.col("snippet"))
+    held = symbols.select(F.col("id").alias("symbol_id"), tokens.alias("tokens")).select("symbol_id", F.size("tokens").alias("length"), F.inline("tokens"))
+    found = held.groupBy("symbol_id", "token").agg(rounded_tf(F.sum("weight")).alias("tf"), F.first("length").alias("length"))
+    found.repartitionByRange("token", "symbol_id").sortWithinPartitions("token", "symbol_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    stored = symbols.sparkSession.read.parquet(f"{folder}/postings")
+    stored.groupBy("token").agg(F.count("*").alias("df")).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{folder}/tokens")
+    symbols.write.mode("overwrite").parquet(f"{folder}/symbols")
+    lengths = stored.groupBy("symbol_id").agg(F.first("length").alias("length")).agg(F.avg("length").alias("average"))
+    symbols.agg(F.count("*").alias("n")).join(lengths).select("n", F.coalesce("average", F.lit(0.0)).alias("average")).write.mode("overwrite").parquet(f"{folder}/figures")
+    return load(symbols.sparkSession, folder)
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    n, average = spark.read.parquet(f"{folder}/figures").select("n", "average").first()
+    return Index(*(spark.read.parquet(f"{folder}/{x}") for x in ("symbols", "postings", "tokens")), n, average)
 
 
-def search(symbols: DataFrame, query: str, top: int = 10, where: Column | None = None, expanded: bool = True) -> DataFrame:
-    """BM25 hits (symbol columns and score), best first, ties by id.
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    """The query is one string, tokenized by the same built-in functions as the symbols."""
+    return spark.range(1).select(t.tokenize_query(F.lit(query))).first()[0]
 
-    Lengths, frequencies and the number of symbols are those of the whole corpus; ``where`` filters hits only. At most
-    EXPANSIONS * terms tokens are broadcast. Only postings of query terms are exploded and shuffled.
+
+def search(index: Index, query: str, top: int = 10, where: Column | None = None, expanded: bool = True) -> DataFrame:
+    """BM25 hits (symbol columns, score and rank from 1 on), best first, ties by id; at most CANDIDATES.
+
+    Lengths, frequencies and the number of symbols are those of the whole corpus; ``where`` filters hits only. The
+    tokens of a query are at most EXPANSIONS + 1 for each term, and only their postings are read. Without an index for
+    it, see build().
     """
-    spark = symbols.sparkSession
-    # The query is one string, tokenized by the same built-in functions.
-    terms = spark.createDataFrame([(query,)], "q string").select(t.tokenize_query(F.col("q"))).first()[0]
-    fields = symbols.columns
-    held = symbols.select("*", t.symbol_tokens(F.col("name"), F.col("qualname"), F.col("docstring"), F.col("snippet")).alias("__tokens"))
-    all_postings = held.select(F.col("id").alias("symbol_id"), F.size("__tokens").alias("length"), F.inline("__tokens"))
+    spark = index.symbols.sparkSession
+    top = min(top if top > 0 else 10, CANDIDATES)
+    terms = query_terms(spark, query)
     if not terms:
-        return symbols.limit(0).withColumn("score", F.lit(0.0))
-    wanted = expand(all_postings, terms) if expanded else spark.createDataFrame([(x,) for x in terms], "token string")
-    hits = all_postings.join(F.broadcast(wanted), "token").groupBy("symbol_id", "token").agg(rounded_tf(F.sum("weight")).alias("tf"), F.first("length").alias("length"))
-    freq = hits.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(freq), "token").crossJoin(F.broadcast(corpus_stats(symbols)))
-    scored = scored.select("symbol_id", score(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("avg_len")).alias("part"))
-    ranked = scored.groupBy("symbol_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    kept = symbols if where is None else symbols.filter(where)
-    joined = kept.join(ranked, kept["id"] == ranked["symbol_id"]).select(*fields, "score")
-    return joined.orderBy(F.desc("score"), "id").limit(min(top if top > 0 else 10, CANDIDATES))
+        return index.symbols.limit(0).withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
+    wanted = expand(index.tokens, terms) if expanded else spark.createDataFrame([(x,) for x in terms], "token string")
+    known = [tuple(r) for r in index.tokens.join(F.broadcast(wanted), "token").select("token", "df").collect()]
+    freq = spark.createDataFrame(known, "token string, df long")
+    hits = index.postings.filter(F.col("token").isin([x for x, _ in known])).join(F.broadcast(freq), "token")
+    part = score(F.col("tf"), F.col("df"), F.col("length"), F.lit(index.n), F.lit(index.average))
+    ranked = hits.groupBy("symbol_id").agg(F.round(F.sum(part), 6).alias("score"))
+    order = [F.desc("score"), "id"]
+    if where is None:
+        best = ranked.select(F.col("symbol_id").alias("id"), "score").orderBy(*order).limit(top)
+        found = index.symbols.join(F.broadcast(best), "id")
+    else:
+        found = index.symbols.filter(where).join(ranked.withColumnRenamed("symbol_id", "id"), "id").orderBy(*order).limit(top)
+    # At most CANDIDATES rows are numbered.
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy("rank")
+
+
+def hydrated(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """hits with the time at which their file (path, indexed_at) was indexed, null for files that are not known."""
+    at = files.select(F.col("path").alias("file"), "indexed_at")
+    return at.join(F.broadcast(hits), "file", "right").orderBy("rank")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -95,7 +147,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), 0.0).otherwise(dot / (norm(a) * norm(b)))
 
 
-def rerank(hits: DataFrame, vector: str, query: list[float], top: int) -> DataFrame:
-    """hits by the cosine of a vector column with the query vector; a hit without a vector scores 0."""
+def rerank(hits: DataFrame, vector: str, query: list[float] | None, top: int) -> DataFrame:
+    """The best ``top`` of hits by the cosine of a vector column with the query vector, ties by rank.
+
+    A hit without a vector scores 0. Without a query vector, or with one of zero norm, hits keep their scores and order.
+    """
+    if not query or not any(query):
+        return hits.orderBy("rank").limit(top)
     q = F.array(*[F.lit(float(x)) for x in query])
-    return hits.withColumn("score", F.round(F.coalesce(cosine(F.col(vector), q), F.lit(0.0)), 6)).orderBy(F.desc("score"), "id").limit(top)
+    return hits.withColumn("score", F.round(F.coalesce(cosine(F.col(vector), q), F.lit(0.0)), 6)).orderBy(F.desc("score"), "rank").limit(top)

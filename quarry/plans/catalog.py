@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions import text as t
-from quarry.operators import graph, index, report, snapshot
+from quarry.operators import graph, index, meta, report, snapshot
 from quarry.plans import adapters as A
 from quarry.sources import files as S
 from quarry.sources import parsers as P
@@ -31,6 +33,8 @@ def register(name: str, sql: str | None = None):
 _MARK = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(\p{Ll})(\p{Lu})', '\1_\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1_\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1_\2', 'g'), '(\p{L})(\p{Nd})', '\1_\2', 'g'), '(\p{Nd})(\p{L})', '\1_\2', 'g')"
 _PARTS = "list_filter(regexp_split_to_array(lower(" + _MARK + "), '_+'), lambda y: y <> '')"
 _SPLIT = "list_distinct(list_concat([lower({x})], list_filter(" + _PARTS + ", lambda y: length(y) >= 2)))"
+#: The same in order of first use.
+_ORDERED = "list_filter({l}, lambda y, i: list_position({l}, y) = i)"
 _TEXT = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{L}\p{Nd}_]+'), lambda y: length(y) >= 2)"
 
 
@@ -49,41 +53,84 @@ _TOKENS = (
 _STATS = "lens AS (SELECT symbol_id, count(*) AS doc_len FROM tokens GROUP BY 1), stats AS (SELECT (SELECT count(*) FROM symbols) AS n, (SELECT avg(doc_len) FROM lens) AS avg_len)"
 
 
-def _search_sql(terms: list[str], where: str = "true", top: int = 10, expanded: bool = True) -> str:
+#: When each file was indexed; every ninth document's file is not known.
+_INDEXED = "indexed AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS file, strftime(make_timestamp((1700000000 + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS indexed_at FROM documents WHERE doc_id % 9 <> 0)"
+
+
+def _ranked_sql(terms: list[str], where: str = "true", top: int = 10, expanded: bool = True) -> str:
+    """Common tables up to ``hits``: symbol columns, score and rank."""
     listed = ", ".join(f"('{x}')" for x in terms)
     more = "UNION SELECT token FROM (SELECT term, token, row_number() OVER (PARTITION BY term ORDER BY token) AS r FROM (SELECT DISTINCT token FROM tokens) JOIN given ON length(term) >= 3 AND starts_with(token, term)) WHERE r <= 64" if expanded else ""
     return (
-        f"WITH {_TOKENS}, {_STATS}, given(term) AS (VALUES {listed}), wanted AS (SELECT term AS token FROM given {more}), "
+        f"WITH {_TOKENS}, {_STATS}, {_INDEXED}, given(term) AS (VALUES {listed}), wanted AS (SELECT term AS token FROM given {more}), "
         "tf AS (SELECT symbol_id, token, greatest(floor(sum(weight) + 0.5::DOUBLE), 1) AS tf FROM tokens SEMI JOIN wanted USING (token) GROUP BY 1, 2), "
         "df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), "
         "scored AS (SELECT symbol_id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))), 6) AS score "
-        "FROM tf JOIN df USING (token) JOIN lens USING (symbol_id) CROSS JOIN stats GROUP BY 1) "
-        f"SELECT id, qualname, kind, scope, file, score FROM scored JOIN symbols ON id = symbol_id WHERE {where} ORDER BY score DESC, id LIMIT {top}"
+        "FROM tf JOIN df USING (token) JOIN lens USING (symbol_id) CROSS JOIN stats GROUP BY 1), "
+        f"hits AS (SELECT symbols.*, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored JOIN symbols ON id = symbol_id WHERE {where} QUALIFY rank <= {top})"
     )
 
 
-HIT = ["id", "qualname", "kind", "scope", "file", "score"]
+def _search_sql(*args, **options) -> str:
+    return f"{_ranked_sql(*args, **options)} SELECT {', '.join(HIT)} FROM hits LEFT JOIN indexed USING (file) ORDER BY rank"
+
+
+HIT = ["id", "name", "qualname", "kind", "scope", "file", "line_start", "line_end", "snippet", "score", "rank", "indexed_at"]
+#: Folders of the indexes that this process has built, by session and tables.
+_BUILT: dict = {}
+
+
+def _index(spark, sf) -> index.Index:
+    """The stored index of the documents, built when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        _BUILT[key] = index.build(A.documents_as_symbols(spark, sf), f"{_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _BUILT[key]
+
+
+def _folder(spark) -> str:
+    """The folder that all machines share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local["):
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return folder.rstrip("/")
+
+
+def _files_indexed(spark, sf):
+    d = A.table(spark, sf, "documents").filter("doc_id % 9 <> 0")
+    return A.files_of(d).select("path", t.timestamp_text(F.timestamp_seconds(F.col("id") + 1_700_000_000)).alias("indexed_at"))
+
+
+def _hits(spark, sf, query: str, *args, **options):
+    return index.hydrated(index.search(_index(spark, sf), query, *args, **options), _files_indexed(spark, sf)).select(*HIT)
 
 
 @register("search_bm25", _search_sql(["the", "erinan", "tion"]))
 def search_bm25(spark, sf):
-    return index.search(A.documents_as_symbols(spark, sf), "the erinan tion").select(*HIT)
+    return _hits(spark, sf, "the erinan tion")
 
 
 @register("search_filtered", _search_sql(["and", "ouhe"], "kind IN ('function', 'class') AND scope = 'global' AND file ILIKE 'src1%' ESCAPE '\\'", 20))
 def search_filtered(spark, sf):
     where = F.col("kind").isin("function", "class") & (F.col("scope") == "global") & F.col("file").ilike(t.glob_to_like("src1*"))
-    return index.search(A.documents_as_symbols(spark, sf), "and ouhe", 20, where).select(*HIT)
+    return _hits(spark, sf, "and ouhe", 20, where)
 
 
 @register("bm25_candidates", _search_sql(["that", "this"], top=50, expanded=False))
 def bm25_candidates(spark, sf):
-    return index.search(A.documents_as_symbols(spark, sf), "that this", index.CANDIDATES, expanded=False).select(*HIT)
+    return _hits(spark, sf, "that this", index.CANDIDATES, expanded=False)
+
+
+@register("stored_postings", f"WITH {_TOKENS}, {_STATS} SELECT t.symbol_id, token, greatest(floor(sum(weight) + 0.5::DOUBLE), 1)::BIGINT AS tf, any_value(doc_len)::BIGINT AS length FROM tokens t JOIN lens USING (symbol_id) GROUP BY 1, 2")
+def stored_postings(spark, sf):
+    return _index(spark, sf).postings.select("symbol_id", "token", "tf", F.col("length").cast("long").alias("length"))
 
 
 @register("prefix_expand", f"WITH {_TOKENS}, given(term) AS (VALUES ('the'), ('an'), ('tion')) SELECT token FROM (SELECT term AS token FROM given UNION SELECT token FROM (SELECT term, token, row_number() OVER (PARTITION BY term ORDER BY token) AS r FROM (SELECT DISTINCT token FROM tokens) JOIN given ON length(term) >= 3 AND starts_with(token, term)) WHERE r <= 64)")
 def prefix_expand(spark, sf):
-    return index.expand(index.postings(A.documents_as_symbols(spark, sf)), ["the", "an", "tion"])
+    return index.expand(_index(spark, sf).tokens, ["the", "an", "tion"])
 
 
 @register("tokenize_symbols", f"WITH {_TOKENS} SELECT symbol_id, token, field, weight, count(*) AS times FROM tokens GROUP BY ALL")
@@ -120,14 +167,17 @@ def _ids(name: str, spark_expr, sql_expr: str):
     register(name, f"WITH {A.IDENTIFIERS} SELECT x, {sql_expr} AS y FROM ids")(lambda spark, sf: A.identifiers(spark, sf).select("x", spark_expr().alias("y")))
 
 
-_ids("split_identifier", lambda: F.array_join(F.array_sort(t.split_identifier(F.col("x"))), " "), f"array_to_string(list_sort({_sql(_SPLIT, 'x')}), ' ')")
+_WHOLE = "list_concat([lower(x)], list_filter(" + _sql(_PARTS, "x") + ", lambda y: length(y) >= 2))"
+_ids("split_identifier", lambda: F.array_join(t.split_identifier(F.col("x")), " "), "array_to_string(" + _ORDERED.replace("{l}", _WHOLE) + ", ' ')")
 _ids("split_camel", lambda: F.array_join(t.split_camel(F.col("x")), " "), f"array_to_string({_sql(_PARTS, 'x')}, ' ')")
 _ids("escape_like", lambda: t.escape_like(F.col("x")), r"regexp_replace(x, '([%_\\])', '\\\1', 'g')")
 _ids("is_identifier", lambda: t.is_identifier(F.col("x")), r"regexp_full_match(x, '[\p{L}_][\p{L}\p{Nd}_]*')")
 _ids("is_all_caps", lambda: t.is_all_caps(F.col("x")), r"regexp_full_match(x, '_?[\p{Lu}\p{Nd}_]+') AND regexp_matches(x, '\p{Lu}')")
 _ids("prefix_match", lambda: F.lower("x").startswith("s"), "starts_with(lower(x), 's')")
-_ids("last_path_segment", lambda: t.last_path_segment(F.regexp_replace("x", "[ #_]", "::")), "string_split(regexp_replace(x, '[ #_]', '::', 'g'), '::')[-1]")
-_ids("parse_target", lambda: F.concat_ws("|", F.regexp_extract(F.regexp_replace("x", "[#_]", ":"), "^(.+):([0-9]+)$", 1), F.regexp_extract(F.regexp_replace("x", "[#_]", ":"), "^(.+):([0-9]+)$", 2)), "regexp_extract(regexp_replace(x, '[#_]', ':', 'g'), '^(.+):([0-9]+)$', 1) || '|' || regexp_extract(regexp_replace(x, '[#_]', ':', 'g'), '^(.+):([0-9]+)$', 2)")
+#: Every third path ends in a list in braces.
+_ids("last_path_segment", lambda: t.last_path_segment(F.concat(F.regexp_replace("x", "[ #_]", "::"), F.when(F.length("x") % 3 == 0, "{a, b}").otherwise(" "))), "CASE WHEN length(x) % 3 = 0 THEN '' ELSE trim(string_split(regexp_replace(x, '[ #_]', '::', 'g'), '::')[-1]) END")
+_TARGET = "regexp_replace(x, '[#_]', ':', 'g')"
+_ids("parse_target", lambda: F.to_json(t.parse_target(F.regexp_replace("x", "[#_]", ":"))), f"CASE WHEN regexp_extract({_TARGET}, '^(.+):([0-9]+)$', 2) <> '' AND regexp_extract({_TARGET}, '^(.+):([0-9]+)$', 2)::INT > 0 THEN '{{\"file\":\"' || regexp_extract({_TARGET}, '^(.+):([0-9]+)$', 1) || '\",\"line\":' || regexp_extract({_TARGET}, '^(.+):([0-9]+)$', 2)::INT || '}}' ELSE '{{}}' END")
 _ids("glob_match", lambda: F.col("x").ilike(t.glob_to_like("*#0000*1")), "x ILIKE '%#0000%1' ESCAPE '\\'")
 
 
@@ -136,16 +186,27 @@ def _docs(name: str, spark_expr, sql_expr: str):
 
 
 _docs("split_text", lambda: F.array_join(t.split_text(F.col("text")), " "), f"array_to_string({_sql(_TEXT, 'text')}, ' ')")
-_docs("split_text_raw", lambda: F.size(t.split_text_raw(F.col("text"))).cast("long"), r"len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{Nd}_]+'), lambda y: y <> ''))")
-_docs("tokenize_query", lambda: F.array_join(F.array_sort(t.tokenize_query(t.first_lines(F.col("text"), 1))), " "), "coalesce(array_to_string(list_sort(list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(string_split(text, chr(10))[1], '[^\\p{L}\\p{Nd}_]+'), lambda y: y <> ''), lambda w: " + _sql(_SPLIT, "w") + ")))), ' '), '')")
+_docs("split_text_raw", lambda: F.array_join(t.split_text_raw(F.col("text")), " "), r"array_to_string(list_filter(regexp_split_to_array(text, '[^\p{L}\p{Nd}_]+'), lambda y: y <> ''), ' ')")
+
+
+@register("tokenize_query", "WITH w AS (SELECT doc_id, unnest(list_distinct(flatten(list_transform(list_distinct(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{Nd}_]+'), lambda y: y <> '')), lambda w: " + _sql(_SPLIT, "w") + ")))) AS token FROM documents) SELECT doc_id, count(DISTINCT token) AS tokens, min(token) AS low, max(token) AS high FROM w GROUP BY 1")
+def tokenize_query(spark, sf):
+    """The distinct tokens of whole texts; their order is tested on a fixture."""
+    tokens = A.table(spark, sf, "documents").select("doc_id", t.tokenize_query(F.col("text")).alias("t"))
+    return tokens.filter(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("tokens"), F.array_min("t").alias("low"), F.array_max("t").alias("high"))
+
+
 _docs("snippet10", lambda: t.snippet(F.col("text")), "CASE WHEN len(string_split(text, chr(10))) > 10 THEN array_to_string(string_split(text, chr(10))[1:10], chr(10)) || chr(10) || '…' ELSE text END")
 _docs("first_n_lines", lambda: t.first_lines(F.col("text"), 3), "array_to_string(string_split(text, chr(10))[1:3], chr(10))")
 _docs("line_count", lambda: t.line_count(F.col("text")).cast("long"), "greatest(length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END, 1)")
-_docs("read_body", lambda: F.array_join(F.slice(F.split("text", "\n"), 2, 4), "\n"), "array_to_string(string_split(text, chr(10))[2:5], chr(10))")
+_docs("read_body", lambda: t.body(F.col("text"), (F.col("doc_id") % 5).cast("int"), (F.col("doc_id") % 7 + 2).cast("int"), 3), "CASE WHEN doc_id % 5 >= 1 AND least(doc_id % 7 + 2, len(string_split(text, chr(10)))) >= doc_id % 5 THEN array_to_string(string_split(text, chr(10))[doc_id % 5 : least(doc_id % 7 + 2, doc_id % 5 + 2)], chr(10)) || CASE WHEN least(doc_id % 7 + 2, len(string_split(text, chr(10)))) - doc_id % 5 + 1 > 3 THEN chr(10) || '…' ELSE '' END END")
 _docs("content_sha1", lambda: F.sha1("text"), "sha1(text)")
 _docs("secret_content_filter", lambda: S.secret_text(F.col("text")), r"regexp_matches(text, 'AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*-----')")
 _docs("size_filter", lambda: F.octet_length("text") <= 20_000, "strlen(text) <= 20000")
-_docs("clean_docstring", lambda: t.clean_docstring(F.col("text")), r"""trim(regexp_replace(trim(text), '[ \t\r\n]+', ' ', 'g'))""")
+#: Texts in quotes of four styles, and without.
+_QUOTES = """['"', chr(39), '""\"', repeat(chr(39), 3), ''][doc_id % 5 + 1]"""
+_docs("clean_docstring", lambda: t.clean_docstring(F.concat(*[F.element_at(F.array(*map(F.lit, ('"', "'", '"""', "'''", ""))), (F.col("doc_id") % 5 + 1).cast("int")) if k != 1 else F.col("text") for k in range(3)])), r"""trim(regexp_replace(trim(text), '[ \t\r\n]+', ' ', 'g'))""")
+_docs("null_if_empty", lambda: t.null_if_empty(F.trim(F.substr("text", F.lit(1), (F.col("doc_id") % 3).cast("int")))), "nullif(trim(substr(text, 1, doc_id % 3)), '')")
 
 
 @register("clean_comment", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '(?m)^[\t\n\f\r ]*(//[/!]?|#+|/\*+|\*+/|\*)', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS y FROM pages")
@@ -169,13 +230,39 @@ def _case(pairs: dict[str, str], key: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + " ELSE '' END"
 
 
-_paths("detect_language", lambda: t.detect_language(F.col("path")), _case(t.LANGUAGES, r"regexp_extract(path, '\.[^./]+$')"))
-_paths("detect_lang_walker", lambda: t.walk_language(F.col("path")), _case(t.WALK_LANGUAGES, r"regexp_extract(lower(path), '\.[^./]+$')"))
+_ENDS = ".py .js .jsx .mjs .cjs .ts .tsx .java .cs .cpp .cc .cxx .c++ .hpp .hxx .go .rs .pyi .h .txt .PY .Ts".split()
+
+
+def _ended(spark, sf):
+    """The path of each page with each of the extensions."""
+    return A.urls(spark, sf).select("page_id", F.explode(F.array(*map(F.lit, _ENDS))).alias("e")).select("page_id", F.concat(F.lit("d/x"), F.col("page_id").cast("string"), "e").alias("path"))
+
+
+_ENDED = "WITH p AS (SELECT page_id, 'd/x' || page_id || e AS path, e FROM pages, (SELECT unnest([" + ", ".join(f"'{x}'" for x in _ENDS) + "]) AS e))"
+
+
+@register("detect_language", _ENDED + " SELECT page_id, path, CASE WHEN e = '.py' THEN 'python' WHEN e IN ('.js', '.jsx', '.mjs', '.cjs') THEN 'js' WHEN e = '.ts' THEN 'ts' WHEN e = '.tsx' THEN 'tsx' WHEN e = '.java' THEN 'java' WHEN e = '.cs' THEN 'csharp' WHEN e IN ('.cpp', '.cc', '.cxx', '.c++', '.hpp', '.hxx') THEN 'cpp' WHEN e = '.go' THEN 'go' WHEN e = '.rs' THEN 'rust' ELSE '' END AS y FROM p")
+def detect_language(spark, sf):
+    return _ended(spark, sf).select("page_id", "path", t.detect_language(F.col("path")).alias("y"))
+
+
+@register("detect_lang_walker", _ENDED + " SELECT page_id, path, CASE WHEN e IN ('.py', '.PY') THEN 'python' WHEN e IN ('.ts', '.Ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs') THEN 'ts' WHEN e = '.go' THEN 'go' WHEN e = '.rs' THEN 'rust' ELSE '' END AS y FROM p")
+def detect_lang_walker(spark, sf):
+    return _ended(spark, sf).select("page_id", "path", t.walk_language(F.col("path")).alias("y"))
+
+
+@register("module_names", _ENDED + ", l AS (SELECT *, CASE WHEN e = '.py' THEN 'python' WHEN e IN ('.js', '.jsx', '.mjs', '.cjs') THEN 'js' WHEN e = '.ts' THEN 'ts' WHEN e = '.java' THEN 'java' WHEN e = '.cpp' THEN 'cpp' WHEN e = '.go' THEN 'go' WHEN e = '.rs' THEN 'rust' ELSE '' END AS lang, 'd.x' || page_id AS dots, CASE WHEN page_id % 2 = 0 THEN 'a.b' ELSE '' END AS clause FROM p) SELECT page_id, path, CASE WHEN lang IN ('python', 'js', 'ts', 'rust') THEN dots WHEN lang = 'java' THEN CASE WHEN clause <> '' THEN clause ELSE dots END WHEN lang = 'cpp' THEN dots || CASE WHEN clause <> '' THEN '.' || clause ELSE '' END WHEN lang = 'go' THEN 'd' ELSE 'x' || page_id || e END AS y FROM l WHERE e IN ('.py', '.js', '.ts', '.java', '.cpp', '.go', '.rs', '.txt')")
+def module_names(spark, sf):
+    clause = F.when(F.col("page_id") % 2 == 0, "a.b").otherwise("")
+    some = _ended(spark, sf).filter(F.col("path").rlike(r"\.(py|js|ts|java|cpp|go|rs|txt)$"))
+    return some.select("page_id", "path", t.module_name(F.col("path"), t.detect_language(F.col("path")), clause).alias("y"))
+
+
 _paths("module_qualname", lambda: t.module_name(F.col("path")), r"regexp_replace(replace(regexp_replace(path, '\.[^./]+$', ''), '/', '.'), '\.__init__$', '')")
 _paths("secret_name_filter", lambda: S.secret_name(F.col("path")), r"regexp_matches(string_split(path, '/')[-1], '^(\.env(\..*)?|.*\.pem|.*\.key|id_rsa.*|id_ed25519.*)$')")
-_paths("exclude_dirs", lambda: S.in_excluded(F.col("path")), "list_has_any(list_transform(string_split(path, '/')[:-2], lambda x: lower(x)), [" + ", ".join(f"'{x}'" for x in S.EXCLUDED) + "])")
+_paths("exclude_dirs", lambda: S.in_excluded(F.col("path")), "list_has_any(list_transform(string_split(path, '/')[:-2], lambda x: lower(x)), ['.git', 'node_modules', '.venv', 'venv', '__pycache__', 'dist', 'build', 'target', '.next', '.mypy_cache', '.pytest_cache', '.ruff_cache', '.quarry'])")
 _paths("ignore_rules", lambda: S.ignored(F.col("path"), ["# rules", "*.txt", "/site1*/", "!*.py"]), r"CASE WHEN regexp_matches(path, '^(?:.*/)?[^/]*\.py(?:/.*)?$') THEN false WHEN regexp_matches(path, '^site1[^/]*/.*$') THEN true WHEN regexp_matches(path, '^(?:.*/)?[^/]*\.txt(?:/.*)?$') THEN true ELSE false END")
-_paths("rel_path", lambda: F.regexp_replace("path", "^[^/]*/", ""), "regexp_replace(path, '^[^/]*/', '')")
+_paths("rel_path", lambda: t.relative_path(F.concat(F.lit("/r/"), F.split("path", "/")[0]), F.concat(F.lit("\\\\r\\./"), F.replace("path", F.lit("/"), F.lit("//")), F.when(F.col("page_id") % 2 == 0, "/../../../../../../../z").otherwise(""))), "CASE WHEN page_id % 2 = 1 THEN regexp_replace(regexp_replace(path, '/+', '/', 'g'), '^[^/]*/', '') END")
 
 
 @register("file_filter_chain", f"WITH {A.FILES} SELECT path, sha1, language, size_bytes FROM files WHERE size_bytes <= 30000 AND NOT regexp_matches(text, 'AKIA[0-9A-Z]{{16}}|-----BEGIN [A-Z ]*-----') AND NOT starts_with(path, 'src3/')")
@@ -201,10 +288,14 @@ _symbols("all_symbols", lambda s: s, f"SELECT {_SYMBOL} FROM symbols")
 _symbols("filter_kind", lambda s: s.filter(F.col("kind").isin("class", "method")), f"SELECT {_SYMBOL} FROM symbols WHERE kind IN ('class', 'method')")
 _symbols("filter_scope", lambda s: s.filter(F.col("scope") == "global"), f"SELECT {_SYMBOL} FROM symbols WHERE scope = 'global'")
 _symbols("filter_file_glob", lambda s: s.filter(F.col("file").ilike(t.glob_to_like("a*/nation_1*"))), f"SELECT {_SYMBOL} FROM symbols WHERE file ILIKE 'a%/nation\\_1%' ESCAPE '\\'")
-_symbols("symbols_by_qualname", lambda s: s.filter(F.col("qualname").startswith("Brand#1")).groupBy("qualname").agg(F.count("*").alias("n"), F.min("id").alias("low")), "SELECT qualname, count(*) AS n, min(id) AS low FROM symbols WHERE starts_with(qualname, 'Brand#1') GROUP BY 1")
-_symbols("symbols_by_file", lambda s: s.groupBy("file").agg(F.count("*").alias("n"), F.min("line_start").alias("low"), F.max("line_end").alias("high")), "SELECT file, count(*) AS n, min(line_start) AS low, max(line_end) AS high FROM symbols GROUP BY 1")
+_symbols("symbols_by_qualname", lambda s: graph.by_qualname(s, s.agg(F.max("qualname")).first()[0]), f"SELECT {_SYMBOL} FROM symbols WHERE qualname = (SELECT max(qualname) FROM symbols)")
+_symbols("symbols_by_file", lambda s: graph.by_file(s, s.agg(F.max("file")).first()[0]), f"SELECT {_SYMBOL} FROM symbols WHERE file = (SELECT max(file) FROM symbols)")
 _symbols("first_symbol", lambda s: graph.first_symbol(s).select(*SYMBOL), f"SELECT {_SYMBOL} FROM (SELECT *, row_number() OVER (PARTITION BY qualname ORDER BY file, line_start, id) AS rn FROM symbols) WHERE rn = 1")
-_symbols("show_file_line", lambda s: graph.narrowest(s, "ASIA", 40), f"SELECT {_SYMBOL} FROM symbols WHERE file = 'ASIA' AND 40 BETWEEN line_start AND line_end ORDER BY line_end - line_start, line_start, id LIMIT 1")
+_symbols(
+    "show_file_line",
+    lambda s: graph.narrowest(s, s.groupBy("file").agg(F.max(F.col("line_start") + 3).alias("line"))).select(*SYMBOL, "line"),
+    f"SELECT {_SYMBOL}, line FROM (SELECT symbols.*, line, row_number() OVER (PARTITION BY file ORDER BY line_end - line_start, line_start, id) AS r FROM symbols JOIN (SELECT file, max(line_start + 3) AS line FROM symbols GROUP BY 1) USING (file) WHERE line BETWEEN line_start AND line_end) WHERE r = 1",
+)
 _symbols("invalid_enums", lambda s: s.groupBy("kind", "scope").agg(F.count("*").alias("n")).withColumn("valid", F.col("kind").isin("function", "method", "class", "variable", "import", "constant") & F.col("scope").isin("global", "class", "local", "param")), "SELECT kind, scope, count(*) AS n, kind IN ('function', 'method', 'class', 'variable', 'import', 'constant') AND scope IN ('global', 'class', 'local', 'param') AS valid FROM symbols GROUP BY 1, 2")
 
 
@@ -230,17 +321,19 @@ def _edges(name: str, build, sql: str):
 
 
 _edges("resolve_edges", lambda s, e: e.groupBy("from_qualname", "to_qualname", "kind", "resolved").agg(F.count("*").alias("n")), "SELECT from_qualname, to_qualname, kind, resolved, count(*) AS n FROM resolved GROUP BY ALL")
-_edges("all_edges", lambda s, e: e.groupBy("kind", "resolved").agg(F.count("*").alias("n")), "SELECT kind, resolved, count(*) AS n FROM resolved GROUP BY ALL")
-_edges("graph_nodes", graph.graph_nodes, "SELECT f.qualname AS id, f.name AS label, f.kind AS node_group, p.title, p.locations, coalesce(o.n, 0) AS outgoing FROM first f JOIN (SELECT qualname, string_agg(file || ':' || line_start || '-' || line_end, chr(10) ORDER BY file, line_start, line_end) AS title, count(*) AS locations FROM symbols GROUP BY 1) p USING (qualname) LEFT JOIN (SELECT from_qualname, count(*) AS n FROM resolved GROUP BY 1) o ON o.from_qualname = f.qualname")
+_edges("all_edges", lambda s, e: e.select("from_qualname", "to_qualname", "kind", "resolved"), "SELECT from_qualname, to_qualname, kind, resolved FROM resolved")
+_edges("graph_nodes", graph.graph_nodes, "SELECT f.qualname AS id, f.name AS label, f.kind AS node_group, p.title, p.locations, coalesce(o.n, 0) AS outgoing, coalesce(o.targets, '') AS targets FROM first f JOIN (SELECT qualname, string_agg(file || ':' || line_start || '-' || line_end, chr(10) ORDER BY file, line_start, line_end) AS title, count(*) AS locations FROM symbols GROUP BY 1) p USING (qualname) LEFT JOIN (SELECT from_qualname, count(*) AS n, string_agg(kind || ' ' || to_qualname || CASE WHEN resolved THEN '' ELSE ' ?' END, chr(10) ORDER BY kind || ' ' || to_qualname || CASE WHEN resolved THEN '' ELSE ' ?' END) AS targets FROM resolved GROUP BY 1) o ON o.from_qualname = f.qualname")
 _edges("graph_edges", lambda s, e: graph.graph_edges(s, e), "SELECT from_qualname, to_qualname, kind AS label, NOT resolved AS dashes FROM resolved WHERE from_qualname IN (SELECT qualname FROM known)")
 _edges("graph_externals", graph.graph_externals, "SELECT DISTINCT to_qualname AS id, string_split(to_qualname, '.')[-1] AS label FROM resolved WHERE from_qualname IN (SELECT qualname FROM known) AND to_qualname NOT IN (SELECT qualname FROM known)")
 _edges("graph_counts", lambda s, e: s.select("qualname").union(graph.graph_externals(s, e).select("id")).agg(F.countDistinct("qualname").alias("nodes")).crossJoin(graph.graph_edges(s, e).agg(F.count("*").alias("edges"))), "SELECT (SELECT count(*) FROM known) + (SELECT count(DISTINCT to_qualname) FROM resolved WHERE to_qualname NOT IN (SELECT qualname FROM known)) AS nodes, (SELECT count(*) FROM resolved) AS edges")
 _edges("graph_filtered", lambda s, e: graph.graph_edges(s.filter("kind = 'class'"), e), "SELECT from_qualname, to_qualname, kind AS label, NOT resolved AS dashes FROM resolved WHERE from_qualname IN (SELECT qualname FROM symbols WHERE kind = 'class')")
 _edges("neighbors", lambda s, e: graph.neighbours(e), "SELECT id, count(*) AS neighbours FROM (SELECT from_qualname AS id, to_qualname AS other FROM resolved UNION SELECT to_qualname, from_qualname FROM resolved UNION SELECT from_qualname, from_qualname FROM resolved UNION SELECT to_qualname, to_qualname FROM resolved) GROUP BY 1")
-_VIEW = "r.from_qualname, r.to_qualname, r.kind, resolved, a.file AS from_file, a.line_start AS from_line, b.file AS to_file, b.line_start AS to_line FROM resolved r LEFT JOIN first a ON a.qualname = r.from_qualname LEFT JOIN first b ON b.qualname = r.to_qualname"
-_edges("refs", lambda s, e: graph.neighbours_of(e, s, "ASIA.NATION_8", True), f"SELECT {_VIEW} WHERE r.to_qualname = 'ASIA.NATION_8'")
-_edges("calls", lambda s, e: graph.neighbours_of(e, s, "ASIA.NATION_8", False), f"SELECT {_VIEW} WHERE r.from_qualname = 'ASIA.NATION_8'")
-_edges("edge_view_json", lambda s, e: e.filter("kind <> 'reference'").select(F.to_json(F.struct(F.col("from_qualname").alias("from"), F.col("to_qualname").alias("to"), "kind", "resolved")).alias("view")), "SELECT CAST(to_json({'from': from_qualname, 'to': to_qualname, 'kind': kind, 'resolved': resolved}) AS VARCHAR) AS view FROM resolved WHERE kind <> 'reference'")
+_VIEW = "r.from_qualname, r.to_qualname, r.kind, resolved, coalesce(a.file, '') AS from_file, coalesce(a.line_start, 0) AS from_line_start, coalesce(b.file, '') AS to_file, coalesce(b.line_start, 0) AS to_line_start FROM resolved r LEFT JOIN first a ON a.qualname = r.from_qualname LEFT JOIN first b ON b.qualname = r.to_qualname"
+#: The first targets and sources of edges, and one that no edge has.
+_edges("refs", lambda s, e: graph.neighbours_of(e, s, e.filter("resolved").agg(F.min("to_qualname").alias("qualname")), True), f"SELECT {_VIEW} WHERE r.to_qualname = (SELECT min(to_qualname) FROM resolved WHERE resolved)")
+_edges("calls", lambda s, e: graph.neighbours_of(e, s, e.agg(F.min("from_qualname").alias("qualname")), False), f"SELECT {_VIEW} WHERE r.from_qualname = (SELECT min(from_qualname) FROM resolved)")
+_edges("edge_view_json", lambda s, e: graph.edge_json(e, s), "SELECT CAST(to_json({'from': {'qualname': r.from_qualname, 'file': coalesce(a.file, ''), 'line_start': coalesce(a.line_start, 0), 'line_end': coalesce(a.line_end, 0)}, 'to': {'qualname': r.to_qualname, 'file': coalesce(b.file, ''), 'line_start': coalesce(b.line_start, 0), 'line_end': coalesce(b.line_end, 0)}, 'kind': r.kind, 'resolved': r.resolved}) AS VARCHAR) AS view FROM resolved r LEFT JOIN first a ON a.qualname = r.from_qualname LEFT JOIN first b ON b.qualname = r.to_qualname")
+_edges("neighbourhood", lambda s, e: graph.neighbourhood(e, s.filter("kind = 'method'")), "SELECT from_qualname AS id, to_qualname AS other, kind, false AS incoming FROM resolved WHERE from_qualname IN (SELECT qualname FROM symbols WHERE kind = 'method') UNION ALL SELECT to_qualname, from_qualname, kind, true FROM resolved WHERE to_qualname IN (SELECT qualname FROM symbols WHERE kind = 'method')")
 _edges("viz_search", lambda s, e: graph.ranked_text_search(graph.graph_nodes(s, e), "nation_1"), "SELECT id, label, CASE WHEN starts_with(lower(label), 'nation_1') THEN 1 WHEN contains(lower(label), 'nation_1') THEN 2 ELSE 3 END AS rank FROM (SELECT qualname AS id, name AS label FROM first) WHERE contains(lower(label), 'nation_1') OR contains(lower(id), 'nation_1') ORDER BY rank, length(label), id LIMIT 50")
 
 
@@ -274,7 +367,17 @@ _diffs("changed_files", lambda p, c: c.select("path", "sha1").exceptAll(p.select
 _diffs("removed_files", lambda p, c: p.join(c, "path", "left_anti").select("path"), "SELECT path FROM states WHERE new IS NULL")
 _diffs("upsert_files", lambda p, c: snapshot.upsert(p, c, "path").select("path", "sha1"), "SELECT path, coalesce(new, old) AS sha1 FROM states")
 _diffs("index_summary", snapshot.summary, "SELECT count(*) FILTER (new IS NOT NULL AND old IS DISTINCT FROM new) AS parsed, count(*) FILTER (old = new) AS skipped, count(*) FILTER (new IS NULL) AS removed FROM states")
-_diffs("index_status", lambda p, c: c.agg(F.count("*").alias("file_count"), F.countDistinct("sha1").alias("contents")), "SELECT count(*) AS file_count, count(DISTINCT sha1) AS contents FROM cur")
+
+
+def _run_figures(p, c):
+    """A symbol for each file and contents, and an edge from each symbol to its folder."""
+    states = p.select("path", F.col("sha1").alias("old")).join(c.select("path", F.col("sha1").alias("new")), "path", "full_outer")
+    symbols = snapshot.incremental(_as_parsed(p), p, c, _as_parsed)
+    return meta.run_figures(states, symbols, symbols.filter(F.col("file").contains("1")))
+
+
+_TOUCHED = "new IS NOT NULL AND old IS DISTINCT FROM new"
+_diffs("run_figures", lambda p, c: _run_figures(p, c), f"SELECT count(*) FILTER ({_TOUCHED}) AS parsed, count(*) FILTER (old = new) AS skipped, count(*) FILTER (new IS NULL) AS removed, count(new) AS total_files, count(*) FILTER ({_TOUCHED}) AS symbols, count(new) AS total_symbols, count(*) FILTER ({_TOUCHED} AND contains(path, '1')) AS edges, count(new) FILTER (contains(path, '1')) AS total_edges FROM states")
 
 
 def _as_parsed(files):
@@ -316,17 +419,23 @@ def cosine(spark, sf):
     return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(index.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
 
 
-@register("rerank_cosine", "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, label, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q WHERE label = 3) SELECT id, label, score FROM s ORDER BY score DESC, id LIMIT 10")
+@register(
+    "rerank_cosine",
+    _ranked_sql(["that", "this"], top=50) + ", q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), near AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS c FROM embeddings, q) "
+    "SELECT id, qualname, rank, coalesce(c, 0) AS score FROM hits LEFT JOIN near USING (id) ORDER BY 4 DESC, rank LIMIT 10",
+)
 def rerank_cosine(spark, sf):
-    e = A.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
-    query = e.filter("id = 0").select("embedding").first()[0]
-    return index.rerank(e.filter("label = 3"), "embedding", query, 10).select("id", "label", "score")
+    """The 50 best hits by the cosine of their document's vector, where it has one, with that of document 0."""
+    vectors = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    query = vectors.filter("id = 0").first()
+    hits = index.search(_index(spark, sf), "that this", index.CANDIDATES)
+    return index.rerank(vectors.join(F.broadcast(hits), "id", "right"), "embedding", query and query["embedding"], 10).select("id", "qualname", "rank", "score")
 
 
-@register("hits_json", _search_sql(["with", "from"], top=10).replace("SELECT id, qualname, kind, scope, file, score FROM scored", "SELECT CAST(to_json({'file': file, 'qualname': qualname, 'kind': kind, 'scope': scope}) AS VARCHAR) AS hit FROM scored"))
+@register("hits_json", _ranked_sql(["with", "from"], top=10) + " SELECT CAST(to_json({'file': file, 'line_start': line_start, 'line_end': line_end, 'qualname': qualname, 'name': name, 'kind': kind, 'scope': scope, 'rank': rank, 'indexed_at': coalesce(indexed_at, '(never)')}) AS VARCHAR) AS hit FROM hits LEFT JOIN indexed USING (file)")
 def hits_json(spark, sf):
-    hits = index.search(A.documents_as_symbols(spark, sf), "with from", 10)
-    return hits.select(F.to_json(F.struct("file", "qualname", "kind", "scope")).alias("hit"))
+    hits = _hits(spark, sf, "with from", 10).withColumn("indexed_at", F.coalesce("indexed_at", F.lit("(never)")))
+    return hits.select(F.to_json(F.struct("file", "line_start", "line_end", "qualname", "name", "kind", "scope", "rank", "indexed_at")).alias("hit"))
 
 
 @register("meta_unpivot", "SELECT source, key, value FROM (SELECT source, count(*)::VARCHAR AS file_count, max(doc_id)::VARCHAR AS last_id FROM documents GROUP BY 1) UNPIVOT (value FOR key IN (file_count, last_id))")
@@ -340,21 +449,50 @@ def meta_pivot(spark, sf):
     return A.table(spark, sf, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@register("fmt_ts", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+#: Figures of each source as an index of its own, of versions 0 to 2.
+_FIGURES = "figures AS (SELECT source, 3 AS schema_ver, (min(doc_id) % 3)::INTEGER AS indexer_ver, '/repos/' || source AS repo_root, strftime(make_timestamp((1700000000 + max(doc_id)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS indexed_at, count(*) AS symbol_count, count(DISTINCT lang) AS file_count FROM documents GROUP BY 1)"
+
+
+def _figures(spark, sf):
+    d = A.table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("symbol_count"), F.countDistinct("lang").alias("file_count"))
+    return d.select("source", F.lit(3).alias("schema_ver"), (F.col("low") % 3).cast("int").alias("indexer_ver"), F.concat(F.lit("/repos/"), "source").alias("repo_root"), F.timestamp_seconds(F.col("high") + 1_700_000_000).alias("indexed_at"), "symbol_count", "file_count")
+
+
+@register("meta_write", f"WITH {_FIGURES} SELECT source, key, value FROM (SELECT source, schema_ver::VARCHAR AS schema_ver, indexer_ver::VARCHAR AS indexer_ver, repo_root, indexed_at, symbol_count::VARCHAR AS symbol_count, file_count::VARCHAR AS file_count FROM figures) UNPIVOT (value FOR key IN (schema_ver, indexer_ver, repo_root, indexed_at, symbol_count, file_count))")
+def meta_write(spark, sf):
+    return meta.write(_figures(spark, sf), "source")
+
+
+@register("meta_read", f"WITH {_FIGURES} SELECT source, schema_ver, indexer_ver, repo_root, indexed_at, '' AS embedder, CASE WHEN symbol_count % 2 = 0 THEN symbol_count ELSE 0 END AS symbol_count, file_count FROM figures")
+def meta_read(spark, sf):
+    """Some numbers are broken, one key is unknown and one is missing."""
+    rows = meta.write(_figures(spark, sf), "source")
+    broken = rows.withColumn("value", F.when((F.col("key") == "symbol_count") & (F.col("value").cast("int") % 2 == 1), "many").otherwise(F.col("value")))
+    unknown = broken.filter("key = 'schema_ver'").withColumn("key", F.lit("unknown"))
+    return meta.read(broken.unionByName(unknown), "source").withColumn("indexed_at", t.timestamp_text(F.col("indexed_at")))
+
+
+@register("index_status", f"WITH {_FIGURES} SELECT source, file_count, symbol_count, indexed_at, CASE indexer_ver WHEN 0 THEN 'index predates versions, reindex to get version 2' WHEN 1 THEN 'index version 1, expected 2, reindex to refresh' ELSE '' END AS reason, indexer_ver <> 2 AS stale FROM figures")
+def index_status(spark, sf):
+    reason = t.staleness(F.col("indexer_ver"), 2)
+    return meta.read(meta.write(_figures(spark, sf), "source"), "source").select("source", "file_count", "symbol_count", t.timestamp_text(F.col("indexed_at")).alias("indexed_at"), reason.alias("reason"), (reason != "").alias("stale"))
+
+
+@register("fmt_ts", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '(never)' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS at FROM events")
 def fmt_ts(spark, sf):
-    return A.table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
+    """Written, read back and written again; every tenth time is missing."""
+    at = t.timestamp_text(F.when(F.col("event_id") % 10 != 0, F.col("ts")))
+    return A.table(spark, sf, "events").select("event_id", t.timestamp_text(t.parse_timestamp(at)).alias("at"))
 
 
-@register("staleness", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'index predates versions' WHEN 2 THEN '' ELSE 'index version ' || (event_id % 4) || ', expected 2' END AS note FROM events")
+@register("staleness", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'index predates versions, reindex to get version 2' WHEN 2 THEN '' ELSE 'index version ' || (event_id % 4) || ', expected 2, reindex to refresh' END AS note FROM events")
 def staleness(spark, sf):
-    v = F.col("event_id") % 4
-    note = F.when(v == 0, "index predates versions").when(v == 2, "").otherwise(F.concat(F.lit("index version "), v.cast("string"), F.lit(", expected 2")))
-    return A.table(spark, sf, "events").select("event_id", note.alias("note"))
+    return A.table(spark, sf, "events").select("event_id", t.staleness(F.col("event_id") % 4, 2).alias("note"))
 
 
-@register("read_hint", f"WITH {A.PLACES} SELECT id, 'read ' || file || ' offset ' || line_start || ' limit ' || greatest(line_end - line_start + 1, 1) AS hint FROM symbols")
+@register("read_hint", f"WITH {A.PLACES} SELECT id, 'hint:     full body via Read ' || file || ' offset=' || line_start || ' limit=' || greatest(line_end - line_start + 1, 1) || ' (' || greatest(line_end - line_start + 1, 1) || ' lines)' AS hint FROM symbols")
 def read_hint(spark, sf):
-    return A.places_as_symbols(spark, sf).select("id", F.format_string("read %s offset %d limit %d", "file", "line_start", F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1))).alias("hint"))
+    return A.places_as_symbols(spark, sf).select("id", t.read_hint(F.col("file"), F.col("line_start"), F.col("line_end")).alias("hint"))
 
 
 #: A registry of repositories: each source with its languages as folders.
@@ -374,12 +512,12 @@ def registry_list(spark, sf):
 def registry_upsert(spark, sf):
     old = _registry(spark, sf)
     new = A.table(spark, sf, "region").select(F.col("r_name").alias("name"), F.concat(F.lit("/repos/"), "r_name").alias("path"), F.lit(0).cast("long").alias("file_count"))
-    return snapshot.upsert(old, new.unionByName(old.filter("name < 'src15'").withColumn("path", F.concat("path", F.lit("/moved")))), "name")
+    return meta.upsert(old, new.unionByName(old.filter("name < 'src15'").withColumn("path", F.concat("path", F.lit("/moved")))))
 
 
-@register("registry_remove", f"WITH {_REGISTRY} SELECT * FROM registry WHERE name <> 'src0'")
+@register("registry_remove", f"WITH {_REGISTRY} SELECT * FROM registry WHERE name NOT IN ('src0', 'src2')")
 def registry_remove(spark, sf):
-    return _registry(spark, sf).filter("name <> 'src0'")
+    return meta.remove(meta.remove(_registry(spark, sf), "src0"), "/repos/x/../src2/")
 
 
 @register("resolve_cwd", f"WITH {_REGISTRY}, {A.FILES} SELECT '/repos/' || f.path AS cwd, r.name FROM files f JOIN registry r ON starts_with('/repos/' || f.path, r.path || '/')")
@@ -418,7 +556,7 @@ _edges("report_nodes", lambda s, e: report.top_nodes(s, e, 200), "SELECT * FROM
 @register("stream_reindex", f"WITH {A.FILES} SELECT path, sha1, language, size_bytes FROM files")
 def stream_reindex(spark, sf):
     """All documents through the stream, then the current files."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
+    folder = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf}/documents.parquet"
     # A stream reads folders or patterns only, and the table may be one file.
     R.run(A.files_of(spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")), f"{folder}/files", f"{folder}/state")
@@ -427,7 +565,7 @@ def stream_reindex(spark, sf):
 
 @register("search_topn", _search_sql(["for", "not"], top=25))
 def search_topn(spark, sf):
-    return index.search(A.documents_as_symbols(spark, sf), "for not", 25).select(*HIT)
+    return _hits(spark, sf, "for not", 25)
 
 
 #: Comma-separated lists made of part columns, with blanks.
@@ -443,15 +581,25 @@ def glob_to_like(spark, sf):
     return A.table(spark, sf, "part").select("p_partkey", t.like_pattern(glob).alias("pattern"))
 
 
-@register("resolve_repo", f"WITH {_REGISTRY} SELECT doc_id, coalesce(a.name, b.name, 'src0') AS name FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS flag, CASE WHEN doc_id % 3 = 1 THEN '/repos/' || source || '/' || lang ELSE '/tmp' END AS cwd FROM documents) d LEFT JOIN registry a ON a.name = d.flag LEFT JOIN registry b ON starts_with(d.cwd, b.path || '/') OR d.cwd = b.path")
+#: Requests with flags, folders inside repositories, around indexes, and elsewhere; some repositories lie in others.
+_ENTRIES = "entries AS (SELECT 2 * row_number() OVER (ORDER BY name) AS pos, name, path FROM registry UNION ALL SELECT 2 * row_number() OVER (ORDER BY name) - 1, name || '-de', path || '/de' FROM registry WHERE name < 'src15')"
+
+
+@register(
+    "resolve_repo",
+    f"WITH {_REGISTRY}, {_ENTRIES}, asked AS (SELECT doc_id AS id, source, lang, doc_id % 5 AS k FROM documents) SELECT id, CASE k WHEN 0 THEN '/repos/' || source WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN lang = 'de' AND source < 'src15' THEN '/repos/' || source || '/de' ELSE '/repos/' || source END WHEN 3 THEN '/work/' || source ELSE '/repos/src0' END AS path, "
+    "CASE k WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END AS step FROM asked",
+)
 def resolve_repo(spark, sf):
-    """The repository of each request: by its flag, else around its folder, else the default."""
-    d = A.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("flag"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/repos/"), "source", F.lit("/"), "lang")).otherwise("/tmp").alias("cwd"))
+    """The repository of each request, in six steps; entries are in the order of their file."""
     known = _registry(spark, sf)
-    by_name = known.select(F.col("name").alias("flag"), F.col("name").alias("flagged"))
-    by_root = known.select(F.col("path").alias("root"), F.col("name").alias("around"))
-    found = d.join(by_name, "flag", "left").withColumn("root", F.regexp_extract("cwd", "^(/repos/[^/]+)", 1)).join(by_root, "root", "left")
-    return found.select("doc_id", F.coalesce("flagged", "around", F.lit("src0")).alias("name"))
+    pos = F.row_number().over(Window.orderBy("name"))  # one row for each source
+    entries = known.select((2 * pos).alias("pos"), "name", "path").unionByName(known.filter("name < 'src15'").select((2 * pos - 1).alias("pos"), F.concat("name", F.lit("-de")).alias("name"), F.concat("path", F.lit("/de")).alias("path")))
+    d, k = A.table(spark, sf, "documents"), F.col("doc_id") % 5
+    flag = F.when(k == 0, F.col("source")).when(k == 1, "nothing").otherwise("")
+    cwd = F.when(k == 2, F.concat(F.lit("/repos/"), "source", F.lit("/"), "lang", F.lit("/x"))).when(k == 3, F.concat(F.lit("/work/"), "source", F.lit("/a/../b"))).when(k == 4, "/tmp").otherwise("")
+    indexed = d.select(F.concat(F.lit("/work/"), "source").alias("path")).distinct().unionByName(d.select(F.lit("/work").alias("path")).distinct())
+    return meta.resolve(d.select(F.col("doc_id").alias("id"), flag.alias("flag"), cwd.alias("cwd")), entries, indexed, "src0")
 
 
 def _languages(language: str):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from quarry.functions.text import walk_language
 
 MAX_BYTES = 1 << 20
-#: Folders that are never walked (fixed values).
-EXCLUDED = (".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", "target", ".venv", "venv", "__pycache__", ".idea", ".vscode")
+#: Folders that are never walked, besides the one that holds the index (fixed values).
+EXCLUDED = (".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build", "target", ".next", ".mypy_cache", ".pytest_cache", ".ruff_cache")
+#: Files at the root whose lines are ignore rules, in this order.
+IGNORE_FILES = (".gitignore", ".quarryignore")
 #: Names and contents that mark secrets (fixed values).
 SECRET_NAME = r"^(\.env(\..*)?|.*\.pem|.*\.key|id_rsa.*|id_ed25519.*)$"
 SECRET_TEXT = r"AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*-----"
@@ -21,10 +24,10 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def in_excluded(path: Column) -> Column:
-    """Whether any folder of a path is an excluded one, in any case."""
+def in_excluded(path: Column, own: str = ".quarry") -> Column:
+    """Whether any folder of a path is an excluded one, in any case; ``own`` is the folder of the index."""
     folders = F.transform(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1), F.lower)
-    return F.arrays_overlap(folders, F.array(*[F.lit(x) for x in EXCLUDED]))
+    return F.arrays_overlap(folders, F.array(*[F.lit(x) for x in (*EXCLUDED, own)]))
 
 
 def secret_name(path: Column) -> Column:
@@ -51,14 +54,25 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
+def ignore_lines(root: str, extra: list[str] | None = None, names: tuple[str, ...] = IGNORE_FILES) -> list[str]:
+    """The lines of the ignore files at root, then the extra ones; missing files have none.
+
+    Spark's readers skip files whose names start with a dot, so the driver opens these few itself. That takes a root it
+    can open; for other stores give the lines as extra ones.
+    """
+    files = [Path(root.removeprefix("file://"), name) for name in names]
+    return [line for f in files if f.is_file() for line in f.read_text(encoding="utf-8").splitlines()] + (extra or [])
+
+
 def walk(spark: SparkSession, root: str, rules: list[str] | None = None, max_bytes: int = MAX_BYTES, stream: bool = False) -> DataFrame:
     """(path, sha1, size_bytes, language, text) of the files under root that a walk keeps; ``stream`` for those to come.
 
-    Names and sizes are tested before contents are read.
+    Names and sizes are tested before contents are read. Rules are those of the ignore files at root, then the given ones.
     """
+    rules = ignore_lines(root, rules)
     reader = spark.readStream if stream else spark.read
     raw = reader.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{re.escape(root.rstrip('/'))}/", "")
-    named = raw.withColumn("path", path).filter(~in_excluded(F.col("path")) & ~secret_name(F.col("path")) & (F.col("length") <= max_bytes) & ~ignored(F.col("path"), rules or []))
+    named = raw.withColumn("path", path).filter(~in_excluded(F.col("path")) & ~secret_name(F.col("path")) & (F.col("length") <= max_bytes) & ~ignored(F.col("path"), rules))
     text = F.decode("content", "UTF-8")
     return named.filter(~secret_text(text)).select("path", F.sha1("content").alias("sha1"), F.col("length").alias("size_bytes"), walk_language(F.col("path")).alias("language"), text.alias("text"))
