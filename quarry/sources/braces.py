@@ -21,7 +21,7 @@ TYPE = r"\b(?:class|interface|enum|record|struct)\s+(?P<name>\w+)(?P<bases>[^{};
 PATTERNS = {
     "java": dict(types=[TYPE], functions=[rf"[\w>\]]\s+{PLAIN}\s*(?:throws[\w\s,.]*)?$", rf"(?:^|[\s]){PLAIN}\s*$"], imports=r"^\s*import\s+(?:static\s+)?(?P<target>[\w.]+)\s*;", first=False),
     "csharp": dict(types=[TYPE], functions=[rf"[\w>\]?]\s+{PLAIN}\s*(?:where[^{{}}]*)?(?::\s*(?:base|this)\s*\([^()]*\)\s*)?$"], imports=r"^\s*using\s+(?:static\s+)?(?P<target>[\w.]+)\s*;", first=False),
-    "typescript": dict(
+    "ts": dict(
         types=[TYPE],
         functions=[rf"\bfunction\s*\*?\s*{PLAIN}[^(){{}};]*$", r"\b(?:const|let|var)\s+(?P<name>[\w$]+)[^=;]*=\s*(?:async\s*)?\((?P<params>[^{}]*?)\)[^(){};=]*=>\s*$", rf"(?:^|[\s]){PLAIN}\s*(?::[^(){{}};=]*)?$"],
         imports=r"^\s*import\s[^'\"\n]*?(?P<alias>[\w$]+)?\s*\}?\s*from\s*['\"](?P<target>[^'\"\n]+)['\"]", first=True,

@@ -13,7 +13,7 @@ from quarry.functions import text as t
 from quarry.sources.braces import PATTERNS, module_of, parse_braces
 
 #: Languages that share the patterns of another.
-SAME = {"javascript": "typescript", "tsx": "typescript"}
+SAME = {"js": "ts", "tsx": "ts"}
 
 SYMBOL = "name string, qualname string, kind string, scope string, line_start int, line_end int, parent_qualname string, docstring string, snippet string"
 EDGE = "from_qualname string, to_qualname string, kind string"

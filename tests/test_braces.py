@@ -16,7 +16,7 @@ public class A<T> extends B implements C {
         {("", "java.util.List", "import"), (".A", "B", "inherit"), (".A", "C", "inherit"), (".A.f", "g", "call"), (".A.f", "m.get", "call")}),
     "csharp": ("using System.Text;\nnamespace N { class A : B { public int F(string s) { return Go(s); } } }",
         {("A", "class"), ("A.F", "method"), ("A.F.s", "variable"), ("Text", "import")}, {("", "System.Text", "import"), (".A", "B", "inherit"), (".A.F", "Go", "call")}),
-    "typescript": ("""import { x } from './lib';
+    "ts": ("""import { x } from './lib';
 export class A extends B { run(a: number, b?: string): void { x(a); } }
 export function f(q: Map<string, number>) { const g = (y) => { h(); }; }
 const k = async (z) => { f(z); };
