@@ -38,6 +38,8 @@ BANDS, ROWS = 10, 4
 SATURATION = 512
 #: Counters of a row, those that travel together, and shingles a task counts before it passes them on.
 COUNTERS, TOGETHER, COUNTED = 1 << 18, 1 << 12, 1 << 21
+#: Words whose hashes a Python worker keeps.
+WORDS_KEPT = 300_000
 #: Random draws are taken from so many quantiles (2^BITS).
 BITS = 12
 #: Texts compared with one other in a task at most, before a further task takes the rest.
@@ -49,10 +51,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
-    """Hash of each word; starts anew when it has a million."""
+    """Hash of each word; starts anew when it has WORDS_KEPT."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > WORDS_KEPT:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
