@@ -48,8 +48,8 @@ COMMON = 1_000_000
 BATCH = 1 << 11
 #: Characters of texts taken at once.
 CHARS = 250_000
-#: Words a task counts before it passes them on.
-COUNTED = 400_000
+#: Words a task counts before it passes them on, and words whose ids it keeps.
+COUNTED, KEPT = 400_000, 300_000
 #: Longer words are encoded piece by piece.
 PIECE = 1000
 
@@ -123,19 +123,39 @@ def encoded(texts: DataFrame, path: str, logs) -> DataFrame:
     """
 
     def work(frames):
-        get = logs.value.get
+        get, kind = logs.value.get, _kind(path)
+        width, known = np.dtype(kind).itemsize, {}
+
+        def entries(words: list[bytes]) -> list[tuple[bytes, float | None]]:
+            """For each word its ids as bytes and its log10 count, if it has one in logs."""
+            got = list(map(known.get, words))
+            if None not in got:
+                return got
+            new = dict.fromkeys(w for w, x in zip(words, got) if x is None)
+            if len(known) > KEPT:
+                known.clear()  # it starts anew
+                new = dict.fromkeys(words)
+            new.pop(b"", None)
+            ids, sizes = word_ids(path, [*new, b""])
+            raw, ends = ids.astype(kind).tobytes(), (np.cumsum(sizes) * width).tolist()
+            for w, s, e in zip([*new, b""], [0, *ends], ends):
+                known[w] = raw[s:e], get(w)
+            return list(map(known.get, words))
+
         for pdf in frames:
             for part in _groups(pdf):
-                rows = []
-                for t in part["text"]:
-                    words = [*words_of(t), b""]
-                    ids, sizes = word_ids(path, words)
-                    ends = np.zeros(len(ids), bool)
-                    ends[np.cumsum(sizes) - 1] = True
-                    found = list(map(get, words))
-                    rare = Counter([w for w, x in zip(words, found) if x is None])
-                    known = np.array([x for x in found if x is not None])
-                    rows.append((len(words), len(known), known.sum(), list(rare), list(rare.values()), ids.astype(_kind(path)).tobytes(), np.packbits(ends).tobytes()))
+                docs = [[*words_of(t), b""] for t in part["text"]]
+                found, at, rows = entries([w for d in docs for w in d]), 0, []
+                for words in docs:
+                    own = found[at : at + len(words)]
+                    at += len(words)
+                    ids = [x[0] for x in own]
+                    last = np.cumsum(list(map(len, ids))) // width - 1
+                    ends = np.zeros(last[-1] + 1, bool)
+                    ends[last] = True
+                    rare = Counter([w for w, x in zip(words, own) if x[1] is None])
+                    common = [x[1] for x in own if x[1] is not None]
+                    rows.append((len(words), len(common), math.fsum(common), list(rare), list(rare.values()), b"".join(ids), np.packbits(ends).tobytes()))
                 out = pd.DataFrame(rows, columns=["n_tokens", "n_common", "common", "rare", "times", "ids", "ends"])
                 for c in ("doc_id", "held_out", "slice"):
                     out[c] = part[c].to_numpy()
