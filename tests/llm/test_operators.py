@@ -369,5 +369,6 @@ def test_window_count_rises_until_all_fit():
         assert sorted(sum(groups, [])) == list(range(len(sizes))) and max(sum(sizes[i] for i in g) for g in groups) <= 100
         full = packing.level([[(i, 0, np.arange(sizes[i]), sizes[i]) for i in g] for g in groups], 100)
         filled = sorted(sum(len(p[2]) for p in g) for g in full)
-        assert len(full) == -(-sum(sizes) // 100) and all(x == 100 for x in filled[1:]) and sum(filled) == sum(sizes)
+        # As few windows as the total allows, so the padding of all is less than one window.
+        assert len(full) == -(-sum(sizes) // 100) and filled[-1] <= 100 and sum(filled) == sum(sizes)
     assert len(packing.deal([60, 60, 60], 100)) == 3
