@@ -154,7 +154,9 @@ def test_chat_layouts(spark):
     assert chat.format_turns(chat.canonical_turns(df.select("record").limit(0))).count() == 0
 
 
-def test_substrings(docs, none):
+@pytest.mark.parametrize("crowd", [1000, 2])
+def test_substrings(docs, none, monkeypatch, crowd):
+    monkeypatch.setattr(substrings, "CROWD", crowd)
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(docs).collect())
     raw = [(i, (t or "").encode()) for i, t in texts()]
     seen = Counter(r[k : k + 400] for _, r in raw for k in range(len(r) - 399))
