@@ -239,8 +239,14 @@ def k_means(x: np.ndarray, weight: np.ndarray, k: int, steps: int = 15) -> np.nd
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    x, centres = x.astype("float64"), centres.astype("float64")
-    return ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
+    centres = centres.astype("float64")
+    turned, size = -2 * centres.T, (centres**2).sum(1)
+    out = np.empty(len(x), "int64")
+    for s in range(0, len(x), BATCH):
+        far = x[s : s + BATCH].astype("float64") @ turned
+        far += size
+        out[s : s + BATCH] = far.argmin(1)
+    return out
 
 
 class Vocabulary:
@@ -255,11 +261,14 @@ class Vocabulary:
         if not len(sizes):
             return np.zeros((0, WIDTH), "float32"), np.zeros(0, "int64")
         ends = np.cumsum(sizes)
-        at, rows, x = ends - sizes, np.arange(len(sizes)), self.vectors.take(ids[ends - sizes], 0)
-        for k in range(1, int(sizes.max())):  # the next id of the words that have one
-            rows = rows[sizes[rows] > k]
-            x[rows] += self.vectors.take(ids[at[rows] + k], 0)
-        x /= sizes[:, None].astype("float32")
+        x = self.vectors.take(ids[ends - sizes], 0)
+        for s in range(0, len(sizes), 4 * BATCH):
+            part, own = x[s : s + 4 * BATCH], sizes[s : s + 4 * BATCH]
+            at, rows = ends[s : s + 4 * BATCH] - own, np.arange(len(own))
+            for k in range(1, int(own.max())):  # the next id of the words that have one
+                rows = rows[own[rows] > k]
+                part[rows] += self.vectors.take(ids[at[rows] + k], 0)
+            part /= own[:, None].astype("float32")
         kind = nearest(x, self.centres)
         kind[ids[ends - 1] == len(self.vectors) - 1] = CLASSES - 1
         return x, kind
@@ -299,6 +308,7 @@ def initial(share: np.ndarray) -> np.ndarray:
 #: Added to the scores of later tokens, whose weight is then zero.
 _LATER = np.where(np.arange(2 * CONTEXT)[None, :] <= np.arange(CONTEXT)[:, None] + CONTEXT, 0, -1e9).astype("float32")
 _ONES = np.ones((2 * CONTEXT, 1), "float32")
+_EACH = np.ones(CLASSES, "float32")
 
 
 def laid_out(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +328,8 @@ def forward(p: dict, x: np.ndarray, first: np.ndarray, targets: np.ndarray):
     d, c = WIDTH, CONTEXT
     blocks = x.reshape(-1, c, d)
     window = np.concatenate([np.concatenate([np.zeros_like(blocks[:1]), blocks[:-1]]), blocks], 1)
-    a = np.matmul((x @ p["match"]).reshape(-1, c, d), window.transpose(0, 2, 1))
+    turned = np.ascontiguousarray(window.transpose(0, 2, 1))
+    a = np.matmul((x @ p["match"]).reshape(-1, c, d), turned)
     a += p["near"] + _LATER
     # Bounded values keep the exponentials finite; those of later tokens are zero.
     np.exp(np.minimum(a, 30, out=a), out=a)
@@ -326,28 +337,33 @@ def forward(p: dict, x: np.ndarray, first: np.ndarray, targets: np.ndarray):
     a /= np.matmul(a, _ONES)
     mean = np.matmul(a, window).reshape(-1, d)
     h = np.concatenate([x, mean @ p["value"]], 1)
-    f = np.maximum(h @ p["inner"] + p["shift"], 0)
-    z = f @ p["out"] + p["prior"]
-    z -= z.max(1, keepdims=True)
+    f = h @ p["inner"]
+    f += p["shift"]
+    np.maximum(f, 0, out=f)
+    z = f @ p["out"]
+    z += p["prior"]
+    np.maximum(np.minimum(z, 80, out=z), -80, out=z)
     e = np.exp(z)
-    total = e.sum(1)
+    total = e @ _EACH
     logs = z.ravel().take(targets + np.arange(len(targets)) * CLASSES) - np.log(total)
-    return logs, (x, window, a, mean, h, f, e / total[:, None], targets)
+    return logs, (x, window, turned, a, mean, h, f, e, total, targets)
 
 
 def gradient(p: dict, kept, weights: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the weighted sum of log chances, negated."""
-    x, window, a, mean, h, f, dz, targets = kept
+    x, window, turned, a, mean, h, f, e, total, targets = kept
     d, c = WIDTH, CONTEXT
-    dz = dz * weights[:, None]
+    dz = e * (weights / total)[:, None]
     dz.ravel()[targets + np.arange(len(targets)) * CLASSES] -= weights
-    df = (dz @ p["out"].T) * (f > 0)
-    dv = (df @ p["inner"].T)[:, d:]
-    da = np.matmul((dv @ p["value"].T).reshape(-1, c, d), window.transpose(0, 2, 1))
+    df = dz @ p["out"].T
+    df *= f > 0
+    dv = df @ p["inner"][d:].T
+    da = np.matmul((dv @ p["value"].T).reshape(-1, c, d), turned)
     da -= np.matmul(da * a, _ONES)
     da *= a
     dq = np.matmul(da, window).reshape(-1, d)
-    return {"match": x.T @ dq, "near": da.sum(0), "value": mean.T @ dv, "inner": h.T @ df, "shift": df.sum(0), "out": f.T @ dz, "prior": dz.sum(0)}
+    each = np.ones(len(x), "float32")
+    return {"match": x.T @ dq, "near": da.sum(0), "value": mean.T @ dv, "inner": h.T @ df, "shift": each @ df, "out": f.T @ dz, "prior": each @ dz}
 
 
 def _steps(x: np.ndarray, kind: np.ndarray, lengths: np.ndarray, end: np.ndarray):
