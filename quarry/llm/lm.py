@@ -29,7 +29,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from typing import NamedTuple
 
 import numpy as np
@@ -46,8 +46,8 @@ ROUNDS, RATE = 16, 0.06
 COMMON = 1_000_000
 #: Tokens in a step of the numpy code.
 BATCH = 1 << 11
-#: Characters of texts taken at once.
-CHARS = 250_000
+#: Ids of documents, and characters of texts, taken at once.
+CHARS, TEXTS = 250_000, 2_000_000
 #: Words a task counts before it passes them on.
 COUNTED = 400_000
 #: Longer words are encoded piece by piece.
@@ -89,7 +89,11 @@ def word_ids(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids = enc.encode_to_numpy(text, disallowed_special=()).astype("int64")
         starts = np.flatnonzero(_starts_with_space(path)[ids])
         sizes = np.diff(np.append(starts, len(ids)))
-    if sizes is None or len(sizes) != len(words):
+    if (sizes is None or len(sizes) != len(words)) and len(words) > 64:
+        # Only the part that holds such a word is encoded word by word.
+        halves = [word_ids(path, words[: len(words) // 2]), word_ids(path, words[len(words) // 2 :])]
+        ids, sizes = (np.concatenate(x) for x in zip(*halves))
+    elif sizes is None or len(sizes) != len(words):
         each = [[i for s in range(0, len(t), PIECE) for i in enc.encode_ordinary(t[s : s + PIECE])] for t in (" " + w.decode() for w in words)]
         ids, sizes = np.array([i for x in each for i in x], "int64"), np.array([len(x) for x in each], "int64")
     return (np.append(ids, enc.n_vocab), np.append(sizes, 1)) if end else (ids, sizes)
@@ -126,16 +130,26 @@ def encoded(texts: DataFrame, path: str, logs) -> DataFrame:
         get = logs.value.get
         for pdf in frames:
             for part in _groups(pdf):
+                # Distinct words are numbered, looked up and encoded once; the end is number 0.
+                number = defaultdict()
+                number.default_factory = number.__len__
+                number[b""] = 0
+                texts = [np.fromiter(map(number.__getitem__, [*words_of(t), b""]), "int64") for t in part["text"]]
+                words = list(number)
+                ids, sizes = word_ids(path, words[1:])
+                ids, sizes = np.append(_subwords(path).n_vocab, ids), np.append(1, sizes)
+                starts = np.cumsum(sizes) - sizes
+                found = np.array([get(w, -1.0) for w in words])
                 rows = []
-                for t in part["text"]:
-                    words = [*words_of(t), b""]
-                    ids, sizes = word_ids(path, words)
-                    ends = np.zeros(len(ids), bool)
-                    ends[np.cumsum(sizes) - 1] = True
-                    found = list(map(get, words))
-                    rare = Counter([w for w, x in zip(words, found) if x is None])
-                    known = np.array([x for x in found if x is not None])
-                    rows.append((len(words), len(known), known.sum(), list(rare), list(rare.values()), ids.astype(_kind(path)).tobytes(), np.packbits(ends).tobytes()))
+                for t in texts:
+                    size, log = sizes[t], found[t]
+                    last = np.cumsum(size)
+                    ends = np.zeros(last[-1], bool)
+                    ends[last - 1] = True
+                    own = ids[np.repeat(starts[t] - last + size, size) + np.arange(last[-1])]
+                    known = log[log >= 0]
+                    rare, times = np.unique(t[log < 0], return_counts=True)
+                    rows.append((len(t), len(known), known.sum(), [words[k] for k in rare], times, own.astype(_kind(path)).tobytes(), np.packbits(ends).tobytes()))
                 out = pd.DataFrame(rows, columns=["n_tokens", "n_common", "common", "rare", "times", "ids", "ends"])
                 for c in ("doc_id", "held_out", "slice"):
                     out[c] = part[c].to_numpy()
@@ -154,9 +168,9 @@ def _parts(pdf: pd.DataFrame):
 
 
 def _groups(pdf: pd.DataFrame):
-    """Parts of pdf with texts of some CHARS."""
+    """Parts of pdf with texts of some TEXTS characters."""
     size = pdf["text"].str.len().cumsum().to_numpy()
-    for group in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(size // CHARS)) + 1):
+    for group in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(size // TEXTS)) + 1):
         if len(group):
             yield pdf.iloc[group]
 
