@@ -475,7 +475,8 @@ def score_texts(docs: DataFrame, training: Column, path: str, doc_id: str = "doc
     least = max(1, n // COMMON)
     # At most COMMON words have at least n / COMMON tokens, and at most n words at all. The end counts as one of them.
     logs = {bytes(r["word"]): math.log10(r["n"] + 1) for r in counts.filter((F.col("n") >= least) | (F.length("word") == 0)).toLocalIterator()}
-    rows = materialize(encoded(ids_out(texts, "doc_id"), path, spark.sparkContext.broadcast(logs)), "slice")
+    rows = encoded(ids_out(texts, "doc_id"), path, spark.sparkContext.broadcast(logs)).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "slice")
     weights, sizes, vocabulary = fit(rows.filter("slice >= 0"), counts, path)
 
     def work(frames):
@@ -484,19 +485,17 @@ def score_texts(docs: DataFrame, training: Column, path: str, doc_id: str = "doc
             for part in _parts(pdf):
                 docs = Encoded.read(path, part["ids"], part["ends"])
                 own = [(forward(p, x, first, targets)[0] / math.log(10) - log_sizes[targets])[real] for x, first, targets, real in steps(vocabulary.value, docs)]
-                out = part.drop(columns=["ids", "ends"])
-                out["own"] = np.add.reduceat(np.concatenate(own), np.cumsum(docs.lengths) - docs.lengths)
-                yield out
+                yield pd.DataFrame({"row": part["row"], "own": np.add.reduceat(np.concatenate(own), np.cumsum(docs.lengths) - docs.lengths)})
 
-    kept = ["doc_id", "held_out", "n_tokens", "n_common", "common", "rare", "times"]
-    schema = "doc_id string, held_out boolean, n_tokens long, n_common long, common double, rare array<binary>, times array<long>"
-    done = materialize(rows.select(*kept, "ids", "ends").mapInPandas(work, f"{schema}, own double").withColumn("row", F.monotonically_increasing_id()))
-    rare = done.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))).alias("r")).select("row", "r.word", "r.times")
+    # Only ids go through Python again; a row and its words meet by the row's number.
+    own = rows.select("row", "ids", "ends").mapInPandas(work, "row long, own double")
+    rare = rows.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))).alias("r")).select("row", "r.word", "r.times")
     # Common words are found in the task; the others have few rows each.
     found = rare.join(counts.filter(F.col("n") < least), "word")
     sums = found.groupBy("row").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
     logs = F.col("common") + F.coalesce("logs", F.lit(0.0))
-    out = done.drop("times").join(sums, "row", "left").select(
+    narrow = rows.select("row", "doc_id", "held_out", "n_tokens", "n_common", "common")
+    out = narrow.join(own, "row").join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
