@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, embeddings, exact_dedup, infill, lm, minhash, packing, pii, quality, substrings, warc
+from quarry.llm import bpe, chat, embeddings, exact_dedup, infill, lm, minhash, packing, pii, prefix_trie, quality, substrings, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_lm_score": lm.op10_lm_score,
     "op11_warc": warc.op11_warc,
     "op12_infill": infill.op12_infill,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op9_chat_format": chat.SQL,
     "op11_warc": warc.SQL,
     "op12_infill": infill.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
