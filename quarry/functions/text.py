@@ -38,7 +38,8 @@ def split_text_raw(text: Column) -> Column:
 
 def split_text(text: Column) -> Column:
     """The runs in lower case, those of at least two characters, repeats included."""
-    return F.filter(F.transform(split_text_raw(text), F.lower), lambda x: F.length(x) >= 2)
+    runs = F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{Nd}_]+")
+    return F.filter(F.transform(runs, F.lower), lambda x: F.length(x) >= 2)
 
 
 def tokenize_query(query: Column) -> Column:
@@ -46,15 +47,19 @@ def tokenize_query(query: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(split_text_raw(query), split_identifier)))
 
 
+def token_lists(name: Column, qualname: Column, docstring: Column, snippet: Column) -> dict[str, Column]:
+    """The tokens of each field of a symbol, repeats included."""
+    segments = F.array_distinct(F.flatten(F.transform(F.filter(F.split(F.coalesce(qualname, F.lit("")), r"\."), lambda x: x != ""), split_identifier)))
+    return {"name": split_identifier(name), "qualname": segments, "docstring": split_text(docstring), "snippet": split_text(snippet)}
+
+
 def symbol_tokens(name: Column, qualname: Column, docstring: Column, snippet: Column) -> Column:
     """All postings of a symbol as an array of (token, field, weight), repeats included."""
-    segments = F.array_distinct(F.flatten(F.transform(F.filter(F.split(qualname, r"\."), lambda x: x != ""), split_identifier)))
-    lists = {"name": split_identifier(name), "qualname": segments, "docstring": split_text(docstring), "snippet": split_text(snippet)}
 
     def postings(field: str, tokens: Column) -> Column:
         return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(field).alias("field"), F.lit(WEIGHTS[field]).alias("weight")))
 
-    return F.concat(*[postings(field, tokens) for field, tokens in lists.items()])
+    return F.concat(*[postings(field, tokens) for field, tokens in token_lists(name, qualname, docstring, snippet).items()])
 
 
 def glob_to_like(glob: str) -> str:

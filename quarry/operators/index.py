@@ -1,18 +1,27 @@
-"""The inverted index: postings, lengths, frequencies, and BM25 over them."""
+"""The inverted index: postings in blocks, lengths, frequencies, and BM25 over them."""
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as t
+from quarry.operators.ordering import prefix_ranges, ranked
 
 K1, B = 1.5, 0.75
 #: Stored tokens that one query term expands to at most, in ascending order, and results before a re-rank.
 EXPANSIONS, CANDIDATES = 64, 50
+#: Terms of fewer characters are not expanded; symbols that one block of postings spans; rows of a page of stored blocks.
+PREFIX, SPAN, PAGE_ROWS = 3, 8, 2000
+#: Postings of rare tokens that are read for a query before anything else, for each hit wanted.
+RARE_POSTINGS = 8
+#: Scores are rounded to so many digits; bounds that are nearer than that decide nothing.
+DIGITS, NEAR = 6, 2e-6
 
 
 def with_tokens(symbols: DataFrame) -> DataFrame:
@@ -35,17 +44,24 @@ def doc_len(symbols: DataFrame) -> DataFrame:
     return with_tokens(symbols).select(F.col("id").alias("symbol_id"), F.size("tokens").cast("long").alias("doc_len")).filter("doc_len > 0")
 
 
-def doc_freq(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("token").agg(F.countDistinct("symbol_id").alias("df"))
+def doc_freq(symbols: DataFrame) -> DataFrame:
+    """(token, df): each symbol counts a token once, before anything is shuffled."""
+    lists = t.token_lists(F.col("name"), F.col("qualname"), F.col("docstring"), F.col("snippet"))
+    return symbols.select(F.explode(F.array_distinct(F.concat(*lists.values()))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def rounded_tf(weight: Column) -> Column:
-    """Summed weights to the nearest whole, halves up, at least 1."""
-    return F.greatest(F.floor(weight + F.lit(0.5)), F.lit(1)).cast("long")
+def term_freq(symbols: DataFrame, *keep: str) -> DataFrame:
+    """(symbol_id, length, token, tf) and kept columns: summed weights to the nearest whole, halves up, at least 1.
 
-
-def term_freq(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("symbol_id", "token").agg(rounded_tf(F.sum("weight")).alias("tf"))
+    Counted inside each row, without a shuffle: every token stands in a sorted list as often as its weight has halves,
+    and runs of equal tokens are measured by where they start.
+    """
+    lists = t.token_lists(F.col("name"), F.col("qualname"), F.col("docstring"), F.col("snippet"))
+    copies = [tokens for field, tokens in lists.items() for _ in range(int(2 * t.WEIGHTS[field]))]
+    listed = symbols.select(F.col("id").alias("symbol_id"), *keep, sum(F.size(x) for x in lists.values()).alias("length"), F.sort_array(F.concat(*copies)).alias("s"))
+    starts = listed.filter("size(s) > 0").withColumn("at", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[i - 1])"))
+    runs = F.expr("transform(at, (p, k) -> named_struct('token', s[p], 'tf', greatest(bigint((coalesce(get(at, k + 1), size(s)) - p + 1) div 2), 1L)))")
+    return starts.select("symbol_id", *keep, "length", F.inline(runs))
 
 
 def score(tf: Column, df: Column, length: Column, n: Column, average: Column) -> Column:
@@ -55,89 +71,236 @@ def score(tf: Column, df: Column, length: Column, n: Column, average: Column) ->
     return F.when((n <= 0) | (average <= 0), F.lit(0.0)).otherwise(value)
 
 
-def expand(tokens: DataFrame, terms: list[str], limit: int = EXPANSIONS) -> DataFrame:
-    """Distinct tokens (token): the terms, and for those of three characters or more the stored tokens they begin.
+class Index(NamedTuple):
+    """A stored index: symbols in order of files, blocks of postings and tokens in order of tokens, and the corpus figures.
 
-    tokens has a column token; where it is stored in order, a prefix reads a range of it. Of each term the first
-    ``limit`` tokens are cut in every partition before they meet.
+    SPAN symbols that are neighbours have one block number (column block). A block (token, block, n, top_tf,
+    least_length, ids, tfs, lengths) holds a token's postings among them, so its score is at most that of its greatest
+    frequency and least length, and neighbours, which are of one file or folder, have tokens in common. tokens is
+    (token, rank, df, top_tf, least_length).
     """
-    out = tokens.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(terms)], "token string")
-    for term in dict.fromkeys(terms):
-        if len(term) >= 3:
-            out = out.union(tokens.filter(F.col("token").startswith(term)).select("token").distinct().orderBy("token").limit(limit))
-    return out.distinct()
-
-
-class Index(NamedTuple):
-    """A stored index: symbols with their lengths, postings and tokens in the order of tokens, and the corpus figures."""
 
     symbols: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
     tokens: DataFrame
     n: int
     average: float
 
+    @property
+    def postings(self) -> DataFrame:
+        """(token, symbol_id, tf, length)"""
+        return unpacked(self.blocks)
+
+
+def numbered(symbols: DataFrame) -> DataFrame:
+    """symbols in order of files, with the number of their block; to be written, as numbers follow partitions."""
+    by = ["file", "line_start", "id"]
+    place = F.monotonically_increasing_id()
+    block = F.shiftleft(F.spark_partition_id().cast("long"), 40) + F.floor(place.bitwiseAND((1 << 33) - 1) / SPAN)
+    return symbols.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("block", block)
+
+
+def blocks_of(counted: DataFrame) -> DataFrame:
+    """Blocks of counted postings (symbol_id, block, length, token, tf), in order of tokens, after one shuffle by ranges."""
+    placed = counted.repartitionByRange("token", "block")
+    held = F.sort_array(F.collect_list(F.struct(F.col("symbol_id").alias("id"), "tf", F.col("length").cast("long").alias("length"))))
+    packed = placed.groupBy("token", "block").agg(held.alias("held"), F.max("tf").alias("top_tf"), F.min("length").cast("long").alias("least_length"))
+    return packed.select("token", "block", F.size("held").cast("long").alias("n"), "top_tf", "least_length", F.col("held.id").alias("ids"), F.col("held.tf").alias("tfs"), F.col("held.length").alias("lengths")).sortWithinPartitions("token", "block")
+
+
+def unpacked(blocks: DataFrame, *keep: str) -> DataFrame:
+    items = F.inline(F.arrays_zip("ids", "tfs", "lengths")).alias("symbol_id", "tf", "length")
+    return blocks.select("token", *keep, items)
+
+
+def paged(df: DataFrame, folder: str) -> None:
+    """Write df in small pages, so that a filter on its order reads few rows."""
+    df.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(folder)
+
 
 def build(symbols: DataFrame, folder: str) -> Index:
-    """Write the index of symbols into folder, and load it.
+    """Write the index of symbols (distinct ids) into folder, and load it.
 
-    Postings (token, symbol_id, tf, length) are dealt out by ranges of (token, symbol_id), so a frequent token spreads
-    over several files, and lie in order, so a search reads only the files and row groups of its tokens.
+    A frequent token spreads over as many blocks as there are spans, and files lie in order, so a search reads only the
+    pages of its tokens.
     """
-    tokens = t.symbol_tokens(F.col("name"), F.col("qualname"), F.col("docstring"), F.col("snippet"))
-    held = symbols.select(F.col("id").alias("symbol_id"), tokens.alias("tokens")).select("symbol_id", F.size("tokens").alias("length"), F.inline("tokens"))
-    found = held.groupBy("symbol_id", "token").agg(rounded_tf(F.sum("weight")).alias("tf"), F.first("length").alias("length"))
-    found.repartitionByRange("token", "symbol_id").sortWithinPartitions("token", "symbol_id").write.mode("overwrite").parquet(f"{folder}/postings")
-    stored = symbols.sparkSession.read.parquet(f"{folder}/postings")
-    stored.groupBy("token").agg(F.count("*").alias("df")).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{folder}/tokens")
-    symbols.write.mode("overwrite").parquet(f"{folder}/symbols")
-    lengths = stored.groupBy("symbol_id").agg(F.first("length").alias("length")).agg(F.avg("length").alias("average"))
-    symbols.agg(F.count("*").alias("n")).join(lengths).select("n", F.coalesce("average", F.lit(0.0)).alias("average")).write.mode("overwrite").parquet(f"{folder}/figures")
-    return load(symbols.sparkSession, folder)
+    spark = symbols.sparkSession
+    paged(numbered(symbols), f"{folder}/symbols")
+    stored = spark.read.parquet(f"{folder}/symbols")
+    paged(blocks_of(term_freq(stored, "block")), f"{folder}/blocks")
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    totals = blocks.groupBy("token").agg(F.sum("n").alias("df"), F.max("top_tf").alias("top_tf"), F.min("least_length").alias("least_length"))
+    paged(ranked(totals, f"{folder}/ranks", "token"), f"{folder}/tokens")
+    corpus_stats(stored).select("n", F.col("avg_len").alias("average")).write.mode("overwrite").parquet(f"{folder}/figures")
+    return load(spark, folder)
 
 
 def load(spark: SparkSession, folder: str) -> Index:
     n, average = spark.read.parquet(f"{folder}/figures").select("n", "average").first()
-    return Index(*(spark.read.parquet(f"{folder}/{x}") for x in ("symbols", "postings", "tokens")), n, average)
+    return Index(*(spark.read.parquet(f"{folder}/{x}") for x in ("symbols", "blocks", "tokens")), n, average)
 
 
 def query_terms(spark: SparkSession, query: str) -> list[str]:
-    """The query is one string, tokenized by the same built-in functions as the symbols."""
-    return spark.range(1).select(t.tokenize_query(F.lit(query))).first()[0]
+    """The query is one string, tokenized by the same built-in functions as the symbols; no job is needed."""
+    return _local(spark, q=[query]).select(t.tokenize_query(F.col("q"))).collect()[0][0]
+
+
+def _local(spark: SparkSession, **columns: list) -> DataFrame:
+    """A few rows that the plan itself holds."""
+    return spark.createDataFrame(pa.table(columns))
+
+
+def _any(filters: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, filters, F.lit(False))
+
+
+def _within(column: str, low: str, high: str | None = None) -> Column:
+    return F.col(column).between(low, high or low)
+
+
+def expansions(tokens: DataFrame, terms: list[str], limit: int = EXPANSIONS, expanded: bool = True) -> DataFrame:
+    """(term, token, df): stored tokens that each term stands for, in one pass over the ranges that terms begin.
+
+    A term stands for itself and, from PREFIX characters on, for the first ``limit`` tokens that it begins, itself
+    included where it is stored. Every task keeps the first tokens of a term only.
+    """
+    grown = [x for x in dict.fromkeys(terms) if expanded and len(x) >= PREFIX]
+    wanted = _any([F.col("token").startswith(x) for x in grown] + [F.col("token") == x for x in dict.fromkeys(terms) if x not in grown])
+    begun = F.array(*[F.when(F.col("token").startswith(x), F.lit(x)) for x in grown], *[F.when(F.col("token") == x, F.lit(x)) for x in dict.fromkeys(terms) if x not in grown])
+    found = tokens.filter(wanted).select("token", "df", F.explode(F.array_compact(begun)).alias("term"))
+    place = F.row_number().over(Window.partitionBy("term").orderBy("token"))
+    return found.withColumn("place", place).filter(F.col("place") <= limit).select("term", "token", "df")
+
+
+def expand(tokens: DataFrame, terms: list[str], limit: int = EXPANSIONS) -> DataFrame:
+    """Distinct tokens (token): the terms themselves, stored or not, and their expansions."""
+    given = tokens.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(terms)], "token string")
+    return given.union(expansions(tokens, terms, limit).select("token")).distinct()
 
 
 def search(index: Index, query: str, top: int = 10, where: Column | None = None, expanded: bool = True) -> DataFrame:
     """BM25 hits (symbol columns, score and rank from 1 on), best first, ties by id; at most CANDIDATES.
 
-    Lengths, frequencies and the number of symbols are those of the whole corpus; ``where`` filters hits only. The
-    tokens of a query are at most EXPANSIONS + 1 for each term, and only their postings are read. Without an index for
-    it, see build().
+    Lengths, frequencies and the number of symbols are those of the whole corpus; ``where`` filters hits only. A term's
+    tokens lie side by side, so a query reads one range of blocks for each of its terms, then the rows of its hits.
+    Without an index for it, see build(); for many queries at once, search_many().
     """
     spark = index.symbols.sparkSession
     top = min(top if top > 0 else 10, CANDIDATES)
+    none = index.symbols.drop("block").limit(0).withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
     terms = query_terms(spark, query)
     if not terms:
-        return index.symbols.limit(0).withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
-    wanted = expand(index.tokens, terms) if expanded else spark.createDataFrame([(x,) for x in terms], "token string")
-    known = [tuple(r) for r in index.tokens.join(F.broadcast(wanted), "token").select("token", "df").collect()]
-    freq = spark.createDataFrame(known, "token string, df long")
-    hits = index.postings.filter(F.col("token").isin([x for x, _ in known])).join(F.broadcast(freq), "token")
+        return none
+    spans: dict[str, list[str]] = {}
+    known: dict[str, int] = {}
+    for term, token, df in sorted(map(tuple, expansions(index.tokens, terms, expanded=expanded).collect())):
+        spans.setdefault(term, []).append(token)
+        known[token] = df
+    if not known:
+        return none
+    read = index.blocks.filter(_any([_within("token", x[0], x[-1]) for x in spans.values()]))
+    freq = _local(spark, token=list(known), df=list(known.values()))
+    hits = unpacked(read.join(F.broadcast(freq), "token"), "df", "block")
     part = score(F.col("tf"), F.col("df"), F.col("length"), F.lit(index.n), F.lit(index.average))
-    ranked = hits.groupBy("symbol_id").agg(F.round(F.sum(part), 6).alias("score"))
-    order = [F.desc("score"), "id"]
-    if where is None:
-        best = ranked.select(F.col("symbol_id").alias("id"), "score").orderBy(*order).limit(top)
-        found = index.symbols.join(F.broadcast(best), "id")
-    else:
-        found = index.symbols.filter(where).join(ranked.withColumnRenamed("symbol_id", "id"), "id").orderBy(*order).limit(top)
-    # At most CANDIDATES rows are numbered.
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy("rank")
+    scored = hits.groupBy("block", F.col("symbol_id").alias("id")).agg(F.round(F.sum(part), DIGITS).alias("score"))
+    if where is not None:
+        scored = scored.join(index.symbols.filter(where).select("block", "id"), ["block", "id"], "left_semi")
+    order = [F.desc("score"), F.asc("id")]
+    best = scored.orderBy(*order).limit(top).collect()
+    if not best:
+        return none
+    ids = [r["id"] for r in best]
+    placed = _local(spark, id=ids, score=[r["score"] for r in best], rank=pa.array(range(1, len(ids) + 1), pa.int32()))
+    rows = index.symbols.filter(_any([F.col("block") == b for b in {r["block"] for r in best}])).drop("block")
+    return rows.join(F.broadcast(placed), "id").orderBy("rank")
+
+
+def query_tokens(index: Index, queries: DataFrame, folder: str, expanded: bool = True) -> DataFrame:
+    """(query_id, token, df): the stored tokens of each query (query_id, text).
+
+    Prefixes are ranges of ranks, so no term needs a pass of its own.
+    """
+    terms = queries.select("query_id", F.explode(F.array_distinct(t.tokenize_query(F.col("text")))).alias("term"))
+    own = terms.select("query_id", F.col("term").alias("token"))
+    if expanded:
+        grown = prefix_tokens(index.tokens, terms.select("term").distinct(), folder)
+        own = own.unionByName(terms.join(grown, "term").select("query_id", "token")).distinct()
+    return own.join(index.tokens.select("token", "df"), "token").select("query_id", "token", "df")
+
+
+def prefix_tokens(tokens: DataFrame, terms: DataFrame, folder: str, limit: int = EXPANSIONS) -> DataFrame:
+    """(term, token): the first ``limit`` of the tokens (token, rank) that each distinct term of PREFIX characters begins."""
+    spans = prefix_ranges(tokens, terms.filter(F.length("term") >= PREFIX), f"{folder}/prefixes")
+    ranks = spans.select("term", F.explode(F.expr(f"sequence(low, least(high, low + {limit}) - 1)")).alias("rank"))
+    return ranks.join(tokens.select("rank", "token"), "rank").select("term", "token")
+
+
+class Hits(NamedTuple):
+    """(query_id, id, score, rank) and one row of figures (blocks, read): blocks of the queries' tokens, and those read."""
+
+    rows: DataFrame
+    figures: DataFrame
+
+
+def search_many(index: Index, queries: DataFrame, folder: str, top: int = CANDIDATES, expanded: bool = True) -> Hits:
+    """The best ``top`` symbols of every query (query_id, text), as search() finds them; folder takes tables in between.
+
+    1. A query's rarest tokens, of RARE_POSTINGS postings for each hit wanted, score all symbols that hold them. The best
+       of these, twice as many as hits wanted, are scored in full: what cannot reach the last hit among them is none.
+    2. A span of symbols can reach the best that its rare tokens gave and the bounds of the blocks that frequent tokens
+       have there; these bounds are read without postings.
+    3. Blocks of frequent tokens are read in spans that can reach the last hit, and nowhere else.
+
+    Only the best ``top`` symbols of a query leave a task. Blocks of a hub token are spread over its spans.
+    """
+    spark = index.symbols.sparkSession
+    keep = lambda df, name: (df.write.mode("overwrite").parquet(f"{folder}/{name}"), spark.read.parquet(f"{folder}/{name}"))[1]
+    by_query, span = Window.partitionBy("query_id"), ["query_id", "block"]
+    n, average = F.lit(index.n), F.lit(index.average)
+    wanted = query_tokens(index, queries, folder, expanded)
+    before = F.coalesce(F.sum("df").over(by_query.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = keep(wanted.withColumn("rare", before < RARE_POSTINGS * top), "wanted")
+    tokens = wanted.filter("rare").select("query_id", "token", "df")
+
+    def scored(met: DataFrame) -> DataFrame:
+        """(query_id, block, id, part): sums over blocks (query_id, df, block, ids, tfs, lengths)."""
+        items = F.inline(F.arrays_zip("ids", "tfs", "lengths")).alias("id", "tf", "length")
+        parts = met.select(*span, "df", items).select(*span, "id", score(F.col("tf"), F.col("df"), F.col("length"), n, average).alias("part"))
+        return parts.groupBy(*span, "id").agg(F.sum("part").alias("part"))
+
+    def best(rows: DataFrame, by: str, k: int) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc(by), "id"))).filter(F.col("rank") <= k)
+
+    def summed(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.unionByName(b).groupBy(*span, "id").agg(F.sum("part").alias("part"))
+
+    rare = keep(scored(tokens.join(index.blocks, "token")), "rare")
+    often = keep(wanted.filter("not rare").select("query_id", "token", "df").join(index.blocks.select("token", "block", "top_tf", "least_length"), "token"), "often")
+    leaders = keep(best(rare, "part", 2 * top).drop("rank"), "leaders")
+    led = often.join(leaders.select(*span).distinct(), span, "left_semi").select("query_id", "token", "df", "block")
+    full = summed(leaders, scored(led.join(index.blocks, ["token", "block"])).join(leaders.select(*span, "id"), [*span, "id"], "left_semi"))
+    bar = best(full, "part", top).groupBy("query_id").agg(F.when(F.count("*") >= top, F.min("part") - NEAR).otherwise(0.0).alias("bar"))
+    bound = score(F.col("top_tf"), F.col("df"), F.col("least_length"), n, average)
+    reach = often.select(*span, bound.alias("more"), F.lit(0.0).alias("most")).unionByName(rare.select(*span, F.lit(0.0).alias("more"), F.col("part").alias("most")))
+    reach = reach.groupBy(*span).agg((F.sum("more") + F.max("most")).alias("reach")).join(bar, "query_id").filter("reach >= bar").select(*span)
+    needed = keep(often.join(reach, span, "left_semi").select("query_id", "token", "df", "block"), "needed")
+    total = summed(rare, scored(needed.join(index.blocks, ["token", "block"]))).withColumn("score", F.round("part", DIGITS))
+    rows = keep(best(total, "score", top).select("query_id", "id", "score", "rank"), "hits")
+    first = tokens.join(index.blocks.select("token", "block"), "token").agg(F.count("*").alias("first"))
+    later = led.select("query_id", "token", "block").unionByName(needed.select("query_id", "token", "block")).distinct().agg(F.count("*").alias("later"))
+    held = often.agg(F.count("*").alias("held"))
+    figures = first.join(later).join(held).select((F.col("first") + F.col("held")).alias("blocks"), (F.col("first") + F.col("later")).alias("read"))
+    return Hits(rows, figures)
 
 
 def hydrated(hits: DataFrame, files: DataFrame) -> DataFrame:
-    """hits with the time at which their file (path, indexed_at) was indexed, null for files that are not known."""
-    at = files.select(F.col("path").alias("file"), "indexed_at")
-    return at.join(F.broadcast(hits), "file", "right").orderBy("rank")
+    """hits with the time at which their file (path, indexed_at) was indexed, null for files that are not known.
+
+    At most CANDIDATES hits; where files are stored in order of path, only the pages of their paths are read.
+    """
+    paths = [r[0] for r in hits.select("file").distinct().collect()]
+    at = files.filter(_any([F.col("path") == p for p in paths])).select(F.col("path").alias("file"), "indexed_at")
+    return hits.join(F.broadcast(at), "file", "left").orderBy("rank")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -76,16 +76,38 @@ def _search_sql(*args, **options) -> str:
 
 
 HIT = ["id", "name", "qualname", "kind", "scope", "file", "line_start", "line_end", "snippet", "score", "rank", "indexed_at"]
-#: Folders of the indexes that this process has built, by session and tables.
+#: What this process has built, by session, tables and kind, with the state of the tables' files at that time.
 _BUILT: dict = {}
 
 
+def _stamp(spark, sf, *names: str) -> tuple:
+    """Names, sizes and times of the files of tables."""
+    files = spark.read.format("binaryFile").load([f"{sf}/{name}.parquet" for name in names]).select("path", "length", F.unix_micros("modificationTime"))
+    return tuple(sorted(map(tuple, files.collect())))
+
+
+def _built(spark, sf, kind: str, names: tuple[str, ...], build):
+    """What build(folder) gives, built when a session first asks for it and again when a file of its tables changes."""
+    key, stamp = (spark.sparkContext.applicationId, sf, kind), _stamp(spark, sf, *names)
+    if _BUILT.get(key, (None,))[0] != stamp:
+        _BUILT[key] = stamp, build(f"{_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _BUILT[key][1]
+
+
+def _stored(spark, sf):
+    """The stored index of the documents, and (path, indexed_at) of their files in order of path."""
+
+    def build(folder):
+        d = A.table(spark, sf, "documents").filter("doc_id % 9 <> 0")
+        at = A.files_of(d).select("path", t.timestamp_text(F.timestamp_seconds(F.col("id") + 1_700_000_000)).alias("indexed_at"))
+        at.repartitionByRange("path").sortWithinPartitions("path").write.option("parquet.page.row.count.limit", index.PAGE_ROWS).parquet(f"{folder}/files")
+        return index.build(A.documents_as_symbols(spark, sf), f"{folder}/index"), spark.read.parquet(f"{folder}/files")
+
+    return _built(spark, sf, "index", ("documents",), build)
+
+
 def _index(spark, sf) -> index.Index:
-    """The stored index of the documents, built when a session first asks for it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _BUILT:
-        _BUILT[key] = index.build(A.documents_as_symbols(spark, sf), f"{_folder(spark)}/index-{uuid.uuid4().hex}")
-    return _BUILT[key]
+    return _stored(spark, sf)[0]
 
 
 def _folder(spark) -> str:
@@ -98,13 +120,9 @@ def _folder(spark) -> str:
     return folder.rstrip("/")
 
 
-def _files_indexed(spark, sf):
-    d = A.table(spark, sf, "documents").filter("doc_id % 9 <> 0")
-    return A.files_of(d).select("path", t.timestamp_text(F.timestamp_seconds(F.col("id") + 1_700_000_000)).alias("indexed_at"))
-
-
 def _hits(spark, sf, query: str, *args, **options):
-    return index.hydrated(index.search(_index(spark, sf), query, *args, **options), _files_indexed(spark, sf)).select(*HIT)
+    stored, files = _stored(spark, sf)
+    return index.hydrated(index.search(stored, query, *args, **options), files).select(*HIT)
 
 
 @register("search_bm25", _search_sql(["the", "erinan", "tion"]))
@@ -123,9 +141,39 @@ def bm25_candidates(spark, sf):
     return _hits(spark, sf, "that this", index.CANDIDATES, expanded=False)
 
 
+#: The first sentence of each document as a query, the tokens of all of them, and their best hits.
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(x, '[^\p{L}\p{Nd}_]+'), lambda y: y <> ''))"
+_ASKED = (
+    f"WITH {_TOKENS}, {_STATS}, asked AS (SELECT doc_id AS query_id, regexp_extract(text, '^[^.!?]*') AS x FROM documents), words AS (SELECT query_id, unnest({_WORDS}) AS w FROM asked), "
+    f"terms AS (SELECT DISTINCT query_id, unnest({_sql(_SPLIT, 'w')}) AS term FROM words), stored AS (SELECT token, count(DISTINCT symbol_id) AS df FROM tokens GROUP BY 1), "
+    "grown AS (SELECT term, token FROM (SELECT term, token, row_number() OVER (PARTITION BY term ORDER BY token) AS r FROM stored JOIN (SELECT DISTINCT term FROM terms WHERE length(term) >= 3) ON left(token, 3) = left(term, 3) AND starts_with(token, term)) WHERE r <= 64), "
+    "wanted AS (SELECT query_id, term AS token FROM terms UNION SELECT query_id, token FROM terms JOIN grown USING (term)), "
+    "tf AS (SELECT symbol_id, token, greatest(floor(sum(weight) + 0.5::DOUBLE), 1) AS tf FROM tokens GROUP BY 1, 2)"
+)
+
+
+def _asked(spark, sf):
+    """Hits of the first sentence of every document, and the blocks that were read for them."""
+
+    def build(folder):
+        asked = A.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.regexp_extract("text", "^[^.!?]*", 0).alias("text"))
+        return index.search_many(_index(spark, sf), asked, folder, 10)
+
+    return _built(spark, sf, "asked", ("documents",), build)
+
+
+@register(
+    "search_many",
+    f"{_ASKED}, scored AS (SELECT query_id, symbol_id AS id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))), 6) AS score "
+    "FROM wanted JOIN tf USING (token) JOIN stored USING (token) JOIN lens USING (symbol_id) CROSS JOIN stats GROUP BY 1, 2) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10",
+)
+def search_many(spark, sf):
+    return _asked(spark, sf).rows.select("query_id", "id", "score", "rank")
+
+
 @register("stored_postings", f"WITH {_TOKENS}, {_STATS} SELECT t.symbol_id, token, greatest(floor(sum(weight) + 0.5::DOUBLE), 1)::BIGINT AS tf, any_value(doc_len)::BIGINT AS length FROM tokens t JOIN lens USING (symbol_id) GROUP BY 1, 2")
 def stored_postings(spark, sf):
-    return _index(spark, sf).postings.select("symbol_id", "token", "tf", F.col("length").cast("long").alias("length"))
+    return _index(spark, sf).postings.select("symbol_id", "token", "tf", "length")
 
 
 @register("prefix_expand", f"WITH {_TOKENS}, given(term) AS (VALUES ('the'), ('an'), ('tion')) SELECT token FROM (SELECT term AS token FROM given UNION SELECT token FROM (SELECT term, token, row_number() OVER (PARTITION BY term ORDER BY token) AS r FROM (SELECT DISTINCT token FROM tokens) JOIN given ON length(term) >= 3 AND starts_with(token, term)) WHERE r <= 64)")
@@ -133,6 +181,16 @@ def prefix_expand(spark, sf):
     return index.expand(_index(spark, sf).tokens, ["the", "an", "tion"])
 
 
+@register(
+    "prefix_expand_all",
+    f"WITH {_TOKENS}, stored AS (SELECT DISTINCT token FROM tokens) SELECT term, token FROM (SELECT x.token AS term, y.token, row_number() OVER (PARTITION BY x.token ORDER BY y.token) AS r FROM stored x JOIN stored y ON length(x.token) >= 3 AND left(x.token, 3) = left(y.token, 3) AND starts_with(y.token, x.token)) WHERE r <= 64",
+)
+def prefix_expand_all(spark, sf):
+    """Every stored token of three letters or more as a prefix of all."""
+    tokens = _index(spark, sf).tokens
+    return index.prefix_tokens(tokens, tokens.select(F.col("token").alias("term")), f"{_folder(spark)}/prefixes-{uuid.uuid4().hex}").select("term", "token")
+
+
 @register("tokenize_symbols", f"WITH {_TOKENS} SELECT symbol_id, token, field, weight, count(*) AS times FROM tokens GROUP BY ALL")
 def tokenize_symbols(spark, sf):
     return index.postings(A.documents_as_symbols(spark, sf)).groupBy("symbol_id", "token", "field", "weight").agg(F.count("*").alias("times"))
@@ -140,12 +198,12 @@ def tokenize_symbols(spark, sf):
 
 @register("term_freq", f"WITH {_TOKENS} SELECT symbol_id, token, greatest(floor(sum(weight) + 0.5::DOUBLE), 1)::BIGINT AS tf FROM tokens GROUP BY 1, 2")
 def term_freq(spark, sf):
-    return index.term_freq(index.postings(A.documents_as_symbols(spark, sf)))
+    return index.term_freq(A.documents_as_symbols(spark, sf)).select("symbol_id", "token", "tf")
 
 
 @register("doc_freq", f"WITH {_TOKENS} SELECT token, count(DISTINCT symbol_id) AS df FROM tokens GROUP BY 1")
 def doc_freq(spark, sf):
-    return index.doc_freq(index.postings(A.documents_as_symbols(spark, sf)))
+    return index.doc_freq(A.documents_as_symbols(spark, sf))
 
 
 @register("doc_len", f"WITH {_TOKENS} SELECT symbol_id, count(*) AS doc_len FROM tokens GROUP BY 1")
