@@ -44,10 +44,10 @@ def doc_len(symbols: DataFrame) -> DataFrame:
     return with_tokens(symbols).select(F.col("id").alias("symbol_id"), F.size("tokens").cast("long").alias("doc_len")).filter("doc_len > 0")
 
 
-def doc_freq(symbols: DataFrame) -> DataFrame:
-    """(token, df): each symbol counts a token once, before anything is shuffled."""
+def doc_freq(symbols: DataFrame, *by: str) -> DataFrame:
+    """(token, df) for each value of ``by``: each symbol counts a token once, before anything is shuffled."""
     lists = t.token_lists(F.col("name"), F.col("qualname"), F.col("docstring"), F.col("snippet"))
-    return symbols.select(F.explode(F.array_distinct(F.concat(*lists.values()))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return symbols.select(*by, F.explode(F.array_distinct(F.concat(*lists.values()))).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("df"))
 
 
 def term_freq(symbols: DataFrame, *keep: str) -> DataFrame:
@@ -77,7 +77,7 @@ class Index(NamedTuple):
     SPAN symbols that are neighbours have one block number (column block). A block (token, block, n, top_tf,
     least_length, ids, tfs, lengths) holds a token's postings among them, so its score is at most that of its greatest
     frequency and least length, and neighbours, which are of one file or folder, have tokens in common. tokens is
-    (token, rank, df, top_tf, least_length).
+    (token, rank, df, top_tf, least_length). Postings of dead (block, id), if given, do not count.
     """
 
     symbols: DataFrame
@@ -85,18 +85,23 @@ class Index(NamedTuple):
     tokens: DataFrame
     n: int
     average: float
+    dead: DataFrame | None = None
 
     @property
     def postings(self) -> DataFrame:
         """(token, symbol_id, tf, length)"""
-        return unpacked(self.blocks)
+        return self.alive(unpacked(self.blocks, "block")).drop("block")
+
+    def alive(self, rows: DataFrame, id_: str = "symbol_id") -> DataFrame:
+        """rows (block, id ...) without those of dead symbols."""
+        return rows if self.dead is None else rows.join(self.dead.withColumnRenamed("id", id_), ["block", id_], "left_anti")
 
 
 def numbered(symbols: DataFrame) -> DataFrame:
     """symbols in order of files, with the number of their block; to be written, as numbers follow partitions."""
     by = ["file", "line_start", "id"]
     place = F.monotonically_increasing_id()
-    block = F.shiftleft(F.spark_partition_id().cast("long"), 40) + F.floor(place.bitwiseAND((1 << 33) - 1) / SPAN)
+    block = F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.floor(place.bitwiseAND((1 << 33) - 1) / SPAN)
     return symbols.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("block", block)
 
 
@@ -200,7 +205,7 @@ def search(index: Index, query: str, top: int = 10, where: Column | None = None,
         return none
     read = index.blocks.filter(_any([_within("token", x[0], x[-1]) for x in spans.values()]))
     freq = _local(spark, token=list(known), df=list(known.values()))
-    hits = unpacked(read.join(F.broadcast(freq), "token"), "df", "block")
+    hits = index.alive(unpacked(read.join(F.broadcast(freq), "token"), "df", "block"))
     part = score(F.col("tf"), F.col("df"), F.col("length"), F.lit(index.n), F.lit(index.average))
     scored = hits.groupBy("block", F.col("symbol_id").alias("id")).agg(F.round(F.sum(part), DIGITS).alias("score"))
     if where is not None:
@@ -223,7 +228,8 @@ def query_tokens(index: Index, queries: DataFrame, folder: str, expanded: bool =
     terms = queries.select("query_id", F.explode(F.array_distinct(t.tokenize_query(F.col("text")))).alias("term"))
     own = terms.select("query_id", F.col("term").alias("token"))
     if expanded:
-        grown = prefix_tokens(index.tokens, terms.select("term").distinct(), folder)
+        stored = index.tokens if "rank" in index.tokens.columns else ranked(index.tokens, f"{folder}/ranks", "token")
+        grown = prefix_tokens(stored, terms.select("term").distinct(), folder)
         own = own.unionByName(terms.join(grown, "term").select("query_id", "token")).distinct()
     return own.join(index.tokens.select("token", "df"), "token").select("query_id", "token", "df")
 
@@ -265,7 +271,7 @@ def search_many(index: Index, queries: DataFrame, folder: str, top: int = CANDID
     def scored(met: DataFrame) -> DataFrame:
         """(query_id, block, id, part): sums over blocks (query_id, df, block, ids, tfs, lengths)."""
         items = F.inline(F.arrays_zip("ids", "tfs", "lengths")).alias("id", "tf", "length")
-        parts = met.select(*span, "df", items).select(*span, "id", score(F.col("tf"), F.col("df"), F.col("length"), n, average).alias("part"))
+        parts = index.alive(met.select(*span, "df", items), "id").select(*span, "id", score(F.col("tf"), F.col("df"), F.col("length"), n, average).alias("part"))
         return parts.groupBy(*span, "id").agg(F.sum("part").alias("part"))
 
     def best(rows: DataFrame, by: str, k: int) -> DataFrame:

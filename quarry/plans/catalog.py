@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as t
-from quarry.operators import graph, index, meta, report, snapshot
+from quarry.operators import graph, index, meta, report, segments, snapshot
 from quarry.plans import adapters as A
 from quarry.sources import files as S
 from quarry.sources import parsers as P
@@ -460,6 +460,117 @@ def reindex(spark, sf):
     return _as_parsed(_snaps(spark, sf)[1])
 
 
+def _versions(spark, sf):
+    """The documents with the next two of their source and language, by version: as given, and edited."""
+    by = Window.partitionBy("source", "lang").orderBy("doc_id")
+    d = A.table(spark, sf, "documents").withColumns({"next": F.lead("doc_id").over(by), "other": F.lead("doc_id", 2).over(by)})
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    return d.filter("doc_id % 7 <> 0"), d.filter("doc_id % 5 <> 0").withColumn("text", text)
+
+
+def _links(d):
+    """Three edges of each document: to the next by its bare name, to the one after by its full name, and to an external."""
+    parent, q = F.concat("source", F.lit("."), "lang"), F.concat("source", F.lit("."), "lang", F.lit(".doc"), F.col("doc_id").cast("string"))
+    made = F.array(
+        F.struct(F.concat(F.lit("doc"), F.col("next").cast("string")).alias("to_qualname"), F.lit("call").alias("kind")),
+        F.struct(F.concat(parent, F.lit(".doc"), F.col("other").cast("string")).alias("to_qualname"), F.lit("reference").alias("kind")),
+        F.struct(F.concat(F.lit("ext."), "source").alias("to_qualname"), F.lit("import").alias("kind")),
+    )
+    return d.select(q.alias("from_qualname"), "path", F.explode(made).alias("e")).select("from_qualname", "e.*", F.col("path").alias("file")).filter("to_qualname is not null")
+
+
+def _runs(spark, sf):
+    """The store after six runs, the last of which leaves the edited documents, and the figures of each run."""
+
+    def build(folder):
+        store = segments.Store(spark, folder)
+        given, edited = _versions(spark, sf)
+        figures = []
+        steps = (("first", given, False), ("second", edited, False), ("same", edited, False), ("force", edited, True), ("fewer", edited.filter("doc_id % 13 <> 0"), False), ("anew", edited, True))
+        for name, docs, force in steps:
+            listing = A.files_of(docs).select("path", "sha1", "language", "size_bytes")
+            contents = docs.join(A.files_of(docs).select(F.col("id").alias("doc_id"), "path"), "doc_id")
+            read = lambda paths, contents=contents: contents.join(paths, "path", "left_semi")
+            parse = lambda rows: (A.spark_symbols(rows), _links(rows), None)
+            figures.append({"run": name, **segments.run(store, listing, read, parse, f"2031-01-0{len(figures) + 1}T00:00:00Z", force)})
+        return store, figures
+
+    return _built(spark, sf, "runs", ("documents",), build)
+
+
+_VERSIONS = (
+    "versions AS (SELECT *, lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS next, lead(doc_id, 2) OVER (PARTITION BY source, lang ORDER BY doc_id) AS other FROM documents), "
+    "edited AS (SELECT doc_id, source, lang, next, other, CASE WHEN doc_id % 3 = 0 THEN text || ' edited' ELSE text END AS text FROM versions WHERE doc_id % 5 <> 0)"
+)
+
+
+def _on_edited(sql: str) -> str:
+    return sql.replace("FROM documents", "FROM edited").replace("WITH ", f"WITH {_VERSIONS}, ", 1)
+
+
+@register("segment_symbols", _on_edited(f"WITH {A.DOC_SYMBOLS} SELECT id, name, qualname, kind, scope, file, line_start, line_end, parent_qualname, md5(snippet) AS snippet FROM symbols"))
+def segment_symbols(spark, sf):
+    store, _ = _runs(spark, sf)
+    return store.of_files("symbols", store.manifest()).select("id", "name", "qualname", "kind", "scope", "file", "line_start", "line_end", "parent_qualname", F.md5("snippet").alias("snippet"))
+
+
+@register("segment_files", _on_edited(f"WITH {A.FILES} SELECT path, sha1, language, size_bytes, '2031-01-06T00:00:00Z' AS indexed_at FROM files"))
+def segment_files(spark, sf):
+    store, _ = _runs(spark, sf)
+    return store.files(store.manifest()).select("path", "sha1", "language", "size_bytes", "indexed_at")
+
+
+@register("segment_postings", _on_edited(f"WITH {_TOKENS}, {_STATS} SELECT t.symbol_id, token, greatest(floor(sum(weight) + 0.5::DOUBLE), 1)::BIGINT AS tf, any_value(doc_len)::BIGINT AS length FROM tokens t JOIN lens USING (symbol_id) GROUP BY 1, 2"))
+def segment_postings(spark, sf):
+    store, _ = _runs(spark, sf)
+    return store.index(store.manifest()).postings.select("symbol_id", "token", "tf", "length")
+
+
+@register("segment_tokens", _on_edited(f"WITH {_TOKENS} SELECT token, count(DISTINCT symbol_id) AS df FROM tokens GROUP BY 1"))
+def segment_tokens(spark, sf):
+    store, _ = _runs(spark, sf)
+    return store.tokens(store.manifest()).select("token", "df")
+
+
+_LINKS = (
+    "edges AS (SELECT q AS from_qualname, unnest([{'t': 'doc' || next, 'k': 'call'}, {'t': source || '.' || lang || '.doc' || other, 'k': 'reference'}, {'t': 'ext.' || source, 'k': 'import'}]) AS e FROM (SELECT *, source || '.' || lang || '.doc' || doc_id AS q FROM documents)), "
+    "named AS (SELECT from_qualname, e.t AS to_qualname, e.k AS kind FROM edges WHERE e.t IS NOT NULL)"
+)
+
+
+@register(
+    "segment_edges",
+    _on_edited(f"WITH {A.DOC_SYMBOLS}, {_LINKS}, {A.RESOLVED.replace('FROM edges e', 'FROM named e')} SELECT from_qualname, to_qualname, kind, resolved FROM resolved"),
+)
+def segment_edges(spark, sf):
+    """Edges resolved by what changed in each run, against all of them resolved at once."""
+    store, _ = _runs(spark, sf)
+    return store.edges(store.manifest()).select("from_qualname", "to_qualname", "kind", "resolved")
+
+
+@register("segment_search", _on_edited(_ranked_sql(["the", "erinan", "tion"]).replace(_INDEXED, "x AS (SELECT 1)") + " SELECT id, qualname, score, rank FROM hits"))
+def segment_search(spark, sf):
+    store, _ = _runs(spark, sf)
+    return index.search(store.index(store.manifest()), "the erinan tion").select("id", "qualname", "score", "rank")
+
+
+@register(
+    "segment_runs",
+    f"WITH {_VERSIONS}, {_LINKS.replace('FROM documents', 'FROM versions')}, "
+    "a AS (SELECT count(*) AS n FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 3 = 0 OR doc_id % 7 = 0) AS touched, count(*) FILTER (doc_id % 13 = 0) AS cut FROM edited), "
+    "x AS (SELECT doc_id, 1 + (next IS NOT NULL)::INTEGER + (other IS NOT NULL)::INTEGER AS e FROM versions), gone AS (SELECT count(*) AS n FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0), "
+    "ea AS (SELECT sum(e)::BIGINT AS e FROM x WHERE doc_id % 7 <> 0), eb AS (SELECT sum(e)::BIGINT AS e, (sum(e) FILTER (doc_id % 3 = 0 OR doc_id % 7 = 0))::BIGINT AS touched FROM x WHERE doc_id % 5 <> 0) "
+    "SELECT 'first' AS run, a.n AS parsed, 0 AS skipped, 0 AS removed, a.n AS symbols, ea.e AS edges, a.n AS total_symbols, a.n AS total_files FROM a, ea "
+    "UNION ALL SELECT 'second', b.touched, 0, gone.n, b.touched, eb.touched, b.n, b.n FROM b, eb, gone UNION ALL SELECT 'same', 0, b.n, 0, 0, 0, b.n, b.n FROM b "
+    "UNION ALL SELECT 'force', b.n, 0, 0, b.n, eb.e, b.n, b.n FROM b, eb UNION ALL SELECT 'fewer', 0, 0, b.cut, 0, 0, b.n - b.cut, b.n - b.cut FROM b UNION ALL SELECT 'anew', b.n, 0, 0, b.n, eb.e, b.n, b.n FROM b, eb",
+)
+def segment_runs(spark, sf):
+    """Files parsed, skipped and removed, and new and total rows, of each run."""
+    _, figures = _runs(spark, sf)
+    names = ["parsed", "skipped", "removed", "symbols", "edges", "total_symbols", "total_files"]
+    return spark.createDataFrame([(f["run"], *[int(f[k]) for k in names]) for f in figures], "run string, " + ", ".join(f"{k} long" for k in names))
+
+
 @register("delete_cascade", f"WITH {A.PLACES} SELECT {_SYMBOL} FROM symbols WHERE file NOT IN (SELECT r_name FROM region)")
 def delete_cascade(spark, sf):
     return snapshot.delete_files(A.places_as_symbols(spark, sf), A.table(spark, sf, "region").select(F.col("r_name").alias("path")))
