@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.joins import split_join
+from quarry.operators.ranges import containing
+
 
 def first_symbol(symbols: DataFrame) -> DataFrame:
     """The symbol that a qualname stands for: its first by file, line and id."""
@@ -17,7 +20,7 @@ def first_symbol(symbols: DataFrame) -> DataFrame:
 def resolve_exact(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """edges with ``resolved`` set where the target is a known qualname."""
     known = symbols.select(F.col("qualname").alias("to_qualname")).distinct().withColumn("known", F.lit(True))
-    out = edges.join(known, "to_qualname", "left").withColumn("resolved", F.coalesce("known", F.lit(False)))
+    out = split_join(edges.drop("resolved"), known, "to_qualname", True).withColumn("resolved", F.coalesce("known", F.lit(False)))
     return out.select(*edges.columns, *([] if "resolved" in edges.columns else ["resolved"]))
 
 
@@ -32,7 +35,8 @@ def resolve(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     known = symbols.select("qualname").distinct()
     exact = known.select(F.col("qualname").alias("to_qualname"), F.lit(True).alias("exact"))
     near = known.select(F.col("qualname").alias("candidate"), F.lit(True).alias("near"))
-    out = edges.join(exact, "to_qualname", "left").withColumn("candidate", F.when(F.col("exact").isNull(), short_target(F.col("from_qualname"), F.col("to_qualname")))).join(near, "candidate", "left")
+    tried = split_join(edges, exact, "to_qualname", True).withColumn("candidate", F.when(F.col("exact").isNull(), short_target(F.col("from_qualname"), F.col("to_qualname"))))
+    out = split_join(tried, near, "candidate", True)
     return out.select(
         "from_qualname",
         F.when(F.col("near"), F.col("candidate")).otherwise(F.col("to_qualname")).alias("to_qualname"),
@@ -52,7 +56,7 @@ def with_ends(edges: DataFrame, symbols: DataFrame) -> DataFrame:
         own = ends.select(F.col("qualname").alias(name), F.struct("file", "line_start", "line_end").alias("e"))
         lines = [F.coalesce(F.col(f"e.{c}"), F.lit(0)).alias(c) for c in ("line_start", "line_end")]
         view = F.struct(F.col(name).alias("qualname"), F.coalesce("e.file", F.lit("")).alias("file"), *lines)
-        out = out.join(own, name, "left").withColumn(end, view).drop("e")
+        out = split_join(out, own, name, True).withColumn(end, view).drop("e")
     return out
 
 
@@ -123,8 +127,11 @@ def by_file(symbols: DataFrame, file: str) -> DataFrame:
 
 
 def narrowest(symbols: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each target (file, line) the symbol with the narrowest range around the line, the first on ties."""
-    around = symbols.join(targets, "file").filter(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    """For each target (file, line) the symbol with the narrowest range around the line, the first on ties.
+
+    Equal targets are looked up once; the narrowest is found in every task before rows move.
+    """
+    around = containing(targets.select("file", "line").distinct(), symbols, "file", "line", "line_start", "line_end")
     best = F.min_by(F.struct(*symbols.columns), F.struct(F.col("line_end") - F.col("line_start"), "line_start", "id"))
     return around.groupBy("file", "line").agg(best.alias("s")).select("line", *[F.col(f"s.{c}") for c in symbols.columns])
 

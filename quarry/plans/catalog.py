@@ -354,6 +354,24 @@ _symbols(
     lambda s: graph.narrowest(s, s.groupBy("file").agg(F.max(F.col("line_start") + 3).alias("line"))).select(*SYMBOL, "line"),
     f"SELECT {_SYMBOL}, line FROM (SELECT symbols.*, line, row_number() OVER (PARTITION BY file ORDER BY line_end - line_start, line_start, id) AS r FROM symbols JOIN (SELECT file, max(line_start + 3) AS line FROM symbols GROUP BY 1) USING (file) WHERE line BETWEEN line_start AND line_end) WHERE r = 1",
 )
+#: Lines of files as lineitem asks for them; every second one is in one file.
+_LINES = "lines AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN 'Brand#1' ELSE 'Brand#' || (l_partkey % 25) END AS file, ((l_orderkey + l_suppkey) % 920)::INTEGER AS line FROM lineitem)"
+
+
+@register(
+    "show_lines",
+    f"WITH {A.PLACES}, {_LINES}, around AS (SELECT file, line, id, qualname, row_number() OVER (PARTITION BY file, line ORDER BY line_end - line_start, line_start, id) AS r FROM (SELECT DISTINCT file, line FROM lines) JOIN symbols USING (file) WHERE line BETWEEN line_start AND line_end) "
+    "SELECT l_orderkey, l_linenumber, file, line, id, qualname FROM lines JOIN around USING (file, line) WHERE r = 1",
+)
+def show_lines(spark, sf):
+    """The symbol at the line that each row of lineitem asks for."""
+    k = F.col("l_orderkey")
+    file = F.when(k % 2 == 0, "Brand#1").otherwise(F.concat(F.lit("Brand#"), (F.col("l_partkey") % 25).cast("string")))
+    lines = A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", file.alias("file"), ((k + F.col("l_suppkey")) % 920).cast("int").alias("line"))
+    found = graph.narrowest(A.places_as_symbols(spark, sf), lines).select("file", "line", "id", "qualname")
+    return lines.join(found, ["file", "line"]).select("l_orderkey", "l_linenumber", "file", "line", "id", "qualname")
+
+
 _symbols("invalid_enums", lambda s: s.groupBy("kind", "scope").agg(F.count("*").alias("n")).withColumn("valid", F.col("kind").isin("function", "method", "class", "variable", "import", "constant") & F.col("scope").isin("global", "class", "local", "param")), "SELECT kind, scope, count(*) AS n, kind IN ('function', 'method', 'class', 'variable', 'import', 'constant') AND scope IN ('global', 'class', 'local', 'param') AS valid FROM symbols GROUP BY 1, 2")
 
 
