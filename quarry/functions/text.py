@@ -10,6 +10,11 @@ BORDERS = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{Nd
 #: Weights of the fields of a symbol in its token list (fixed values).
 WEIGHTS = {"name": 4.0, "qualname": 3.0, "docstring": 1.0, "snippet": 0.5}
 
+#: Kinds of symbols and edges, and scopes (fixed values).
+SYMBOL_KINDS = ("function", "method", "class", "variable", "import", "constant")
+SCOPES = ("global", "class", "local", "param")
+EDGE_KINDS = ("call", "import", "inherit", "reference")
+
 #: File extension -> language (fixed values).
 LANGUAGES = {
     ".py": "python", ".js": "js", ".jsx": "js", ".mjs": "js", ".cjs": "js", ".ts": "ts", ".tsx": "tsx", ".java": "java", ".cs": "csharp",
@@ -62,6 +67,11 @@ def symbol_tokens(name: Column, qualname: Column, docstring: Column, snippet: Co
     return F.concat(*[postings(field, tokens) for field, tokens in token_lists(name, qualname, docstring, snippet).items()])
 
 
+def checked(value: Column, known: tuple[str, ...], what: str) -> Column:
+    """The value, if it is a known one; any other, null included, ends the query with an error that names it."""
+    return F.when(value.isin(*known), value).otherwise(F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(value, F.lit("null")))).cast("string"))
+
+
 def glob_to_like(glob: str) -> str:
     """A LIKE pattern (escape character backslash): ``*`` and ``**`` any text, ``?`` one character."""
     out, star = "", False
@@ -88,6 +98,11 @@ def escape_like(text: Column) -> Column:
     return F.regexp_replace(text, r"([%_\\])", r"\\$1")
 
 
+def prefix_match(text: Column, term: Column) -> Column:
+    """Whether a text begins with a term, whatever wildcards of LIKE the term holds."""
+    return F.like(text, F.concat(escape_like(term), F.lit("%")))
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.[^./]+$", 0)
 
@@ -146,8 +161,10 @@ def module_name(path: Column, language: Column | None = None, clause: Column | N
     )
 
 
-def is_identifier(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^[\p{L}_][\p{L}\p{Nd}_]*$"), F.lit(False))
+def is_identifier(text: Column, more: str = "") -> Column:
+    """A letter or underscore, then letters, digits and underscores; characters in ``more``, such as ``$``, count as letters."""
+    also = "".join(f"\\{c}" for c in more)
+    return F.coalesce(text.rlike(rf"^[\p{{L}}_{also}][\p{{L}}\p{{Nd}}_{also}]*\z"), F.lit(False))
 
 
 def is_all_caps(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions.text import glob_to_like
 from quarry.operators.joins import split_join
 from quarry.operators.ranges import containing
 
@@ -91,6 +92,23 @@ def graph_nodes(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def selected(symbols: DataFrame, glob: str = "", kinds: list[str] | None = None) -> DataFrame:
+    """Symbols of files that a glob takes and of the given kinds, all without any, in order of file, line and id."""
+    some = symbols.filter(F.col("file").ilike(glob_to_like(glob))) if glob else symbols
+    return (some.filter(F.col("kind").isin(*kinds)) if kinds else some).orderBy("file", "line_start", "id")
+
+
+def node_data(symbols: DataFrame, edges: DataFrame, snippet: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (id, label, node_group, snippet), their places (id, file, line_start, line_end) and their outgoing edges.
+
+    Three tables keyed by id, so that no node has to hold all places of a name, or all edges of a hub, in one row.
+    """
+    nodes = first_symbol(symbols.withColumn("snippet", snippet)).select(F.col("qualname").alias("id"), F.col("name").alias("label"), F.col("kind").alias("node_group"), "snippet")
+    places = symbols.select(F.col("qualname").alias("id"), "file", "line_start", "line_end")
+    out = split_join(edges, nodes.select(F.col("id").alias("from_qualname")), "from_qualname").select(F.col("from_qualname").alias("id"), "to_qualname", "kind", "resolved")
+    return nodes, places, out
+
+
 def graph_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose source is a symbol; dashed where unresolved."""
     known = symbols.select(F.col("qualname").alias("from_qualname")).distinct()

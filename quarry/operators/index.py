@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as t
+from quarry.functions.vectors import encode
 from quarry.operators.ordering import prefix_ranges, ranked
 
 K1, B = 1.5, 0.75
@@ -325,3 +326,15 @@ def rerank(hits: DataFrame, vector: str, query: list[float] | None, top: int) ->
         return hits.orderBy("rank").limit(top)
     q = F.array(*[F.lit(float(x)) for x in query])
     return hits.withColumn("score", F.round(F.coalesce(cosine(F.col(vector), q), F.lit(0.0)), 6)).orderBy(F.desc("score"), "rank").limit(top)
+
+
+def rerank_text(hits: DataFrame, query: str, top: int, encoder=encode) -> DataFrame:
+    """The best ``top`` of hits by the cosine of the vectors that an encoder gives for their snippets and for a query.
+
+    ``encoder`` maps a text column to a vector column; without one, hits keep their scores and order, as they do where
+    the query's vector is zero. Ties by rank.
+    """
+    if encoder is None:
+        return rerank(hits, "", None, top)
+    wanted = _local(hits.sparkSession, q=[query]).select(encoder(F.col("q"))).collect()[0][0]
+    return rerank(hits.withColumn("_vector", encoder(F.col("snippet"))), "_vector", wanted, top).drop("_vector")

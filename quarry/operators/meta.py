@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions import text as t
 
@@ -19,8 +20,12 @@ def write(figures: DataFrame, by: str) -> DataFrame:
 
 
 def read(rows: DataFrame, by: str) -> DataFrame:
-    """One row of typed columns for each ``by`` from (by, key, value); numbers that cannot be read are 0, times null."""
-    wide = rows.filter(F.col("key").isin(*KEYS)).groupBy(by).pivot("key", list(KEYS)).agg(F.max("value"))
+    """One row of typed columns for each ``by`` from (by, key, value); numbers that cannot be read are 0, times null.
+
+    Of a repeated key the row with the greatest ``at`` counts, or the greatest value where there is no such column.
+    """
+    order = F.col("at") if "at" in rows.columns else F.col("value")
+    wide = rows.filter(F.col("key").isin(*KEYS)).groupBy(by).pivot("key", list(KEYS)).agg(F.max_by("value", order))
 
     def typed(k: str, kind: str) -> Column:
         if kind == "timestamp":
@@ -81,3 +86,57 @@ def resolve(requests: DataFrame, entries: DataFrame, indexed: DataFrame, default
     step = F.when(given, 1).when(F.col("entered").isNotNull(), 2).when(F.col("nearest").isNotNull(), 3).when(F.col("chosen").isNotNull(), 4).when(F.col("only").isNotNull(), 5).otherwise(6)
     path = F.when(given, F.col("named")).otherwise(F.coalesce("entered", "nearest", "chosen", "only"))
     return out.select("id", path.alias("path"), step.alias("step"))
+
+
+#: The line that begins an entry of a registry file, and the columns of entries in the order of their lines.
+SECTION = "[[index]]"
+ENTRY = {"name": "string", "path": "string", "created_at": "timestamp", "last_indexed": "timestamp", "file_count": "long", "symbol_count": "long", "embedder": "string", "schema_ver": "long"}
+
+
+def to_lines(entries: DataFrame) -> DataFrame:
+    """(name, n, line): a registry file, line n of each entry; null values have no line, missing columns neither.
+
+    Texts stand in quotes with escapes, times as they are in UTC, numbers plain. In the order of (name, n), it is the file.
+    """
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30)
+
+    def value(key: str) -> Column:
+        kind = ENTRY[key]
+        text = F.date_format(key, "yyyy-MM-dd'T'HH:mm:ss'Z'") if kind == "timestamp" else F.col(key).cast("string")
+        text = F.regexp_replace(quoted(F.col(key)), r"\]$", "") if kind == "string" else text
+        return F.when(F.col(key).isNotNull(), F.concat(F.lit(f"  {key} = "), text))
+
+    lines = F.array_compact(F.array(F.lit(SECTION), *[value(k) for k in ENTRY if k in entries.columns], F.lit("")))
+    return entries.select("name", F.posexplode(lines).alias("n", "line"))
+
+
+def from_lines(lines: DataFrame, order: list[str], file: str) -> DataFrame:
+    """Entries of registry files: lines (line, the columns of order, and file, the name of the file).
+
+    The header of each line is the last one before it, carried down over the lines that are none. Unknown keys, comments
+    and lines before the first header are passed over; of a repeated key the last line counts; what is not of its kind
+    is null. A registry has one entry per repository, and its file is read in one piece.
+    """
+    by = Window.partitionBy(file).orderBy(*order)
+    at = F.row_number().over(by)
+    headed = lines.withColumn("at", at).withColumn("entry", F.last(F.when(F.trim("line") == SECTION, F.col("at")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = headed.filter("entry is not null").select(file, "entry", "at", F.regexp_extract("line", r"^\s*([A-Za-z_]+)\s*=", 1).alias("key"), F.trim(F.regexp_extract("line", r"^\s*[A-Za-z_]+\s*=(.*)$", 1)).alias("raw"))
+    wide = pairs.groupBy(file, "entry").pivot("key", list(ENTRY)).agg(F.max_by("raw", "at"))
+
+    def typed(key: str, kind: str) -> Column:
+        if kind == "timestamp":
+            return t.parse_timestamp(F.col(key))
+        return F.get_json_object(F.concat(F.lit('{"v":'), key, F.lit("}")), "$.v") if kind == "string" else F.col(key).try_cast(kind)
+
+    return wide.select(*[typed(k, kind).alias(k) for k, kind in ENTRY.items()]).filter("name is not null")
+
+
+def save_registry(entries: DataFrame, folder: str) -> None:
+    """Write entries in order of their names as one text file."""
+    to_lines(entries).orderBy("name", "n").coalesce(1).select("line").write.mode("overwrite").text(folder)
+
+
+def load_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of the registry files in a folder."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place")]
+    return from_lines(spark.read.text(folder).select(F.col("value").alias("line"), *at), ["start", "place"], "file")

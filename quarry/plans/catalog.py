@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as t
+from quarry.functions import vectors
 from quarry.operators import graph, index, meta, report, segments, snapshot
 from quarry.plans import adapters as A
 from quarry.sources import files as S
+from quarry.sources import ignore
 from quarry.sources import parsers as P
 from quarry.streaming import reindex as R
 
@@ -231,6 +233,9 @@ _ids("split_camel", lambda: F.array_join(t.split_camel(F.col("x")), " "), f"arra
 _ids("escape_like", lambda: t.escape_like(F.col("x")), r"regexp_replace(x, '([%_\\])', '\\\1', 'g')")
 _ids("is_identifier", lambda: t.is_identifier(F.col("x")), r"regexp_full_match(x, '[\p{L}_][\p{L}\p{Nd}_]*')")
 _ids("is_all_caps", lambda: t.is_all_caps(F.col("x")), r"regexp_full_match(x, '_?[\p{Lu}\p{Nd}_]+') AND regexp_matches(x, '\p{Lu}')")
+_ids("is_identifier_ts", lambda: t.is_identifier(F.concat("x", F.lit("$")), "$"), r"regexp_full_match(x || '$', '[\p{L}_$][\p{L}\p{Nd}_$]*')")
+#: Terms with wildcards of LIKE in them.
+_ids("prefix_predicate", lambda: F.concat_ws(",", *[t.prefix_match(F.col("x"), term).cast("string") for term in (F.substring("x", 1, 3), F.concat(F.substring("x", 1, 2), F.lit("_")), F.lit("%"))]), "concat_ws(',', starts_with(x, left(x, 3))::VARCHAR, starts_with(x, left(x, 2) || '_')::VARCHAR, starts_with(x, '%')::VARCHAR)")
 _ids("prefix_match", lambda: F.lower("x").startswith("s"), "starts_with(lower(x), 's')")
 #: Every third path ends in a list in braces.
 _ids("last_path_segment", lambda: t.last_path_segment(F.concat(F.regexp_replace("x", "[ #_]", "::"), F.when(F.length("x") % 3 == 0, "{a, b}").otherwise(" "))), "CASE WHEN length(x) % 3 = 0 THEN '' ELSE trim(string_split(regexp_replace(x, '[ #_]', '::', 'g'), '::')[-1]) END")
@@ -342,7 +347,8 @@ def _symbols(name: str, build, sql: str):
     register(name, f"WITH {A.PLACES} {sql}")(lambda spark, sf: build(A.places_as_symbols(spark, sf)))
 
 
-_symbols("all_symbols", lambda s: s, f"SELECT {_SYMBOL} FROM symbols")
+_symbols("all_symbols", graph.selected, f"SELECT {_SYMBOL} FROM symbols ORDER BY file, line_start, id")
+_symbols("selected_symbols", lambda s: graph.selected(s, "a*/nation_1*", ["method", "class"]), f"SELECT {_SYMBOL} FROM symbols WHERE file ILIKE 'a%/nation\\_1%' ESCAPE '\\' AND kind IN ('method', 'class') ORDER BY file, line_start, id")
 _symbols("filter_kind", lambda s: s.filter(F.col("kind").isin("class", "method")), f"SELECT {_SYMBOL} FROM symbols WHERE kind IN ('class', 'method')")
 _symbols("filter_scope", lambda s: s.filter(F.col("scope") == "global"), f"SELECT {_SYMBOL} FROM symbols WHERE scope = 'global'")
 _symbols("filter_file_glob", lambda s: s.filter(F.col("file").ilike(t.glob_to_like("a*/nation_1*"))), f"SELECT {_SYMBOL} FROM symbols WHERE file ILIKE 'a%/nation\\_1%' ESCAPE '\\'")
@@ -403,6 +409,14 @@ _edges("graph_edges", lambda s, e: graph.graph_edges(s, e), "SELECT from_qualnam
 _edges("graph_externals", graph.graph_externals, "SELECT DISTINCT to_qualname AS id, string_split(to_qualname, '.')[-1] AS label FROM resolved WHERE from_qualname IN (SELECT qualname FROM known) AND to_qualname NOT IN (SELECT qualname FROM known)")
 _edges("graph_counts", lambda s, e: s.select("qualname").union(graph.graph_externals(s, e).select("id")).agg(F.countDistinct("qualname").alias("nodes")).crossJoin(graph.graph_edges(s, e).agg(F.count("*").alias("edges"))), "SELECT (SELECT count(*) FROM known) + (SELECT count(DISTINCT to_qualname) FROM resolved WHERE to_qualname NOT IN (SELECT qualname FROM known)) AS nodes, (SELECT count(*) FROM resolved) AS edges")
 _edges("graph_filtered", lambda s, e: graph.graph_edges(s.filter("kind = 'class'"), e), "SELECT from_qualname, to_qualname, kind AS label, NOT resolved AS dashes FROM resolved WHERE from_qualname IN (SELECT qualname FROM symbols WHERE kind = 'class')")
+_edges("graph_by_glob", lambda s, e: graph.graph_edges(graph.selected(s, "a*/nation_1*", ["method", "function"]), e), "SELECT from_qualname, to_qualname, kind AS label, NOT resolved AS dashes FROM resolved WHERE from_qualname IN (SELECT qualname FROM symbols WHERE file ILIKE 'a%/nation\\_1%' ESCAPE '\\' AND kind IN ('method', 'function'))".replace("\\\\", "\\"))
+_SNIP = lambda: F.concat_ws(
+    "\n", "name", "kind", F.col("line_start").cast("string")
+)
+_edges("graph_node_snippets", lambda s, e: graph.node_data(s, e, _SNIP())[0], "SELECT qualname AS id, name AS label, kind AS node_group, name || chr(10) || kind || chr(10) || line_start AS snippet FROM first")
+_edges("graph_node_places", lambda s, e: graph.node_data(s, e, _SNIP())[1], "SELECT qualname AS id, file, line_start, line_end FROM symbols")
+_edges("graph_node_edges", lambda s, e: graph.node_data(s, e, _SNIP())[2], "SELECT from_qualname AS id, to_qualname, kind, resolved FROM resolved WHERE from_qualname IN (SELECT qualname FROM known)")
+_edges("invalid_edge_kinds", lambda s, e: e.groupBy("kind").agg(F.count("*").alias("n")).withColumn("valid", F.col("kind").isin(*t.EDGE_KINDS)), "SELECT kind, count(*) AS n, kind IN ('call', 'import', 'inherit', 'reference') AS valid FROM resolved GROUP BY 1")
 _edges("neighbors", lambda s, e: graph.neighbours(e), "SELECT id, count(*) AS neighbours FROM (SELECT from_qualname AS id, to_qualname AS other FROM resolved UNION SELECT to_qualname, from_qualname FROM resolved UNION SELECT from_qualname, from_qualname FROM resolved UNION SELECT to_qualname, to_qualname FROM resolved) GROUP BY 1")
 _VIEW = "r.from_qualname, r.to_qualname, r.kind, resolved, coalesce(a.file, '') AS from_file, coalesce(a.line_start, 0) AS from_line_start, coalesce(b.file, '') AS to_file, coalesce(b.line_start, 0) AS to_line_start FROM resolved r LEFT JOIN first a ON a.qualname = r.from_qualname LEFT JOIN first b ON b.qualname = r.to_qualname"
 #: The first targets and sources of edges, and one that no edge has.
@@ -440,7 +454,7 @@ def _diffs(name: str, build, sql: str):
 
 _diffs("diff_snapshots", snapshot.diff, "SELECT path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS status FROM states WHERE old IS DISTINCT FROM new")
 _diffs("changed_files", lambda p, c: c.select("path", "sha1").exceptAll(p.select("path", "sha1")), "SELECT path, new AS sha1 FROM states WHERE new IS NOT NULL AND old IS DISTINCT FROM new")
-_diffs("removed_files", lambda p, c: p.join(c, "path", "left_anti").select("path"), "SELECT path FROM states WHERE new IS NULL")
+_diffs("removed_files", lambda p, c: p.join(c, "path", "left_anti").select("path").orderBy("path"), "SELECT path FROM states WHERE new IS NULL ORDER BY path")
 _diffs("upsert_files", lambda p, c: snapshot.upsert(p, c, "path").select("path", "sha1"), "SELECT path, coalesce(new, old) AS sha1 FROM states")
 _diffs("index_summary", snapshot.summary, "SELECT count(*) FILTER (new IS NOT NULL AND old IS DISTINCT FROM new) AS parsed, count(*) FILTER (old = new) AS skipped, count(*) FILTER (new IS NULL) AS removed FROM states")
 
@@ -619,6 +633,86 @@ def rerank_cosine(spark, sf):
     return index.rerank(vectors.join(F.broadcast(hits), "id", "right"), "embedding", query and query["embedding"], 10).select("id", "qualname", "rank", "score")
 
 
+_ASKS = "that erinan thing"
+_CODES = "list_transform({x}, lambda y: ('0x' || left(md5(y), 8))::BIGINT)"
+
+
+@register(
+    "rerank_text",
+    _ranked_sql(["that", "this"], top=50)
+    + f", texts AS (SELECT id, rank, snippet AS x FROM hits UNION ALL SELECT -1, 0, '{_ASKS}'), words AS (SELECT id, unnest({_WORDS}) AS w FROM texts), encoded AS (SELECT DISTINCT id, unnest({_sql(_SPLIT, 'w')}) AS y FROM words), "
+    "coded AS (SELECT id, ('0x' || left(md5(y), 8))::BIGINT AS c FROM encoded), vectors AS (SELECT id, c // 2 % 64 AS d, sum(CASE WHEN c % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM coded GROUP BY 1, 2), norms AS (SELECT id, sqrt(sum(v * v)) AS n FROM vectors GROUP BY 1), "
+    "dots AS (SELECT a.id, sum(a.v * b.v) AS dot FROM vectors a JOIN vectors b ON b.id = -1 AND a.d = b.d GROUP BY 1) "
+    "SELECT hits.id, qualname, rank, coalesce(round(dot / (x.n * (SELECT n FROM norms WHERE id = -1)), 6), 0) AS score FROM hits LEFT JOIN dots USING (id) LEFT JOIN norms x ON x.id = hits.id ORDER BY 4 DESC, rank LIMIT 10",
+)
+def rerank_text(spark, sf):
+    """The 50 best hits by the cosine of their texts with another text."""
+    hits = index.search(_index(spark, sf), "that this", index.CANDIDATES)
+    return index.rerank_text(hits, _ASKS, 10).select("id", "qualname", "rank", "score")
+
+
+#: Bits of a number as hexadecimal digits, bytes in opposite order.
+_BYTES = "lower(h[7:8] || h[5:6] || h[3:4] || h[1:2])"
+
+
+@register(
+    "vector_codec",
+    "WITH n AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k, len(embedding) AS size FROM embeddings), h AS (SELECT vec_id, k, size, printf('%08x', (x::FLOAT::BIT::VARCHAR::BIT::INTEGER)::BIGINT & 4294967295) AS h, printf('%08x', size) AS s FROM n) "
+    f"SELECT vec_id, max({_BYTES.replace('h[', 's[')}) || string_agg({_BYTES}, '' ORDER BY k) AS blob, true AS same FROM h GROUP BY 1",
+)
+def vector_codec(spark, sf):
+    """All vectors as bytes, and whether they read back as they were."""
+    e = A.table(spark, sf, "embeddings").filter("size(embedding) > 0").withColumn("blob", vectors.to_blob("embedding"))
+    return e.select("vec_id", F.lower(F.hex("blob")).alias("blob"), (vectors.from_blob("blob")["vector"] == F.col("embedding")).alias("same"))
+
+
+#: A thousand rules made of part keys, of five kinds; later ones overrule earlier ones.
+_PLAIN_PATHS = "paths AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)"
+_ENDINGS, _TONGUES = "['com', 'net', 'org']", "['fr', 'de', 'en', 'es']"
+_RULE_SQL = (
+    "rules AS (SELECT p_partkey AS pos, p_partkey AS k FROM part WHERE p_partkey < 1000), compiled AS (SELECT pos, k % 5 <> 1 AS ignores, k % 5 = 2 AS folders, CASE k % 5 WHEN 0 THEN '(.*/)?' || k WHEN 1 THEN '(.*/)?[^/]*' || k % 100 "
+    f"WHEN 2 THEN '[' || chr((97 + k % 26)::INTEGER) || '-z][^/]*\\.example\\.' || {_ENDINGS}[k % 3 + 1] || '/' || {_TONGUES}[k % 4 + 1] "
+    f"WHEN 3 THEN '(.*/)?' || {_TONGUES}[k % 4 + 1] || '/' || k ELSE '(.*/)?[^/]*' || k % 100 || '\\?page=[^/]' END AS pattern FROM rules)"
+)
+
+
+@register(
+    "ignore_many",
+    f"WITH {_PLAIN_PATHS}, {_RULE_SQL}, parts AS (SELECT path, string_split(path, '/') AS p FROM (SELECT DISTINCT path FROM paths)), places AS (SELECT path, array_to_string(p[1 : k], '/') AS node, k < len(p) AS folder FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM parts)), "
+    "nodes AS (SELECT DISTINCT node, folder FROM places), judged AS (SELECT node, folder, arg_max(ignores, pos) AS ignores FROM nodes JOIN compiled ON (folder OR NOT folders) AND regexp_full_match(node, pattern) GROUP BY 1, 2), "
+    "bad AS (SELECT DISTINCT path FROM places JOIN judged USING (node, folder) WHERE ignores) SELECT page_id, path, path IN (SELECT path FROM bad) AS ignored FROM paths",
+)
+def ignore_many(spark, sf):
+    k = F.col("p_partkey")
+    of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    text, ending, tongue = k.cast("string"), of(("com", "net", "org"), 3), of(("fr", "de", "en", "es"), 4)
+    hundred = (k % 100).cast("string")
+    line = (
+        F.when(k % 5 == 0, text).when(k % 5 == 1, F.concat(F.lit("!*"), hundred)).when(k % 5 == 2, F.concat(F.lit("["), F.char(97 + k % 26), F.lit("-z]*.example."), ending, F.lit("/"), tongue, F.lit("/")))
+        .when(k % 5 == 3, F.concat(F.lit("**/"), tongue, F.lit("/"), text)).otherwise(F.concat(F.lit("*"), hundred, F.lit("\\?page=?")))
+    )
+    rules = ignore.rule_table(A.table(spark, sf, "part").filter("p_partkey < 1000").select(k.alias("pos"), line.alias("line")))
+    paths = A.urls(spark, sf).select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return paths.join(ignore.ignored_paths(paths.select("path").distinct(), rules), "path").select("page_id", "path", "ignored")
+
+
+@register(
+    "registry_text",
+    """WITH r AS (SELECT source || ' "' || chr(92) || '" é' AS name, '/repos/' || source AS path, strftime(make_timestamp((1700000000 + min(doc_id)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS since, count(*) AS n FROM documents GROUP BY source),
+    l AS (SELECT name, ['[[index]]', '  name = "' || replace(replace(name, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"', '  path = "' || path || '"', '  created_at = ' || since, '  file_count = ' || n, ''] AS lines FROM r)
+    SELECT row_number() OVER (ORDER BY name, k) AS number, line FROM (SELECT name, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM l)""",
+)
+def registry_text(spark, sf):
+    """The registry written, read and written again; the lines of its file by number."""
+    first, again = (f"{_folder(spark)}/registry-{uuid.uuid4().hex}" for _ in range(2))
+    d = A.table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("low"), F.count("*").alias("file_count"))
+    entries = d.select(F.concat("source", F.lit(' "\\" é')).alias("name"), F.concat(F.lit("/repos/"), "source").alias("path"), F.timestamp_seconds(F.col("low") + 1_700_000_000).alias("created_at"), "file_count")
+    meta.save_registry(entries, first)
+    meta.save_registry(meta.load_registry(spark, first), again)
+    number = F.row_number().over(Window.orderBy("start", "place"))  # a few lines for each source
+    return spark.read.text(again).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place")).select(number.cast("long").alias("number"), "line")
+
+
 @register("hits_json", _ranked_sql(["with", "from"], top=10) + " SELECT CAST(to_json({'file': file, 'line_start': line_start, 'line_end': line_end, 'qualname': qualname, 'name': name, 'kind': kind, 'scope': scope, 'rank': rank, 'indexed_at': coalesce(indexed_at, '(never)')}) AS VARCHAR) AS hit FROM hits LEFT JOIN indexed USING (file)")
 def hits_json(spark, sf):
     hits = _hits(spark, sf, "with from", 10).withColumn("indexed_at", F.coalesce("indexed_at", F.lit("(never)")))
