@@ -225,6 +225,61 @@ def test_quality(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def prose(n, words):
+    return " ".join(random.choice(words) for _ in range(n)).capitalize() + "."
+
+
+def test_quality_against_brute_force(spark):
+    """Scores of whole texts, from features counted one by one, by weights at which the loss has no slope."""
+    random.seed(21)
+    words = ["the", "stone", "river", "under", "light", "shall", "carry", "winter", "to", "and", "lantern", "moss"]
+    good = [(k, prose(random.randint(5, 120), words)) for k in range(0, 300, 2)]
+    bad = [(k, " ".join(random.choice(["BUY!!", "$$$", "###", "now!!"]) for _ in range(random.randint(5, 60)))) for k in range(1, 300, 2)]
+    other = [(1000, ""), (1001, None), (1002, " \n\t"), (1003, "qzxv " * 100), (1004, prose(300_000, words)), (None, good[3][1]), (good[3][0], good[3][1]), (1005, "x")]
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad] + [(7, None), (None, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(*r, "en", 0.5, "x") for r in good + bad + other], "doc_id long, text string, lang string, quality double, __score string").repartition(3)
+    model = quality.fit(docs, labels)
+    score = quality.scorer(model)
+    got = Counter((r["doc_id"], r["text"], round(r["s"], 9)) for r in docs.select("doc_id", "text", score("text").alias("s")).collect())
+    want = lambda t: float(model.score(np.array([quality.features(t or "")]))[0])
+    assert got == Counter((i, t, round(want(t), 9)) for i, t in good + bad + other)
+    assert all(want(t) >= 0.5 for _, t in good) and all(want(t) < 0.5 for _, t in bad)
+    gibberish = ["", " \n", *["".join(random.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in t) for _, t in good if len(t) > 100]]
+    letters = [c for c in good[0][1] if c.isalpha()]
+    random.shuffle(letters)
+    gibberish.append("".join(letters.pop() if c.isalpha() else c for c in good[0][1]))
+    assert all(want(t) < 0.5 for t in gibberish)
+    assert want(other[4][1]) >= 0.5 and quality.keep_good(docs, labels).count() == len(good) + 3
+
+    # Features one by one.
+    text = "Ab ab\nÉ9"
+    raw = [ord(c) + 32 if "A" <= c <= "Z" else ord(c) for c in text.encode().decode("latin-1")]
+    low = [x if x >= 128 or chr(x).isalpha() else 32 for x in raw]
+    runs, found, held = np.zeros(quality.RUNS), np.zeros(quality.WORDS), []
+    for a, b, c in zip(low, low[1:], low[2:]):
+        runs[(a * 961 + b * 31 + c) * 40_503 % 65_521 % quality.RUNS] += 1
+    for x in [*low, 32]:
+        if x != 32:
+            held.append(x)
+        elif held:
+            found[sum(y * pow(31, k % 32 + 1, 1_000_003) for k, y in enumerate(held)) * 40_503 % 65_521 % quality.WORDS] += 1
+            held = []
+    assert np.allclose(quality.features(text)[-1 - quality.RUNS - quality.WORDS : -1], np.sqrt(np.concatenate([runs / runs.sum(), found / found.sum()])))
+
+    # The fit: at its weights the penalised loss has no slope, in whatever pieces the pairs are summed.
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 6))
+    better, worse = rng.integers(0, 500, 30_000), rng.integers(0, 500, 30_000)
+    swap = (x[better] - x[worse]) @ [1, -2, 0.5, 0, 0, 3] + rng.logistic(size=30_000) < 0
+    better, worse = np.where(swap, worse, better), np.where(swap, better, worse)
+    w = quality.fit_pairs(x, better, worse)
+    d = x[better] - x[worse]
+    assert np.abs(d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 1e-3 * w).max() < 1e-9 and np.dot(w, [1, -2, 0.5, 0, 0, 3]) > 0.999 * np.linalg.norm(w) * np.linalg.norm([1, -2, 0.5, 0, 0, 3])
+    one = quality.fit(docs, labels.filter("quality = 1"))
+    assert one.score(np.array([quality.features("")]))[0] < 0.5 <= one.score(np.array([quality.features(good[0][1])]))[0]
+    assert quality.fit(docs, labels.filter("quality = 0")).score(np.array([quality.features("a b")]))[0] == 0.5
+
+
 def test_anchors_of_a_very_long_text():
     raw = np.random.default_rng(4).integers(0, 256, (1 << 25) + 9000, dtype="uint8")
     raw[-3000:] = raw[1000:4000]
