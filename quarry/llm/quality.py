@@ -95,13 +95,13 @@ def spoiled(text: str) -> str:
     return "".join(letters)
 
 
-def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
+def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: float = 1e-3, steps: int = 25, scale: np.ndarray | float = 1.0) -> np.ndarray:
     """Weights of the Bradley-Terry model over the pairs (better[i], worse[i]) of rows of x, by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         gradient, hessian = -ridge * w, ridge * np.eye(len(w))
         for k in range(0, len(better), CHUNK):
-            d = x[better[k : k + CHUNK]] - x[worse[k : k + CHUNK]]
+            d = (x[better[k : k + CHUNK]].astype("float64") - x[worse[k : k + CHUNK]]) / scale
             lose = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
             gradient += d.T @ lose / len(better)
             hessian += (d * (lose * (1 - lose))[:, None]).T @ d / len(better)
@@ -121,10 +121,9 @@ class Ranking:
 
     def __init__(self, x: np.ndarray, good: np.ndarray, bad: np.ndarray, of: np.ndarray, most: float = 1.0, seed: int = 7):
         rng = np.random.default_rng(seed)
-        mean, spread = x.mean(0), x.std(0) + 1e-9
-        w = fit_pairs(((x - mean) / spread)[:, of], rng.choice(good, PAIRS), rng.choice(bad, PAIRS))
+        scale = x.std(0, dtype="float64")[of] + 1e-9
         self.weights = np.zeros(x.shape[1])
-        self.weights[of] = w / spread[of]
+        self.weights[of] = fit_pairs(x[:, of], rng.choice(good, PAIRS), rng.choice(bad, PAIRS), scale=scale) / scale
         raw = x @ self.weights
         quantiles = np.quantile(raw[np.concatenate([good, bad])], np.linspace(0, 1, 1001))
         right = np.array([((raw[good] >= q).mean() + (raw[bad] < q).mean()) / 2 for q in quantiles])
@@ -161,14 +160,15 @@ def feature_rows(texts: pd.Series) -> np.ndarray:
     return np.array([features(t if isinstance(t, str) else "") for t in texts]).reshape(-1, N_FEATURES)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
+@F.pandas_udf(T.BinaryType())
 def _features(texts: pd.Series) -> pd.Series:
-    return pd.Series(list(feature_rows(texts)))
+    """For the fit, which takes single precision."""
+    return pd.Series([x.astype("<f4").tobytes() for x in feature_rows(texts)])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
+@F.pandas_udf(T.BinaryType())
 def _spoiled(texts: pd.Series) -> pd.Series:
-    return pd.Series(list(feature_rows(texts.map(lambda t: spoiled(t) if isinstance(t, str) else t))))
+    return pd.Series([x.astype("<f4").tobytes() for x in feature_rows(texts.map(lambda t: spoiled(t) if isinstance(t, str) else t))])
 
 
 def in_training(doc_id: Column) -> Column:
@@ -193,13 +193,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model(np.zeros((0, N_FEATURES)), np.zeros(0))
     some = got.filter((F.col("y") == 1) & (F.pmod("h", F.lit(SPOILED)) == 0) & (F.trim("t") != ""))
     worse = some.select("id", "h", _spoiled("t").alias("x")).orderBy("id", "h").limit(SAMPLE // SPOILED).toPandas()
-    return Model(*examples(rows["x"].tolist(), rows["y"].to_numpy(), worse["x"].tolist()))
+    return Model(*examples(list(rows["x"]), rows["y"].to_numpy(), list(worse["x"])))
 
 
-def examples(x: list, y: np.ndarray, worse: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def examples(x: list[bytes], y: np.ndarray, worse: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, labels and which are made, with spoiled rows, and one empty text for eight of these, where any row is good."""
-    more = [*worse, *[features("")] * (1 + len(worse) // 8)] if (y == 1).any() else []
-    return np.array([*x, *more]).reshape(-1, N_FEATURES), np.concatenate([y, np.zeros(len(more))]), np.arange(len(x) + len(more)) >= len(x)
+    more = [*worse, *[features("").astype("<f4").tobytes()] * (1 + len(worse) // 8)] if (y == 1).any() else []
+    return np.frombuffer(b"".join([*x, *more]), "<f4").reshape(-1, N_FEATURES), np.concatenate([y, np.zeros(len(more))]), np.arange(len(x) + len(more)) >= len(x)
 
 
 def scorer(model: Model) -> Callable[[Column], Column]:
