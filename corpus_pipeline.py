@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept; all but the last
 return the columns of documents. Quality is judged first, so copies of bad documents are gone before any are compared;
 personal data is cut out of what is kept in the end, and that is packed.
+
+For all stages: a null text counts as empty; rows with a null id are rows like others; an empty table gives an empty one;
+columns of any other name stay as they are; very long texts are read whole, one row at a time.
 """
 
 from __future__ import annotations
@@ -15,17 +18,20 @@ from quarry.llm.common import materialize, table
 
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranking does not reject."""
+    """Documents that the quality ranking does not reject; empty texts and gibberish go, repeated rows share their fate.
+
+    Without a good label nothing is rejected.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of equal texts."""
+    """One of equal texts, that of the smallest id; of rows that are equal in both, one."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest id; rows that repeat id and text stay together."""
     return minhash.drop_near_copies(docs)
 
 
@@ -35,7 +41,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training windows with their ids."""
+    """Pieces of training windows with their ids; an empty text is packed as its end mark alone, repeated rows each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
