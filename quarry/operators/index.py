@@ -222,7 +222,7 @@ def search(index: Index, query: str, top: int = 10, where: Column | None = None,
 
 
 def query_tokens(index: Index, queries: DataFrame, folder: str, expanded: bool = True) -> DataFrame:
-    """(query_id, token, df): the stored tokens of each query (query_id, text).
+    """(query_id, token, df, top): the stored tokens of each query (query_id, text), and the most that one can score.
 
     Prefixes are ranges of ranks, so no term needs a pass of its own.
     """
@@ -232,7 +232,8 @@ def query_tokens(index: Index, queries: DataFrame, folder: str, expanded: bool =
         stored = index.tokens if "rank" in index.tokens.columns else ranked(index.tokens, f"{folder}/ranks", "token")
         grown = prefix_tokens(stored, terms.select("term").distinct(), folder)
         own = own.unionByName(terms.join(grown, "term").select("query_id", "token")).distinct()
-    return own.join(index.tokens.select("token", "df"), "token").select("query_id", "token", "df")
+    top = score(F.col("top_tf"), F.col("df"), F.col("least_length"), F.lit(index.n), F.lit(index.average))
+    return own.join(index.tokens, "token").select("query_id", "token", "df", top.alias("top"))
 
 
 def prefix_tokens(tokens: DataFrame, terms: DataFrame, folder: str, limit: int = EXPANSIONS) -> DataFrame:
@@ -254,8 +255,9 @@ def search_many(index: Index, queries: DataFrame, folder: str, top: int = CANDID
 
     1. A query's rarest tokens, of RARE_POSTINGS postings for each hit wanted, score all symbols that hold them. The best
        of these, twice as many as hits wanted, are scored in full: what cannot reach the last hit among them is none.
-    2. A span of symbols can reach the best that its rare tokens gave and the bounds of the blocks that frequent tokens
-       have there; these bounds are read without postings.
+    2. Frequent tokens that together cannot reach it are optional, the most frequent ones first. A span of symbols can
+       reach the best that its rare tokens gave and the bounds of the blocks that frequent tokens have there; bounds are
+       read without postings, and those of optional tokens only in spans that hold any other token of the query.
     3. Blocks of frequent tokens are read in spans that can reach the last hit, and nowhere else.
 
     Only the best ``top`` symbols of a query leave a task. Blocks of a hub token are spread over its spans.
@@ -282,21 +284,30 @@ def search_many(index: Index, queries: DataFrame, folder: str, top: int = CANDID
         return a.unionByName(b).groupBy(*span, "id").agg(F.sum("part").alias("part"))
 
     rare = keep(scored(tokens.join(index.blocks, "token")), "rare")
-    often = keep(wanted.filter("not rare").select("query_id", "token", "df").join(index.blocks.select("token", "block", "top_tf", "least_length"), "token"), "often")
+    bounds = index.blocks.select("token", "block", "top_tf", "least_length")
+    often = wanted.filter("not rare").select("query_id", "token", "df", "top")
     leaders = keep(best(rare, "part", 2 * top).drop("rank"), "leaders")
-    led = often.join(leaders.select(*span).distinct(), span, "left_semi").select("query_id", "token", "df", "block")
+    led = often.join(leaders.select(*span).distinct(), "query_id").join(bounds.select("token", "block"), ["token", "block"]).select("query_id", "token", "df", "block")
     full = summed(leaders, scored(led.join(index.blocks, ["token", "block"])).join(leaders.select(*span, "id"), [*span, "id"], "left_semi"))
-    bar = best(full, "part", top).groupBy("query_id").agg(F.when(F.count("*") >= top, F.min("part") - NEAR).otherwise(0.0).alias("bar"))
+    last = best(full, "part", top).groupBy("query_id").agg(F.when(F.count("*") >= top, F.min("part") - NEAR).alias("last"))
+    bar = keep(wanted.select("query_id").distinct().join(last, "query_id", "left").select("query_id", F.coalesce("last", F.lit(0.0)).alias("bar")), "bar")
+    together = F.sum("top").over(by_query.orderBy(F.desc("df"), "token"))
+    judged = keep(often.join(bar, "query_id").withColumn("optional", together < F.col("bar")).select("query_id", "token", "df", "optional"), "judged")
+    main = judged.filter("not optional").drop("optional").join(bounds, "token")
+    near = rare.select(*span).unionByName(main.select(*span)).distinct()
+    side = judged.filter("optional").drop("optional").join(near, "query_id").join(bounds, ["token", "block"])
+    often = keep(main.unionByName(side.select(*main.columns)), "often")
     bound = score(F.col("top_tf"), F.col("df"), F.col("least_length"), n, average)
     reach = often.select(*span, bound.alias("more"), F.lit(0.0).alias("most")).unionByName(rare.select(*span, F.lit(0.0).alias("more"), F.col("part").alias("most")))
     reach = reach.groupBy(*span).agg((F.sum("more") + F.max("most")).alias("reach")).join(bar, "query_id").filter("reach >= bar").select(*span)
     needed = keep(often.join(reach, span, "left_semi").select("query_id", "token", "df", "block"), "needed")
     total = summed(rare, scored(needed.join(index.blocks, ["token", "block"]))).withColumn("score", F.round("part", DIGITS))
     rows = keep(best(total, "score", top).select("query_id", "id", "score", "rank"), "hits")
-    first = tokens.join(index.blocks.select("token", "block"), "token").agg(F.count("*").alias("first"))
-    later = led.select("query_id", "token", "block").unionByName(needed.select("query_id", "token", "block")).distinct().agg(F.count("*").alias("later"))
-    held = often.agg(F.count("*").alias("held"))
-    figures = first.join(later).join(held).select((F.col("first") + F.col("held")).alias("blocks"), (F.col("first") + F.col("later")).alias("read"))
+    one = ["query_id", "token", "block"]
+    held = wanted.join(bounds.groupBy("token").agg(F.count("*").alias("k")), "token").agg(F.sum("k").alias("blocks"))
+    first = tokens.join(bounds.select("token", "block"), "token").agg(F.count("*").alias("first"))
+    later = led.select(*one).unionByName(needed.select(*one)).distinct().agg(F.count("*").alias("later"))
+    figures = held.join(first).join(later).select("blocks", (F.col("first") + F.col("later")).alias("read"))
     return Hits(rows, figures)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as t
 from quarry.functions import vectors
-from quarry.operators import graph, index, meta, report, segments, snapshot
+from quarry.operators import graph, grams, index, meta, nesting, report, segments, snapshot
 from quarry.plans import adapters as A
 from quarry.sources import files as S
 from quarry.sources import ignore
@@ -427,6 +427,55 @@ _edges("neighbourhood", lambda s, e: graph.neighbourhood(e, s.filter("kind = 'me
 _edges("viz_search", lambda s, e: graph.ranked_text_search(graph.graph_nodes(s, e), "nation_1"), "SELECT id, label, CASE WHEN starts_with(lower(label), 'nation_1') THEN 1 WHEN contains(lower(label), 'nation_1') THEN 2 ELSE 3 END AS rank FROM (SELECT qualname AS id, name AS label FROM first) WHERE contains(lower(label), 'nation_1') OR contains(lower(id), 'nation_1') ORDER BY rank, length(label), id LIMIT 50")
 
 
+#: Patterns of one letter and more, some in no name, made of nations and parts.
+_PATTERNS = "patterns AS (SELECT lower(n_name) AS pattern FROM nation UNION SELECT lower(p_type) FROM part UNION SELECT 'Brand#' || p_partkey % 30 FROM part UNION SELECT left(c_name, 3 + (c_custkey % 16)::INTEGER) FROM customer UNION SELECT left(s_name, 1 + (s_suppkey % 2)::INTEGER) FROM supplier UNION SELECT p_name FROM part)"
+
+
+@register(
+    "viz_search_many",
+    f"WITH {A.PLACES}, {_PATTERNS}, nodes AS (SELECT qualname AS id, name AS label FROM (SELECT *, row_number() OVER (PARTITION BY qualname ORDER BY file, line_start, id) AS rn FROM symbols) WHERE rn = 1), "
+    "met AS (SELECT pattern, id, label, CASE WHEN starts_with(lower(label), lower(pattern)) THEN 1 WHEN contains(lower(label), lower(pattern)) THEN 2 WHEN contains(lower(id), lower(pattern)) THEN 3 END AS rank FROM nodes, patterns) "
+    "SELECT pattern, id, label, rank, row_number() OVER (PARTITION BY pattern ORDER BY rank, length(label), id) AS place FROM met WHERE rank IS NOT NULL QUALIFY place <= 50",
+)
+def viz_search_many(spark, sf):
+    """A table of patterns against all nodes."""
+    n, p, c, s = (A.table(spark, sf, x) for x in ("nation", "part", "customer", "supplier"))
+    made = [n.select(F.lower("n_name")), p.select(F.lower("p_type")), p.select(F.concat(F.lit("Brand#"), (F.col("p_partkey") % 30).cast("string"))), p.select("p_name")]
+    made += [c.select(F.left("c_name", (3 + F.col("c_custkey") % 16).cast("int"))), s.select(F.left("s_name", (1 + F.col("s_suppkey") % 2).cast("int")))]
+    patterns = made[0].toDF("pattern")
+    for x in made[1:]:
+        patterns = patterns.unionByName(x.toDF("pattern"))
+    nodes = graph.first_symbol(A.places_as_symbols(spark, sf)).select(F.col("qualname").alias("id"), F.col("name").alias("label"))
+    held = grams.build(nodes, f"{_folder(spark)}/grams-{uuid.uuid4().hex}")
+    return grams.search(held, patterns)
+
+
+@register(
+    "nested_tags",
+    r"WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '</?[A-Za-z][^<>]*>')) AS tag, generate_subscripts(regexp_extract_all(html, '</?[A-Za-z][^<>]*>'), 1) - 1 AS pos FROM pages), n AS (SELECT *, lower(regexp_extract(tag, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS name FROM t), "
+    f"m AS (SELECT page_id, pos, name, CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END AS step FROM n WHERE name NOT IN ({', '.join(repr(x) for x in nesting.VOID)}) AND NOT ends_with(tag, '/>')), "
+    "d AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY pos) + CASE WHEN step < 0 THEN 1 ELSE 0 END AS depth FROM m), e AS (SELECT *, lead(pos) OVER (PARTITION BY page_id, depth ORDER BY pos) AS \"end\" FROM d), o AS (SELECT * FROM e WHERE step > 0), "
+    "u AS (SELECT page_id, depth AS l, pos, pos AS p, false AS child FROM o UNION ALL SELECT page_id, depth - 1, pos, NULL, true FROM o), w AS (SELECT page_id, pos, child, last_value(p IGNORE NULLS) OVER (PARTITION BY page_id, l ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM u) "
+    "SELECT o.page_id, o.pos, name, depth::BIGINT AS depth, \"end\", parent FROM o JOIN w ON w.page_id = o.page_id AND w.pos = o.pos AND child",
+)
+def nested_tags(spark, sf):
+    """All tags of all pages with their depth, end and parent."""
+    return nesting.nested(nesting.tags(A.urls(spark, sf)), "page_id", "pos", "step").select("page_id", "pos", "name", "depth", "end", "parent")
+
+
+def _shards(s, e):
+    """What all pages of the graph hold together."""
+    spark = s.sparkSession
+    folder = f"{_folder(spark)}/graph-{uuid.uuid4().hex}"
+    report.write_shards(s, e, folder, 100)
+    lines = spark.read.text(folder)
+    count = lambda start: F.count_if(F.col("value").startswith(start))
+    return lines.agg(count('{"id":').alias("nodes"), count('{"from_qualname":').alias("edges"), (F.countDistinct("shard") > 1).alias("several"))
+
+
+_edges("graph_shards", _shards, "SELECT (SELECT count(*) FROM known) + (SELECT count(DISTINCT to_qualname) FROM resolved WHERE to_qualname NOT IN (SELECT qualname FROM known)) AS nodes, (SELECT count(*) FROM resolved WHERE from_qualname IN (SELECT qualname FROM known)) AS edges, true AS several")
+
+
 @register("resolve_exact", f"WITH {A.PLACES}, {A.TRADE} SELECT kind, to_qualname IN (SELECT qualname FROM symbols) AS resolved, count(*) AS n FROM edges GROUP BY ALL")
 def resolve_exact(spark, sf):
     return graph.resolve_exact(A.trade_as_edges(spark, sf), A.places_as_symbols(spark, sf)).groupBy("kind", "resolved").agg(F.count("*").alias("n"))

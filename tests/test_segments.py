@@ -94,7 +94,8 @@ def test_runs_follow_changes(spark, tmp_path, monkeypatch):
 
 
 def test_split_join(spark, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_KEYS", 4)
+    monkeypatch.setattr(joins, "HOT_ROWS", 12)
+    monkeypatch.setattr(joins, "HOT_KEYS", 5)
     rows = spark.createDataFrame([(k, "hub" if k < 3000 else f"x{k % 50}" if k % 7 else None) for k in range(4000)], "id long, key string")
     lookup = spark.createDataFrame([("hub", 1), ("x3", 2), ("x4", 3), ("absent", 4)], "key string, v int")
     for outer, kind in ((False, "inner"), (True, "left")):
