@@ -269,7 +269,7 @@ _docs("size_filter", lambda: F.octet_length("text") <= 20_000, "strlen(text) <=
 #: Texts in quotes of four styles, and without.
 _QUOTES = """['"', chr(39), '""\"', repeat(chr(39), 3), ''][doc_id % 5 + 1]"""
 _docs("clean_docstring", lambda: t.clean_docstring(F.concat(*[F.element_at(F.array(*map(F.lit, ('"', "'", '"""', "'''", ""))), (F.col("doc_id") % 5 + 1).cast("int")) if k != 1 else F.col("text") for k in range(3)])), r"""trim(regexp_replace(trim(text), '[ \t\r\n]+', ' ', 'g'))""")
-_docs("null_if_empty", lambda: t.null_if_empty(F.trim(F.substr("text", F.lit(1), (F.col("doc_id") % 3).cast("int")))), "nullif(trim(substr(text, 1, doc_id % 3)), '')")
+_docs("null_if_empty", lambda: t.null_if_empty(F.trim(F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("text")))), "nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE text END), '')")
 
 
 @register("clean_comment", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '(?m)^[\t\n\f\r ]*(//[/!]?|#+|/\*+|\*+/|\*)', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS y FROM pages")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import walk_language
+from quarry.sources import ignore
 
 MAX_BYTES = 1 << 20
 #: Folders that are never walked, besides the one that holds the index (fixed values).
@@ -67,12 +68,20 @@ def ignore_lines(root: str, extra: list[str] | None = None, names: tuple[str, ..
 def walk(spark: SparkSession, root: str, rules: list[str] | None = None, max_bytes: int = MAX_BYTES, stream: bool = False) -> DataFrame:
     """(path, sha1, size_bytes, language, text) of the files under root that a walk keeps; ``stream`` for those to come.
 
-    Names and sizes are tested before contents are read. Rules are those of the ignore files at root, then the given ones.
+    Names and sizes are tested before contents are read. Rules are those of the ignore files at root, then the given ones;
+    what lies below an ignored folder stays ignored. A stream, which judges each file on its own, tests one rule after the
+    other, and there a later rule can take back what lies below such a folder.
     """
     rules = ignore_lines(root, rules)
     reader = spark.readStream if stream else spark.read
     raw = reader.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{re.escape(root.rstrip('/'))}/", "")
-    named = raw.withColumn("path", path).filter(~in_excluded(F.col("path")) & ~secret_name(F.col("path")) & (F.col("length") <= max_bytes) & ~ignored(F.col("path"), rules))
+    named = raw.withColumn("path", path).filter(~in_excluded(F.col("path")) & ~secret_name(F.col("path")) & (F.col("length") <= max_bytes))
+    if stream:
+        named = named.filter(~ignored(F.col("path"), rules))
+    elif rules:
+        listed = ignore.rule_table(spark.createDataFrame(list(enumerate(rules)), "pos long, line string"))
+        judged = ignore.ignored_paths(named.select("path"), listed).filter("ignored")
+        named = named.join(judged, "path", "left_anti")
     text = F.decode("content", "UTF-8")
     return named.filter(~secret_text(text)).select("path", F.sha1("content").alias("sha1"), F.col("length").alias("size_bytes"), walk_language(F.col("path")).alias("language"), text.alias("text"))

@@ -86,3 +86,13 @@ def test_walk_as_stream(spark, tmp_path):
     (root / "b.go").write_text("package b")
     R.run(S.walk(spark, str(root), stream=True), store, state)
     assert {(r["path"], r["language"], r["text"]) for r in R.current(spark, store).collect()} == {("a.py", "python", "x = 1"), ("b.go", "go", "package b")}
+
+
+def test_walk_keeps_out_of_ignored_folders(spark, tmp_path):
+    for path in ("out/x.py", "out/keep.py", "src/a.py", "src/b.tmp", "src/[c].py", "é/d.py"):
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text("x = 1")
+    (tmp_path / ".gitignore").write_text("# rules\nout/\n!out/keep.py\n*.tmp\n")
+    walked = lambda *rules: {r["path"] for r in S.walk(spark, str(tmp_path), list(rules)).collect()}
+    assert walked() == {"src/a.py", "src/[c].py", "é/d.py"}
+    assert walked("!*.tmp", "/src/a*", r"\[c\].py") == {"src/b.tmp", "é/d.py"}
