@@ -261,8 +261,8 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded, the text read back from ids.
 
-    One row per row of docs; null texts count as empty; special tokens' strings in a text become their ids, as the
-    tokenizers library has it. No shuffle: each partition is streamed, some BATCH_CHARS at a time.
+    One row per row of docs, repeated rows each, none for an empty table; null texts count as empty; special tokens'
+    strings in a text become their ids, as the tokenizers library has it. No shuffle: each partition is streamed, some BATCH_CHARS at a time.
     """
 
     def run(frames):

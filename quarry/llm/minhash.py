@@ -396,7 +396,7 @@ def _digest(text):
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """docs with one document of each component; columns as given.
 
-    Rows whose text cannot be one to drop pass straight through; rows that repeat both id and text stay together.
+    Null texts count as empty, rows with a null id as rows like others; an empty table gives no rows. Rows whose text cannot be one to drop pass straight through; rows that repeat both id and text stay together.
     """
     out = materialize(_groups(docs, doc_id, text, threshold))
     own, flag, own_id, own_digest = fresh(docs, "__own_digest", "__maybe", "__id", "__digest")
