@@ -19,6 +19,7 @@ Texts with the same words are one class. Pairs and components are of classes; me
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import pandas as pd
@@ -38,10 +39,12 @@ BANDS, ROWS = 10, 4
 SATURATION = 512
 #: Counters of a row, those that travel together, and shingles a task counts before it passes them on.
 COUNTERS, TOGETHER, COUNTED = 1 << 18, 1 << 12, 1 << 21
-#: Words whose hashes a Python worker keeps.
-WORDS_KEPT = 300_000
+#: Words of more bytes are hashed one by one.
+LONG = 256
+#: Shingles that are counted at once, characters of texts that are hashed at once, shingles that are sampled at once, about.
+AT_ONCE, CHARS, DRAWN = 1 << 17, 1 << 17, 2000
 #: Random draws are taken from so many quantiles (2^BITS).
-BITS = 12
+BITS = 16
 #: Texts compared with one other in a task at most, before a further task takes the rest.
 SHARE = 256
 #: Texts in a block of a bucket, about.
@@ -50,22 +53,45 @@ BLOCK = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    """Hash of each word; starts anew when it has WORDS_KEPT."""
+#: What str.split() parts words at: in ASCII, and beyond it by its first bytes in UTF-8.
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+_WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+_WIDE_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The first k of eight bytes, least first.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], "uint64")
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-
-_hashes = _WordHashes()
+def word_hashes(text: str) -> np.ndarray:
+    """The hash of each of text.split()."""
+    return _word_hashes([text])[0]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(_hashes.__getitem__, words), "uint64", len(words))
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts in a row, eight bytes of all words at a time, and where each text's begin and all end."""
+    parts = [t.encode() for t in texts]
+    for k, t in enumerate(texts):
+        if not t.isascii() and any(w in parts[k] for w in _WIDE):
+            parts[k] = _WIDE_SPACES.sub(" ", t).encode()
+    lengths = np.fromiter(map(len, parts), "int64", len(parts))
+    raw = b" ".join([b"", *parts, b" " * 8])
+    blank = _BLANK.take(np.frombuffer(raw, "uint8"))
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))
+    out = (eight[starts] & _FIRST.take(np.minimum(sizes, 8))) ^ (sizes.astype("uint64") * np.uint64(0xD6E8FEB86659FD93))
+    out *= _MIX
+    out ^= out >> np.uint64(32)
+    rest = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+    for s in range(8, LONG, 8):
+        rest = rest[sizes[rest] > s]
+        if not len(rest):
+            break
+        h = (out[rest] ^ (eight[starts[rest] + s] & _FIRST.take(np.minimum(sizes[rest] - s, 8)))) * _MIX
+        out[rest] = h ^ (h >> np.uint64(32))
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : starts[k] + sizes[k]])
+    return out, np.searchsorted(starts, np.append(0, np.cumsum(lengths + 1)))
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -81,6 +107,33 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parsed(texts):
+    """For each text the hashes of its words and of its shingles; some CHARS of texts are read at once."""
+    part, size = [], 0
+
+    def done():
+        hashes, bounds = _word_hashes(part)
+        runs, bounds = shingles(hashes), bounds.tolist()
+        for s, e in zip(bounds, bounds[1:]):
+            yield hashes[s:e], runs[s : e - WORDS + 1] if e - s >= WORDS else shingles(hashes[s:e])
+
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size > CHARS:
+            yield from done()
+            part, size = [], 0
+    if part:
+        yield from done()
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and where each of them begins in the sorted values."""
+    values = np.sort(values)
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return values[at], at
+
+
 class Weights:
     """Inverse document frequencies among n documents, from the shingles (in order) in more than n / SATURATION of them."""
 
@@ -88,19 +141,23 @@ class Weights:
         self.common = common
         self.idf = np.append(np.log((n + 1) / (df + 1)) + 1, np.log((n + 1) / (n / SATURATION + 1)) + 1)
 
-    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counted(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct shingles in order, their counts, and their inverse document frequencies."""
-        values, counts = np.unique(shingles(word_hashes(text)), return_counts=True)
+        values, starts = distinct(found)
+        counts = np.diff(starts, append=len(found))
         at = np.searchsorted(self.common, values)
         at[at == len(self.common)] = 0
         found = self.common[at] == values if len(self.common) else np.zeros(len(values), bool)
         return values, counts, self.idf[np.where(found, at, len(self.common))]
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def weighed(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles in order, and their weights."""
-        values, counts, idf = self.counted(text)
+        values, counts, idf = self.counted(found)
         return values, counts * idf
 
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.weighed(shingles(word_hashes(text)))
+
 
 def similarity(a, b) -> float:
     """Weighted Jaccard similarity: the sum of the smaller over that of the larger weights."""
@@ -112,37 +169,61 @@ def similarity(a, b) -> float:
 
 @functools.cache
 def _draws():
-    """Quantiles of the gamma(2, 1) draws r and log c and of the uniform draw, and a multiplier for each sample."""
+    """Quantiles of log c, c of gamma(2, 1), of r, of gamma(2, 1) too, each with its uniform draw, and a multiplier for each sample."""
     rng = np.random.default_rng(2)
     n = 1 << BITS
-    gamma = np.sort(rng.standard_gamma(2.0, 64 * n)).reshape(n, 64)[:, 32].astype("float32")
+    gamma = np.sort(rng.standard_gamma(2.0, 16 * n)).reshape(n, 16)[:, 8].astype("float32")
+    # Multiples of the golden ratio: any few quantiles of r in a row have uniform draws that are spread evenly.
+    uniform = ((np.arange(n) * 0.6180339887498949 + 0.5 / n) % 1).astype("float32")
     odd = rng.integers(1 << 62, 1 << 63, BANDS * ROWS, dtype="uint64") | np.uint64(1)
-    return gamma, np.log(gamma), (1 / gamma).astype("float32"), ((np.arange(n) + 0.5) / n).astype("float32"), odd
+    return np.log(gamma), gamma, (1 / gamma).astype("float32"), uniform, odd
+
 
+def _steps(log_w, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised log weights by the draws at these quantiles: the step t, and what log c is lowered by, log y + r."""
+    _, gamma, inverse, uniform, _ = _draws()
+    beta = uniform.take(at)
+    t = np.floor(log_w * inverse.take(at) + beta)
+    # log y = r (t - beta)
+    return t, gamma.take(at) * (t - beta + 1)
 
-def sample(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each of the BANDS * ROWS samples, a hash of the shingle picked and its quantised weight."""
-    gamma, log_gamma, inverse, uniform, odd = _draws()
+
+@functools.lru_cache(4)
+def _lowered(log_w: float) -> np.ndarray:
+    return _steps(np.float32(log_w), np.arange(1 << BITS))[1]
+
+
+def sample(values: np.ndarray, weights: np.ndarray, usual: float | None = None) -> np.ndarray:
+    """For each of the BANDS * ROWS samples, a hash of the shingle picked and its quantised weight.
+
+    What the draws make of the usual weight is looked up; it is the same as for any other weight.
+    """
+    log_c, *_, odd = _draws()
     log_w = np.log(weights).astype("float32")
     best, picked = np.full(len(odd), np.inf, "float32"), np.zeros(len(odd), "uint64")
-    mask = np.uint64((1 << BITS) - 1)
-    for s in range(0, len(values), 1024):
-        v, lw = values[s : s + 1024], log_w[s : s + 1024]
+    mask, rows = np.uint64((1 << BITS) - 1), np.arange(len(odd))
+    other = np.ones(len(values), bool) if usual is None else weights != usual
+    table = _lowered(0.0 if usual is None else float(np.log(usual).astype("float32")))
+    size = -(-len(values) // -(-len(values) // DRAWN))
+    for s in range(0, len(values), size):
+        v, lw = values[s : s + size], log_w[s : s + size]
         h = v[None, :] * odd[:, None]
-        at_r = (h >> np.uint64(64 - BITS)).view("int64")
-        at_c = ((h >> np.uint64(64 - 2 * BITS)) & mask).view("int64")
-        at_u = ((h >> np.uint64(64 - 3 * BITS)) & mask).view("int64")
-        r, beta = gamma.take(at_r), uniform.take(at_u)
-        t = np.floor(lw * inverse.take(at_r) + beta)
-        # log a = log c - log y - r, with log y = r (t - beta)
-        a = log_gamma.take(at_c) - r * (t - beta + 1)
+        at = (h >> np.uint64(64 - BITS)).view("int64")
+        h >>= np.uint64(64 - 2 * BITS)
+        h &= mask
+        low = table.take(at, mode="clip")
+        some = np.flatnonzero(other[s : s + size])
+        if len(some):
+            low[:, some] = _steps(lw[some], at[:, some])[1]
+        a = log_c.take(h.view("int64"), mode="clip")
+        a -= low
         k = a.argmin(1)
-        rows = np.arange(len(odd))
-        low = a[rows, k]
-        better = low < best
-        best = np.where(better, low, best)
+        least = a[rows, k]
+        better = least < best
+        best = np.where(better, least, best)
+        t = _steps(lw[k], at[rows, k])[0]
         with np.errstate(over="ignore"):
-            mark = (v[k] ^ (t[rows, k].astype("int64").astype("uint64") * _MIX)) * _MIX
+            mark = (v[k] ^ (t.astype("int64").astype("uint64") * _MIX)) * _MIX
         picked = np.where(better, mark, picked)
     return picked
 
@@ -162,24 +243,31 @@ def counters_of(values: np.ndarray) -> np.ndarray:
     return np.stack([values >> shift, COUNTERS + ((values * _MIX) >> shift)]).astype("int64")
 
 
+def _shingled(frames):
+    """The distinct shingles of each text in frames, those of several texts in a row, and the number of these texts."""
+    found, size = [], 0
+    for pdf in frames:
+        for _, own in parsed(pdf["text"]):
+            found.append(distinct(own)[0])
+            size += len(found[-1])
+            if size > AT_ONCE:
+                yield np.concatenate(found), len(found)
+                found, size = [], 0
+    if found:
+        yield np.concatenate(found), len(found)
+
+
 def fit(texts: DataFrame) -> Weights:
     """Weights from all rows of the column ``text``."""
 
     def count(frames):
-        seen, rows, found, size = np.zeros(2 * COUNTERS, "int32"), 0, [], 0
-        for pdf in frames:
-            for t in pdf["text"]:
-                found.append(counters_of(np.unique(shingles(word_hashes(t)))).ravel())
-                size += len(found[-1])
-                rows += 1
-                if size > COUNTED:
-                    seen += np.bincount(np.concatenate(found), minlength=len(seen)).astype("int32")
-                    found, size = [], 0
-        if found:
-            seen += np.bincount(np.concatenate(found), minlength=len(seen)).astype("int32")
-        blocks = seen.reshape(-1, TOGETHER)
+        seen, rows = np.zeros(2 * COUNTERS, "int64"), 0
+        for values, n in _shingled(frames):
+            seen += np.bincount(counters_of(values).ravel(), minlength=len(seen))
+            rows += n
+        blocks = seen.astype("<i4").reshape(-1, TOGETHER)
         some = np.flatnonzero(blocks.any(1))
-        yield pd.DataFrame({"block": np.append(some, -1), "counts": [*(b.astype("<i4").tobytes() for b in blocks[some]), np.array([rows], "<i4").tobytes()]})
+        yield pd.DataFrame({"block": np.append(some, -1), "counts": [*(b.tobytes() for b in blocks[some]), np.array([rows], "<i4").tobytes()]})
 
     def summed(frames):
         total = {}
@@ -206,15 +294,13 @@ def fit(texts: DataFrame) -> Weights:
             values, counts = np.unique(np.concatenate(found), return_counts=True)
             return pd.DataFrame({"shingle": values.view("int64"), "n": counts})
 
-        for pdf in frames:
-            for t in pdf["text"]:
-                values = np.unique(shingles(word_hashes(t)))
-                first, second = counters_of(values)
-                found.append(values[high.value[first] & high.value[second]])
-                size += len(found[-1])
-                if size > COUNTED:
-                    yield summed()
-                    found, size = [], 0
+        for values, _ in _shingled(frames):
+            first, second = counters_of(values)
+            found.append(values[high.value.take(first) & high.value.take(second)])
+            size += len(found[-1])
+            if size > COUNTED:
+                yield summed()
+                found, size = [], 0
         if found:
             yield summed()
 
@@ -264,7 +350,7 @@ def _block_links(texts: list[str], side: np.ndarray, of: Weights, threshold: flo
     """
     docs, feats, weights = [], [], []
     for k, t in enumerate(texts):
-        values, counts, idf = of.counted(t)
+        values, counts, idf = of.counted(shingles(word_hashes(t)))
         level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         v = np.repeat(values, counts)
         docs.append(np.full(len(v), k))
@@ -337,33 +423,34 @@ def _groups(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFr
     weights = docs.sparkSession.sparkContext.broadcast(fit(texts))
 
     def sign(frames):
+        usual = weights.value.idf[-1]
         for pdf in frames:
             digests, bands = [], []
-            for t in pdf["text"]:
-                digests.append(xxhash.xxh3_128_digest(word_hashes(t).tobytes()))
-                values, own = weights.value.of(t)
-                bands.append(band_hashes(sample(values, own)) if len(values) else np.empty(0, "int64"))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": digests, "bands": bands})
-
-    signed = ids_out(texts, "doc_id").mapInPandas(sign, "doc_id string, digest binary, bands array<long>")
+            for hashes, found in parsed(pdf["text"]):
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                values, own = weights.value.weighed(found)
+                bands.append(band_hashes(sample(values, own, usual)) if len(values) else np.empty(0, "int64"))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sha": pdf["sha"], "digest": digests, "bands": bands})
+
+    hashed = texts.withColumn("sha", _sha(F.col("text")))
+    signed = ids_out(hashed, "doc_id").mapInPandas(sign, "doc_id string, sha binary, digest binary, bands array<long>")
     signed = materialize(ids_back(signed, "doc_id", docs.schema[doc_id].dataType).withColumn("row", F.monotonically_increasing_id()))
     n = signed.count()
     # A class is known by the row of its first member.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "bands"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "sha", "bands"))
     classes = materialize(
         signed.groupBy("digest").agg(first.alias("first"), F.count("*").alias("members"))
-        .select("digest", "members", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("id"), F.col("first.bands").alias("bands"))
+        .select("digest", "members", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("id"), F.col("first.sha").alias("sha"), F.col("first.bands").alias("bands"))
     )
     banded = materialize(classes.select("id", F.explode("bands").alias("bucket")))
     sizes = banded.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
     held = materialize(attach(banded, sizes, ["bucket"], "n", n * BANDS))
     # One text for each class that has to be compared; a Bloom filter keeps all other texts where they are.
-    wanted = materialize(classes.join(held.select("id").distinct(), "id").select("id", "digest"))
+    wanted = materialize(classes.join(held.select("id").distinct(), "id").select("id", "sha"))
     bits = filter_bits(wanted.count())
-    words = materialize(member_bits(wanted, "digest", bits))
-    digested = texts.select(_digest(F.col("text")).alias("digest"), "text")
-    maybe = maybe_repeated(digested, "digest", words, bits, "maybe").filter("maybe").drop("maybe")
-    bodies = materialize(maybe.groupBy("digest").agg(F.min("text").alias("text")).join(wanted, "digest").select("id", "text"))
+    words = materialize(member_bits(wanted, "sha", bits))
+    maybe = maybe_repeated(hashed.select("sha", "text"), "sha", words, bits, "maybe").filter("maybe").drop("maybe")
+    bodies = materialize(maybe.groupBy("sha").agg(F.min("text").alias("text")).join(wanted, "sha").select("id", "text"))
 
     pairs = held.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     links = materialize(_verified(materialize(pairs), bodies, weights, threshold))
@@ -379,18 +466,12 @@ def _groups(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFr
     known = materialize(known.select("digest", "members", "class_id", "id", F.coalesce("component", "id").alias("component")))
     lowest = known.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "id")).alias("low"), F.count("*").alias("classes"))
     known = attach(known, lowest, ["component"], "classes", n).select("digest", "members", "class_id", F.col("low.class_id").alias("component_id"), F.col("low.id").alias("keep_row"))
-    out = attach(signed.select("row", "doc_id", "digest"), known, ["digest"], "members", n)
+    out = attach(signed.select("row", "doc_id", "sha", "digest"), known, ["digest"], "members", n)
     return out.withColumn("kept", F.col("row") == F.col("keep_row"))
 
 
-def _digest(text):
-    from pyspark.sql import types as T
-
-    @F.pandas_udf(T.BinaryType())
-    def digest(texts: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_128_digest(word_hashes(t).tobytes()) for t in texts])
-
-    return digest(text)
+def _sha(text):
+    return F.unhex(F.sha2(text, 256))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -399,14 +480,15 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Null texts count as empty, rows with a null id as rows like others; an empty table gives no rows. Rows whose text cannot be one to drop pass straight through; rows that repeat both id and text stay together.
     """
     out = materialize(_groups(docs, doc_id, text, threshold))
-    own, flag, own_id, own_digest = fresh(docs, "__own_digest", "__maybe", "__id", "__digest")
-    of = lambda rows: rows.select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest))
-    kept, gone = of(out.filter("kept")), of(out.filter("not kept")).distinct()
-    gone = materialize(gone.join(kept, gone[own_id].eqNullSafe(kept[own_id]) & (gone[own_digest] == kept[own_digest]), "left_anti"))
+    own, flag, own_id, own_sha = fresh(docs, "__own_sha", "__maybe", "__id", "__sha")
+    kept, gone = out.filter("kept").select("doc_id", "digest"), out.filter("not kept").select("doc_id", "sha", "digest").distinct()
+    same = F.col("gone.doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("gone.digest") == F.col("kept.digest"))
+    gone = gone.alias("gone").join(kept.alias("kept"), same, "left_anti")
+    gone = materialize(gone.select(F.col("doc_id").alias(own_id), F.col("sha").alias(own_sha)))
     bits = filter_bits(gone.count())
-    words = materialize(member_bits(gone, own_digest, bits))
-    flagged = maybe_repeated(docs.withColumn(own, _digest(or_empty(F.col(f"`{text}`")))), own, words, bits, flag)
-    stay = flagged.filter(F.col(flag)).join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (F.col(own) == F.col(own_digest)), "left_anti")
+    words = materialize(member_bits(gone, own_sha, bits))
+    flagged = maybe_repeated(docs.withColumn(own, _sha(or_empty(F.col(f"`{text}`")))), own, words, bits, flag)
+    stay = flagged.filter(F.col(flag)).join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (F.col(own) == F.col(own_sha)), "left_anti")
     return flagged.filter(~F.col(flag)).unionByName(stay).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

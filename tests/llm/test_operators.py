@@ -429,3 +429,17 @@ def test_window_count_rises_until_all_fit():
         # As few windows as the total allows, so the padding of all is less than one window.
         assert len(full) == -(-sum(sizes) // 100) and filled[-1] <= 100 and sum(filled) == sum(sizes)
     assert len(packing.deal([60, 60, 60], 100)) == 3
+
+
+def test_words_hash_by_eight_bytes():
+    """Hashes part and tell words as str.split() does, in whatever company, and no draw depends on the way it is looked up."""
+    random.seed(4)
+    texts = ["".join(random.choice("ab\0é中 \t\x1c\x85\xa0 　​") for _ in range(random.choice([0, 1, 9, 60]))) for _ in range(400)]
+    texts += [c * n + "z " + "y" * n for n in (0, 6, 7, 8, 9, 16, 254, 255, 256, 257, 900) for c in "xz"]
+    both = {(w, h) for t, (hashes, _) in zip(texts, minhash.parsed(texts), strict=True) for w, h in zip(t.split(), hashes.tolist(), strict=True)}
+    assert len(both) == len({w for w, _ in both}) == len({h for _, h in both}) > 200
+    for t, (hashes, found) in zip(texts, minhash.parsed(texts)):
+        assert np.array_equal(hashes, minhash.word_hashes(t)) and np.array_equal(found, minhash.shingles(hashes))
+    values = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype="uint64"))
+    weights = np.where(np.arange(5000) % 7, 7.2, np.arange(5000) / 1000 + 1)
+    assert np.array_equal(minhash.sample(values, weights, 7.2), minhash.sample(values, weights))
