@@ -16,12 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import exact_dedup, minhash, packing, pii, quality
 from quarry.llm.common import materialize, table
 
+#: Texts that go to a Python worker at once. An executor holds a batch several times over, in the JVM and in Python.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session deals texts to Python in batches of BATCH rows; no result depends on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking does not reject; empty texts and gibberish go, repeated rows share their fate.
 
     Without a good label nothing is rejected.
     """
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -32,6 +41,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id; rows that repeat id and text stay together."""
+    small_batches(spark)
     return minhash.drop_near_copies(docs)
 
 
@@ -42,6 +52,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training windows with their ids; an empty text is packed as its end mark alone, repeated rows each."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -38,11 +38,11 @@ BANDS, ROWS = 10, 4
 #: Shingles in fewer than one of so many documents weigh alike.
 SATURATION = 512
 #: Counters of a row, those that travel together, and shingles a task counts before it passes them on.
-COUNTERS, TOGETHER, COUNTED = 1 << 18, 1 << 12, 1 << 21
+COUNTERS, TOGETHER, COUNTED = 1 << 19, 1 << 12, 1 << 21
 #: Words of more bytes are hashed one by one.
 LONG = 256
 #: Shingles that are counted at once, characters of texts that are hashed at once, shingles that are sampled at once, about.
-AT_ONCE, CHARS, DRAWN = 1 << 17, 1 << 17, 2000
+AT_ONCE, CHARS, DRAWN = 1 << 19, 1 << 17, 2000
 #: Random draws are taken from so many quantiles (2^BITS).
 BITS = 16
 #: Texts compared with one other in a task at most, before a further task takes the rest.

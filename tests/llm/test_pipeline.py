@@ -58,3 +58,15 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path / "none"))
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_near_copies_leave_in_small_batches_and_without_python(spark):
+    docs = spark.createDataFrame([(1, "some words of a text"), (2, "some words  of a text"), (3, "other")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        out = corpus_pipeline.drop_near(spark, docs, "")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == corpus_pipeline.BATCH < 10_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert not re.search("Python|Pandas", out._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
