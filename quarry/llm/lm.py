@@ -27,6 +27,7 @@ words are joined with their counts, and none of these has many rows.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -48,8 +49,10 @@ COMMON = 1_000_000
 BATCH = 1 << 11
 #: Ids of documents, and characters of texts, taken at once.
 CHARS, TEXTS = 250_000, 2_000_000
-#: Words a task counts before it passes them on.
+#: Words a task counts before it passes them on, and those it keeps encoded.
 COUNTED = 400_000
+#: Words of a shuffle partition that a join may hold in memory; more are sorted instead.
+HASHED = 1_000_000
 #: Longer words are encoded piece by piece.
 PIECE = 1000
 
@@ -100,68 +103,92 @@ def word_ids(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoded(NamedTuple):
-    """Documents in a row: ids, how many of them each token has, and how many tokens each document has."""
+    """Documents in a row: ids of their distinct tokens, how many of them each of these has, how many tokens each
+    document has, and which of the distinct tokens each token is."""
 
     ids: np.ndarray
     sizes: np.ndarray
     lengths: np.ndarray
+    tokens: np.ndarray
 
     @classmethod
-    def read(cls, path: str, ids: list[bytes], ends: list[bytes]) -> Encoded:
-        """From columns that encoded() has written."""
+    def read(cls, path: str, ids: list[bytes], ends: list[bytes], tokens: list[bytes] | None = None) -> Encoded:
+        """From columns that encoded() has written; without tokens, each token has ids of its own."""
         ids = [np.frombuffer(x, _kind(path)) for x in ids]
-        last = [np.flatnonzero(np.unpackbits(np.frombuffer(e, "uint8"), count=len(x))) for x, e in zip(ids, ends)]
-        return cls(np.concatenate(ids).astype("int64"), np.concatenate([np.diff(x, prepend=-1) for x in last]), np.array([len(x) for x in last], "int64"))
+        last = [np.unpackbits(np.frombuffer(e, "uint8"), count=len(x)) for x, e in zip(ids, ends)]
+        distinct = np.array([np.count_nonzero(x) for x in last], "int64")
+        sizes = np.diff(np.flatnonzero(np.concatenate(last)), prepend=-1)
+        ids = np.concatenate(ids).astype("int64")
+        if tokens is None:
+            return cls(ids, sizes, distinct, np.arange(len(sizes)))
+        own = [np.frombuffer(x, _number(n)) for x, n in zip(tokens, distinct)]
+        lengths = np.array([len(x) for x in own], "int64")
+        return cls(ids, sizes, lengths, np.concatenate(own).astype("int64") + np.repeat(np.cumsum(distinct) - distinct, lengths))
 
 
 def _kind(path: str) -> str:
     return "<u2" if _subwords(path).n_vocab < 1 << 16 else "<u4"
 
 
+def _number(n: int) -> str:
+    """Type of the numbers of n distinct tokens."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
 def encoded(texts: DataFrame, path: str, logs) -> DataFrame:
     """Rows of texts (doc_id, text, held_out) as ids, with what is known of their words.
 
-    ``ids`` has the subword ids and ``ends`` a bit for each that says whether a token ends there. Of words in logs, a
+    ``ids`` has the subword ids of the text's distinct tokens, as they first occur, and ``ends`` a bit for each that
+    says whether a token ends there; ``tokens`` says for each token which of the distinct ones it is. Of words in logs, a
     broadcast of log10(count + 1), ``n_common`` is the number and ``common`` the sum; all other words of the text are in
     ``rare``, with their ``times``. ``slice`` is the round that trains on the row, -1 for none.
     """
 
     def work(frames):
-        get = logs.value.get
+        get, words = logs.value.get, None
         for pdf in frames:
             for part in _groups(pdf):
-                # Distinct words are numbered, looked up and encoded once; the end is number 0.
-                number = defaultdict()
-                number.default_factory = number.__len__
-                number[b""] = 0
-                texts = [np.fromiter(map(number.__getitem__, [*words_of(t), b""]), "int64") for t in part["text"]]
-                words = list(number)
-                ids, sizes = word_ids(path, words[1:])
-                ids, sizes = np.append(_subwords(path).n_vocab, ids), np.append(1, sizes)
+                # Distinct words are numbered, looked up and encoded once, until there are too many; the end is number 0.
+                if words is None or len(words) > COUNTED or len(ids) > TEXTS:
+                    number = defaultdict()
+                    number.default_factory = number.__len__
+                    number[b""], words = 0, [b""]
+                    ids, sizes, found = np.array([_subwords(path).n_vocab], _kind(path)), np.ones(1, "int64"), np.array([get(b"", -1.0)])
+                texts = [np.fromiter(map(number.__getitem__, [*words_of(t), b""]), "int32") for t in part["text"]]
+                new = list(itertools.islice(number, len(words), None))
+                new_ids, new_sizes = word_ids(path, new)
+                words += new
+                ids, sizes = np.append(ids, new_ids.astype(_kind(path))), np.append(sizes, new_sizes)
+                found = np.append(found, [get(w, -1.0) for w in new])
                 starts = np.cumsum(sizes) - sizes
-                found = np.array([get(w, -1.0) for w in words])
-                rows = []
+                place, rows = np.empty(len(words), "int32"), []
                 for t in texts:
-                    size, log = sizes[t], found[t]
+                    # A token's number is that of the place where it first occurs, among such places.
+                    at = np.arange(len(t), dtype="int32")
+                    place[t[::-1]] = at[::-1]
+                    first = place[t]
+                    is_first = first == at
+                    distinct, own = t[is_first], (np.cumsum(is_first) - 1)[first]
+                    times, size, log = np.bincount(own), sizes[distinct], found[distinct]
                     last = np.cumsum(size)
                     ends = np.zeros(last[-1], bool)
                     ends[last - 1] = True
-                    own = ids[np.repeat(starts[t] - last + size, size) + np.arange(last[-1])]
-                    known = log[log >= 0]
-                    rare, times = np.unique(t[log < 0], return_counts=True)
-                    rows.append((len(t), len(known), known.sum(), [words[k] for k in rare], times, own.astype(_kind(path)).tobytes(), np.packbits(ends).tobytes()))
-                out = pd.DataFrame(rows, columns=["n_tokens", "n_common", "common", "rare", "times", "ids", "ends"])
+                    some = ids[np.repeat(starts[distinct] - last + size, size) + np.arange(last[-1])]
+                    known = log >= 0
+                    rare = [words[k] for k in distinct[~known].tolist()]
+                    rows.append((len(t), times @ known, times[known] @ log[known], rare, times[~known], some.tobytes(), np.packbits(ends).tobytes(), own.astype(_number(len(distinct))).tobytes()))
+                out = pd.DataFrame(rows, columns=["n_tokens", "n_common", "common", "rare", "times", "ids", "ends", "tokens"])
                 for c in ("doc_id", "held_out", "slice"):
                     out[c] = part[c].to_numpy()
                 yield out
 
     rows = texts.withColumn("slice", F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))).cast("int"))
-    return rows.mapInPandas(work, "n_tokens long, n_common long, common double, rare array<binary>, times array<long>, ids binary, ends binary, doc_id string, held_out boolean, slice int")
+    return rows.mapInPandas(work, "n_tokens long, n_common long, common double, rare array<binary>, times array<long>, ids binary, ends binary, tokens binary, doc_id string, held_out boolean, slice int")
 
 
 def _parts(pdf: pd.DataFrame):
-    """Parts of pdf with documents of some CHARS ids."""
-    size = pdf["ids"].str.len().cumsum().to_numpy()
+    """Parts of pdf with documents of some CHARS bytes of ids, or twice as many of their tokens' numbers."""
+    size = np.maximum(pdf["ids"].str.len(), pdf["tokens"].str.len() // 2).cumsum().to_numpy()
     for group in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(size // CHARS)) + 1):
         if len(group):
             yield pdf.iloc[group]
@@ -203,22 +230,32 @@ def id_sums(encoded: DataFrame, path: str) -> DataFrame:
 
     def work(frames):
         size = _subwords(path).n_vocab + 1
-        own, sums, counts = signs(size), np.zeros((size, WIDTH), "int64"), np.zeros(size, "int64")
+        # All numbers are integers that doubles hold exactly.
+        own, sums, counts = signs(size).astype("float64"), np.zeros((size, WIDTH)), np.zeros(size)
+        place = np.empty(size, "int64")
         for pdf in frames:
-            for raw in pdf["ids"]:
-                ids, times = np.unique(np.frombuffer(raw, _kind(path)), return_counts=True)
-                doc = times @ own[ids]
-                doc = np.round(100 * doc / max(1.0, math.sqrt(doc @ doc))).astype("int64")
-                sums[ids] += times[:, None] * doc
-                counts[ids] += times
+            for part in _parts(pdf):
+                some = Encoded.read(path, part["ids"], part["ends"], part["tokens"])
+                every = np.repeat(np.bincount(some.tokens, minlength=len(some.sizes)), some.sizes)
+                ends = np.cumsum(part["ids"].str.len().to_numpy() // np.dtype(_kind(path)).itemsize)
+                for s, e in zip([0, *ends[:-1]], ends):
+                    ids, at = some.ids[s:e], np.arange(e - s)
+                    place[ids] = at
+                    distinct = ids[place[ids] == at]
+                    place[distinct] = np.arange(len(distinct))
+                    times = np.bincount(place[ids], every[s:e])
+                    doc = times @ own.take(distinct, 0)
+                    doc = np.round(100 * doc / max(1.0, math.sqrt(doc @ doc)))
+                    sums[distinct] += times[:, None] * doc
+                    counts[distinct] += times
         some = np.flatnonzero(counts)
-        out = pd.DataFrame(sums[some], columns=names)
-        out.insert(0, "n", counts[some])
+        out = pd.DataFrame(sums[some].astype("int64"), columns=names)
+        out.insert(0, "n", counts[some].astype("int64"))
         out.insert(0, "id", some)
         yield out
 
     kind = ", ".join(["id int", "n long", *(f"{c} long" for c in names)])
-    return encoded.select("ids").mapInPandas(work, kind).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+    return encoded.select("ids", "ends", "tokens").mapInPandas(work, kind).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
 
 
 def id_vectors(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -254,12 +291,18 @@ def k_means(x: np.ndarray, weight: np.ndarray, k: int, steps: int = 15) -> np.nd
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     centres = centres.astype("float64")
-    turned, size = -2 * centres.T, (centres**2).sum(1)
+    turned, size = -2 * centres, (centres**2).sum(1)[:, None]
+    # A distance's last bits hold the centre's number, so that the least one tells it.
+    number = np.arange(len(centres))[:, None]
+    low = (1 << len(centres).bit_length()) - 1
     out = np.empty(len(x), "int64")
     for s in range(0, len(x), BATCH):
-        far = x[s : s + BATCH].astype("float64") @ turned
+        far = turned @ x[s : s + BATCH].T.astype("float64")
         far += size
-        out[s : s + BATCH] = far.argmin(1)
+        bits = far.view("int64")
+        bits &= ~low
+        bits |= number
+        out[s : s + BATCH] = far.min(0).view("int64") & low
     return out
 
 
@@ -275,14 +318,18 @@ class Vocabulary:
         if not len(sizes):
             return np.zeros((0, WIDTH), "float32"), np.zeros(0, "int64")
         ends = np.cumsum(sizes)
-        x = self.vectors.take(ids[ends - sizes], 0)
+        x = np.empty((len(sizes), WIDTH), "float32")
         for s in range(0, len(sizes), 4 * BATCH):
-            part, own = x[s : s + 4 * BATCH], sizes[s : s + 4 * BATCH]
-            at, rows = ends[s : s + 4 * BATCH] - own, np.arange(len(own))
-            for k in range(1, int(own.max())):  # the next id of the words that have one
-                rows = rows[own[rows] > k]
-                part[rows] += self.vectors.take(ids[at[rows] + k], 0)
+            own = sizes[s : s + 4 * BATCH]
+            order = np.argsort(-own, kind="stable")  # those with most ids first
+            own = own[order]
+            at = ends[s : s + 4 * BATCH][order] - own
+            part = self.vectors.take(ids[at], 0)
+            for k in range(1, int(own[0])):  # the next id of the words that have one
+                n = np.searchsorted(-own, -k)
+                part[:n] += self.vectors.take(ids[at[:n] + k], 0)
             part /= own[:, None].astype("float32")
+            x[s + order] = part
         kind = nearest(x, self.centres)
         kind[ids[ends - 1] == len(self.vectors) - 1] = CLASSES - 1
         return x, kind
@@ -321,7 +368,7 @@ def initial(share: np.ndarray) -> np.ndarray:
 
 #: Added to the scores of later tokens, whose weight is then zero.
 _LATER = np.where(np.arange(2 * CONTEXT)[None, :] <= np.arange(CONTEXT)[:, None] + CONTEXT, 0, -1e9).astype("float32")
-_ONES = np.ones((2 * CONTEXT, 1), "float32")
+_ONES = np.ones(2 * CONTEXT, "float32")
 _EACH = np.ones(CLASSES, "float32")
 
 
@@ -348,10 +395,13 @@ def forward(p: dict, x: np.ndarray, first: np.ndarray, targets: np.ndarray):
     # Bounded values keep the exponentials finite; those of later tokens are zero.
     np.exp(np.minimum(a, 30, out=a), out=a)
     a[np.flatnonzero(first), :, :c] = 0
-    a /= np.matmul(a, _ONES)
-    mean = np.matmul(a, window).reshape(-1, d)
-    h = np.concatenate([x, mean @ p["value"]], 1)
-    f = h @ p["inner"]
+    # Weights stay as they are, and means are divided by their sums.
+    share = 1 / (a.reshape(-1, 2 * c) @ _ONES)[:, None]
+    h = np.concatenate([x, np.matmul(a, window).reshape(-1, d)], 1)
+    h[:, d:] *= share
+    # The values' weights act on all means alike, so they are taken with those that follow.
+    both = np.concatenate([p["inner"][:d], p["value"] @ p["inner"][d:]])
+    f = h @ both
     f += p["shift"]
     np.maximum(f, 0, out=f)
     z = f @ p["out"]
@@ -360,39 +410,42 @@ def forward(p: dict, x: np.ndarray, first: np.ndarray, targets: np.ndarray):
     e = np.exp(z)
     total = e @ _EACH
     logs = z.ravel().take(targets + np.arange(len(targets)) * CLASSES) - np.log(total)
-    return logs, (x, window, turned, a, mean, h, f, e, total, targets)
+    return logs, (x, window, turned, a, share, h, both, f, e, total, targets)
 
 
 def gradient(p: dict, kept, weights: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the weighted sum of log chances, negated."""
-    x, window, turned, a, mean, h, f, e, total, targets = kept
+    x, window, turned, a, share, h, both, f, e, total, targets = kept
     d, c = WIDTH, CONTEXT
     dz = e * (weights / total)[:, None]
     dz.ravel()[targets + np.arange(len(targets)) * CLASSES] -= weights
     df = dz @ p["out"].T
     df *= f > 0
-    dv = df @ p["inner"][d:].T
-    da = np.matmul((dv @ p["value"].T).reshape(-1, c, d), turned)
-    da -= np.matmul(da * a, _ONES)
+    dmean = df @ both[d:].T
+    dmean *= share
+    da = np.matmul(dmean.reshape(-1, c, d), turned)
+    da -= ((dmean * h[:, d:]) @ _ONES[:d]).reshape(-1, c, 1)
     da *= a
     dq = np.matmul(da, window).reshape(-1, d)
-    each = np.ones(len(x), "float32")
-    return {"match": x.T @ dq, "near": da.sum(0), "value": mean.T @ dv, "inner": h.T @ df, "shift": each @ df, "out": f.T @ dz, "prior": each @ dz}
+    each, dboth = np.ones(len(x), "float32"), h.T @ df
+    inner = np.concatenate([dboth[:d], p["value"].T @ dboth[d:]])
+    return {"match": x.T @ dq, "near": da.sum(0), "value": dboth[d:] @ p["inner"][d:].T, "inner": inner, "shift": each @ df, "out": f.T @ dz, "prior": each @ dz}
 
 
-def _steps(x: np.ndarray, kind: np.ndarray, lengths: np.ndarray, end: np.ndarray):
+def _steps(x: np.ndarray, kind: np.ndarray, lengths: np.ndarray, end: np.ndarray, tokens: np.ndarray | None = None):
     """Vectors of the tokens before, first blocks, targets and which of these are tokens, some BATCH at a time.
 
-    x and kind are the tokens' vectors and classes, end the vector of the end, which also stands before each document.
-    Each step but the first begins with the block before it, whose tokens are no targets of its own.
+    x and kind are the tokens' vectors and classes, or those of distinct tokens if ``tokens`` says which of them each
+    token is; end is the vector of the end, which also stands before each document. Each step but the first begins with the block before it, whose tokens are no targets of its own.
     """
     places, first = laid_out(lengths)
     size = len(first) * CONTEXT
     x = np.concatenate([x, end[None, :]])
+    tokens = np.arange(len(places)) if tokens is None else tokens
     before, targets, real = np.full(size, len(x) - 1), np.zeros(size, "int64"), np.zeros(size, bool)
-    before[places] = np.arange(len(places)) - 1
+    before[places[1:]] = tokens[:-1]
     before[places[np.cumsum(lengths) - lengths]] = len(x) - 1
-    targets[places], real[places] = kind, True
+    targets[places], real[places] = kind[tokens], True
     for s in range(0, size, BATCH):
         part = slice(max(0, s - CONTEXT), s + BATCH)
         own = real[part].copy()
@@ -401,24 +454,24 @@ def _steps(x: np.ndarray, kind: np.ndarray, lengths: np.ndarray, end: np.ndarray
 
 
 def steps(vocabulary: Vocabulary, docs: Encoded):
-    yield from _steps(*vocabulary.of(docs.ids, docs.sizes), docs.lengths, vocabulary.vectors[-1])
+    yield from _steps(*vocabulary.of(docs.ids, docs.sizes), docs.lengths, vocabulary.vectors[-1], docs.tokens)
 
 
 def gradients(encoded: DataFrame, path: str, weights: np.ndarray, vocabulary) -> tuple[np.ndarray, int]:
-    """The sum of the gradients of all tokens of documents (ids, ends) at the given weights, and the number of tokens."""
+    """The sum of the gradients of all tokens of documents (ids, ends, tokens) at the given weights, and the number of tokens."""
 
     def work(frames):
         p = unpacked(weights)
         total, n = np.zeros(len(weights)), 0
         for pdf in frames:
             for part in _parts(pdf):
-                for x, first, targets, own in steps(vocabulary.value, Encoded.read(path, part["ids"], part["ends"])):
+                for x, first, targets, own in steps(vocabulary.value, Encoded.read(path, part["ids"], part["ends"], part["tokens"])):
                     _, kept = forward(p, x, first, targets)
                     total += packed(gradient(p, kept, own.astype("float32")))
                     n += int(own.sum())
         yield pd.DataFrame({"sums": [np.append(total, n)] if n else []})
 
-    rows = encoded.select("ids", "ends").mapInPandas(work, "sums array<double>").select(F.posexplode("sums").alias("place", "value"))
+    rows = encoded.select("ids", "ends", "tokens").mapInPandas(work, "sums array<double>").select(F.posexplode("sums").alias("place", "value"))
     # One row for each weight.
     got = rows.groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")["value"].to_numpy()
     return (got[:-1], int(got[-1])) if len(got) else (np.zeros(len(weights)), 0)
@@ -483,19 +536,22 @@ def score_texts(docs: DataFrame, training: Column, path: str, doc_id: str = "doc
         p, log_sizes = unpacked(weights), np.log10(sizes)
         for pdf in frames:
             for part in _parts(pdf):
-                docs = Encoded.read(path, part["ids"], part["ends"])
+                docs = Encoded.read(path, part["ids"], part["ends"], part["tokens"])
                 own = [(forward(p, x, first, targets)[0] / math.log(10) - log_sizes[targets])[real] for x, first, targets, real in steps(vocabulary.value, docs)]
-                yield pd.DataFrame({"row": part["row"], "own": np.add.reduceat(np.concatenate(own), np.cumsum(docs.lengths) - docs.lengths)})
+                yield part[names].assign(own=np.add.reduceat(np.concatenate(own), np.cumsum(docs.lengths) - docs.lengths))
 
-    # Only ids go through Python again; a row and its words meet by the row's number.
-    own = rows.select("row", "ids", "ends").mapInPandas(work, "row long, own double")
+    # A row and its rare words meet by the row's number.
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_common", "common"]
+    own = rows.select(*names, "ids", "ends", "tokens").mapInPandas(work, "row long, doc_id string, held_out boolean, n_tokens long, n_common long, common double, own double")
     rare = rows.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))).alias("r")).select("row", "r.word", "r.times")
     # Common words are found in the task; the others have few rows each.
-    found = rare.join(counts.filter(F.col("n") < least), "word")
+    others = counts.filter(F.col("n") < least)
+    if v <= HASHED * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        others = others.hint("shuffle_hash")  # spares sorting both sides
+    found = rare.join(others, "word")
     sums = found.groupBy("row").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
     logs = F.col("common") + F.coalesce("logs", F.lit(0.0))
-    narrow = rows.select("row", "doc_id", "held_out", "n_tokens", "n_common", "common")
-    out = narrow.join(own, "row").join(sums, "row", "left").select(
+    out = own.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

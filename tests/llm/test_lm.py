@@ -70,6 +70,59 @@ def test_rare_words_count_exactly(docs, scored, monkeypatch):
         assert np.allclose([r[name] for r in sorted(again, key=key)], [r[name] for r in sorted(scored, key=key)], rtol=1e-6)
 
 
+@pytest.mark.parametrize("kept", [20, 10**9])
+def test_repeated_words_are_kept_once(spark, rows, docs, monkeypatch, kept):
+    """Rows hold their distinct words only, and tell the same ids, counts and sums as every word taken alone."""
+    monkeypatch.setattr(lm, "COUNTED", kept)
+    tokens = {i: [*lm.words_of(t or ""), b""] for i, t in rows if i is not None}
+    logs = {w: 1.0 for t in tokens.values() for w in t if len(w) % 2}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        some = docs.filter("doc_id is not null").selectExpr("string(doc_id) doc_id", "coalesce(text, '') text", "false held_out")
+        encoded = lm.encoded(some, PATH, spark.sparkContext.broadcast(logs))
+        got, sums = encoded.collect(), {r["id"]: tuple(r)[1:] for r in lm.id_sums(encoded, PATH).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    own, want = lm.signs(lm._subwords(PATH).n_vocab + 1), {}
+    for r in got:
+        words = tokens[int(r["doc_id"])]
+        one = lm.Encoded.read(PATH, [r["ids"]], [r["ends"]], [r["tokens"]])
+        assert len(one.sizes) == len(set(words)) and one.lengths.tolist() == [len(words)]
+        ids, sizes = lm.word_ids(PATH, words)
+        each = np.split(one.ids, np.cumsum(one.sizes)[:-1])
+        assert np.concatenate([each[k] for k in one.tokens]).tolist() == ids.tolist() and one.sizes[one.tokens].tolist() == sizes.tolist()
+        rare = Counter(w for w in words if w not in logs)
+        assert dict(zip(map(bytes, r["rare"]), r["times"])) == rare
+        assert r["n_common"] == r["common"] == len(words) - rare.total()
+        times = Counter(ids.tolist())
+        doc = sum(n * own[i] for i, n in times.items())
+        doc = np.round(100 * doc / max(1.0, math.sqrt(doc @ doc))).astype(int)
+        for i, n in times.items():
+            want[i] = want.get(i, 0) + n * np.append(1, doc)
+    assert len(got) == len([i for i, _ in rows if i is not None]) and sums == {i: tuple(x.tolist()) for i, x in want.items()}
+
+
+def test_a_whole_score_against_a_plain_sum(docs, scored, monkeypatch):
+    """The class part of a score, taken from documents alone, comes to what all of them together give."""
+    fitted = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: fitted.append(fit(*a)) or fitted[0])
+    again = {(r["doc_id"], r["n_tokens"]): r for r in lm.score_texts(docs, lm.is_training(docs["doc_id"]), PATH).collect()}
+    (weights, sizes, vocabulary), n = fitted[0], scored[0]["train_tokens"]
+    p, texts = lm.unpacked(weights, "float64"), [r for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] < 40]
+    counts = Counter(w for r in docs.collect() if not is_held(r["doc_id"]) for w in [*lm.words_of(r["text"] or ""), b""])
+    for r in texts:
+        words = [*lm.words_of(r["text"]), b""]
+        x, kind = vocabulary.value.of(*lm.word_ids(PATH, words))
+        far = ((x[:, None, :].astype("float64") - vocabulary.value.centres) ** 2).sum(2)
+        assert kind.tolist() == [*far.argmin(1)[:-1], lm.CLASSES - 1]
+        logs = np.concatenate([lm.forward(p, *step)[0][real] for *step, real in lm._steps(x, kind, np.array([len(words)]), vocabulary.value.vectors[-1])])
+        want = logs.sum() / math.log(10) + sum(math.log10((counts[w] + 1) / sizes[k]) for w, k in zip(words, kind))
+        assert abs(again[r["doc_id"], len(words)]["score"] - want) < 1e-4 * abs(want)
+    assert n == counts.total()
+
+
 def test_empty_and_untrained(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_texts(none, lm.is_training(none["doc_id"]), PATH).count() == 0
