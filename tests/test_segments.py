@@ -102,3 +102,28 @@ def test_split_join(spark, monkeypatch):
         assert sorted(map(tuple, joins.split_join(rows, lookup, "key", outer).select("id", "v").collect())) == sorted(map(tuple, rows.join(lookup, "key", kind).select("id", "v").collect()))
     none = lookup.filter(F.lit(False))
     assert joins.split_join(rows, none, "key").count() == 0 and joins.split_join(rows.limit(0), lookup, "key", True).count() == 0
+
+
+def test_a_run_that_keeps_no_row_reads_nothing_older(spark, tmp_path):
+    """The manifest names the new segment alone, and older ones are not even read: they may be gone."""
+    store, one = segments.Store(spark, str(tmp_path / "store")), {f"f{k}.x": f"def top{k}: alpha word{k}\nuse help{k}" for k in range(3)}
+    run(spark, store, one, [])
+    two = {**one, "f1.x": "def top1: beta\nuse f1.top1"}
+    run(spark, store, two, [])
+    assert len(store.manifest().segments) == 2
+    for kind in ("symbols", "edges", "names", "postings"):
+        (tmp_path / "store" / "segment-1" / kind).rename(tmp_path / f"away-{kind}")
+    assert run(spark, store, two, [], force=True)["parsed"] == 3
+    m = store.manifest()
+    assert [k for k, *_ in m.segments] == [3] == list(m.resolved) and not m.dead
+    same_as_full(spark, store, two)
+
+
+def test_segments_of_one_size_merge(spark, tmp_path):
+    store, contents = segments.Store(spark, str(tmp_path / "store")), {}
+    for k in range(4):
+        contents |= {f"f{2 * k}.x": f"def top{k}: alpha word{k}\nuse f1.top", f"f{2 * k + 1}.x": "def top: beta", "f0.x": f"def top0: alpha again{k}"}
+        run(spark, store, dict(contents), [])
+    m = store.manifest()
+    assert len(m.segments) == 1 and m.segments[0][2] == (1, 2, 3, 4)
+    same_as_full(spark, store, contents)
